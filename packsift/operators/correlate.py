@@ -109,13 +109,13 @@ def platform_counts(findings: DataFrame, signals: DataFrame, files: DataFrame) -
     return per_ext.select("ext_id", total.alias("n_platforms"))
 
 
-def package_flags(manifests: DataFrame, findings: DataFrame, files: DataFrame, urls: DataFrame,
+def package_flags(manifests: DataFrame, findings: DataFrame, files: DataFrame, texts: DataFrame, urls: DataFrame,
                   signals: DataFrame, remote: DataFrame) -> DataFrame:
     """The wide flag row of every package; absent parts are false or zero."""
     obfuscation = files.groupBy("ext_id").agg(F.bool_or("is_obfuscated").alias("obfuscation"))
     remote_flag = remote.select("ext_id").distinct().withColumn("remote_script", F.lit(True))
     flags = manifest_flags(manifests)
-    for part in (code_flags(findings), url_flags(urls), platform_counts(findings, signals, files), obfuscation, remote_flag):
+    for part in (code_flags(findings), url_flags(urls), platform_counts(findings, signals, texts), obfuscation, remote_flag):
         flags = flags.join(part, "ext_id", "left")
     fill = {f.name: False for f in flags.schema if f.dataType.typeName() == "boolean"}
     fill |= {f.name: 0 for f in flags.schema if f.dataType.typeName() in ("integer", "long")}

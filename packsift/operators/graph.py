@@ -214,17 +214,22 @@ def orphans(scripts: DataFrame, reached: DataFrame) -> DataFrame:
     return scripts.join(reached, ["ext_id", "path"], "left_anti")
 
 
-def promote_injected(files: DataFrame, edges: DataFrame) -> DataFrame:
-    """Unknown files that are injected at run time become content scripts."""
+def promoted_files(files: DataFrame, edges: DataFrame) -> DataFrame:
+    """(ext_id, path) of unknown files that are injected at run time."""
     targets = (
         edges.filter(F.col("type").isin("injected_file", "script_injection"))
         .select("ext_id", F.col("dst").alias("suffix")).distinct()
     )
-    hit = (
+    return (
         files.filter(F.col("role") == "unknown")
         .select("ext_id", "path", F.explode(suffixes(F.col("path"), "/")).alias("suffix"))
         .join(targets, ["ext_id", "suffix"], "left_semi")
-        .select("ext_id", "path").distinct().withColumn("injected", F.lit(True))
+        .select("ext_id", "path").distinct()
     )
-    return files.join(hit, ["ext_id", "path"], "left").withColumn(
-        "role", F.when(F.col("injected"), "content_script").otherwise(F.col("role"))).drop("injected")
+
+
+def promote(rows: DataFrame, promoted: DataFrame) -> DataFrame:
+    """Rows of promoted files become content scripts. Spark broadcasts the promoted list
+    while it is under the session's threshold and shuffles beyond it."""
+    marked = rows.join(promoted.withColumn("injected", F.lit(True)), ["ext_id", "path"], "left")
+    return marked.withColumn("role", F.when(F.col("injected"), "content_script").otherwise(F.col("role"))).drop("injected")

@@ -10,7 +10,6 @@ from __future__ import annotations
 import json
 from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +17,7 @@ from ..catalog import domains as D
 from ..functions.text import string_array
 from ..functions.urls import host_from_pattern, url_class
 from ..operators import categories, correlate, dataflow, domains, findings, graph, lexical, patterns, permissions, scoring, signals
+from ..session import cut_lineage
 from ..sources import inventory, manifests
 
 FILES_PER_PACKAGE = 20
@@ -171,23 +171,12 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
 class Corpus:
     """Tables of the audit over the derived corpus; each is built once, on first use.
 
-    Tables several branches read (cleaned lines, statements, findings) are persisted: Spark
-    recomputes lost blocks from lineage. On a cluster the same tables can be written and
-    read back instead (see ``audit.run``).
+    Tables that several branches read (described files, statements, findings) are written
+    to the shared folder once and read back from there.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
-        self._kept: list[DataFrame] = []
-
-    def keep(self, df: DataFrame) -> DataFrame:
-        kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-        self._kept.append(kept)
-        return kept
-
-    def release(self) -> None:
-        for df in self._kept:
-            df.unpersist()
 
     def table(self, name: str) -> DataFrame:
         return read(self.spark, self.folder, name)
@@ -250,7 +239,7 @@ class Corpus:
     @cached_property
     def manifests(self) -> DataFrame:
         parsed, _ = manifests.parse_manifests(self.manifest_texts)
-        return self.keep(manifests.resolve_names(parsed, manifests.locale_messages(self.extra_files)))
+        return cut_lineage(manifests.resolve_names(parsed, manifests.locale_messages(self.extra_files)))
 
     # --- scripts --------------------------------------------------------------------
     @cached_property
@@ -259,16 +248,17 @@ class Corpus:
 
     @cached_property
     def described(self) -> DataFrame:
-        """Files with cleaned code and flags, roles before promotion."""
+        """Files with cleaned code and flags, roles before promotion. Raw text is kept only
+        where the text-only path needs it."""
         records = signals.describe_files(self.roled, LARGE_FILE)
-        return self.keep(records.select("*", *signals.usage_flags(F.coalesce("code", F.lit("")))))
+        return cut_lineage(records.withColumn("raw", F.when(F.col("skipped_syntax"), F.col("raw"))).select(
+            "*", *signals.usage_flags(F.coalesce("code", F.lit("")))))
 
     @cached_property
     def edges(self) -> DataFrame:
-        small = self.described.filter(~F.col("skipped_syntax") & F.col("code").isNotNull())
-        lines = lexical.code_lines(small.select("ext_id", "path", "code"))
-        return self.keep(graph.dependency_edges(
-            self.manifests, self.extra_files, lines, small.select("ext_id", "path", "code")))
+        small = self.described.filter(~F.col("skipped_syntax") & F.col("code").isNotNull()).select("ext_id", "path", "code")
+        return cut_lineage(graph.dependency_edges(
+            self.manifests, self.extra_files, lexical.code_lines(small), small))
 
     @cached_property
     def reached(self) -> DataFrame:
@@ -278,30 +268,40 @@ class Corpus:
     def orphans(self) -> DataFrame:
         return graph.orphans(self.files.select("ext_id", "path", "role"), self.reached)
 
+    @cached_property
+    def promoted(self) -> DataFrame:
+        return cut_lineage(graph.promoted_files(self.described.select("ext_id", "path", "role"), self.edges))
+
     @cached_property
     def files(self) -> DataFrame:
-        return graph.promote_injected(self.described, self.edges)
+        """Narrow file facts with final roles; no text."""
+        return cut_lineage(graph.promote(self.described.drop("raw", "code"), self.promoted))
+
+    @cached_property
+    def texts(self) -> DataFrame:
+        """(ext_id, path, role, skipped_syntax, raw, code) with final roles, libraries left out."""
+        wanted = self.described.filter(F.col("code").isNotNull()).select(
+            "ext_id", "path", "role", "skipped_syntax", "raw", "code")
+        return graph.promote(wanted, self.promoted)
 
     @cached_property
     def lines(self) -> DataFrame:
         """Cleaned lines of the scripts under full analysis."""
-        full = self.files.filter(~F.col("skipped_syntax") & F.col("code").isNotNull())
-        return lexical.code_lines(full.select("ext_id", "path", "role", "code"))
+        return lexical.code_lines(self.texts.filter(~F.col("skipped_syntax")).select("ext_id", "path", "role", "code"))
 
     @cached_property
     def scanned_lines(self) -> DataFrame:
         """Lines for URLs, domains and API references: cleaned code of every script but
         libraries, large files included."""
-        every = self.files.filter(F.col("code").isNotNull())
-        return lexical.code_lines(every.select("ext_id", "path", "role", "code"))
+        return lexical.code_lines(self.texts.select("ext_id", "path", "role", "code"))
 
     @cached_property
     def statements(self) -> DataFrame:
-        return self.keep(lexical.statements(self.lines))
+        return cut_lineage(lexical.statements(self.lines))
 
     @cached_property
     def calls(self) -> DataFrame:
-        return lexical.call_sites(self.statements)
+        return cut_lineage(lexical.call_sites(self.statements))
 
     @cached_property
     def members(self) -> DataFrame:
@@ -317,13 +317,13 @@ class Corpus:
 
     @cached_property
     def api_refs(self) -> DataFrame:
-        return lexical.api_references(self.scanned_lines)
+        return cut_lineage(lexical.api_references(self.scanned_lines))
 
     @cached_property
     def urls(self) -> DataFrame:
         found = lexical.code_urls(self.scanned_lines)
-        return found.withColumn("c", url_class(F.col("url"))).select(
-            "*", F.col("c.category").alias("url_class"), F.col("c.domain").alias("host")).drop("c")
+        return cut_lineage(found.withColumn("c", url_class(F.col("url"))).select(
+            *found.columns, F.col("c.category").alias("url_class"), F.col("c.domain").alias("host")))
 
     @cached_property
     def domains_in_code(self) -> DataFrame:
@@ -331,7 +331,7 @@ class Corpus:
 
     @cached_property
     def large_signals(self) -> DataFrame:
-        return signals.grep_signals(self.files.filter("skipped_syntax").select("ext_id", "path", "role", "raw"))
+        return cut_lineage(signals.grep_signals(self.texts.filter("skipped_syntax").select("ext_id", "path", "role", "raw")))
 
     @cached_property
     def constants(self) -> DataFrame:
@@ -339,7 +339,7 @@ class Corpus:
 
     @cached_property
     def contacts(self) -> DataFrame:
-        return dataflow.contacted_domains(self.calls, self.assigned, self.constants)
+        return cut_lineage(dataflow.contacted_domains(self.calls, self.assigned, self.constants))
 
     @cached_property
     def fallback(self) -> DataFrame:
@@ -347,7 +347,7 @@ class Corpus:
 
     @cached_property
     def navigations(self) -> DataFrame:
-        return dataflow.navigations(self.calls, self.assigned, self.constants)
+        return cut_lineage(dataflow.navigations(self.calls, self.assigned, self.constants))
 
     @cached_property
     def tainted(self) -> DataFrame:
@@ -355,11 +355,11 @@ class Corpus:
 
     @cached_property
     def flows(self) -> DataFrame:
-        return dataflow.flows(self.calls, self.assigned, self.tainted)
+        return cut_lineage(dataflow.flows(self.calls, self.assigned, self.tainted))
 
     @cached_property
     def pattern_findings(self) -> DataFrame:
-        return patterns.all_pattern_findings(self.calls, self.members, self.assigned, self.literals, self.constants)
+        return cut_lineage(patterns.all_pattern_findings(self.calls, self.members, self.assigned, self.literals, self.constants))
 
     # --- permissions and manifest structures ---------------------------------------------
     @cached_property
@@ -401,7 +401,7 @@ class Corpus:
         classified = domains.classify_distinct(named).filter(F.col("category").isin("unknown", *D.SENSITIVE))
         ordered = classified.withColumn("ord", F.concat_ws(
             "|", F.col("stage").cast("string"), "path", F.lpad(F.col("line").cast("string"), 8, "0")))
-        return self.keep(domains.dedupe_domains(ordered.select(
+        return cut_lineage(domains.dedupe_domains(ordered.select(
             "ext_id", "domain", "kind", "category", "ord", "path", "role", "line", "priority")))
 
     # --- findings -----------------------------------------------------------------------------
@@ -447,12 +447,13 @@ class Corpus:
     @cached_property
     def base_findings(self) -> DataFrame:
         """Enriched findings of every stream; large-file signals are stage 16."""
-        return self.keep(findings.enrich(findings.union(self.finding_streams())))
+        return cut_lineage(findings.enrich(findings.union(self.finding_streams())))
 
     @cached_property
     def correlation_flags(self) -> DataFrame:
         before = self.base_findings.filter(F.col("stage") < 15)
-        return correlate.package_flags(self.manifests, before, self.files, self.urls, self.large_signals, self.remote_scripts)
+        return cut_lineage(correlate.package_flags(
+            self.manifests, before, self.files, self.texts, self.urls, self.large_signals, self.remote_scripts))
 
     @cached_property
     def correlations(self) -> DataFrame:
@@ -476,7 +477,7 @@ class Corpus:
             self.sink_files.withColumn("has_sink", F.lit(True)), ["ext_id", "path"], "left").withColumn(
             "has_sink", F.coalesce("has_sink", F.lit(False)))
         weighted = findings.context_confidence(findings.contextual_filter(marked)).drop("has_sink")
-        return self.keep(findings.dedupe(weighted))
+        return cut_lineage(findings.dedupe(weighted))
 
     @cached_property
     def verdicted(self) -> DataFrame:
@@ -500,11 +501,11 @@ class Corpus:
 
     @cached_property
     def rule_hits(self) -> DataFrame:
-        return self.keep(categories.rule_hits(self.confirmed))
+        return cut_lineage(categories.rule_hits(self.confirmed))
 
     @cached_property
     def category_flags(self) -> DataFrame:
-        return self.keep(categories.package_flags(self.manifests, self.confirmed, self.api_calls, self.domain_findings))
+        return cut_lineage(categories.package_flags(self.manifests, self.confirmed, self.api_calls, self.domain_findings))
 
     @cached_property
     def states(self) -> DataFrame:

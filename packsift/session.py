@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+SETTING = "spark.checkpoint.dir"
+
 
 def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
     """A session for tests and the benchmark; clusters bring their own."""
@@ -22,20 +25,27 @@ def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Folder for staged tables, named by ``spark.checkpoint.dir`` of the session.
+
+    Only a local session without the setting (tests) gets a folder of its own. On a
+    cluster a missing setting is an error: a machine-local folder is lost with its machine.
+    """
+    folder = spark.conf.get(SETTING, None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {SETTING} to a shared folder")
+        folder = tempfile.mkdtemp(prefix="packsift-")
+        spark.conf.set(SETTING, folder)
+    return folder.rstrip("/")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder named by ``spark.checkpoint.dir``.
+    """Write a table to the shared folder and read it back.
 
-    The setting is read from the session. Only a local session without one (tests) gets
-    a folder of its own; on a cluster a missing setting is an error, because a
-    machine-local folder would be lost with its executor.
+    Later stages start from files: a lost executor replays one stage at most, plans stay
+    small, column pruning still works, and the planner knows the size of the table.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="packsift-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession)}/packsift/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
