@@ -37,6 +37,8 @@ SELECT page_id, variant, {scheme('address')} AS protocol, {host('address')} AS h
 SQL["registrable_domains"] = f"""
 SELECT page_id, host, {registrable('host')} AS domain FROM (SELECT page_id, unnest([{host('url')}, 'www.' || {host('url')}, {host('url')} || '.co.uk',
   {host('url')} || '.ai', string_split({host('url')}, '.')[1]]) AS host FROM pages)"""
+SQL["sql_functions"] = f"""
+SELECT page_id, {host('url')} AS host, {registrable(host('url'))} AS domain, {url_class('url')} AS url_class, 'docs/' || {host('url')} || '/x.js' AS path FROM pages"""
 SQL["pattern_hosts"] = f"""
 SELECT page_id, variant, {from_pattern('value')} AS by_pattern, {from_filter('value')} AS by_filter, {from_literal('value')} AS by_literal FROM (
   SELECT page_id, unnest(v) AS value, generate_subscripts(v, 1) - 1 AS variant FROM (SELECT page_id, ['*://*.' || {host('url')} || '/*', '||' || {host('url')} || '^',
@@ -325,7 +327,7 @@ SELECT regexp_matches(e, '^[a-z]{32}$') AS valid_ext, regexp_matches(j, '(?i)^[0
     'pack' || o_orderkey || CASE o_orderkey % 4 WHEN 2 THEN '.tar' WHEN 3 THEN '.ZIP' ELSE '.crx' END AS f
   FROM (SELECT o_orderkey, translate(d, '0123456789', 'ghijklmnop') AS l, d[1:8] || '-' || d[9:12] || '-' || d[13:16] || '-' || d[17:20] || '-' || d[21:32] AS u
     FROM (SELECT o_orderkey, md5(o_orderkey::VARCHAR) AS d FROM orders))) GROUP BY ALL"""
-_CLOCK = "floor(epoch_us(ts) / 60000000)::BIGINT"
+_CLOCK = "floor(epoch_us(ts) / 600000000)::BIGINT"
 SQL["request_limits"] = f"""
 SELECT {_CLOCK} // 10 * 10 AS window_start, event_type AS client, count(*) AS requests, '10 seconds' AS duration FROM events GROUP BY ALL HAVING count(*) > 5
 UNION ALL SELECT {_CLOCK} // 60 * 60, event_type, count(*), '60 seconds' FROM events GROUP BY ALL HAVING count(*) > 20"""

@@ -12,13 +12,14 @@ from pyspark.sql.types import StringType
 
 from ..catalog import signals as S
 
-# Java's \b follows Unicode letters, scripts' \b follows ASCII word characters.
-_ASCII_EDGE = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
+# Java's \b follows Unicode letters, scripts' \b follows ASCII word characters. Catalogue
+# patterns put \b only before or after a word character, where one look-around is enough.
+_BEFORE_WORD = re.compile(r"\\b(?=[A-Za-z_]|\(\?:[A-Za-z_]|\[[a-z])")
 
 
 def js(pattern: str) -> str:
     """Java form of a catalogue pattern."""
-    return pattern.replace(r"\b", _ASCII_EDGE)
+    return _BEFORE_WORD.sub(lambda _: r"(?<!\w)", pattern).replace(r"\b", r"(?!\w)")
 
 
 def test(text: Column, pattern: str) -> Column:
@@ -93,17 +94,25 @@ def strip_comments(code: pd.Series) -> pd.Series:
     )
 
 
+def _alphabet(text: Column) -> Column:
+    return F.filter(F.array_distinct(F.split(text, "")), lambda c: c != "")
+
+
 def entropy(text: Column) -> Column:
     """Shannon entropy in bits per character, without leaving the row.
 
     Each distinct character is counted by removing it, a native string operation, so the
-    cost is the text length times its alphabet and nothing is shuffled per character.
+    cost is the text length times its alphabet and nothing is shuffled per character. The
+    text is bound once as the element of a one-row array; the inner steps reuse it.
     """
-    n = F.length(text).cast("double")
-    alphabet = F.array_distinct(F.filter(F.split(text, ""), lambda c: c != ""))
-    counts = F.transform(
-        alphabet, lambda c: n - F.length(F.replace(text, c, F.lit(""))).cast("double"))
-    return F.aggregate(counts, F.lit(0.0), lambda acc, k: acc - k / n * F.log2(k / n))
+    def of(row: Column) -> Column:
+        kept = lambda c: F.length(F.replace(row["text"], c, F.lit("")))
+        counts = F.transform(_alphabet(row["text"]), lambda c: (row["n"] - kept(c)).cast("double"))
+        total = F.aggregate(counts, F.lit(0.0), lambda acc, k: acc + k * F.log2(k))
+        return F.log2(row["n"].cast("double")) - total / row["n"]
+
+    bound = F.array(F.struct(text.alias("text"), F.length(text).alias("n")))
+    return F.get(F.transform(bound, of), F.lit(0))
 
 
 def decode_base64(value: Column) -> Column:
@@ -134,6 +143,8 @@ def is_minified(code: Column) -> Column:
     short, long_ = count_hits(code, S.SHORT_ASSIGN), count_hits(code, S.LONG_WORD)
     ratio = (long_ > 0) & (short / long_ > S.SHORT_LONG_RATIO)
     sample = entropy_sample(code)
+    # Entropy cannot exceed log2 of the alphabet, so a small alphabet settles the question.
+    wide = F.size(_alphabet(sample)) > int(2 ** S.ENTROPY_LIMIT)
     return F.when(long_line | escapes | F.coalesce(ratio, F.lit(False)), True).otherwise(
-        F.coalesce(entropy(sample) > S.ENTROPY_LIMIT, F.lit(False))
+        F.when(wide, entropy(sample) > S.ENTROPY_LIMIT).otherwise(False)
     )

@@ -63,14 +63,14 @@ def default_impact() -> Column:
 
 def enrich(findings: DataFrame) -> DataFrame:
     """Fill severity, category, confidence and impact, and add the order key."""
-    return (
-        findings.withColumn("severity", F.coalesce("severity", default_severity()))
-        .withColumn("category", F.coalesce("category", _by_kind(2)))
-        .withColumn("confidence", F.coalesce("confidence", _by_kind(3)))
-        .withColumn("impact", F.coalesce("impact", default_impact()))
-        .withColumn("ord", F.concat_ws("|", F.lpad(F.col("stage").cast("string"), 2, "0"), "path",
-                                       F.lpad(F.col("line").cast("string"), 8, "0"), "kind", "detail"))
-    )
+    keep = [c for c in findings.columns if c not in ("severity", "category", "confidence", "impact")]
+    defaulted = findings.select(
+        *keep, F.coalesce("severity", default_severity()).alias("severity"),
+        F.coalesce("category", _by_kind(2)).alias("category"),
+        F.coalesce("confidence", _by_kind(3)).alias("confidence"), "impact")
+    order = F.concat_ws("|", F.lpad(F.col("stage").cast("string"), 2, "0"), "path",
+                        F.lpad(F.col("line").cast("string"), 8, "0"), "kind", "detail")
+    return defaulted.withColumns({"impact": F.coalesce("impact", default_impact()), "ord": order})
 
 
 def sink_files(findings: DataFrame, files: DataFrame) -> DataFrame:

@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 from ..catalog import categories as C
 from ..catalog import domains as D
 from ..catalog import findings as K
-from ..functions import paths, urls
+from ..functions import paths, sqlfuncs, urls
 from ..functions.text import entropy, is_minified, is_obfuscated, string_array
 from ..operators import categories, correlate, dataflow, domains, evaluate, findings, graph, lexical, narrate, patterns
 from ..operators import permissions, reputation, review, scoring, signals
 from ..sources import manifests, stored
 from ..streaming import jobs
-from .corpus import Corpus, read
+from .corpus import Corpus, read, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _corpora: dict[tuple[str, str], Corpus] = {}
@@ -105,6 +105,16 @@ def registrable_domains(spark, folder):
     return rows.select("page_id", "host", urls.registrable_domain(F.col("host")).alias("domain"))
 
 
+@query("sql_functions")
+def sql_functions(spark, folder):
+    """The SQL functions over page addresses."""
+    sqlfuncs.register(spark)
+    read(spark, folder, "pages").createOrReplaceTempView("packsift_pages")
+    return spark.sql("""
+        SELECT page_id, url_host(url) AS host, registrable_domain(url_host(url)) AS domain, url_risk_class(url) AS url_class,
+          package_path('docs/en', concat('../', url_host(url), '/./x.js?v=1')) AS path FROM packsift_pages""")
+
+
 @query("pattern_hosts")
 def pattern_hosts(spark, folder):
     """Hosts of match patterns, network filters and code literals built from page hosts."""
@@ -123,7 +133,7 @@ def pattern_hosts(spark, folder):
 def relative_paths(spark, folder):
     """Package paths that page links resolve to."""
     href = F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit("href=\"([^\"]+)\""), F.lit(1))))
-    rows = read(spark, folder, "pages").select("page_id", href.alias("href"))
+    rows = spread(read(spark, folder, "pages").select("page_id", "html"), "page_id").select("page_id", href.alias("href"))
     targets = F.array(F.col("href"), F.concat(F.lit("."), F.col("href")), F.concat(F.lit("../.."), F.col("href"), F.lit("/./x.js?v=1")),
                       F.concat(F.lit("a/../b"), F.col("href")), F.concat(F.lit("../../../up"), F.col("href")))
     every = rows.select("page_id", F.explode(targets).alias("target"))
@@ -226,7 +236,7 @@ def text_predicates(c: Corpus):
 @query("character_entropy")
 def character_entropy(spark, folder):
     """Shannon entropy of every document and conversation turn."""
-    docs = read(spark, folder, "documents").select(F.lit("documents").alias("source"), F.col("doc_id").alias("id"), F.lit(0).cast("bigint").alias("part"), "text")
+    docs = spread(read(spark, folder, "documents"), "doc_id").select(F.lit("documents").alias("source"), F.col("doc_id").alias("id"), F.lit(0).cast("bigint").alias("part"), "text")
     turns = read(spark, folder, "conversations").select(F.lit("conversations").alias("source"), F.col("conv_id").alias("id"), F.col("turn").alias("part"), "text")
     return docs.unionByName(turns).filter(F.length("text") > 0).select("source", "id", "part", F.round(entropy(F.col("text")), 6).alias("entropy"))
 
@@ -861,7 +871,7 @@ def id_checks(spark, folder):
 @query("request_limits")
 def request_limits(spark, folder):
     """Windows in which a client exceeds a request limit, on a compressed event clock."""
-    clock = (F.unix_micros(F.col("ts").cast("timestamp")) / 60_000_000)  # one minute of events per second
+    clock = (F.unix_micros(F.col("ts").cast("timestamp")) / 600_000_000)  # ten minutes of events per second
     requests = read(spark, folder, "events").select(
         F.timestamp_seconds(F.floor(clock)).alias("ts"), F.col("event_type").alias("client"))
     parts = [jobs.over_limit(requests, duration, limit).withColumn("duration", F.lit(duration)) for duration, limit in K.RATE_LIMITS]

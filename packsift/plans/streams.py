@@ -23,7 +23,7 @@ def run_request_limits(spark: SparkSession, folder: str) -> DataFrame:
     duration, limit = K.RATE_LIMITS[1]
     base = f"{shared_folder(spark)}/packsift/{uuid.uuid4().hex}"
     source, out = f"{base}/in", f"{base}/out"
-    clock = F.unix_micros(F.col("ts").cast("timestamp")) / 60_000_000
+    clock = F.unix_micros(F.col("ts").cast("timestamp")) / 600_000_000
     spark.read.parquet(f"{folder}/events.parquet").select(
         F.timestamp_seconds(F.floor(clock)).alias("ts"), F.col("event_type").alias("client")).write.parquet(f"{source}/part=0")
     spark.sql("select timestamp'2100-01-01' as ts, 'end' as client").write.parquet(f"{source}/part=1")

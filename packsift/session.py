@@ -10,9 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 SETTING = "spark.checkpoint.dir"
 
 
-def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
+_local_folders: dict[str, str] = {}
+
+
+def local_session(cores: str = "*", partitions: int = 8, shared: str | None = None) -> SparkSession:
     """A session for tests and the benchmark; clusters bring their own."""
-    return (
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("packsift")
         .config("spark.sql.shuffle.partitions", str(partitions))
@@ -21,8 +24,8 @@ def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
     )
+    return (builder.config(SETTING, shared) if shared else builder).getOrCreate()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,12 +34,13 @@ def shared_folder(spark: SparkSession) -> str:
     Only a local session without the setting (tests) gets a folder of its own. On a
     cluster a missing setting is an error: a machine-local folder is lost with its machine.
     """
-    folder = spark.conf.get(SETTING, None)
+    context = spark.sparkContext
+    folder = spark.conf.get(SETTING, None) or context.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise ValueError(f"set {SETTING} to a shared folder")
-        folder = tempfile.mkdtemp(prefix="packsift-")
-        spark.conf.set(SETTING, folder)
+        folder = _local_folders.setdefault(context.applicationId, "") or tempfile.mkdtemp(prefix="packsift-")
+        _local_folders[context.applicationId] = folder
     return folder.rstrip("/")
 
 

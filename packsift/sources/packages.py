@@ -12,6 +12,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.paths import resource_type
+
+__all__ = ["ENTRY_SCHEMA", "entries", "read_packages", "resource_type", "unpack", "with_package_key", "zip_offset"]
+
 ENTRY_SCHEMA = (
     "ext_id string, package_sha256 string, path string, content binary, reject string"
 )
@@ -41,7 +45,8 @@ def zip_offset(blob: bytes) -> int:
     return 0
 
 
-def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Entries of package blobs, or one row with the reason a package is refused."""
     columns = ["ext_id", "package_sha256", "path", "content", "reject"]
     for batch in batches:
         for ext_id, sha, blob in zip(batch["ext_id"], batch["package_sha256"], batch["content"]):
@@ -66,5 +71,5 @@ def _escapes(name: str) -> bool:
 
 def unpack(packages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(files, rejects). A package with a path outside its root is refused whole."""
-    rows = packages.mapInPandas(_entries, ENTRY_SCHEMA)
+    rows = packages.mapInPandas(entries, ENTRY_SCHEMA)
     return rows.filter("reject is null").drop("reject"), rows.filter("reject is not null").drop("content")
