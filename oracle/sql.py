@@ -233,11 +233,10 @@ SELECT *, least(size, {K.SOURCE_BUDGET} - before)::BIGINT AS taken FROM (
   SELECT *, (sum(size) OVER (PARTITION BY ext_id ORDER BY relevance DESC, path ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS before FROM (
     SELECT ext_id, path, role, ({_RELEVANCE})::BIGINT AS relevance, len(array_to_string(string_split(trim(code), chr(10))[1:{K.LINES_PER_FILE}], chr(10))) AS size
     FROM c_files f WHERE role <> 'library' AND code IS NOT NULL) WHERE size > 0) WHERE before < {K.SOURCE_BUDGET}"""
-SQL["evidence_bundle"] = f"""
-SELECT mf.ext_id, mf.name, coalesce(r.n, 0) AS n_findings, coalesce(e.n, 0) AS n_entities, coalesce(d.n, 0) AS n_domains, len(mf.api_perms) AS n_api_perms, r.first_detail
-FROM c_manifests mf LEFT JOIN (SELECT ext_id, count(*) AS n, arg_min(detail, rank) AS first_detail FROM ({_REVIEW}) GROUP BY ext_id) r ON r.ext_id = mf.ext_id
-LEFT JOIN (SELECT ext_id, count(*) AS n FROM ({SQL['entity_summary']}) GROUP BY ext_id) e ON e.ext_id = mf.ext_id
-LEFT JOIN (SELECT ext_id, count(DISTINCT (domain, category)) AS n FROM c_domainfindings GROUP BY ext_id) d ON d.ext_id = mf.ext_id"""
+SQL["evidence_lines"] = f"""
+SELECT ext_id, 'package' AS section, '0' AS seq, name AS fact FROM c_manifests UNION ALL SELECT ext_id, 'finding', rank::VARCHAR, detail FROM ({_REVIEW})
+UNION ALL SELECT ext_id, 'entity', entity, category FROM ({SQL['entity_summary']})
+UNION ALL SELECT DISTINCT ext_id, CASE WHEN category IN ('own', 'infrastructure') THEN 'own_domain' ELSE 'other_domain' END, domain, category FROM c_domainfindings"""
 SQL["report_documents"] = """
 SELECT v.ext_id, v.verdict, v.level, s.report_score, s.report_level, t.summary FROM c_verdict v JOIN c_reportscore s ON s.ext_id = v.ext_id JOIN c_sentence t ON t.ext_id = v.ext_id"""
 SQL["reason_translation"] = f"""

@@ -65,6 +65,12 @@ def snippet(line: Column, size: int = S.CONTEXT_CHARS) -> Column:
     return F.substring(F.trim(line), 1, size)
 
 
+def line_at(text: Column, position: Column) -> Column:
+    """Line number of a 1-based position, by counting the line feeds before it."""
+    before = F.substring(text, F.lit(1), position - 1)
+    return F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
+
+
 def trim_all(text: Column) -> Column:
     """Trim of every kind of white space at both ends."""
     return F.regexp_replace(text, r"^\s+|\s+$", "")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import signals as S
 from ..functions.paths import is_local, manifest_path, parent_of, resolve, suffixes
-from ..functions.text import all_hits, any_of, first_of, js
+from ..functions.text import all_hits, any_of, first_of, js, line_at
 from ..session import cut_lineage
 
 # --- fixed values: manifest slots and their roles; a later slot overrides an earlier one --
@@ -126,7 +126,7 @@ def injected_file_edges(files: DataFrame) -> DataFrame:
     blocks = F.regexp_extract_all(code, F.lit(js(S.INJECTED_FILES)), F.lit(0))
     parents = files.filter(code.contains("files")).select(
         "ext_id", "path", "code", F.explode(blocks).alias("block"))
-    line = F.size(F.split(F.substring(code, F.lit(1), F.instr(code, F.col("block")) - 1), "\n", -1))
+    line = line_at(code, F.instr(code, F.col("block")))
     inside = F.regexp_extract("block", r"\[([^\]]*)\]", 1)
     return (
         parents.select("ext_id", "path", line.alias("line"),
@@ -142,7 +142,7 @@ def html_edges(texts: DataFrame) -> DataFrame:
     """``<script src>`` edges of every HTML file; remote targets keep their URL."""
     tag = F.explode(F.regexp_extract_all("text", F.lit(js(S.HTML_SCRIPT)), F.lit(0)))
     src = F.regexp_extract("tag", js(S.HTML_SCRIPT), 1)
-    line = F.size(F.split(F.substring(F.col("text"), F.lit(1), F.instr("text", F.col("tag")) - 1), "\n", -1))
+    line = line_at(F.col("text"), F.instr("text", F.col("tag")))
     return (
         texts.filter(F.col("path").rlike(r"(?i)\.html?$"))
         .select("ext_id", "path", "text", tag.alias("tag"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import signals as S
 from ..functions.text import (
-    any_of, count_hits, decode_base64, entropy, is_minified, is_obfuscated, js, strip_comments, test,
+    any_of, count_hits, decode_base64, entropy, is_minified, is_obfuscated, js, line_at, strip_comments, test,
 )
 
 
@@ -58,7 +58,6 @@ def grep_signals(files: DataFrame) -> DataFrame:
     def one(label: str, severity: str, pattern: str, root: str | None) -> Column:
         hits = count_hits(raw, pattern)
         first = F.regexp_extract(raw, js(pattern), 0)
-        before = F.substring(raw, F.lit(1), F.instr(raw, first) - 1)
         title = F.concat(F.lit(f"[{severity.upper()}] {label}"),
                          F.when(hits > 1, F.concat(F.lit(" ("), hits.cast("string"), F.lit("x)"))).otherwise(F.lit("")))
         at = F.instr(raw, first)
@@ -69,7 +68,7 @@ def grep_signals(files: DataFrame) -> DataFrame:
             F.struct(
                 title.alias("label"), F.lit(label).alias("signal"), F.lit(severity).alias("severity"),
                 F.lit(root).cast("string").alias("root"), hits.cast("bigint").alias("hits"),
-                F.size(F.split(before, "\n", -1)).alias("line"),
+                line_at(raw, at).alias("line"),
                 F.substring(F.trim(F.regexp_replace(around, "\n", " ")), 1, 120).alias("snippet"),
             ),
         )

@@ -621,15 +621,13 @@ def source_budget(c: Corpus):
     return narrate.source_budget(c.files.join(code, ["ext_id", "path"]), c.findings)
 
 
-@audit_query("evidence_bundle")
-def evidence_bundle(c: Corpus):
-    """Size facts of the reviewer bundle of every package."""
+@audit_query("evidence_lines")
+def evidence_lines(c: Corpus):
+    """Reviewer evidence as JSON lines, checked by their key facts."""
     entities = domains.entity_summary(c.domain_findings, c.findings.filter(F.col("kind") == "sensitive_navigation"), c.manifests)
-    bundle = narrate.evidence_bundle(c.manifests, narrate.review_findings(c.findings), entities, c.domain_findings)
-    n = lambda path: F.coalesce(F.json_array_length(F.get_json_object("bundle", path)), F.lit(0))
-    return bundle.select("ext_id", F.get_json_object("bundle", "$.name").alias("name"), n("$.findings").alias("n_findings"),
-                         n("$.entities").alias("n_entities"), n("$.other_domains").alias("n_domains"),
-                         n("$.api_perms").alias("n_api_perms"), F.get_json_object("bundle", "$.findings[0].detail").alias("first_detail"))
+    lines = narrate.evidence_lines(c.manifests, narrate.review_findings(c.findings), entities, c.domain_findings)
+    fact = lambda path: F.get_json_object("line", path)
+    return lines.select("ext_id", "section", "seq", F.coalesce(fact("$.name"), fact("$.detail"), fact("$.category")).alias("fact"))
 
 
 @audit_query("report_documents")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import permissions as M
+from ..functions.text import line_at
 
 # Fields whose shape differs between manifest versions stay text and are read on use.
 MANIFEST_SCHEMA = """
@@ -133,5 +134,4 @@ def network_rules(manifests: DataFrame, texts: DataFrame) -> tuple[DataFrame, Da
 def line_of(text: Column, needle: Column) -> Column:
     """Number of the first line holding the needle, 1 when there is none."""
     at = F.instr(text, needle)
-    before = F.substring(text, F.lit(1), at - 1)
-    return F.when((at > 0) & (needle != ""), F.size(F.split(before, "\n", -1))).otherwise(F.lit(1))
+    return F.when((at > 0) & (needle != ""), line_at(text, at)).otherwise(F.lit(1))
