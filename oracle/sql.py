@@ -49,7 +49,7 @@ SELECT DISTINCT page_id, target, {resolve("'docs/en'", 'target')} AS resolved, {
     SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS href FROM pages))"""
 _ALL = sorted(r[0] for r in D.DOMAIN_ROWS)
 SQL["domain_categories"] = f"""
-SELECT DISTINCT page_id, domain, category, platform, {priority('category')} AS priority FROM ({classified(f'''(
+SELECT DISTINCT page_id, domain, category, platform, ({priority('category')})::BIGINT AS priority FROM ({classified(f'''(
   SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'Example Site Helper' ELSE 'Thth Reader' END AS name, CASE WHEN page_id % 3 = 0 THEN 'Amazonia Team' END AS author,
     unnest([host, pick, 'www.' || pick, 'x.' || pick, 'data' || page_id || '.gov.co', 'cdn.oxylabs.io', 'amazon.co.uk', 'app.run.app']) AS domain
   FROM (SELECT page_id, {host('url')} AS host, {qlist(_ALL)}[page_id % {len(_ALL)} + 1] AS pick FROM pages))''', 's.page_id, s.domain')})"""
@@ -62,7 +62,7 @@ SQL["resource_inventory"] = "SELECT * FROM c_inventory"
 SQL["content_hashes"] = """
 SELECT ext_id, path, sha256(text) AS sha256, regexp_replace(string_split(path || ' (1).zip', '/')[-1], '[^a-zA-Z0-9._-]', '_', 'g') AS safe_name FROM c_all"""
 SQL["nested_archives"] = "SELECT ext_id, path, size_bytes FROM c_inventory WHERE type = 'archive'"
-SQL["manifest_facts"] = "SELECT ext_id, version, name, ext_version, author, " + ", ".join(
+SQL["manifest_facts"] = "SELECT ext_id, version::BIGINT AS version, name, ext_version, author, " + ", ".join(
     f"array_to_string({c}, ', ') AS {c}" for c in ("api_perms", "host_perms", "optional_perms", "matches", "content_js", "content_css", "background", "sandbox", "overrides", "rule_files")
 ) + ", n_content_scripts::BIGINT AS n_content_scripts, auto_run, service_worker, popup, options, devtools, side_panel FROM c_manifests"
 SQL["manifest_rejects"] = "SELECT ext_id || '-cut' AS ext_id, 'manifest is not a JSON object' AS reject FROM c_mtext WHERE NOT json_valid(left(text, 100))"

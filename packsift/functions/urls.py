@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import domains as D
@@ -41,9 +41,8 @@ def _under(host: Column, names: list[str]) -> Column:
     return any_of((host == n) | host.endswith("." + n) for n in names)
 
 
-def url_class(url: Column) -> Column:
-    """struct(protocol, domain, category, reasons) of a URL."""
-    host, scheme = host_of(url), scheme_of(url)
+def _class_parts(url: Column, host: Column, scheme: Column) -> tuple[Column, Column]:
+    """(category, reasons) of a URL with known host and scheme."""
     insecure = scheme != "https"
     raw_ip = host.rlike(r"^(?:\d{1,3}\.){3}\d{1,3}$")
     local = host.isin("localhost", "127.0.0.1") | host.endswith(".local")
@@ -69,8 +68,18 @@ def url_class(url: Column) -> Column:
             ),
             lambda r: r.isNotNull(),
         ))
-    return F.struct(scheme.alias("protocol"), host.alias("domain"),
-                    category.alias("category"), reasons.alias("reasons"))
+    return category, reasons
+
+
+def with_url_class(rows: DataFrame, url: str) -> DataFrame:
+    """Add protocol, host, url_class and reasons of a URL column.
+
+    Host and scheme are columns of their own first, so their patterns run once per URL
+    however often the class refers to them.
+    """
+    split = rows.select("*", scheme_of(F.col(url)).alias("protocol"), host_of(F.col(url)).alias("host"))
+    category, reasons = _class_parts(F.col(url), F.col("host"), F.col("protocol"))
+    return split.select("*", category.alias("url_class"), reasons.alias("reasons"))
 
 
 def url_points(category: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import domains as D
 from ..catalog import signals as S
-from ..functions.urls import host_from_pattern, url_class
+from ..functions.urls import host_from_pattern, with_url_class
 from ..operators import categories, correlate, dataflow, domains, findings, graph, lexical, patterns, permissions, scoring, signals
 from ..session import cut_lineage
 from ..sources import inventory, manifests, packages
@@ -134,8 +134,7 @@ class Audit:
     @cached_property
     def urls(self) -> DataFrame:
         found = lexical.code_urls(self.scanned_lines)
-        return cut_lineage(found.withColumn("c", url_class(F.col("url"))).select(
-            *found.columns, F.col("c.category").alias("url_class"), F.col("c.domain").alias("host")))
+        return cut_lineage(with_url_class(found, "url").drop("protocol", "reasons"))
 
     @cached_property
     def domains_in_code(self) -> DataFrame:

@@ -189,14 +189,14 @@ class Corpus(Audit):
         slot = (F.col("doc_id") % FILES_PER_PACKAGE).cast("int")
         sample = (F.col("doc_id") % len(SNIPPETS)).cast("int")
         return docs.select(
-            F.concat(F.lit("ext-"), F.floor(F.col("doc_id") / FILES_PER_PACKAGE).cast("string")).alias("ext_id"),
+            F.concat(F.lit("ext-"), F.expr(f"doc_id div {FILES_PER_PACKAGE}").cast("string")).alias("ext_id"),
             F.get(string_array(PATHS), slot).alias("path"),
             F.concat(F.get(string_array(SNIPPETS), sample), F.col("text")).alias("raw"))
 
     @cached_property
     def packages(self) -> DataFrame:
         """(ext_id, ext_no): one row per package."""
-        number = F.floor(F.col("doc_id") / FILES_PER_PACKAGE)
+        number = F.expr(f"doc_id div {FILES_PER_PACKAGE}")
         return self.table("documents").select(number.alias("ext_no")).distinct().select(
             F.concat(F.lit("ext-"), F.col("ext_no").cast("string")).alias("ext_id"), "ext_no")
 

@@ -69,9 +69,8 @@ def audit_query(name: str):
 @query("url_risk_by_domain")
 def url_risk_by_domain(spark, folder):
     """Pages, class and risk points per host under its registrable domain, worst first."""
-    c = urls.url_class(F.col("url"))
     return (
-        read(spark, folder, "pages").select(c["domain"].alias("host"), c["category"].alias("url_class"))
+        urls.with_url_class(read(spark, folder, "pages").select("url"), "url")
         .groupBy(urls.registrable_domain(F.col("host")).alias("domain"), "host", "url_class")
         .agg(F.count("*").alias("n_pages"), F.sum(urls.url_points(F.col("url_class"))).alias("points"))
         .orderBy(F.desc("points"), "host", "url_class")
@@ -90,9 +89,7 @@ def url_classes(spark, folder):
         F.concat(F.lit("https://api"), F.col("page_id").cast("string"), F.lit(".mixpanel.com/track")), F.lit("<dynamic>"),
         F.concat(F.lit("not a url "), F.col("page_id").cast("string")))
     rows = pages.select("page_id", F.posexplode(variants).alias("variant", "address"))
-    c = urls.url_class(F.col("address"))
-    return rows.select("page_id", "variant", c["protocol"].alias("protocol"), c["domain"].alias("host"),
-                       c["category"].alias("url_class"), c["reasons"].alias("reasons"))
+    return urls.with_url_class(rows, "address").drop("address")
 
 
 @query("registrable_domains")
@@ -735,7 +732,7 @@ def detection_rate(spark, folder):
     c = corpus(spark, folder)
     n = F.col("doc_id")
     files = read(spark, folder, "labels").select(
-        "doc_id", "toxic", F.concat(F.lit("ext-"), F.floor(n / 20).cast("string")).alias("ext_id"))
+        "doc_id", "toxic", F.concat(F.lit("ext-"), F.expr("doc_id div 20").cast("string")).alias("ext_id"))
     joined = files.join(c.verdict.select("ext_id", "verdict"), "ext_id")
     return evaluate.detection_rates(joined, F.col("verdict") == "malicious", F.col("toxic") == 1)
 

@@ -36,7 +36,7 @@ def test_resolve(spark, target, expected):
 def test_url_classes(spark):
     rows = [("https://1.2.3.4/x",), ("http://a.example.com",), ("https://x.click/",), ("https://fonts.gstatic.com",), ("http://localhost:1/",),
             ("http://www.w3.org/2000/svg",), ("https://api.segment.io",), ("<dynamic>",), ("nonsense",), ("https://ok.example.com",)]
-    got = [r[0] for r in values(spark, rows, "u string", urls.url_class(F.col("u"))["category"])]
+    got = [r.url_class for r in urls.with_url_class(spark.createDataFrame(rows, "u string").coalesce(1), "u").collect()]
     assert got == ["raw_ip", "non_https", "suspicious_tld", "trusted", "localhost", "trusted", "analytics", "dynamic", "dynamic", "unknown"]
 
 
