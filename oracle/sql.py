@@ -231,7 +231,7 @@ _RELEVANCE = f"""
 SQL["source_budget"] = f"""
 SELECT *, least(size, {K.SOURCE_BUDGET} - before)::BIGINT AS taken FROM (
   SELECT *, (sum(size) OVER (PARTITION BY ext_id ORDER BY relevance DESC, path ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS before FROM (
-    SELECT ext_id, path, role, ({_RELEVANCE})::BIGINT AS relevance, len(array_to_string(string_split(trim(code), chr(10))[1:{K.LINES_PER_FILE}], chr(10))) AS size
+    SELECT ext_id, path, role, ({_RELEVANCE})::BIGINT AS relevance, len(array_to_string(string_split(regexp_replace(code, '^\\s+|\\s+$', '', 'g'), chr(10))[1:{K.LINES_PER_FILE}], chr(10))) AS size
     FROM c_files f WHERE role <> 'library' AND code IS NOT NULL) WHERE size > 0) WHERE before < {K.SOURCE_BUDGET}"""
 SQL["evidence_lines"] = f"""
 SELECT ext_id, 'package' AS section, '0' AS seq, name AS fact FROM c_manifests UNION ALL SELECT ext_id, 'finding', rank::VARCHAR, detail FROM ({_REVIEW})
@@ -288,7 +288,7 @@ _FILE = "source || '/' || lpad(doc_id::VARCHAR, 9, '0')"
 SQL["batch_numbers"] = f"SELECT file, position, position // 10 + 1 AS batch, position % 10 + 1 AS position_in_batch FROM (SELECT {_FILE} AS file, row_number() OVER (ORDER BY {_FILE}) - 1 AS position FROM documents)"
 SQL["sorted_page"] = f"SELECT {_FILE} AS file FROM documents ORDER BY 1 LIMIT 10 OFFSET 20"
 SQL["scored_order_lines"] = f"""
-SELECT key, round(w, 4) AS weighted, round(w, 1) AS score, {level('round(w, 1)', K.AUDIT_LEVELS)} AS level FROM (
+SELECT key, round(w, 4) AS weighted, round(w::DECIMAL(20, 6), 1)::DOUBLE AS score, {level('round(w::DECIMAL(20, 6), 1)', K.AUDIT_LEVELS)} AS level FROM (
   SELECT l_suppkey AS key, sum(l_quantity / 10 * ({band('l_discount * 10')})) AS w FROM lineitem GROUP BY l_suppkey)"""
 SQL["top_order_lines"] = """
 SELECT l_suppkey, rank, l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_extendedprice, n - 5 + greatest(5 - n, 0) AS omitted, round(total - shown, 2) AS omitted_total FROM (

@@ -837,7 +837,7 @@ CTES["c_verdicted"] = f"""SELECT *, CASE WHEN confidence >= {K.CONFIRM_AT} THEN
 CTES["c_confirmed"] = "SELECT * FROM c_verdicted WHERE verdict = 'confirmed'"
 CTES["c_score"] = f"""
 SELECT p.ext_id, coalesce(w.weighted, 0) AS weighted, coalesce(u.points, 0)::BIGINT AS url_points, coalesce(d.points, 0)::BIGINT AS domain_points,
-  round(coalesce(w.weighted, 0) + coalesce(u.points, 0) + coalesce(d.points, 0), 1) AS score FROM c_packages p
+  round((coalesce(w.weighted, 0) + coalesce(u.points, 0) + coalesce(d.points, 0))::DECIMAL(20, 6), 1)::DOUBLE AS score FROM c_packages p
 LEFT JOIN (SELECT ext_id, sum(impact * {band('confidence')}) AS weighted FROM c_findings GROUP BY ext_id) w ON w.ext_id = p.ext_id
 LEFT JOIN (SELECT ext_id, sum({url_points('url_class')}) AS points FROM c_urls GROUP BY ext_id) u ON u.ext_id = p.ext_id
 LEFT JOIN (SELECT ext_id, least({K.DOMAIN_CAP}, sum(CASE WHEN category = 'unknown' THEN 1 ELSE 2 END)) AS points FROM c_domainfindings GROUP BY ext_id) d ON d.ext_id = p.ext_id"""

@@ -10,7 +10,7 @@ from ..catalog import findings as K
 from ..catalog import patterns as P
 from ..catalog import permissions as M
 from ..catalog import signals as S
-from ..functions.text import any_of, test
+from ..functions.text import test
 
 FILE = ["ext_id", "path"]
 
@@ -100,22 +100,19 @@ def platform_counts(findings: DataFrame, signals: DataFrame, files: DataFrame) -
         findings.filter(F.col("kind") == "api_hook").select(*FILE)
         .unionByName(signals.filter(F.col("signal").isin(S.HOOK_SIGNALS)).select(*FILE)).distinct()
     )
-    traces = [F.bool_or(any_of(F.col("code").contains(t) for t in names)).alias(f"t{i}")
-              for i, names in enumerate(D.PLATFORM_TRACES.values())]
-    per_ext = files.select(*FILE, "code").join(hooked, FILE, "left_semi").groupBy("ext_id").agg(*traces)
-    total = F.lit(0)
-    for i in range(len(traces)):
-        total = total + F.col(f"t{i}").cast("int")
-    return per_ext.select("ext_id", total.alias("n_platforms"))
+    return (
+        files.select(*FILE, "platform_bits").join(hooked, FILE, "left_semi").groupBy("ext_id")
+        .agg(F.bit_count(F.bit_or("platform_bits")).alias("n_platforms"))
+    )
 
 
-def package_flags(manifests: DataFrame, findings: DataFrame, files: DataFrame, texts: DataFrame, urls: DataFrame,
+def package_flags(manifests: DataFrame, findings: DataFrame, files: DataFrame, urls: DataFrame,
                   signals: DataFrame, remote: DataFrame) -> DataFrame:
     """The wide flag row of every package; absent parts are false or zero."""
     obfuscation = files.groupBy("ext_id").agg(F.bool_or("is_obfuscated").alias("obfuscation"))
     remote_flag = remote.select("ext_id").distinct().withColumn("remote_script", F.lit(True))
     flags = manifest_flags(manifests)
-    for part in (code_flags(findings), url_flags(urls), platform_counts(findings, signals, texts), obfuscation, remote_flag):
+    for part in (code_flags(findings), url_flags(urls), platform_counts(findings, signals, files), obfuscation, remote_flag):
         flags = flags.join(part, "ext_id", "left")
     fill = {f.name: False for f in flags.schema if f.dataType.typeName() == "boolean"}
     fill |= {f.name: 0 for f in flags.schema if f.dataType.typeName() in ("integer", "long")}

@@ -156,7 +156,7 @@ def element_sources(assigned: DataFrame) -> DataFrame:
         assigned.filter(F.col("target").rlike(r"^[^.]+\.src$"))
         .withColumn("holder", F.substring_index("target", ".", 1))
         .join(holders, [*FILE, "holder"])
-        .select(*FILE, "role", "line", "stmt_no", "snippet", "tag", F.col("value").alias("expr"))
+        .select(*FILE, "line", "stmt_no", "snippet", "tag", F.col("value").alias("expr"))
     )
 
 
@@ -210,17 +210,17 @@ def fallback_domains(files: DataFrame, domains: DataFrame, contacts: DataFrame)
 def navigations(calls: DataFrame, assigned: DataFrame, constants: DataFrame) -> DataFrame:
     """Outbound navigations that carry page, product or affiliate context."""
     opened = calls.filter(F.col("callee").rlike(r"^(window\.)?open$")).select(
-        *FILE, "role", "line", "stmt_no", "snippet", argument_at(F.col("args"), F.lit(0)).alias("expr"))
+        *FILE, "line", "stmt_no", "snippet", argument_at(F.col("args"), F.lit(0)).alias("expr"))
     created = calls.filter(F.col("callee").rlike(r"^chrome\.(tabs|windows)\.create$")).select(
-        *FILE, "role", "line", "stmt_no", "snippet",
+        *FILE, "line", "stmt_no", "snippet",
         F.when(F.trim("args").startswith("{"),
                trim_all(F.regexp_extract("args", r"\burl[\"']?\s*:\s*([^,{}()]*)", 1)))
         .otherwise(argument_at(F.col("args"), F.lit(0))).alias("expr"))
     moved = assigned.filter(
         F.col("target").contains(".") & F.col("target").rlike(r"\.(href|location)$")
-    ).select(*FILE, "role", "line", "stmt_no", "snippet", F.col("value").alias("expr"))
+    ).select(*FILE, "line", "stmt_no", "snippet", F.col("value").alias("expr"))
     rows = opened.unionByName(created).unionByName(moved).filter(F.col("expr") != "")
-    key = ["role", "line", "stmt_no", "snippet"]
+    key = ["line", "stmt_no", "snippet"]
     found = (
         resolve_expressions(rows.distinct().withColumn("n", F.xxhash64("expr")), [*key, "n"], constants)
         .withColumn("domain", host_from_literal(F.col("resolved")))
@@ -230,7 +230,7 @@ def navigations(calls: DataFrame, assigned: DataFrame, constants: DataFrame) ->
     reason = F.concat_ws(", ", *[F.when(test(hay, pattern), F.lit(name)) for name, pattern in S.NAVIGATION_REASONS])
     return (
         found.withColumn("reason", reason).filter(F.col("reason") != "")
-        .groupBy(*FILE, "role", "line", "domain", "reason").agg(F.min("snippet").alias("snippet"))
+        .groupBy(*FILE, "line", "domain", "reason").agg(F.min("snippet").alias("snippet"))
         .withColumn("severity", F.when(F.col("reason").rlike("affiliate|domain|product|page"), "high").otherwise("medium"))
     )
 
@@ -318,16 +318,16 @@ def flows(calls: DataFrame, assigned: DataFrame, tainted: DataFrame) -> DataFram
     message, network = is_sink(callee, P.MESSAGE_SINKS), is_sink(callee, P.NETWORK_SINKS)
     channel = F.col("is_new") & callee.isin(P.CHANNEL_CONSTRUCTORS)
     sinks = calls.filter(message | network | channel).select(
-        *FILE, "role", "line", "stmt_no", "call_no", "snippet", "args",
+        *FILE, "line", "stmt_no", "call_no", "snippet", "args",
         F.when(message, F.concat(F.lit("extension message sink "), callee))
         .when(channel, F.concat(callee, F.lit(" constructor")))
         .otherwise(F.concat(F.lit("network sink "), callee)).alias("sink"),
         F.when(message, 0.78).when(channel, 0.88).otherwise(0.9).alias("confidence"))
     opens = xhr_opens(calls, assigned).select(
-        *FILE, "role", "line", "stmt_no", "call_no", "snippet", "args",
+        *FILE, "line", "stmt_no", "call_no", "snippet", "args",
         F.lit("XMLHttpRequest URL").alias("sink"), F.lit(0.84).alias("confidence"))
     every = sinks.unionByName(opens).withColumn("direct", direct_source(F.col("args")))
-    key = [*FILE, "role", "line", "stmt_no", "call_no", "snippet", "sink", "confidence"]
+    key = [*FILE, "line", "stmt_no", "call_no", "snippet", "sink", "confidence"]
     by_source = every.filter(F.col("direct").isNotNull()).select(*key, F.col("direct").alias("source"))
     by_variable = (
         every.filter(F.col("direct").isNull())
@@ -336,7 +336,7 @@ def flows(calls: DataFrame, assigned: DataFrame, tainted: DataFrame) -> DataFram
     )
     return (
         by_source.unionByName(by_variable)
-        .groupBy(*FILE, "role", "line", "sink", "source")
+        .groupBy(*FILE, "line", "sink", "source")
         .agg(F.min("snippet").alias("snippet"), F.max("confidence").alias("confidence"))
         .withColumn("detail", F.concat_ws(" -> ", "source", "sink"))
     )

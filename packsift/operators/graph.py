@@ -229,7 +229,17 @@ def promoted_files(files: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def promote(rows: DataFrame, promoted: DataFrame) -> DataFrame:
-    """Rows of promoted files become content scripts. Spark broadcasts the promoted list
-    while it is under the session's threshold and shuffles beyond it."""
+    """Rows of promoted files become content scripts."""
     marked = rows.join(promoted.withColumn("injected", F.lit(True)), ["ext_id", "path"], "left")
     return marked.withColumn("role", F.when(F.col("injected"), "content_script").otherwise(F.col("role"))).drop("injected")
+
+
+def without_libraries(scripts: DataFrame, roles: DataFrame) -> DataFrame:
+    """Script texts that are not libraries, without shuffling them.
+
+    A path that does not look like a library never is one, so only library-looking scripts
+    need their role, and of those only the few a manifest names otherwise stay.
+    """
+    looks = path_role(F.col("path")) == "library"
+    named = roles.filter(looks & (F.col("role") != "library")).select("ext_id", "path")
+    return scripts.filter(~looks).unionByName(scripts.filter(looks).join(named, ["ext_id", "path"], "left_semi"))

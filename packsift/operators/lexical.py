@@ -122,14 +122,6 @@ def literals(lines: DataFrame) -> DataFrame:
     )
 
 
-def callee_suffixes(calls: DataFrame) -> DataFrame:
-    """Calls with every dotted suffix of the callee, for equi joins with rule names."""
-    n = F.size(F.split("callee", r"\.", -1))
-    suffix = F.transform(F.sequence(F.lit(1), n),
-                         lambda k: F.call_function("substring_index", F.col("callee"), F.lit("."), -k))
-    return calls.withColumn("name", F.explode(suffix))
-
-
 def api_references(lines: DataFrame) -> DataFrame:
     """Distinct privileged API references per line with their permission root."""
     keep = [c for c in lines.columns if c != "text"]

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from ..catalog import patterns as P
 from ..catalog import signals as S
-from ..functions.text import first_of, first_word
+from ..functions.text import any_of, first_of, first_word
 from .dataflow import is_sink, remote_resources
-from .lexical import callee_suffixes, first_literal
+from .lexical import first_literal
 
-OUT = ["ext_id", "path", "role", "line", "snippet", "pattern", "category", "severity", "confidence"]
+OUT = ["ext_id", "path", "line", "snippet", "pattern", "category", "severity", "confidence"]
 
 
 def pattern_rules(spark, matcher: str) -> DataFrame:
@@ -26,21 +26,71 @@ def _out(rows: DataFrame, pattern: Column, confidence: Column) -> DataFrame:
     return rows.withColumn("pattern", pattern).withColumn("confidence", confidence).select(*OUT)
 
 
-def call_findings(calls: DataFrame) -> DataFrame:
-    """Calls whose callee ends in a rule name, with the literal the rule asks for."""
-    rules = F.broadcast(pattern_rules(calls.sparkSession, "call"))
-    literal = first_literal(F.col("args"))
-    plain = calls.filter(~F.col("is_new") & (F.substring_index("callee", ".", -1) != "addEventListener"))
-    hits = callee_suffixes(plain).join(rules, "name").withColumn("literal", literal).filter(
-        F.col("words").isNull() | F.exists("words", lambda w: F.contains(F.col("literal"), w)))
-    return _out(hits, F.col("callee"), F.when(F.col("callee") == "console.clear", 0.45).otherwise(0.8))
+# --- fixed values: constructor, pattern text, category, severity, confidence ---------------
+_CONSTRUCTORS = [
+    ("Function", "new Function", "injection", "critical", 0.95),
+    ("WebSocket", "WebSocket", "exfiltration", "high", 0.82),
+    ("EventSource", "EventSource", "exfiltration", "high", 0.82),
+    ("RTCPeerConnection", "new RTCPeerConnection", "privacy_risk", "high", 0.78),
+    ("Worker", "new Worker", "evasion", "medium", 0.65),
+    ("SharedWorker", "new SharedWorker", "evasion", "medium", 0.65),
+]
+_LISTENER = "addEventListener"
+
 
+def _last(name: str) -> str:
+    return name.rsplit(".", 1)[-1]
 
-def listener_findings(calls: DataFrame) -> DataFrame:
-    rules = F.broadcast(pattern_rules(calls.sparkSession, "listener"))
-    events = calls.filter(F.substring_index("callee", ".", -1) == "addEventListener").withColumn(
-        "name", first_literal(F.col("args")))
-    return _out(events.join(rules, "name"), F.col("name"), F.lit(0.8))
+
+def call_findings(calls: DataFrame) -> DataFrame:
+    """Everything a call site alone can show, in one pass over the calls: pattern rules by
+    callee suffix, listeners, sinks, constructors, string timers and credential selectors.
+
+    Most calls end in a name no rule knows; one membership test drops them before the
+    rules run.
+    """
+    callee, last, made = F.col("callee"), F.substring_index("callee", ".", -1), F.col("is_new")
+    rules = [row for row in P.PATTERN_ROWS if row[0] == "call"]
+    known = sorted({_last(name) for *_, name, _ in rules} | {_last(s) for s in P.NETWORK_SINKS + P.MESSAGE_SINKS}
+                   | {row[0] for row in _CONSTRUCTORS} | {_LISTENER, "setTimeout"})
+    rows = calls.filter(last.isin(known) | callee.rlike(P.CREDENTIAL_SELECTOR_CALLS)).withColumn(
+        "literal", first_literal(F.col("args")))
+    literal = F.col("literal")
+
+    def found(condition: Column, pattern: Column, category: str, severity: Column | str, confidence: float | Column) -> Column:
+        as_column = lambda v: v if isinstance(v, Column) else F.lit(v)
+        return F.when(condition, F.struct(
+            pattern.alias("pattern"), F.lit(category).alias("category"), as_column(severity).alias("severity"),
+            as_column(confidence).alias("confidence")))
+
+    def ends(name: str) -> Column:
+        return (callee == name) | callee.endswith("." + name)
+
+    hits = []
+    for _, category, severity, _, name, words in rules:
+        said = any_of(F.coalesce(F.contains(literal, F.lit(w)), F.lit(False)) for w in words) if words else F.lit(True)
+        weak = F.when(callee == "console.clear", 0.45).otherwise(0.8) if name == "console.clear" else 0.8
+        hits.append(found(~made & ends(name) & said, callee, category, severity, weak))
+    for _, category, severity, _, name, _ in (row for row in P.PATTERN_ROWS if row[0] == "listener"):
+        hits.append(found((last == _LISTENER) & (literal == name), F.lit(name), category, severity, 0.8))
+    for name, pattern, category, severity, confidence in _CONSTRUCTORS:
+        hits.append(found(made & (callee == name), F.lit(pattern), category, severity, confidence))
+    hits.append(found(callee.isin("setTimeout", "setInterval") & literal.isNotNull(),
+                      F.concat(callee, F.lit("(string)")), "injection", "high", 0.9))
+    word = first_word(literal, S.SELECTOR_WORDS)
+    hits.append(found(callee.rlike(P.CREDENTIAL_SELECTOR_CALLS) & word.isNotNull(), F.concat(F.lit("credential selector:"), word),
+                      "data_theft", F.when(word.isin(S.CRITICAL_SELECTOR_WORDS), "critical").otherwise("high"), 0.9))
+    hits += _sink_hits(callee, made, found)
+    return rows.select("ext_id", "path", "line", "snippet", F.explode(F.array_compact(F.array(*hits))).alias("h")).select(
+        "ext_id", "path", "line", "snippet", "h.*").select(*OUT)
+
+
+def _sink_hits(callee: Column, made: Column, found) -> list[Column]:
+    return [
+        found(~made & is_sink(callee, P.NETWORK_SINKS), callee, "exfiltration",
+              F.when(callee == "fetch", "medium").otherwise("high"), 0.75),
+        found(~made & is_sink(callee, P.MESSAGE_SINKS), callee, "exfiltration", "medium", 0.62),
+    ]
 
 
 def member_findings(members: DataFrame) -> DataFrame:
@@ -78,6 +128,7 @@ def assignment_findings(assigned: DataFrame) -> DataFrame:
 
 
 def sink_findings(calls: DataFrame) -> DataFrame:
+    """Network and messaging sinks only."""
     callee = F.col("callee")
     network, message = is_sink(callee, P.NETWORK_SINKS), is_sink(callee, P.MESSAGE_SINKS)
     rows = calls.filter(~F.col("is_new") & (network | message)).withColumn("category", F.lit("exfiltration"))
@@ -87,27 +138,6 @@ def sink_findings(calls: DataFrame) -> DataFrame:
     return as_network.unionByName(as_message)
 
 
-def constructor_findings(calls: DataFrame) -> DataFrame:
-    """Dynamic code, sockets, peer connections, workers, and timers given a string."""
-    callee = F.col("callee")
-    # --- fixed values: constructor, pattern text, category, severity, confidence ---------
-    table = [
-        ("Function", "new Function", "injection", "critical", 0.95),
-        ("WebSocket", "WebSocket", "exfiltration", "high", 0.82),
-        ("EventSource", "EventSource", "exfiltration", "high", 0.82),
-        ("RTCPeerConnection", "new RTCPeerConnection", "privacy_risk", "high", 0.78),
-        ("Worker", "new Worker", "evasion", "medium", 0.65),
-        ("SharedWorker", "new SharedWorker", "evasion", "medium", 0.65),
-    ]
-    pick = lambda i: F.coalesce(*[F.when(callee == row[0], F.lit(row[i])) for row in table])
-    made = calls.filter(F.col("is_new") & callee.isin([row[0] for row in table]))
-    made = _out(made.withColumn("category", pick(2)).withColumn("severity", pick(3)), pick(1), pick(4))
-    timers = calls.filter(callee.isin("setTimeout", "setInterval") & first_literal(F.col("args")).isNotNull())
-    timers = _out(timers.withColumn("category", F.lit("injection")).withColumn("severity", F.lit("high")),
-                  F.concat(callee, F.lit("(string)")), F.lit(0.9))
-    return made.unionByName(timers)
-
-
 def credential_literals(literals: DataFrame) -> DataFrame:
     """Literals that name a credential; the first word of the list decides."""
     rows = literals.withColumn("word", first_word(F.col("value"), S.LITERAL_WORDS)).filter(F.col("word").isNotNull())
@@ -116,20 +146,8 @@ def credential_literals(literals: DataFrame) -> DataFrame:
                 F.concat(shape, F.col("word")), F.lit(0.65))
 
 
-def credential_selectors(calls: DataFrame) -> DataFrame:
-    rows = (
-        calls.filter(F.col("callee").rlike(P.CREDENTIAL_SELECTOR_CALLS))
-        .withColumn("word", first_word(first_literal(F.col("args")), S.SELECTOR_WORDS))
-        .filter(F.col("word").isNotNull())
-    )
-    return _out(rows.withColumn("category", F.lit("data_theft")).withColumn(
-        "severity", F.when(F.col("word").isin(S.CRITICAL_SELECTOR_WORDS), "critical").otherwise("high")),
-        F.concat(F.lit("credential selector:"), F.col("word")), F.lit(0.9))
-
-
 def remote_element_findings(assigned: DataFrame, constants: DataFrame) -> DataFrame:
-    roles = assigned.select("ext_id", "path", "role").distinct()
-    rows = remote_resources(assigned, constants).join(roles, ["ext_id", "path"])
+    rows = remote_resources(assigned, constants)
     is_script = F.col("tag") == "script"
     return _out(
         rows.withColumn("snippet", F.lit(None).cast("string")).withColumn("category", F.lit("injection"))
@@ -158,10 +176,10 @@ def kind_of(pattern: Column, category: Column) -> Column:
 
 def all_pattern_findings(calls: DataFrame, members: DataFrame, assigned: DataFrame, literals: DataFrame,
                          constants: DataFrame) -> DataFrame:
+    """Findings of every matcher with their kinds; roles are joined by the caller."""
     parts = [
-        call_findings(calls), listener_findings(calls), member_findings(members), assignment_findings(assigned),
-        sink_findings(calls), constructor_findings(calls), credential_literals(literals),
-        credential_selectors(calls), remote_element_findings(assigned, constants),
+        call_findings(calls), member_findings(members), assignment_findings(assigned), credential_literals(literals),
+        remote_element_findings(assigned, constants),
     ]
     result = parts[0]
     for part in parts[1:]:

@@ -15,6 +15,12 @@ def band(confidence: Column) -> Column:
     return F.when(confidence >= K.BAND_FULL, confidence).when(confidence >= K.BAND_HALF, 0.5).otherwise(0.2)
 
 
+def one_decimal(total: Column) -> Column:
+    """Rounded half up to one decimal. The decimal step removes the noise of summing doubles
+    in any order, so ties round the same way on every run."""
+    return F.round(total.cast("decimal(20,6)"), 1).cast("double")
+
+
 def level(score: Column, steps: list[tuple[int, str]]) -> Column:
     return first_of([*[(score >= limit, name) for limit, name in steps], (F.lit(True), "low")])
 
@@ -38,7 +44,7 @@ def audit_score(packages: DataFrame, findings: DataFrame, urls: DataFrame, domai
         packages.join(weighted_impact(findings), "ext_id", "left").join(url_part, "ext_id", "left")
         .join(domain_part, "ext_id", "left").fillna(0, ["weighted", "url_points", "domain_points"])
     )
-    total = F.round(F.col("weighted") + F.col("url_points") + F.col("domain_points"), 1)
+    total = one_decimal(F.col("weighted") + F.col("url_points") + F.col("domain_points"))
     return scored.withColumn("score", total).withColumn("level", level(F.col("score"), K.AUDIT_LEVELS))
 
 

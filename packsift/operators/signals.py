@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..catalog import domains as D
+from ..catalog import findings as K
 from ..catalog import signals as S
 from ..functions.text import (
-    any_of, count_hits, decode_base64, entropy, is_minified, is_obfuscated, js, line_at, strip_comments, test,
+    any_of, count_hits, decode_base64, entropy, is_minified, is_obfuscated, js, line_at, strip_comments, test, trim_all,
 )
 
 
@@ -27,24 +29,32 @@ def usage_flags(code: Column) -> list[Column]:
 
 
 def describe_files(files: DataFrame, limit: int = S.LARGE_FILE_CHARS) -> DataFrame:
-    """Per-file record: cleaned code, flags, line count and the size route.
+    """Per-file record in one pass over the text: cleaned code, flags, line count, size
+    route, traces of social platforms and the characters a reader would be shown.
 
-    Library files carry no code. A large file is marked minified and skips the
-    statement-level work; ``is_obfuscated`` follows the decoder: suspicion alone is not
-    enough, at least one literal must decode.
+    A large file is marked minified and skips the statement-level work; ``is_obfuscated``
+    follows the decoder: suspicion alone is not enough, one literal must decode. Raw text is
+    kept only where the text-only path needs it.
     """
-    raw = F.col("raw")
-    tested = files.select(
-        "ext_id", "path", "role", "raw", (F.col("role") == "library").alias("is_library"),
-        (F.length(raw) > limit).alias("is_large"), is_minified(raw).alias("minified"),
-        is_obfuscated(raw).alias("indicated"))
-    library, large = F.col("is_library"), F.col("is_large")
-    return tested.select(
-        "ext_id", "path", "role", "raw", (large & ~library).alias("skipped_syntax"),
-        (~library & ~large & (F.col("indicated") | F.col("minified")) & has_decodable(raw)).alias("is_obfuscated"),
-        (~library & (large | F.col("minified"))).alias("is_minified"),
-        F.when(library, 0).otherwise(F.size(F.split(raw, "\n"))).alias("line_count"),
-        strip_comments(F.when(~library, raw)).alias("code"))
+    raw, code = F.col("raw"), F.col("code")
+    tested = files.select("ext_id", "path", "raw", (F.length(raw) > limit).alias("skipped_syntax"),
+                          is_minified(raw).alias("minified"), is_obfuscated(raw).alias("indicated"))
+    cleaned = tested.select(
+        "ext_id", "path", "skipped_syntax", F.when(F.col("skipped_syntax"), raw).alias("raw"),
+        (~F.col("skipped_syntax") & (F.col("indicated") | F.col("minified")) & has_decodable(raw)).alias("is_obfuscated"),
+        (F.col("skipped_syntax") | F.col("minified")).alias("is_minified"),
+        F.size(F.split(raw, "\n")).alias("line_count"), strip_comments(raw).alias("code"))
+    shown = F.array_join(F.slice(F.split(trim_all(code), "\n"), 1, K.LINES_PER_FILE), "\n")
+    return cleaned.select("*", *usage_flags(code), platform_bits(code).alias("platform_bits"),
+                          F.length(shown).cast("bigint").alias("shown_chars"))
+
+
+def platform_bits(code: Column) -> Column:
+    """One bit per social platform traced in the code."""
+    bits = F.lit(0)
+    for i, traces in enumerate(D.PLATFORM_TRACES.values()):
+        bits = bits + F.when(any_of(code.contains(t) for t in traces), 1 << i).otherwise(0)
+    return bits
 
 
 def grep_signals(files: DataFrame) -> DataFrame:
@@ -75,9 +85,9 @@ def grep_signals(files: DataFrame) -> DataFrame:
 
     found = F.array(*[one(*row) for row in S.GREP_SIGNALS])
     return files.select(
-        "ext_id", "path", "role",
+        "ext_id", "path",
         F.explode(F.filter(found, lambda s: s.isNotNull())).alias("s"),
-    ).select("ext_id", "path", "role", "s.*")
+    ).select("ext_id", "path", "s.*")
 
 
 # --- encoded literals -----------------------------------------------------------------

@@ -55,20 +55,19 @@ class Audit:
 
     # --- scripts --------------------------------------------------------------------
     @cached_property
-    def roled(self) -> DataFrame:
-        return graph.file_roles(self.scripts, self.manifests, self.extra_files)
+    def base_roles(self) -> DataFrame:
+        """(ext_id, path, role) before run-time promotion."""
+        return cut_lineage(graph.file_roles(self.scripts.select("ext_id", "path"), self.manifests, self.extra_files))
 
     @cached_property
     def described(self) -> DataFrame:
-        """Files with cleaned code and flags, roles before promotion. Raw text is kept only
-        where the text-only path needs it."""
-        records = signals.describe_files(self.roled, self.large_file)
-        return cut_lineage(records.withColumn("raw", F.when(F.col("skipped_syntax"), F.col("raw"))).select(
-            "*", *signals.usage_flags(F.coalesce("code", F.lit("")))))
+        """Cleaned code and flags of every script but libraries. This is the only pass over
+        raw text; nothing shuffles it, and roles are joined to narrow results later."""
+        return cut_lineage(signals.describe_files(graph.without_libraries(self.scripts, self.base_roles), self.large_file))
 
     @cached_property
     def edges(self) -> DataFrame:
-        small = self.described.filter(~F.col("skipped_syntax") & F.col("code").isNotNull()).select("ext_id", "path", "code")
+        small = self.described.filter(~F.col("skipped_syntax")).select("ext_id", "path", "code")
         return cut_lineage(graph.dependency_edges(
             self.manifests, self.extra_files, lexical.code_lines(small), small))
 
@@ -80,32 +79,33 @@ class Audit:
     def orphans(self) -> DataFrame:
         return graph.orphans(self.files.select("ext_id", "path", "role"), self.reached)
 
-    @cached_property
-    def promoted(self) -> DataFrame:
-        return cut_lineage(graph.promoted_files(self.described.select("ext_id", "path", "role"), self.edges))
-
     @cached_property
     def files(self) -> DataFrame:
-        """Narrow file facts with final roles; no text."""
-        return cut_lineage(graph.promote(self.described.drop("raw", "code"), self.promoted))
+        """Narrow facts of every script with final roles; no text. Libraries have no flags."""
+        facts = self.described.drop("raw", "code")
+        rows = self.base_roles.join(facts, ["ext_id", "path"], "left")
+        flags = [f.name for f in facts.schema if f.dataType.typeName() == "boolean"]
+        filled = rows.fillna(False, flags).fillna(0, ["line_count", "platform_bits", "shown_chars"])
+        return cut_lineage(graph.promote(filled, graph.promoted_files(self.base_roles, self.edges)))
+
+    def with_role(self, rows: DataFrame) -> DataFrame:
+        """Narrow rows (ext_id, path, ...) with the role of their file."""
+        return rows.join(self.files.select("ext_id", "path", "role"), ["ext_id", "path"])
 
     @cached_property
     def texts(self) -> DataFrame:
-        """(ext_id, path, role, skipped_syntax, raw, code) with final roles, libraries left out."""
-        wanted = self.described.filter(F.col("code").isNotNull()).select(
-            "ext_id", "path", "role", "skipped_syntax", "raw", "code")
-        return graph.promote(wanted, self.promoted)
+        """(ext_id, path, code) of every script but libraries."""
+        return self.described.select("ext_id", "path", "code")
 
     @cached_property
     def lines(self) -> DataFrame:
         """Cleaned lines of the scripts under full analysis."""
-        return lexical.code_lines(self.texts.filter(~F.col("skipped_syntax")).select("ext_id", "path", "role", "code"))
+        return lexical.code_lines(self.described.filter(~F.col("skipped_syntax")).select("ext_id", "path", "code"))
 
     @cached_property
     def scanned_lines(self) -> DataFrame:
-        """Lines for URLs, domains and API references: cleaned code of every script but
-        libraries, large files included."""
-        return lexical.code_lines(self.texts.select("ext_id", "path", "role", "code"))
+        """Lines for URLs, domains and API references: large files included."""
+        return lexical.code_lines(self.texts)
 
     @cached_property
     def statements(self) -> DataFrame:
@@ -129,7 +129,7 @@ class Audit:
 
     @cached_property
     def api_refs(self) -> DataFrame:
-        return cut_lineage(lexical.api_references(self.scanned_lines))
+        return cut_lineage(self.with_role(lexical.api_references(self.scanned_lines)))
 
     @cached_property
     def urls(self) -> DataFrame:
@@ -142,7 +142,7 @@ class Audit:
 
     @cached_property
     def large_signals(self) -> DataFrame:
-        return cut_lineage(signals.grep_signals(self.texts.filter("skipped_syntax").select("ext_id", "path", "role", "raw")))
+        return cut_lineage(self.with_role(signals.grep_signals(self.described.filter("skipped_syntax").select("ext_id", "path", "raw"))))
 
     @cached_property
     def constants(self) -> DataFrame:
@@ -158,7 +158,7 @@ class Audit:
 
     @cached_property
     def navigations(self) -> DataFrame:
-        return cut_lineage(dataflow.navigations(self.calls, self.assigned, self.constants))
+        return cut_lineage(self.with_role(dataflow.navigations(self.calls, self.assigned, self.constants)))
 
     @cached_property
     def tainted(self) -> DataFrame:
@@ -166,11 +166,12 @@ class Audit:
 
     @cached_property
     def flows(self) -> DataFrame:
-        return cut_lineage(dataflow.flows(self.calls, self.assigned, self.tainted))
+        return cut_lineage(self.with_role(dataflow.flows(self.calls, self.assigned, self.tainted)))
 
     @cached_property
     def pattern_findings(self) -> DataFrame:
-        return cut_lineage(patterns.all_pattern_findings(self.calls, self.members, self.assigned, self.literals, self.constants))
+        return cut_lineage(self.with_role(patterns.all_pattern_findings(
+            self.calls, self.members, self.assigned, self.literals, self.constants)))
 
     # --- permissions and manifest structures ---------------------------------------------
     @cached_property
@@ -264,7 +265,7 @@ class Audit:
     def correlation_flags(self) -> DataFrame:
         before = self.base_findings.filter(F.col("stage") < 15)
         return cut_lineage(correlate.package_flags(
-            self.manifests, before, self.files, self.texts, self.urls, self.large_signals, self.remote_scripts))
+            self.manifests, before, self.files, self.urls, self.large_signals, self.remote_scripts))
 
     @cached_property
     def correlations(self) -> DataFrame:

@@ -212,14 +212,14 @@ def locale_messages(c: Corpus):
 @audit_query("file_roles")
 def file_roles(c: Corpus):
     """Role of every script, with and without run-time promotion."""
-    before = c.described.select("ext_id", "path", F.col("role").alias("base_role"))
+    before = c.base_roles.withColumnRenamed("role", "base_role")
     return c.files.select("ext_id", "path", "role").join(before, ["ext_id", "path"])
 
 
 @audit_query("file_flags")
 def file_flags(c: Corpus):
     """Usage, obfuscation and size flags per script."""
-    return c.files.drop("role")
+    return c.files.drop("role", "platform_bits", "shown_chars")
 
 
 @audit_query("text_predicates")
@@ -275,7 +275,7 @@ def api_references(c: Corpus):
 @audit_query("text_signals")
 def text_signals(c: Corpus):
     """Raw-text signals of every script."""
-    return signals.grep_signals(c.scripts.withColumn("role", F.lit("any"))).drop("role")
+    return signals.grep_signals(c.scripts)
 
 
 @audit_query("large_file_signals")
@@ -291,7 +291,7 @@ def decoded_literals(c: Corpus):
 
 @audit_query("call_sites")
 def call_sites(c: Corpus):
-    return c.calls.drop("role", "snippet")
+    return c.calls.drop("snippet")
 
 
 @audit_query("member_sites")
@@ -408,7 +408,7 @@ def pattern_findings(c: Corpus):
 
 @audit_query("sink_calls")
 def sink_calls(c: Corpus):
-    return patterns.sink_findings(c.calls).drop("role", "snippet")
+    return patterns.sink_findings(c.calls).drop("snippet")
 
 
 @audit_query("native_api_hooks")
@@ -419,8 +419,8 @@ def native_api_hooks(c: Corpus):
 @audit_query("credential_words")
 def credential_words(c: Corpus):
     """Credential words in literals and selectors."""
-    both = patterns.credential_literals(c.literals).unionByName(patterns.credential_selectors(c.calls))
-    return both.groupBy("ext_id", "path", "line", "pattern", "severity").agg(F.count("*").alias("n"))
+    words = c.pattern_findings.filter(F.col("pattern").startswith("credential "))
+    return words.groupBy("ext_id", "path", "line", "pattern", "severity").agg(F.count("*").alias("n"))
 
 
 @audit_query("string_constants")
@@ -481,7 +481,7 @@ def correlation_flags(c: Corpus):
 
 @audit_query("platform_traces")
 def platform_traces(c: Corpus):
-    return correlate.platform_counts(c.base_findings, c.large_signals, c.texts)
+    return correlate.platform_counts(c.base_findings, c.large_signals, c.files)
 
 
 @audit_query("sink_files")
@@ -614,8 +614,7 @@ def review_findings(c: Corpus):
 @audit_query("source_budget")
 def source_budget(c: Corpus):
     """Characters of each file shown within the budget."""
-    code = c.texts.select("ext_id", "path", "code")
-    return narrate.source_budget(c.files.join(code, ["ext_id", "path"]), c.findings)
+    return narrate.source_budget(c.files, c.findings)
 
 
 @audit_query("evidence_lines")
@@ -756,7 +755,7 @@ def scored_order_lines(spark, folder):
     """Weighted impact, level, share and top parts per supplier over order lines."""
     lines = read(spark, folder, "lineitem").select(
         F.col("l_suppkey").alias("key"), (F.col("l_quantity") / 10).alias("impact"), (F.col("l_discount") * 10).alias("confidence"))
-    return scoring.weighted_impact(lines, "key").withColumn("score", F.round("weighted", 1)).withColumn(
+    return scoring.weighted_impact(lines, "key").withColumn("score", scoring.one_decimal(F.col("weighted"))).withColumn(
         "level", scoring.level(F.col("score"), K.AUDIT_LEVELS)).withColumn("weighted", F.round("weighted", 4))
 
 
