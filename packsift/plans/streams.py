@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import findings as K
-from ..session import shared_folder
+from ..session import staged_path
 from ..streaming.jobs import over_limit
 
-EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
-
 
 def run_request_limits(spark: SparkSession, folder: str) -> DataFrame:
     """Stream the event file through the 60-second limit into Parquet and read it back.
@@ -21,7 +17,7 @@ def run_request_limits(spark: SparkSession, folder: str) -> DataFrame:
     so every window is final when the stream ends.
     """
     duration, limit = K.RATE_LIMITS[1]
-    base = f"{shared_folder(spark)}/packsift/{uuid.uuid4().hex}"
+    base = staged_path(spark)
     source, out = f"{base}/in", f"{base}/out"
     clock = F.unix_micros(F.col("ts").cast("timestamp")) / 600_000_000
     spark.read.parquet(f"{folder}/events.parquet").select(

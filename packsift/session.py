@@ -44,12 +44,27 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def _staged_root(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/packsift/{spark.sparkContext.applicationId}"
+
+
+def staged_path(spark: SparkSession) -> str:
+    """A fresh path for one staged table of this application."""
+    return f"{_staged_root(spark)}/{uuid.uuid4().hex}"
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Delete the staged tables of this application, at the end of a job."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_staged_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back.
 
     Later stages start from files: a lost executor replays one stage at most, plans stay
     small, column pruning still works, and the planner knows the size of the table.
     """
-    path = f"{shared_folder(df.sparkSession)}/packsift/{uuid.uuid4().hex}"
+    path = staged_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

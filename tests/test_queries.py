@@ -1,10 +1,10 @@
 """Registered queries against DuckDB on the smallest tables. All of them run with
-``python -m oracle.compare FOLDER``."""
+``python -m packsift_oracle.compare FOLDER``."""
 
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
-from oracle.compare import compare, connect
+from packsift_oracle.compare import compare, connect
 
 FOLDER = "/root/testdata/sf0.001"
 CHECKED = [
