@@ -28,3 +28,67 @@ def op1_sharding(spark, folder):
     out = balanced_shards(table(spark, folder, "documents"), 24)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
                       F.lit(None).cast("int").alias("grown_shard"), "copies")
+
+
+@query
+def op6_ngram_jaccard(spark, folder):
+    """Components of documents whose sets of four-word shingles are similar to 85 %."""
+    from .jaccard import similar_groups
+    return similar_groups(table(spark, folder, "documents"), 4, 85)
+
+
+@query
+def op8_decontamination(spark, folder):
+    """Words of each document inside ten-word windows of test items."""
+    from .decontaminate import contamination
+    return contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"), 10).drop("n_near")
+
+
+SQL["op8_decontamination"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+     i AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
+     iw AS (SELECT DISTINCT item_id, least(10, len(w)) AS k, array_to_string(w[o:o + least(10, len(w)) - 1], ' ') AS phrase
+            FROM (SELECT item_id, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS o FROM i WHERE len(w) > 0)),
+     lens AS (SELECT DISTINCT k FROM iw),
+     g AS (SELECT doc_id, k, p, array_to_string(w[p:p + k - 1], ' ') AS phrase
+           FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, lens WHERE len(w) >= k)),
+     m AS (SELECT doc_id, item_id, p, k FROM g JOIN iw USING (k, phrase)),
+     h AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + k)) AS pos FROM m) GROUP BY doc_id),
+     l AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+           FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM m) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN l USING (doc_id)
+"""
+
+
+@query
+def op3_line_dedup(spark, folder):
+    """Documents without later copies of line runs of fifty words or more."""
+    from .linededup import deduplicated
+    return deduplicated(table(spark, folder, "documents"), 50).select("doc_id", "n_lines", "n_deleted", "text")
+
+
+SQL["op3_line_dedup"] = r"""
+WITH t AS (SELECT doc_id, text, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x09-\x0D\x20]')) AS l FROM documents),
+     s AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS s, unnest(l) AS line FROM t),
+     c AS (SELECT doc_id, s, line, sum(len(regexp_extract_all(line, '[^\x09-\x0D\x20]+'))) OVER (PARTITION BY doc_id ORDER BY s) AS upto,
+                  len(regexp_extract_all(line, '[^\x09-\x0D\x20]+')) AS w FROM s),
+     p AS (SELECT a.doc_id, a.s AS s, b.s AS e FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.s >= a.s AND b.s < a.s + 50
+           WHERE b.upto - a.upto + a.w >= 50),
+     r AS (SELECT doc_id, s, min(e) AS e FROM p GROUP BY doc_id, s UNION SELECT doc_id, max(s) AS s, e FROM p GROUP BY doc_id, e),
+     k AS (SELECT r.doc_id, r.s, r.e, array_to_string(l[r.s:r.e], chr(10)) AS run FROM r JOIN t USING (doc_id)),
+     f AS (SELECT *, min({'d': doc_id, 's': s}) OVER (PARTITION BY run) AS first FROM k),
+     g AS (SELECT DISTINCT doc_id, unnest(range(s, e + 1)) AS s FROM f WHERE {'d': doc_id, 's': s} > first),
+     x AS (SELECT doc_id, list(s) AS gone FROM g GROUP BY doc_id),
+     n AS (SELECT doc_id, list({'k': k, 'line': line} ORDER BY k) AS kept FROM
+             (SELECT t.doc_id, q.k, q.line, sum(CASE WHEN regexp_matches(q.line, '[^\x09-\x0D\x20]') THEN 1 ELSE 0 END) OVER (PARTITION BY t.doc_id ORDER BY q.k) AS s,
+                     regexp_matches(q.line, '[^\x09-\x0D\x20]') AS spoken
+              FROM t, LATERAL (SELECT unnest(range(1, len(string_split(t.text, chr(10))) + 1)) AS k, unnest(string_split(t.text, chr(10))) AS line) q) z
+           LEFT JOIN x USING (doc_id) WHERE gone IS NULL OR NOT spoken OR NOT list_contains(gone, z.s) GROUP BY doc_id)
+SELECT t.doc_id, CAST(coalesce(len(string_split(text, chr(10))), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_deleted,
+       CASE WHEN gone IS NULL THEN text ELSE coalesce(array_to_string(list_transform(kept, lambda v: v.line), chr(10)), '') END AS text
+FROM t LEFT JOIN x USING (doc_id) LEFT JOIN n USING (doc_id)
+"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -83,6 +85,17 @@ def buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[at[0]:at[-1]], at - at[0]
 
 
+def chunks(batches: Iterator[pa.RecordBatch], column: str, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that each holds a few MB of text, or one long text."""
+    for batch in batches:
+        _, at = buffer(batch[column])
+        first = 0
+        while first < batch.num_rows:
+            last = max(first + 1, int(np.searchsorted(at, at[first] + size, "right")) - 1)
+            yield batch.slice(first, last - first)
+            first = last
+
+
 def words(data: np.ndarray, at: np.ndarray, inside: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Start, end, hash and row bounds of all words of a text buffer.
 
