@@ -92,3 +92,13 @@ SELECT t.doc_id, CAST(coalesce(len(string_split(text, chr(10))), 0) AS BIGINT) A
        CASE WHEN gone IS NULL THEN text ELSE coalesce(array_to_string(list_transform(kept, lambda v: v.line), chr(10)), '') END AS text
 FROM t LEFT JOIN x USING (doc_id) LEFT JOIN n USING (doc_id)
 """
+
+
+@query
+def op2_toxicity(spark, folder):
+    """Toxicity scores of all documents by a network that has never seen the held-out quarter of the labels."""
+    from . import toxicity
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, folder, "labels"))
+    return toxicity.scored(docs, model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
+                                               (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
