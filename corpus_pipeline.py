@@ -1,8 +1,67 @@
-"""A training-data pipeline over ``documents``."""
+"""A training-data pipeline over ``documents``.
 
-STAGES = []
+Stages, in order, each on all that the one before kept:
+
+1. ``toxicity``: documents that the network scores at the threshold or above go.
+2. ``line_dedup``: later copies of line runs of fifty words or more are cut out of the texts; a document of which nothing
+   is left goes.
+3. ``ngram_jaccard``: of each component of similar documents (five-word shingles, 0.8) the one with the smallest id stays.
+   Documents without words are similar to none and stay.
+4. ``decontamination``: documents that hold a ten-word window of a test item go.
+5. ``sentencepiece``: token ids of what is left, with a check that they decode to the text.
+
+Each stage returns the columns of ``documents`` (``n_chars`` follows the text), the last one those of the encoding. Null
+texts pass every stage as texts without words.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from packsift.llm import decontaminate, jaccard, linededup, pieces, toxicity
+from packsift.llm.queries import PIECES
+from packsift.session import cut_lineage
+
+
+def toxic_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.scored(docs, model).filter(F.col("score") < toxicity.THRESHOLD).select(*docs.columns)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    cut = linededup.deduplicated(docs, 50)
+    left = F.col("n_deleted") == 0
+    cut = cut.filter(left | F.col("text").rlike(linededup.HAS_WORD))
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.when(left, F.col("n_chars")).otherwise(F.char_length("text")))
+    return cut.select(*docs.columns)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    groups = jaccard.similar_groups(docs, 5, 80)
+    gone = cut_lineage(groups.filter("component_id <> doc_id").select("doc_id").distinct())
+    # equal ids are one document: a second row of the id goes with its copy
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def leak_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), 10)
+    gone = cut_lineage(found.filter("contaminated").select("doc_id").distinct())
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def piece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pieces.encoded(docs.select("doc_id", "text"), PIECES).select("doc_id", "n_tokens", "ids", "exact")
+
+
+STAGES = [("toxicity", toxic_stage), ("line_dedup", line_stage), ("ngram_jaccard", near_stage), ("decontamination", leak_stage), ("sentencepiece", piece_stage)]
+#: The network and the encoder have no SQL form; the tests compare each stage with a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = cut_lineage(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -102,3 +102,73 @@ def op2_toxicity(spark, folder):
     model = toxicity.fit(docs, table(spark, folder, "labels"))
     return toxicity.scored(docs, model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
                                                (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+#: Vocabulary of the SentencePiece queries.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@query
+def op10_sentencepiece(spark, folder):
+    """Ids of all documents, and whether they decode to the text."""
+    from .pieces import encoded
+    return encoded(table(spark, folder, "documents").select("doc_id", "text"), PIECES).select("doc_id", "n_tokens", "ids", "exact")
+
+
+@query
+def op9_url_filter(spark, folder):
+    """Verdicts on page URLs by rules and by a weighted vocabulary."""
+    from .urlfilter import judged
+    return judged(table(spark, folder, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def _url_sql() -> str:
+    from .urlfilter import SOFT, SOFT_LIMIT, STRICT
+    found = "regexp_matches(lower(coalesce(url, '')), '(^|[^\\p{{L}}\\p{{N}}])({0})([^\\p{{L}}\\p{{N}}]|$)')".format
+    soft = " + ".join(f"{w} * CAST({found(t)} AS INT)" for t, w in SOFT.items())
+    return f"""
+WITH u AS (SELECT page_id, url, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '') AS h,
+                  coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+     t AS (SELECT *, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host FROM u),
+     r AS (SELECT * FROM (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'),
+                                 ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')) r(site, start, said)),
+     b AS (SELECT page_id, url, max_by(site || start, length(site || start)) AS rule, max_by(said, length(site || start)) AS said
+           FROM t JOIN r ON (host = site OR ends_with(host, '.' || site)) AND starts_with(path, start) GROUP BY page_id, url)
+SELECT t.page_id, host, path, rule, coalesce(said, CASE WHEN {found("|".join(STRICT))} OR {soft} >= {SOFT_LIMIT} THEN 'block' ELSE 'allow' END) AS verdict
+FROM (SELECT t.*, b.rule, b.said FROM t LEFT JOIN b ON t.page_id = b.page_id AND t.url = b.url) t
+"""
+
+
+SQL["op9_url_filter"] = _url_sql()
+
+
+@query
+def op4_media_columns(spark, folder):
+    """Texts stored as transport streams, read back and checked."""
+    from .transport import roundtrip
+    return roundtrip(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query
+def op5_warc(spark, folder):
+    """Pages written as WARC archives with revisit records, and read back by byte ranges."""
+    from .warc import page_records, read_warc, write_warc
+    return page_records(read_warc(write_warc(table(spark, folder, "pages"))))
+
+
+SQL["op5_warc"] = """
+WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n, sha256(coalesce(html, '')) AS digest FROM pages),
+     f AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS first FROM p)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+       CASE WHEN n >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND page_id > first THEN first END AS refers_to
+FROM f
+"""
+
+
+@query
+def op7_secret_scan(spark, folder):
+    """Secrets of all documents: base spans, and candidates that fit the inferred formats."""
+    from .secret_scan import infer, scan
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return scan(docs, infer(docs))
