@@ -21,28 +21,34 @@ from pyspark.sql import functions as F
 
 from packsift.llm import decontaminate, jaccard, linededup, pieces, toxicity
 from packsift.llm.queries import PIECES
+from packsift.llm.shared import packed, unpacked
 from packsift.session import cut_lineage
 
 
 def toxic_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.scored(docs, model).filter(F.col("score") < toxicity.THRESHOLD).select(*docs.columns)
+    rows = packed(docs, "doc_id", "text")
+    model = toxicity.fit(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    kept = toxicity.scored(rows, model).filter(F.col("score") < toxicity.THRESHOLD)
+    return unpacked(kept, docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = linededup.deduplicated(docs, 50)
-    left = F.col("n_deleted") == 0
-    cut = cut.filter(left | F.col("text").rlike(linededup.HAS_WORD))
-    if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(left, F.col("n_chars")).otherwise(F.char_length("text")))
-    return cut.select(*docs.columns)
+    cut = linededup.deduplicated(packed(docs, "doc_id", "text"), 50)
+    cut = cut.filter((F.col("n_deleted") == 0) | F.col("text").rlike(linededup.HAS_WORD))
+    size = F.when(F.col("n_deleted") == 0, F.col("rest.n_chars")).otherwise(F.char_length("text")) if "n_chars" in docs.columns else None
+    return unpacked(cut, docs.columns, **({} if size is None else {"n_chars": size}))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = jaccard.similar_groups(docs, 5, 80)
+    groups = cut_lineage(jaccard.similar_groups(docs, 5, 80))
     gone = cut_lineage(groups.filter("component_id <> doc_id").select("doc_id").distinct())
-    # equal ids are one document: a second row of the id goes with its copy
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    # rows that repeat an id are copies of one document, unless they have no words
+    again = cut_lineage(groups.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    if again.isEmpty():
+        return kept
+    one = kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(one)
 
 
 def leak_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,6 +20,7 @@ Frequent lines and passages are rows in hash groups that are summed before they
 
 Nulls: a null text stays null (0 lines). Blank lines stay and count for nothing. Rows that agree in id and text count as
 one document and get the same result; equal ids with different texts are told apart by the text's hash; null ids come first.
+Columns ``n_lines`` and ``n_deleted`` of the input are replaced; other names cannot clash.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .shared import offsets, ordered
+from .shared import offsets, ordered, packed, unpacked
 
 HAS_WORD = r"[^\x09-\x0D\x20]"
 _KEY = ["doc", "h"]
@@ -161,15 +162,14 @@ def repeated_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
 def deduplicated(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """All columns of the documents with ``text`` cut, and ``n_lines`` and ``n_deleted`` (lines)."""
     found = repeated_lines(docs, min_words).groupBy(*_KEY).agg(F.sort_array(F.collect_list("s")).alias("_gone"))
-    found = cut_lineage(found)
-    rows = docs.withColumns({f"_{k}": v for k, v in _DOC.items()})
-    rows = rows.join(found, (rows["_doc"] == found["doc"]) & (rows["_h"] == found["h"]), "left").drop("doc", "h")
-    lines = F.split(F.col("text"), "\n", -1)
+    found = cut_lineage(found.select(F.col("doc").alias("_doc"), F.col("h").alias("_h"), "_gone"))
+    own = [c for c in ("doc_id", "text") if c in docs.columns]
+    rows = packed(docs, *own).withColumns({f"_{k}": v for k, v in _DOC.items()}).join(found, ["_doc", "_h"], "left")
     spoken = F.expr(f"filter(sequence(0, size(_lines) - 1), k -> _lines[k] rlike '{HAS_WORD}')".replace("\\", "\\\\"))
     kept = F.array_except(F.expr("sequence(0, size(_lines) - 1)"), F.expr("transform(_gone, k -> _spoken[k])"))
     cut = F.array_join(F.transform(kept, lambda k: F.col("_lines")[k]), "\n")
-    rows = rows.withColumn("_lines", lines).withColumn("_spoken", F.when(F.col("_gone").isNotNull(), spoken))
-    rows = rows.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(cut))
-    return rows.withColumns({"n_lines": F.greatest(F.lit(0), F.coalesce(F.size("_lines"), F.lit(0))).cast("long"),
-                             "n_deleted": F.greatest(F.lit(0), F.coalesce(F.size("_gone"), F.lit(0))).cast("long")}).select(
-        *docs.columns, "n_lines", "n_deleted")
+    rows = rows.withColumn("_lines", F.split(F.col("text"), "\n", -1)).withColumn("_spoken", F.when(F.col("_gone").isNotNull(), spoken))
+    rows = rows.withColumns({"text": F.when(F.col("_gone").isNull(), F.col("text")).otherwise(cut),
+                             "n_lines": F.coalesce(F.when(F.col("text").isNotNull(), F.size("_lines")), F.lit(0)).cast("long"),
+                             "n_deleted": F.coalesce(F.when(F.col("_gone").isNotNull(), F.size("_gone")), F.lit(0)).cast("long")})
+    return unpacked(rows, docs.columns, "n_lines", "n_deleted")

@@ -12,7 +12,7 @@ characters that are in no longer piece. Which these are is read off the vocabula
 ``CACHE`` chunks that it met last, so that repeated words are encoded once; the cache is emptied when it is full.
 
 Ties: the earliest start (longest last piece) wins. Nulls: null ids and no tokens. An empty text has no tokens.
-The vocabulary file is a parameter; its bytes are broadcast, so that executors need not have it.
+Columns named like an added one are replaced. The vocabulary file is a parameter; its bytes are broadcast, so that executors need not have it.
 """
 
 from __future__ import annotations
@@ -25,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
-from .shared import chunks
+from .shared import chunks, packed, unpacked
 
 SPACE, UNKNOWN, CACHE = "▁", 10.0, 300_000
 
@@ -114,7 +115,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
     """All columns of the documents, ``ids``, ``n_tokens`` and ``exact`` (the ids decode to the text)."""
     with open(path, "rb") as file:
         model = docs.sparkSession.sparkContext.broadcast(file.read())
-    names = docs.columns
+    rows = packed(docs, "text")
 
     def run(batches: Iterator[pa.RecordBatch]):
         pieces = Pieces(model.value)
@@ -126,24 +127,22 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
                 exact.append(text is None or pieces.decode(got) == text)
             sizes = [0 if x is None else len(x) for x in ids]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(sizes, pa.int64()), pa.array(exact, pa.bool_())], [*names, "_ids", "_n", "_exact"])
+                [*batch.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(sizes, pa.int64()), pa.array(exact, pa.bool_())], ["text", "rest", "ids", "n_tokens", "exact"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    out = docs.mapInArrow(run, f"{fields}, _ids array<int>, _n long, _exact boolean")
-    return out.withColumnsRenamed({"_ids": "ids", "_n": "n_tokens", "_exact": "exact"})
+    added = [StructField("ids", ArrayType(IntegerType())), StructField("n_tokens", LongType()), StructField("exact", BooleanType())]
+    return unpacked(rows.mapInArrow(run, StructType([*rows.schema, *added])), docs.columns, "ids", "n_tokens", "exact")
 
 
-def decoded(rows: DataFrame, path: str) -> DataFrame:
+def decoded(encodings: DataFrame, path: str) -> DataFrame:
     """All columns and ``decoded``, the text of column ``ids`` (null: null)."""
     with open(path, "rb") as file:
-        model = rows.sparkSession.sparkContext.broadcast(file.read())
-    names = rows.columns
+        model = encodings.sparkSession.sparkContext.broadcast(file.read())
+    rows = packed(encodings, "ids")
 
     def run(batches: Iterator[pa.RecordBatch]):
         pieces = Pieces(model.value)
         for batch in batches:
             texts = [None if x is None else pieces.decode(x) for x in batch["ids"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*names, "_decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], ["ids", "rest", "decoded"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(run, f"{fields}, _decoded string").withColumnRenamed("_decoded", "decoded")
+    return unpacked(rows.mapInArrow(run, StructType([*rows.schema, StructField("decoded", StringType())])), encodings.columns, "decoded")

@@ -198,14 +198,13 @@ def _listed(spans: list[tuple[int, int, int]]) -> str:
 
 def scan(docs: DataFrame, grammar: Grammar) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans and n_format of each document."""
-    shared = docs.sparkSession.sparkContext.broadcast(grammar)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in chunks(batches, "text"):
             rows = []
             for text in batch["text"].to_pylist():
-                base, added = spans_of(text or "", shared.value)
+                base, added = spans_of(text or "", grammar)
                 rows.append((*[sum(s[1] == k for s in base) for k in range(3)], hashlib.sha256(_listed(base).encode()).hexdigest(), _listed(base + added), len(added)))
             kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], *[pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]], names)

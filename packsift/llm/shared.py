@@ -15,6 +15,19 @@ from ..session import cut_lineage
 BROADCAST_ROWS = 500_000
 
 
+def packed(docs: DataFrame, *own: str) -> DataFrame:
+    """The own columns, and all others in one struct ``rest``, so that their names cannot clash with an operator's."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in own]
+    return docs.select(*own, (F.struct(*others) if others else F.lit(None).cast("int")).alias("rest"))
+
+
+def unpacked(rows: DataFrame, columns: list[str], *added: str, **changed: Column) -> DataFrame:
+    """The columns as they were before ``packed`` (some changed), then the added ones, which replace columns of their name."""
+    own = set(rows.columns) - {"rest"}
+    keep = [changed.get(c, F.col(f"`{c}`") if c in own and c not in added else F.col(f"rest.`{c}`")).alias(c) for c in columns if c not in added]
+    return rows.select(*keep, *added)
+
+
 def small(df: DataFrame) -> DataFrame:
     """A table marked for broadcast if it has at most ``BROADCAST_ROWS`` (narrow) rows; staged, so counted once."""
     table = cut_lineage(df)

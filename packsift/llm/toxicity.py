@@ -11,10 +11,11 @@ Training (``fit``) takes a bounded sample: at most ``PER_CLASS`` labelled rows o
 hash of the id, and never rows of the held-out quarter. Labels belong to documents, so of a toxic document only the
 windows that look most toxic are learned, at first by the log odds of their words.
 
-Scoring is one pass over the text in Arrow batches, without Python strings; the model (a few MB at most) is broadcast.
+Scoring is one pass over the text in Arrow batches, without Python strings; the model (a few MB at most) goes with the task.
 
 Nulls and empty texts are scored as one window without words. Without labels of both classes every score is the share
-of toxic labels (0 without labels). Equal texts get equal scores; rows with a null id are scored but never learned from.
+of toxic labels (0 without labels). Equal texts get equal scores; rows with a null id are scored but never learned from. A column
+``score`` of the input is replaced; other names cannot clash.
 """
 
 from __future__ import annotations
@@ -25,8 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .shared import buffer, chunks, mix, words
+from .shared import buffer, chunks, mix, packed, unpacked, words
 
 PER_CLASS = 1500  # labelled rows of a class to learn from
 WINDOW, STRIDE = 48, 32
@@ -299,12 +301,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """All columns of the documents and ``score``, from whole texts."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
+    rows = packed(docs, "text")
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in chunks(batches, "text"):
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.scores(batch["text"]), pa.float64())], [*names, "_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.scores(batch["text"]), pa.float64())], ["text", "rest", "score"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, _score double").withColumnRenamed("_score", "score")
+    return unpacked(rows.mapInArrow(run, StructType([*rows.schema, StructField("score", DoubleType())])), docs.columns, "score")

@@ -5,7 +5,7 @@ longest rule wins. URLs without a rule are judged by vocabulary: terms are count
 or digit stands before or after. One strict term, or distinct soft terms with a weight of ``SOFT_LIMIT`` together, reject.
 
 Nulls and URLs without ``://`` have an empty host and path; a null URL holds no terms and is allowed. Rows keep all
-columns, so repeated rows and extra columns pass through. An empty table gives an empty result.
+columns (those named like an added one are replaced), so repeated rows and extra columns pass through. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,6 +16,9 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
+
+from .shared import packed, unpacked
 
 #: (host, path, verdict)
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -74,19 +77,18 @@ class Vocabulary:
 def judged(pages: DataFrame, strict=tuple(STRICT), soft=None, limit: int = SOFT_LIMIT) -> DataFrame:
     """All columns, host, path, rule, strict_hits, soft_terms and verdict."""
     soft = SOFT if soft is None else soft
-    names = pages.columns
+    rows = packed(pages, "url")
 
     def run(batches: Iterator[pa.RecordBatch]):
         vocabulary = Vocabulary(list(strict), soft)
         for batch in batches:
             found = [vocabulary.count(u) for u in batch["url"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array([f[i] for f in found], pa.int32()) for i in range(3)]], [*names, "_strict", "_soft", "_weight"])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema)
-    rows = pages.mapInArrow(run, f"{fields}, _strict int, _soft int, _weight int")
-    h, p = host(F.col("url")), path(F.col("url"))
-    name, said = rule(F.col("_host"), F.col("_path"))
-    method = F.when((F.col("_strict") > 0) | (F.col("_weight") >= limit), "block").otherwise("allow")
-    rows = rows.withColumns({"_host": h, "_path": p}).withColumns({"_rule": name, "_verdict": F.coalesce(said, method)})
-    return rows.select(*names, F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule").alias("rule"),
-                       F.col("_strict").alias("strict_hits"), F.col("_soft").alias("soft_terms"), F.col("_verdict").alias("verdict"))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array([f[i] for f in found], pa.int32()) for i in range(3)]],
+                                             ["url", "rest", "strict_hits", "soft_terms", "weight"])
+
+    kinds = [StructField(c, IntegerType()) for c in ("strict_hits", "soft_terms", "weight")]
+    rows = rows.mapInArrow(run, StructType([*rows.schema, *kinds])).withColumns({"host": host(F.col("url")), "path": path(F.col("url"))})
+    name, said = rule(F.col("host"), F.col("path"))
+    method = F.when((F.col("strict_hits") > 0) | (F.col("weight") >= limit), "block").otherwise("allow")
+    rows = rows.withColumns({"rule": name, "verdict": F.coalesce(said, method)})
+    return unpacked(rows, pages.columns, "host", "path", "rule", "strict_hits", "soft_terms", "verdict")
