@@ -5,7 +5,7 @@ nextword index). Only pairs of neighbours that some test item has are stored, so
 A phrase is found by intersecting offset-adjusted lists (position minus offset in the item): the rarest pair of each
 window, by its count over all documents, gives the diagonals (item, document, position of the item's first word);
 the other pairs of the window are then looked up at the positions that a diagonal expects. Unbroken runs of matched
-pairs give exact occurrences. Proximity matches compare the diagonals of an item's two rarest pairs.
+pairs give exact occurrences. Proximity matches compare the diagonals of an item's rarest pairs.
 
 All steps are DataFrame operations. No list is gathered: a passage that a third of all documents holds is spread by
 document. The pairs of the test items are broadcast only up to a checked size.
@@ -85,17 +85,17 @@ def phrase_matches(index: DataFrame, items: DataFrame) -> DataFrame:
     return exact.unionByName(index.filter("single IS NOT NULL").join(small(single), "single").select("uid", "iid", F.col("pos").alias("first"), F.col("pos").alias("last")))
 
 
-def proximity_matches(index: DataFrame, items: DataFrame, slop: int = 5) -> DataFrame:
-    """(uid, iid): an item's two rarest pairs occur in the document, at most ``slop`` words off their distance in the item."""
+def proximity_matches(index: DataFrame, items: DataFrame, slop: int = 5, rare: int = 4) -> DataFrame:
+    """(uid, iid): two of an item's ``rare`` rarest pairs occur in the document, at most ``slop`` words off their distance in the item."""
     hits = index.filter("pair IS NOT NULL").select("uid", "pos", "pair")
     counts = hits.groupBy("pair").agg(F.count("*").alias("n"))
     order = Window.partitionBy("iid").orderBy("n", "j")
-    rare = items.filter("len > 2").join(counts, "pair").withColumn("k", F.row_number().over(order)).filter("k <= 2").select("iid", "j", "k", "pair")
-    spots = hits.join(small(rare), "pair").select("uid", "iid", "k", (F.col("pos") - F.col("j")).alias("diagonal"))
+    chosen = items.filter("len > 2").join(counts, "pair").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= rare).select("iid", "j", "k", "pair")
+    spots = cut_lineage(hits.join(small(chosen), "pair").select("uid", "iid", "k", (F.col("pos") - F.col("j")).alias("diagonal")).distinct())
     cell = F.floor(F.col("diagonal") / (slop + 1))
-    one = spots.filter("k = 1").select("uid", "iid", F.col("diagonal").alias("d"), cell.alias("cell")).distinct()
-    two = spots.filter("k = 2").select("uid", "iid", "diagonal", F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell")).distinct()
-    return one.join(two, ["uid", "iid", "cell"]).filter(f"abs(d - diagonal) <= {slop}").select("uid", "iid").distinct()
+    one = spots.select("uid", "iid", F.col("k").alias("k1"), F.col("diagonal").alias("d"), cell.alias("cell"))
+    two = spots.select("uid", "iid", "k", "diagonal", F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
+    return one.join(two, ["uid", "iid", "cell"]).filter(f"k1 < k AND abs(d - diagonal) <= {slop}").select("uid", "iid").distinct()
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, slop: int = 5) -> DataFrame:

@@ -28,7 +28,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -36,13 +36,17 @@ from .shared import offsets, ordered, packed, unpacked
 
 HAS_WORD = r"[^\x09-\x0D\x20]"
 _KEY = ["doc", "h"]
-_DOC = {"doc": F.expr("coalesce(doc_id, -9223372036854775808)"), "h": F.xxhash64("text")}
+
+
+def _document(prefix: str = "") -> dict[str, Column]:
+    """What names a document: its id (null: the smallest number) and the hash of its text."""
+    return {f"{prefix}doc": F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")), f"{prefix}h": F.xxhash64("text")}
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """doc, h, s (place among lines with words), id1, id2 and w (words) of every line that holds a word."""
     kept = F.filter(F.split(F.col("text"), "\n", -1), lambda x: x.rlike(HAS_WORD))
-    rows = docs.filter("text IS NOT NULL").withColumns(_DOC).select(*_KEY, F.posexplode(kept).alias("s", "line"))
+    rows = docs.filter("text IS NOT NULL").withColumns(_document()).select(*_KEY, F.posexplode(kept).alias("s", "line"))
     return rows.select(*_KEY, "s", F.xxhash64("line").alias("id1"), F.xxhash64(F.lit(1), "line").alias("id2"),
                        F.size(F.regexp_extract_all("line", F.lit(f"({HAS_WORD}+)"), 0)).alias("w"))
 
@@ -164,7 +168,7 @@ def deduplicated(docs: DataFrame, min_words: int = 50) -> DataFrame:
     found = repeated_lines(docs, min_words).groupBy(*_KEY).agg(F.sort_array(F.collect_list("s")).alias("_gone"))
     found = cut_lineage(found.select(F.col("doc").alias("_doc"), F.col("h").alias("_h"), "_gone"))
     own = [c for c in ("doc_id", "text") if c in docs.columns]
-    rows = packed(docs, *own).withColumns({f"_{k}": v for k, v in _DOC.items()}).join(found, ["_doc", "_h"], "left")
+    rows = packed(docs, *own).withColumns(_document("_")).join(found, ["_doc", "_h"], "left")
     spoken = F.expr(f"filter(sequence(0, size(_lines) - 1), k -> _lines[k] rlike '{HAS_WORD}')".replace("\\", "\\\\"))
     kept = F.array_except(F.expr("sequence(0, size(_lines) - 1)"), F.expr("transform(_gone, k -> _spoken[k])"))
     cut = F.array_join(F.transform(kept, lambda k: F.col("_lines")[k]), "\n")
