@@ -9,22 +9,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..catalog import findings as K
-from ..sources.packages import with_package_key
+from ..sources.packages import PACKAGE_GLOB, distinct_packages, with_package_key
 
 
 def arrivals(spark: SparkSession, folder: str) -> DataFrame:
     """Stream of package blobs appearing in a folder."""
     schema = "path string, modificationTime timestamp, length long, content binary"
-    files = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", "*.{crx,zip}").load(folder)
+    files = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", PACKAGE_GLOB).load(folder)
     return with_package_key(files)
 
 
 def audit_arrivals(spark: SparkSession, folder: str, store: str, checkpoint: str,
                    audit: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
     """Audit each new package once. Results are keyed by content hash and written per
-    batch id, so a replayed batch overwrites its own output and a known hash is skipped."""
+    batch id, so a replayed batch overwrites its own output and a known hash is skipped.
+    Copies are told apart by hash and path alone; no blob enters an aggregate."""
     def handle(batch: DataFrame, batch_id: int) -> None:
-        fresh = batch.dropDuplicates(["package_sha256"])
+        fresh = distinct_packages(batch)
         if _exists(spark, store):
             known = spark.read.parquet(store).filter(F.col("batch") != batch_id).select("package_sha256").distinct()
             fresh = fresh.join(known, "package_sha256", "left_anti")

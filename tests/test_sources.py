@@ -35,27 +35,38 @@ def folder(tmp_path_factory):
     (base / "crx2.crx").write_bytes(b"Cr24" + struct.pack("<III", 2, 3, 4) + b"k" * 7 + good)
     (base / "escape.zip").write_bytes(make_zip({"../evil.js": "x", "manifest.json": "{}"}))
     (base / "noise.zip").write_bytes(b"not a zip at all")
+    spoiled = bytearray(make_zip(GOOD | {"data.txt": "plain words " * 50}))
+    spoiled[bytes(spoiled).index(b"data.txt") + 12] ^= 255  # inside the compressed data of one entry
+    (base / "spoiled.ZIP").write_bytes(bytes(spoiled))
     (base / "bare.zip").write_bytes(make_zip({"a.js": "x()"}))
     (base / "badmanifest.zip").write_bytes(make_zip({"manifest.json": "[1", "a.js": "x()"}))
     return str(base)
 
 
 def test_unpack(spark, folder):
-    files, rejects = packages.unpack(packages.read_packages(spark, folder))
-    per_package = {r.ext_id: r["count"] for r in files.groupBy("ext_id").count().collect()}
-    assert per_package["plain"] == per_package["crx3"] == per_package["crx2"] == len(GOOD)
-    assert {(r.ext_id, r.reject) for r in rejects.collect()} == {("escape", "unsafe path"), ("noise", "not a zip archive")}
+    blobs = packages.read_packages(spark, folder)
+    name = {r.ext_id: r.name for r in blobs.select("ext_id", "name").collect()}
+    files, rejects = packages.unpack(blobs)
+    per_package = {name[r.ext_id]: r["count"] for r in files.groupBy("ext_id").count().collect()}
+    assert per_package["plain"] == per_package["crx3"] == per_package["crx2"] == per_package["spoiled"] == len(GOOD)
+    assert {(name[r.ext_id], r.reject.split(" (")[0]) for r in rejects.collect()} == {
+        ("escape", "unsafe path"), ("noise", "not a zip archive"), ("spoiled", "unreadable entry")}
 
 
 def test_audit_of_real_packages(spark, folder):
     blobs = packages.read_packages(spark, folder)
-    audit = PackageAudit(blobs)
-    assert {(r.ext_id, r.reject) for r in audit.rejects.collect()} == {
-        ("escape", "unsafe path"), ("noise", "not a zip archive"), ("bare", "no manifest"), ("badmanifest", "manifest is not a JSON object")}
-    assert {r.name for r in audit.manifests.collect()} == {"Hola"}
-    assert {(r.ext_id, r.path) for r in audit.orphans.filter("ext_id = 'crx3'").collect()} == {("crx3", "lost.js")}
-    report = {r.ext_id: r for r in audit_packages(blobs).collect()}
-    assert set(report) == {"plain", "crx2", "crx3"}
+    copies = blobs.unionByName(blobs.filter("name = 'plain'").withColumn("path", F.lit("elsewhere/plain.zip")))
+    audit = PackageAudit(copies)
+    name = {r.ext_id: r.name for r in blobs.select("ext_id", "name").collect()}
+    assert {(name[r.ext_id], r.reject.split(" (")[0]) for r in audit.rejects.collect()} == {
+        ("escape", "unsafe path"), ("noise", "not a zip archive"), ("bare", "no manifest"), ("badmanifest", "manifest is not a JSON object"),
+        ("spoiled", "unreadable entry")}
+    assert {r.name for r in audit.manifests.collect()} == {"Hola"} and audit.manifests.count() == 4
+    assert {name[r.ext_id] for r in audit.orphans.filter("path = 'lost.js'").collect()} == {"plain", "crx2", "crx3", "spoiled"}
+    report = {r.name: r for r in audit_packages(copies).collect()}
+    assert {n: r.status for n, r in report.items()} == dict.fromkeys(["plain", "crx2", "crx3", "spoiled"], "completed") | dict.fromkeys(
+        ["escape", "noise", "bare", "badmanifest"], "failed")
+    assert report["noise"].error == "not a zip archive" and report["noise"].verdict is None and report["spoiled"].error.startswith("unreadable entry")
     assert report["plain"].verdict == "malicious" and report["plain"].states["page_reading"] == "critical"
     assert report["plain"].audit_score == report["crx3"].audit_score and len(report["plain"].package_sha256) == 64
 
