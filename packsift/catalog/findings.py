@@ -148,7 +148,6 @@ REVIEW_MIN_CONFIDENCE = 0.5
 HIT_LIMIT = 20
 EVIDENCE_LIMIT = 5
 SOURCE_BUDGET = 3000
-LINES_PER_FILE = 80
 LOOKUP_CAP = 30
 PROVIDER_CAP = 8
 RETENTION_MONTHS = 12

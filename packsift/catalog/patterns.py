@@ -108,8 +108,6 @@ PROMISE_SOURCE = (
     r"|chrome\.storage|chrome\.identity|chrome\.bookmarks|chrome\.downloads\.search"
     r"|chrome\.management|chrome\.topSites|chrome\.sessions|chrome\.scripting\.executeScript"
 )
-CONSTANT_PASSES = 5
-MAX_RESOLVED = 2000
 
 # --- fixed values: detail tests used by correlation and filters --------------------------
 SINK_DETAIL = r"fetch|sendBeacon|WebSocket|axios|XMLHttpRequest|EventSource"

@@ -55,14 +55,12 @@ OBFUSCATION_LIMIT = 5
 # --- fixed values: minification thresholds ----------------------------------------
 MAX_LINE = 5000
 MAX_HEX_ESCAPES = 100
-ENTROPY_SAMPLE = 4000
 ENTROPY_MIN_SAMPLE = 500
 ENTROPY_LIMIT = 6.5
 SHORT_LONG_RATIO = 0.8
 HEX_ESCAPE = r"\\x[0-9a-fA-F]{2}"
 SHORT_ASSIGN = r"\b[a-z_][a-z_]?\s*="
 LONG_WORD = r"\w{4,}"
-LARGE_FILE_CHARS = 2 * 1024 * 1024
 
 # --- fixed values: usage flags ------------------------------------------------------
 USES_FETCH = r"\bfetch\s*\("
@@ -113,7 +111,6 @@ SKIPPED_DIRS = r"(^|/)(node_modules|_metadata)/"
 BASE64_CALL = r"atob\s*\(\s*['\"]([A-Za-z0-9+/=]+)['\"]\s*\)"
 CHAR_CODES = r"String\.fromCharCode\s*\(\s*([\d\s,]+)\)"
 PRINTABLE = r"^[\x20-\x7E\r\n\t]+$"
-EVAL_LIMIT = 1000
 
 # --- fixed values: credential words, first in list order wins ---------------------------------
 LITERAL_WORDS = [

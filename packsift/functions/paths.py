@@ -33,7 +33,7 @@ def resolve(folder: Column, target: Column) -> Column:
     """Path of a reference made from a file in ``folder``; query strings are dropped."""
     clean = F.regexp_replace(F.regexp_replace(target, r"\?.*$", ""), r"\\", "/")
     joined = F.when(folder == "", clean).otherwise(F.concat(folder, F.lit("/"), clean))
-    return F.when(clean.startswith("/"), F.substring(clean, 2, 1_000_000)).otherwise(normalise(joined))
+    return F.when(clean.startswith("/"), F.substr(clean, F.lit(2))).otherwise(normalise(joined))
 
 
 def is_local(target: Column) -> Column:

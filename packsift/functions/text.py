@@ -1,14 +1,15 @@
-"""Text expressions. All stay inside Catalyst except the comment stripper."""
+"""Text expressions. All stay inside Catalyst except the comment stripper and the entropy."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import DoubleType, StringType
 
 from ..catalog import signals as S
 
@@ -65,6 +66,11 @@ def snippet(line: Column, size: int = S.CONTEXT_CHARS) -> Column:
     return F.substring(F.trim(line), 1, size)
 
 
+def around(line: Column, needle: Column, size: int = S.CONTEXT_CHARS) -> Column:
+    """The text around the first place of a needle: a third before it, the rest from it on."""
+    return F.substring(line, F.greatest(F.instr(line, needle) - size // 3, F.lit(1)), F.lit(size))
+
+
 def line_at(text: Column, position: Column) -> Column:
     """Line number of a 1-based position, by counting the line feeds before it."""
     before = F.substring(text, F.lit(1), position - 1)
@@ -100,25 +106,19 @@ def strip_comments(code: pd.Series) -> pd.Series:
     )
 
 
-def _alphabet(text: Column) -> Column:
-    return F.filter(F.array_distinct(F.split(text, "")), lambda c: c != "")
-
-
-def entropy(text: Column) -> Column:
-    """Shannon entropy in bits per character, without leaving the row.
+def _bits_per_character(text: str) -> float:
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    if not len(codes):
+        return 0.0
+    counts = np.bincount(codes) if codes.max() < 1 << 16 else np.unique(codes, return_counts=True)[1]
+    counts = counts[counts > 0].astype(float)
+    return float(np.log2(len(codes)) - (counts * np.log2(counts)).sum() / len(codes))
 
-    Each distinct character is counted by removing it, a native string operation, so the
-    cost is the text length times its alphabet and nothing is shuffled per character. The
-    text is bound once as the element of a one-row array; the inner steps reuse it.
-    """
-    def of(row: Column) -> Column:
-        kept = lambda c: F.length(F.replace(row["text"], c, F.lit("")))
-        counts = F.transform(_alphabet(row["text"]), lambda c: (row["n"] - kept(c)).cast("double"))
-        total = F.aggregate(counts, F.lit(0.0), lambda acc, k: acc + k * F.log2(k))
-        return F.log2(row["n"].cast("double")) - total / row["n"]
 
-    bound = F.array(F.struct(text.alias("text"), F.length(text).alias("n")))
-    return F.get(F.transform(bound, of), F.lit(0))
+@F.pandas_udf(DoubleType())
+def entropy(texts: pd.Series) -> pd.Series:
+    """Shannon entropy in bits per character of whole texts, linear in their length whatever the alphabet."""
+    return texts.map(_bits_per_character, na_action="ignore").astype(float)
 
 
 def decode_base64(value: Column) -> Column:
@@ -136,21 +136,11 @@ def is_obfuscated(code: Column) -> Column:
     return total > S.OBFUSCATION_LIMIT
 
 
-def entropy_sample(code: Column) -> Column:
-    """The sample whose entropy counts; null where the sample is too short to judge."""
-    sample = F.substring(code, 1, S.ENTROPY_SAMPLE)
-    return F.when(F.length(sample) > S.ENTROPY_MIN_SAMPLE, sample)
-
-
 def is_minified(code: Column) -> Column:
-    """Cheap tests first; entropy only where they leave the question open."""
+    """Long lines, escapes, short names or, in texts that are long enough to judge, entropy."""
     long_line = F.exists(F.split(code, "\n"), lambda line: F.length(line) > S.MAX_LINE)
     escapes = count_hits(code, S.HEX_ESCAPE) > S.MAX_HEX_ESCAPES
     short, long_ = count_hits(code, S.SHORT_ASSIGN), count_hits(code, S.LONG_WORD)
     ratio = (long_ > 0) & (short / long_ > S.SHORT_LONG_RATIO)
-    sample = entropy_sample(code)
-    # Entropy cannot exceed log2 of the alphabet, so a small alphabet settles the question.
-    wide = F.size(_alphabet(sample)) > int(2 ** S.ENTROPY_LIMIT)
-    return F.when(long_line | escapes | F.coalesce(ratio, F.lit(False)), True).otherwise(
-        F.when(wide, entropy(sample) > S.ENTROPY_LIMIT).otherwise(False)
-    )
+    dense = entropy(F.when(F.length(code) > S.ENTROPY_MIN_SAMPLE, code)) > S.ENTROPY_LIMIT
+    return F.when(code.isNotNull(), long_line | escapes | F.coalesce(ratio, F.lit(False)) | F.coalesce(dense, F.lit(False)))

@@ -94,12 +94,9 @@ def url_flags(urls: DataFrame) -> DataFrame:
         F.bool_or(F.col("url_class").isin("raw_ip", "suspicious_tld")).alias("ip_or_tld_url"))
 
 
-def platform_counts(findings: DataFrame, signals: DataFrame, files: DataFrame) -> DataFrame:
+def platform_counts(findings: DataFrame, files: DataFrame) -> DataFrame:
     """Distinct social platforms traced in the files that hook network functions."""
-    hooked = (
-        findings.filter(F.col("kind") == "api_hook").select(*FILE)
-        .unionByName(signals.filter(F.col("signal").isin(S.HOOK_SIGNALS)).select(*FILE)).distinct()
-    )
+    hooked = findings.filter(F.col("kind") == "api_hook").select(*FILE).distinct()
     return (
         files.select(*FILE, "platform_bits").join(hooked, FILE, "left_semi").groupBy("ext_id")
         .agg(F.bit_count(F.bit_or("platform_bits")).alias("n_platforms"))
@@ -107,12 +104,12 @@ def platform_counts(findings: DataFrame, signals: DataFrame, files: DataFrame) -
 
 
 def package_flags(manifests: DataFrame, findings: DataFrame, files: DataFrame, urls: DataFrame,
-                  signals: DataFrame, remote: DataFrame) -> DataFrame:
+                  remote: DataFrame) -> DataFrame:
     """The wide flag row of every package; absent parts are false or zero."""
     obfuscation = files.groupBy("ext_id").agg(F.bool_or("is_obfuscated").alias("obfuscation"))
     remote_flag = remote.select("ext_id").distinct().withColumn("remote_script", F.lit(True))
     flags = manifest_flags(manifests)
-    for part in (code_flags(findings), url_flags(urls), platform_counts(findings, signals, files), obfuscation, remote_flag):
+    for part in (code_flags(findings), url_flags(urls), platform_counts(findings, files), obfuscation, remote_flag):
         flags = flags.join(part, "ext_id", "left")
     fill = {f.name: False for f in flags.schema if f.dataType.typeName() == "boolean"}
     fill |= {f.name: 0 for f in flags.schema if f.dataType.typeName() in ("integer", "long")}

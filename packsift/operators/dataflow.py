@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,18 +66,19 @@ def constant_declarations(stmts: DataFrame) -> DataFrame:
     )
 
 
-def string_constants(stmts: DataFrame, passes: int = P.CONSTANT_PASSES) -> DataFrame:
-    """(file, name, value) by a bounded fixed point of joins on (file, name).
+def string_constants(stmts: DataFrame) -> DataFrame:
+    """(file, name, value) by a fixed point of joins on (file, name).
 
     A declaration resolves once every name in it that is itself declared has a value;
-    other names count as empty text.
+    other names count as empty text. Each round works on what is still open, and the loop
+    ends when a round resolves nothing, so cycles stay open and chains of any length close.
     """
     declared = constant_declarations(stmts)
     pieces = expression_pieces(declared.withColumnRenamed("name", "const"), ["const"])
     names = pieces.select(*FILE, F.col("const").alias("name")).distinct().withColumn("is_const", F.lit(True))
     pieces = cut_lineage(pieces.join(names, [*FILE, "name"], "left"))
     known = None
-    for _ in range(passes):
+    while True:
         if known is None:
             todo = pieces.withColumn("value", F.lit(None).cast("string"))
         else:
@@ -94,15 +96,16 @@ def string_constants(stmts: DataFrame, passes: int = P.CONSTANT_PASSES) -> DataF
             .select(*FILE, F.col("const").alias("name"), _joined_parts().alias("value"))
         )
         fresh = cut_lineage(fresh)
+        rounds = 1 if known is None else rounds + 1
         known = fresh if known is None else known.unionByName(fresh)
         if fresh.isEmpty():
-            break
-    return known
+            return known
+        if rounds % 8 == 0:
+            known = cut_lineage(known)
 
 
 def _joined_parts() -> Column:
-    text = F.array_join(F.transform("parts", lambda p: p["text"]), "")
-    return F.substring(text, 1, P.MAX_RESOLVED)
+    return F.array_join(F.transform("parts", lambda p: p["text"]), "")
 
 
 def resolve_expressions(exprs: DataFrame, key: list[str], constants: DataFrame) -> DataFrame:
@@ -199,9 +202,9 @@ def contacted_domains(calls: DataFrame, assigned: DataFrame, constants: DataFram
 
 
 def fallback_domains(files: DataFrame, domains: DataFrame, contacts: DataFrame) -> DataFrame:
-    """All domains of minified or oversized files that send but show no contact."""
+    """All domains of minified files that send but show no contact."""
     quiet = (
-        files.filter((F.col("skipped_syntax") | F.col("is_minified")) & (F.col("uses_fetch") | F.col("uses_xhr")))
+        files.filter(F.col("is_minified") & (F.col("uses_fetch") | F.col("uses_xhr")))
         .select(*FILE).join(contacts.select(*FILE).distinct(), FILE, "left_anti")
     )
     return domains.join(quiet, FILE, "left_semi").select(*FILE, "line", "domain").distinct()
@@ -280,36 +283,50 @@ def bindings(stmts: DataFrame) -> DataFrame:
     return plain.unionByName(unpacked).unionByName(promised).filter(F.col("var") != "")
 
 
-def tainted_variables(stmts: DataFrame, max_rounds: int = 100) -> DataFrame:
+def smallest_labels(seeds: list[tuple[str, str]], links: list[tuple[str, str]]) -> dict[str, str]:
+    """The smallest label that reaches each variable along the links, in one pass per link."""
+    onward: dict[str, list[str]] = {}
+    for a, b in links:
+        onward.setdefault(a, []).append(b)
+    labels: dict[str, str] = {}
+    for variable, label in sorted(seeds, key=lambda s: s[1]):
+        todo = [variable]
+        while todo:
+            v = todo.pop()
+            if v not in labels:
+                labels[v] = label
+                todo += onward.get(v, ())
+    return labels
+
+
+def tainted_variables(stmts: DataFrame) -> DataFrame:
     """(file, var, source): variables that carry sensitive data, by label propagation.
 
-    Seeds are bindings that name a source. Each round moves labels along (variable ->
-    variable) bindings of the same file; a variable keeps its smallest label, so the table
-    never exceeds one row per variable and the loop ends when nothing changes.
+    Seeds are bindings that name a source; labels move along (variable -> variable) bindings
+    of the same file, and a variable keeps its smallest label. Bindings never leave their
+    file, so the bindings of each file that has a seed are followed together, to the end of
+    chains of any length; they are fewer than the characters of the file.
     """
     bound = bindings(stmts).withColumn("source", direct_source(F.col("expr")))
-    seeds = bound.filter(F.col("source").isNotNull()).groupBy(*FILE, "var").agg(F.min("source").alias("source"))
+    seeds = cut_lineage(
+        bound.filter(F.col("source").isNotNull()).groupBy(*FILE, "var").agg(F.min("source").alias("source")))
     links = (
         bound.filter(F.col("source").isNull())
-        .select(*FILE, F.col("var").alias("to"), F.explode(_roots(F.col("expr"))).alias("var"))
-        .filter(F.col("var") != F.col("to")).distinct()
+        .select(*FILE, F.explode(_roots(F.col("expr"))).alias("var"), F.col("var").alias("to"))
+        .filter(F.col("var") != F.col("to")).distinct().join(seeds.select(*FILE).distinct(), FILE, "left_semi")
     )
-    links = cut_lineage(links)
-    labels = changed = cut_lineage(seeds)
-    for _ in range(max_rounds):
-        offered = (
-            links.join(changed, [*FILE, "var"]).groupBy(*FILE, F.col("to").alias("var"))
-            .agg(F.min("source").alias("offer"))
-        )
-        changed = cut_lineage(
-            offered.join(labels, [*FILE, "var"], "left")
-            .filter(F.col("source").isNull() | (F.col("offer") < F.col("source")))
-            .select(*FILE, "var", F.col("offer").alias("source")))
-        if changed.isEmpty():
-            return labels
-        labels = cut_lineage(
-            labels.unionByName(changed).groupBy(*FILE, "var").agg(F.min("source").alias("source")))
-    raise RuntimeError("taint propagation did not settle")
+    none = F.lit(None).cast("string")
+    rows = seeds.withColumn("to", none).unionByName(links.withColumn("source", none))
+
+    def follow(key, table):
+        variables, sources, targets = (table[c].to_pylist() for c in ("var", "source", "to"))
+        labels = smallest_labels([(v, s) for v, s in zip(variables, sources) if s is not None],
+                                 [(v, t) for v, t in zip(variables, targets) if t is not None])
+        names = sorted(labels)
+        return pa.table({"ext_id": pa.array([key[0].as_py()] * len(names), pa.string()), "path": pa.array([key[1].as_py()] * len(names), pa.string()),
+                         "var": pa.array(names, pa.string()), "source": pa.array([labels[v] for v in names], pa.string())})
+
+    return cut_lineage(rows.groupBy(*FILE).applyInArrow(follow, "ext_id string, path string, var string, source string"))
 
 
 def flows(calls: DataFrame, assigned: DataFrame, tainted: DataFrame) -> DataFrame:

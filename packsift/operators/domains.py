@@ -22,7 +22,8 @@ def _norm(text: Column) -> Column:
 
 def is_own_domain(domain: Column, name: Column, author: Column) -> Column:
     """Whether the main label of the domain resembles the package name, a longer word of
-    it, or the first word of the author."""
+    it, or the first word of the author. A name without three Latin letters or digits
+    resembles nothing."""
     labels = F.split(domain, r"\.")
     base = _norm(F.when(F.size(labels) >= 2, F.element_at(labels, -2)).otherwise(F.element_at(labels, 1)))
     whole = _norm(F.coalesce(name, F.lit("")))
@@ -31,7 +32,7 @@ def is_own_domain(domain: Column, name: Column, author: Column) -> Column:
     maker = _norm(F.element_at(F.split(F.coalesce(author, F.lit("")), r"\s+"), 1))
     alike = lambda a, b: F.contains(a, b) | F.contains(b, a)
     return (F.length(base) >= 3) & (
-        alike(whole, base) | F.exists(words, lambda w: alike(w, base))
+        ((F.length(whole) >= 3) & alike(whole, base)) | F.exists(words, lambda w: alike(w, base))
         | ((F.length(maker) > 3) & alike(maker, base)))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import signals as S
 from ..functions.paths import is_local, manifest_path, parent_of, resolve, suffixes
-from ..functions.text import all_hits, any_of, first_of, js, line_at
+from ..functions.text import all_hits, any_of, first_of, js
 from ..session import cut_lineage
 
 # --- fixed values: manifest slots and their roles; a later slot overrides an earlier one --
@@ -45,7 +45,7 @@ def page_scripts(manifests: DataFrame, texts: DataFrame) -> DataFrame:
                 F.explode(all_hits(F.col("text"), S.HTML_SCRIPT_JS, 1)).alias("src"))
     )
     folder = parent_of(F.col("page"))
-    local = F.when(F.col("src").startswith("/"), F.substring(F.col("src"), 2, 1_000_000)).when(
+    local = F.when(F.col("src").startswith("/"), F.substr("src", F.lit(2))).when(
         folder == "", F.col("src")).otherwise(F.concat(folder, F.lit("/"), F.col("src")))
     return found.withColumn("path", F.when(~F.col("src").rlike("^https?://"), local))
 
@@ -120,17 +120,24 @@ def script_edges(lines: DataFrame) -> DataFrame:
     )
 
 
+def _placed(text: Column, pattern: str) -> Column:
+    """(line, hit) of every hit of a pattern in a text, by counting the line feeds before it."""
+    feeds = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
+    hits = F.regexp_extract_all(text, F.lit(js(pattern)), F.lit(0))
+    gaps = F.transform(F.split(text, js(pattern), -1), feeds)
+    inside = F.transform(hits, feeds)
+    total = lambda parts: F.aggregate(parts, F.lit(1), lambda n, x: n + x)
+    return F.transform(hits, lambda hit, i: F.struct(
+        (total(F.slice(gaps, 1, i + 1)) + total(F.slice(inside, 1, i)) - 1).alias("line"), hit.alias("hit")))
+
+
 def injected_file_edges(files: DataFrame) -> DataFrame:
     """Edges of ``files: [...]`` arrays, which may span lines."""
-    code = F.col("code")
-    blocks = F.regexp_extract_all(code, F.lit(js(S.INJECTED_FILES)), F.lit(0))
-    parents = files.filter(code.contains("files")).select(
-        "ext_id", "path", "code", F.explode(blocks).alias("block"))
-    line = line_at(code, F.instr(code, F.col("block")))
-    inside = F.regexp_extract("block", r"\[([^\]]*)\]", 1)
+    inside = F.regexp_extract("b.hit", r"\[([^\]]*)\]", 1)
     return (
-        parents.select("ext_id", "path", line.alias("line"),
-                       F.explode(F.regexp_extract_all(inside, F.lit(S.QUOTED), F.lit(1))).alias("target"))
+        files.filter(F.col("code").contains("files"))
+        .select("ext_id", "path", F.explode(_placed(F.col("code"), S.INJECTED_FILES)).alias("b"))
+        .select("ext_id", "path", "b.line", F.explode(F.regexp_extract_all(inside, F.lit(S.QUOTED), F.lit(1))).alias("target"))
         .filter(is_local(F.col("target")))
         .select("ext_id", F.col("path").alias("src"),
                 resolve(parent_of(F.col("path")), F.col("target")).alias("dst"),
@@ -140,13 +147,10 @@ def injected_file_edges(files: DataFrame) -> DataFrame:
 
 def html_edges(texts: DataFrame) -> DataFrame:
     """``<script src>`` edges of every HTML file; remote targets keep their URL."""
-    tag = F.explode(F.regexp_extract_all("text", F.lit(js(S.HTML_SCRIPT)), F.lit(0)))
-    src = F.regexp_extract("tag", js(S.HTML_SCRIPT), 1)
-    line = line_at(F.col("text"), F.instr("text", F.col("tag")))
     return (
         texts.filter(F.col("path").rlike(r"(?i)\.html?$"))
-        .select("ext_id", "path", "text", tag.alias("tag"))
-        .select("ext_id", "path", src.alias("target"), line.alias("line"))
+        .select("ext_id", "path", F.explode(_placed(F.col("text"), S.HTML_SCRIPT)).alias("t"))
+        .select("ext_id", "path", F.regexp_extract("t.hit", js(S.HTML_SCRIPT), 1).alias("target"), "t.line")
         .select("ext_id", F.col("path").alias("src"),
                 F.when(F.col("target").rlike("(?i)^https?://"), F.col("target"))
                 .otherwise(resolve(parent_of(F.col("path")), F.col("target"))).alias("dst"),
@@ -180,12 +184,13 @@ def unresolved(edges: DataFrame, inventory: DataFrame) -> DataFrame:
     return local.join(present, ["ext_id", "dst"], "left_anti")
 
 
-def reachable(edges: DataFrame, inventory: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def reachable(edges: DataFrame, inventory: DataFrame) -> DataFrame:
     """Files reachable from the manifest, for all packages at once.
 
     Breadth-first by joins: each round expands the frontier and drops what was visited.
-    Rounds follow the longest import chain, not the data size; each round's frontier is
-    checkpointed, so a lost executor never replays the whole loop.
+    Rounds follow the longest import chain, not the data size, and end when a round finds
+    nothing new. Each round's frontier is staged, so a lost executor never replays the whole
+    loop, and what was visited is staged every few rounds, so the plan stays short.
     """
     present = inventory.select("ext_id", "path").distinct()
     links = (
@@ -197,7 +202,8 @@ def reachable(edges: DataFrame, inventory: DataFrame, max_rounds: int = 1000) ->
     start = edges.filter(F.col("type") == "manifest").select("ext_id", F.col("dst").alias("path")).distinct()
     frontier = cut_lineage(start.join(present, ["ext_id", "path"], "left_semi"))
     visited = frontier
-    for _ in range(max_rounds):
+    rounds = 0
+    while True:
         step = (
             links.join(frontier, ["ext_id", "path"], "left_semi")
             .select("ext_id", F.col("dst").alias("path")).distinct()
@@ -206,8 +212,9 @@ def reachable(edges: DataFrame, inventory: DataFrame, max_rounds: int = 1000) ->
         frontier = cut_lineage(step)
         if frontier.isEmpty():
             return visited
-        visited = visited.unionByName(frontier)
-    raise RuntimeError("import chain longer than max_rounds")
+        visited, rounds = visited.unionByName(frontier), rounds + 1
+        if rounds % 8 == 0:
+            visited = cut_lineage(visited)
 
 
 def orphans(scripts: DataFrame, reached: DataFrame) -> DataFrame:

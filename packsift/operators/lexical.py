@@ -1,17 +1,23 @@
 """Lexical tables: lines, statements, call sites, members, assignments, literals.
 
-No parser: code is cut into lines and statements (``;``), and each table is a Spark
-expression over them. Calls spanning several lines are seen only on their first line.
+No parser: lines that plainly go on are joined, cut into statements at every ``;`` outside
+literals, and each table is a Spark expression over them. Only the brackets of calls are
+matched in Python, in one linear pass per statement.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType, StringType, StructField, StructType
 
 from ..catalog import patterns as P
 from ..catalog import signals as S
-from ..functions.text import all_hits, js, snippet, test, trim_all
+from ..functions.text import all_hits, around, snippet, test, trim_all
 
 KEY = ["ext_id", "path"]
 NAME = r"[A-Za-z_$][A-Za-z0-9_$.]*"
@@ -24,42 +30,96 @@ def code_lines(files: DataFrame, code: str = "code") -> DataFrame:
         *keep, (F.col("pos") + 1).alias("line"), "text")
 
 
+# A line goes on if it ends with one of these, or the next begins with one of those.
+GOES_ON, CONTINUES = r"[(\[,+=&|?][ \t\r]*", r"[ \t]*[.)]"
+_NUMBER, _JOIN = "\x02", "\x0B"  # behind a line's number; where lines were joined
+
+
+def logical_lines(files: DataFrame, code: str = "code") -> DataFrame:
+    """Lines as ``code_lines``, those that go on joined at the first; joints are kept as marks."""
+    keep = [c for c in files.columns if c != code]
+    clean = F.translate(code, _NUMBER + _JOIN, "  ")
+    numbered = F.array_join(F.transform(F.split(clean, "\n", -1), lambda x, i: F.concat((i + 1).cast("string"), F.lit(_NUMBER), x)), "\n")
+    joined = F.regexp_replace(numbered, rf"({GOES_ON})\n[0-9]+\x02", "$1" + _JOIN)
+    joined = F.regexp_replace(joined, rf"\n[0-9]+\x02({CONTINUES})", _JOIN + "$1")
+    rows = files.select(*keep, F.explode(F.split(joined, "\n", -1)).alias("piece"))
+    return rows.select(*keep, F.substring_index("piece", _NUMBER, 1).cast("int").alias("line"),
+                       F.substr("piece", F.instr("piece", _NUMBER) + 1).alias("text"))
+
+
 def statements(lines: DataFrame) -> DataFrame:
-    """Statements of the lines that can hold code at all. Prose, data and blank lines
-    stop here, before the wider extraction."""
-    keep = [c for c in lines.columns if c != "text"]
+    """Statements of the logical lines that can hold code at all. Prose, data and blank lines
+    stop here, before the wider extraction. ``line`` is the one where the statement begins."""
+    keep = [c for c in lines.columns if c not in ("line", "text")]
     codelike = lines.filter(F.col("text").rlike(r"[(=\"'`\[]|[A-Za-z0-9_$)]\.[A-Za-z_$]"))
+    # possessive, so that a statement of any length needs no regex stack
+    part = F.regexp_extract_all("text", F.lit(r"((?:\"[^\"]*\"|'[^']*'|`[^`]*`|[^;])++)"), F.lit(0))
+    rows = codelike.select(*keep, "line", F.col("text").contains(_JOIN).alias("joined"), F.posexplode(part).alias("stmt_no", "part"))
+    marks = lambda text: F.length(text) - F.length(F.replace(text, F.lit(_JOIN), F.lit("")))
+    before = Window.partitionBy(*keep, "line").orderBy("stmt_no").rowsBetween(Window.unboundedPreceding, -1)
+    lead = marks(F.regexp_extract("part", r"^\s*", 0))
+    moved = rows.filter("joined").withColumn("line", F.col("line") + F.coalesce(F.sum(marks(F.col("part"))).over(before), F.lit(0)).cast("int") + lead)
     return (
-        codelike.select(*keep, snippet(F.col("text")).alias("snippet"),
-                        F.posexplode(F.split("text", ";")).alias("stmt_no", "stmt"))
-        .withColumn("stmt", trim_all(F.col("stmt")))
-        .filter(F.col("stmt") != "")
+        rows.filter("NOT joined").unionByName(moved)
+        .withColumn("stmt", trim_all(F.translate("part", _JOIN, " "))).filter(F.col("stmt") != "")
+        .select(*keep, "line", snippet(F.col("stmt")).alias("snippet"), "stmt_no", "stmt")
     )
 
 
-def call_sites(stmts: DataFrame) -> DataFrame:
-    """One row per ``name(``: callee, is_new and the argument text.
+_TOKEN = re.compile(r"\"[^\"]*\"|'[^']*'|`[^`]*`|[()]")
+_NAME_CHARS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_$.")
+_WORD_CHARS = _NAME_CHARS - {"$", "."}
+_BLANK = " \t\r\n\f\v"
+
 
-    Cutting at ``(`` gives exact positions; a name is read backwards from the cut, so a
-    long literal cannot make the match quadratic. Argument text ends where the call
-    result is used (``).``).
+def calls_of(stmt: str) -> list[tuple[int, str, bool, str]]:
+    """(number, callee, is_new, arguments) of every ``name(`` outside literals.
+
+    Arguments end at the matching bracket, or with the statement. One pass with a stack; a
+    name is read backwards from its bracket.
     """
+    calls, open_, before, number = [], [], 0, 0
+    for token in _TOKEN.finditer(stmt):
+        at = token.start()
+        if stmt[at] == "(":
+            end = at
+            while end > before and stmt[end - 1] in _BLANK:
+                end -= 1
+            start = end
+            while start > before and stmt[start - 1] in _NAME_CHARS:
+                start -= 1
+            while start < end and (stmt[start].isdigit() or stmt[start] == "."):
+                start += 1
+            open_.append(None)
+            if start < end and stmt[start:end] not in P.KEYWORDS:
+                left = start
+                while left > before and stmt[left - 1] in _BLANK:
+                    left -= 1
+                new = left < start and left - before >= 3 and stmt[left - 3:left] == "new" and (left - before == 3 or stmt[left - 4] not in _WORD_CHARS)
+                open_[-1] = len(calls)
+                calls.append([number, stmt[start:end], new, at + 1, len(stmt)])
+            before, number = at + 1, number + 1
+        elif stmt[at] == ")" and open_:
+            call = open_.pop()
+            if call is not None:
+                calls[call][4] = at
+    return [(number, name, new, stmt[start:end]) for number, name, new, start, end in calls]
+
+
+def call_sites(stmts: DataFrame) -> DataFrame:
+    """One row per ``name(``: callee, is_new and the text of its arguments."""
     keep = [c for c in stmts.columns if c != "stmt"]
-    backwards = F.reverse("head")
-    cuts = (
-        stmts.filter(F.col("stmt").contains("("))
-        .withColumn("parts", F.split("stmt", r"\(", -1))
-        .select(*keep, "stmt", F.size("parts").alias("n_parts"), F.posexplode("parts").alias("call_no", "head"))
-        .filter(F.col("call_no") < F.col("n_parts") - 1)
-        .withColumn("callee", F.reverse(F.regexp_extract(backwards, r"^\s*([A-Za-z0-9_$.]*[A-Za-z_$])", 1)))
-        .filter((F.col("callee") != "") & ~F.col("callee").isin(P.KEYWORDS))
-    )
-    rest = F.call_function("substring_index", F.col("stmt"), F.lit("("), F.col("call_no") + 1 - F.col("n_parts"))
-    return cuts.select(
-        *keep, "call_no", "callee",
-        F.rlike("head", F.lit(js(r"\bnew\s+[A-Za-z_$][A-Za-z0-9_$.]*\s*$"))).alias("is_new"),
-        F.element_at(F.split(rest, r"\)\s*\."), 1).alias("args"),
-    )
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(i, *call) for i, stmt in enumerate(batch["stmt"].to_pylist()) for call in calls_of(stmt)]
+            at = pa.array([f[0] for f in found], pa.int64())
+            kinds = [pa.int32(), pa.string(), pa.bool_(), pa.string()]
+            yield pa.RecordBatch.from_arrays([*[batch[c].take(at) for c in keep], *[pa.array([f[i + 1] for f in found], k) for i, k in enumerate(kinds)]],
+                                             [*keep, "call_no", "callee", "is_new", "args"])
+
+    added = [StructField("call_no", IntegerType()), StructField("callee", StringType()), StructField("is_new", BooleanType()), StructField("args", StringType())]
+    return stmts.filter(F.col("stmt").contains("(")).mapInArrow(scan, StructType([*[stmts.schema[c] for c in keep], *added]))
 
 
 def first_literal(args: Column) -> Column:
@@ -115,9 +175,8 @@ def literals(lines: DataFrame) -> DataFrame:
     keep = [c for c in lines.columns if c != "text"]
     return (
         lines.filter(F.col("text").rlike("[\"'`]"))
-        .select(*keep, snippet(F.col("text")).alias("snippet"),
-                F.explode(F.regexp_extract_all("text", F.lit(r"\"[^\"]*\"|'[^']*'|`[^`]*`"), F.lit(0))).alias("quoted"))
-        .select(*keep, "snippet", (F.substring("quoted", 1, 1) == "`").alias("is_template"),
+        .select(*keep, "text", F.explode(F.regexp_extract_all("text", F.lit(r"\"[^\"]*\"|'[^']*'|`[^`]*`"), F.lit(0))).alias("quoted"))
+        .select(*keep, around(F.col("text"), F.col("quoted")).alias("snippet"), (F.substring("quoted", 1, 1) == "`").alias("is_template"),
                 F.substring(F.col("quoted"), F.lit(2), F.length("quoted") - 2).alias("value"))
     )
 
@@ -142,7 +201,8 @@ def code_urls(lines: DataFrame) -> DataFrame:
         F.expr("cast(array() as array<string>)"))
     return (
         lines.filter(text.contains("http") | text.contains("("))
-        .select(*keep, snippet(text).alias("context"), F.explode(F.concat(found, built)).alias("url"))
+        .select(*keep, "text", F.explode(F.concat(found, built)).alias("url"))
+        .select(*keep, around(text, F.col("url")).alias("context"), "url")
     )
 
 

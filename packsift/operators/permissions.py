@@ -43,13 +43,9 @@ def permission_risk(permissions: DataFrame) -> DataFrame:
     )
 
 
-def used_permissions(api_refs: DataFrame, signals: DataFrame) -> DataFrame:
-    """Permission roots exercised in code: API references plus signals of large files."""
-    return (
-        api_refs.select("ext_id", F.col("root").alias("permission"))
-        .unionByName(signals.filter(F.col("root").isNotNull()).select("ext_id", F.col("root").alias("permission")))
-        .distinct()
-    )
+def used_permissions(api_refs: DataFrame) -> DataFrame:
+    """Permission roots exercised in code."""
+    return api_refs.select("ext_id", F.col("root").alias("permission")).distinct()
 
 
 def permission_use(manifests: DataFrame, used: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -36,7 +36,7 @@ def parse_reviews(reviews: DataFrame, text: str = "text") -> DataFrame:
     are null.
     """
     raw = F.col(text)
-    purpose = F.substring(F.trim(F.regexp_extract(raw, r"(?im)^PROPOSITO\s*:[ \t]*(.+)$", 1)), 1, 200)
+    purpose = F.trim(F.regexp_extract(raw, r"(?im)^PROPOSITO\s*:[ \t]*(.+)$", 1))
     body = raw
     for label in ("PROPOSITO", "VEREDICTO", "RIESGO"):
         body = F.regexp_replace(body, rf"(?im)^{label}\s*:.*$", "")

@@ -57,26 +57,21 @@ def top_reasons(findings: DataFrame, limit: int = K.REASON_LIMIT) -> DataFrame:
     return top_rows(strong, ["ext_id"], [F.col("ord")], limit)
 
 
-# Spark limits window groups before the shuffle up to this many rows (its default threshold).
-_GROUP_LIMIT = 1000
 _SALTS = 64
 
 
 def top_rows(rows: DataFrame, key: list[str], order: list[Column], limit: int, rank: str = "rank") -> DataFrame:
     """First rows per key.
 
-    Spark limits each group before the shuffle (WindowGroupLimit), so a hot key sends
-    ``limit`` rows per task. Larger limits are first taken within salted parts of each key:
-    no task then sorts more than one part of a hot key, and the result is the same.
+    The limit is first taken within salted parts of each key, so no task sorts more than one
+    part of a hot key, whatever the limit; then within the key.
     """
     def first(source: DataFrame, by: list[str], name: str) -> DataFrame:
         window = Window.partitionBy(*by).orderBy(*order)
         return source.withColumn(name, F.row_number().over(window)).filter(F.col(name) <= limit)
 
-    if limit > _GROUP_LIMIT:
-        salted = rows.withColumn("salt", F.pmod(F.xxhash64(*rows.columns), F.lit(_SALTS)))
-        rows = first(salted, [*key, "salt"], "part_rank").drop("salt", "part_rank")
-    return first(rows, key, rank)
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(*rows.columns), F.lit(_SALTS)))
+    return first(first(salted, [*key, "salt"], "part_rank").drop("salt", "part_rank"), key, rank)
 
 
 def report_score(packages: DataFrame, verdicted: DataFrame, reviews: DataFrame | None = None) -> DataFrame:

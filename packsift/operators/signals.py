@@ -1,4 +1,4 @@
-"""File-level signals: flags, raw-text signals, encoded literals, size routing."""
+"""File-level signals: flags, raw-text signals, encoded literals."""
 
 from __future__ import annotations
 
@@ -8,19 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import domains as D
-from ..catalog import findings as K
 from ..catalog import signals as S
 from ..functions.text import (
     any_of, count_hits, decode_base64, entropy, is_minified, is_obfuscated, js, line_at, strip_comments, test, trim_all,
 )
 
 
-def split_by_size(files: DataFrame, limit: int = S.LARGE_FILE_CHARS) -> tuple[DataFrame, DataFrame]:
-    """(files for full analysis, files for the text-only path)."""
-    large = F.length("raw") > limit
-    return files.filter(~large), files.filter(large)
-
-
 def usage_flags(code: Column) -> list[Column]:
     return [
         test(code, S.USES_FETCH).alias("uses_fetch"), test(code, S.USES_XHR).alias("uses_xhr"),
@@ -28,25 +21,20 @@ def usage_flags(code: Column) -> list[Column]:
     ]
 
 
-def describe_files(files: DataFrame, limit: int = S.LARGE_FILE_CHARS) -> DataFrame:
-    """Per-file record in one pass over the text: cleaned code, flags, line count, size
-    route, traces of social platforms and the characters a reader would be shown.
+def describe_files(files: DataFrame) -> DataFrame:
+    """Per-file record in one pass over the text: cleaned code, flags, line count, traces of
+    social platforms and the characters a reader would be shown.
 
-    A large file is marked minified and skips the statement-level work; ``is_obfuscated``
-    follows the decoder: suspicion alone is not enough, one literal must decode. Raw text is
-    kept only where the text-only path needs it.
+    ``is_obfuscated`` follows the decoder: suspicion alone is not enough, one literal must
+    decode. Files of every size are treated alike.
     """
     raw, code = F.col("raw"), F.col("code")
-    tested = files.select("ext_id", "path", "raw", (F.length(raw) > limit).alias("skipped_syntax"),
-                          is_minified(raw).alias("minified"), is_obfuscated(raw).alias("indicated"))
+    tested = files.select("ext_id", "path", "raw", is_minified(raw).alias("is_minified"), is_obfuscated(raw).alias("indicated"))
     cleaned = tested.select(
-        "ext_id", "path", "skipped_syntax", F.when(F.col("skipped_syntax"), raw).alias("raw"),
-        (~F.col("skipped_syntax") & (F.col("indicated") | F.col("minified")) & has_decodable(raw)).alias("is_obfuscated"),
-        (F.col("skipped_syntax") | F.col("minified")).alias("is_minified"),
+        "ext_id", "path", ((F.col("indicated") | F.col("is_minified")) & has_decodable(raw)).alias("is_obfuscated"), "is_minified",
         F.size(F.split(raw, "\n")).alias("line_count"), strip_comments(raw).alias("code"))
-    shown = F.array_join(F.slice(F.split(trim_all(code), "\n"), 1, K.LINES_PER_FILE), "\n")
     return cleaned.select("*", *usage_flags(code), platform_bits(code).alias("platform_bits"),
-                          F.length(shown).cast("bigint").alias("shown_chars"))
+                          F.length(trim_all(code)).cast("bigint").alias("shown_chars"))
 
 
 def platform_bits(code: Column) -> Column:
@@ -70,7 +58,7 @@ def grep_signals(files: DataFrame) -> DataFrame:
         first = F.regexp_extract(raw, js(pattern), 0)
         title = F.concat(F.lit(f"[{severity.upper()}] {label}"),
                          F.when(hits > 1, F.concat(F.lit(" ("), hits.cast("string"), F.lit("x)"))).otherwise(F.lit("")))
-        at = F.instr(raw, first)
+        at = F.regexp_instr(raw, F.lit(js(pattern)))
         start = F.greatest(at - 20, F.lit(1))
         around = F.substring(raw, start, at + F.length(first) + 60 - start)
         return F.when(
@@ -108,7 +96,7 @@ def _from_char_codes(body: Column) -> Column:
 
 def _from_eval(body: Column) -> Column:
     inner = _inner(body)
-    return F.when((F.length(inner) < S.EVAL_LIMIT) & ~inner.contains("eval"), inner)
+    return F.when(~inner.contains("eval"), inner)
 
 
 # --- fixed values: method, pattern, group; with the decoder of each -----------------------

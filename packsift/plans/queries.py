@@ -14,24 +14,25 @@ from ..functions import paths, sqlfuncs, urls
 from ..functions.text import entropy, is_minified, is_obfuscated, string_array
 from ..operators import categories, correlate, dataflow, domains, evaluate, findings, graph, lexical, narrate, patterns
 from ..operators import permissions, reputation, review, scoring, signals
+from ..session import on_drop
 from ..sources import manifests, stored
 from ..streaming import jobs
 from .corpus import Corpus, read, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_corpora: dict[tuple[str, str], Corpus] = {}
+_corpora: dict[tuple, Corpus] = {}
 
 
 def corpus(spark: SparkSession, folder: str) -> Corpus:
-    """The corpus tables of a folder, staged once per session."""
-    key = (spark.sparkContext.applicationId, folder)
+    """The corpus tables of a folder, staged once per session and for the files that it holds."""
+    files = tuple(sorted(f for t in ("documents", "pages", "customer", "events") for f in read(spark, folder, t).inputFiles()))
+    key = (spark.sparkContext.applicationId, folder, files)
     if key not in _corpora:
         _corpora[key] = Corpus(spark, folder)
     return _corpora[key]
 
 
-def forget_corpora() -> None:
-    _corpora.clear()
+on_drop(_corpora.clear)  # staged tables go, so nothing may remember them
 
 
 def _plain(df: DataFrame) -> DataFrame:
@@ -151,7 +152,8 @@ def domain_categories(spark, folder):
         F.concat(F.lit("data"), F.col("page_id").cast("string"), F.lit(".gov.co")), F.lit("cdn.oxylabs.io"),
         F.lit("amazon.co.uk"), F.lit("app.run.app"))).alias("domain"))
     named = rows.withColumn("name", F.when(F.col("page_id") % 2 == 0, "Example Site Helper").otherwise("Thth Reader")).withColumn(
-        "author", F.when(F.col("page_id") % 3 == 0, F.lit("Amazonia Team")))
+        "author", F.when(F.col("page_id") % 3 == 0, F.lit("Amazonia Team"))).withColumn(
+        "name", F.when(F.col("page_id") % 5 == 4, "广告助手").otherwise(F.col("name")))
     return domains.classify(named).select("page_id", "domain", "category", "platform", "priority").distinct()
 
 
@@ -218,7 +220,7 @@ def file_roles(c: Corpus):
 
 @audit_query("file_flags")
 def file_flags(c: Corpus):
-    """Usage, obfuscation and size flags per script."""
+    """Usage, obfuscation and minification flags per script."""
     return c.files.drop("role", "platform_bits", "shown_chars")
 
 
@@ -253,7 +255,7 @@ def cleaned_code(c: Corpus):
 @audit_query("code_line_counts")
 def code_line_counts(c: Corpus):
     """Numbered lines: count, last number and characters per script."""
-    return c.scanned_lines.groupBy("ext_id", "path").agg(
+    return c.lines.groupBy("ext_id", "path").agg(
         F.count("*").alias("n_lines"), F.max("line").alias("last_line"), F.sum(F.length("text")).alias("n_chars"))
 
 
@@ -280,8 +282,8 @@ def text_signals(c: Corpus):
 
 @audit_query("large_file_signals")
 def large_file_signals(c: Corpus):
-    """Signals of the scripts on the text-only path."""
-    return c.large_signals
+    """Raw-text signals of every script but libraries, whatever its size, with its role."""
+    return c.text_signals
 
 
 @audit_query("decoded_literals")
@@ -481,7 +483,7 @@ def correlation_flags(c: Corpus):
 
 @audit_query("platform_traces")
 def platform_traces(c: Corpus):
-    return correlate.platform_counts(c.base_findings, c.large_signals, c.files)
+    return correlate.platform_counts(c.base_findings, c.files)
 
 
 @audit_query("sink_files")
@@ -682,8 +684,14 @@ def _metrics(c: Corpus) -> DataFrame:
     score = scoring.report_score(c.ext_ids, c.verdicted)
     rows = evaluate.metric_rows(c.ext_ids, c.verdicted, c.states, c.verdict, categories.answers(c.states), c.domain_findings, idle, score)
     n = F.regexp_extract("ext_id", r"(\d+)$", 1).cast("bigint")
-    return rows.withColumn("status", F.when(n % 7 == 6, "failed").otherwise("completed")).withColumn(
-        "duration_s", (n % 50) * 2.5 + 158.0).withColumn("batch", F.floor(n / 10) + 1)
+    # the job of a package: the events of the user of its number; a last error stands for a failure
+    jobs_ = c.table("events").groupBy(F.col("user_id").alias("n")).agg(
+        F.max(F.struct("ts", "event_id", "event_type")).alias("last"),
+        F.round(F.sum("value"), 3).alias("duration_s")).select("n", F.col("last.event_type").alias("event"), "duration_s")
+    named = rows.withColumn("n", n).join(jobs_, "n", "left")
+    return named.withColumns({
+        "status": F.when(F.col("event") == "error", "failed").otherwise("completed"), "duration_s": F.coalesce("duration_s", F.lit(0.0)),
+        "batch": F.floor(F.col("n") / 10) + 1}).drop("n", "event")
 
 
 @audit_query("batch_metrics")
@@ -727,7 +735,7 @@ def finding_totals(c: Corpus):
 
 @query("detection_rate")
 def detection_rate(spark, folder):
-    """Detection and false-negative rate of the file-level flag against labelled documents."""
+    """Detection and false-negative rate of the package verdict against labelled documents."""
     c = corpus(spark, folder)
     n = F.col("doc_id")
     files = read(spark, folder, "labels").select(

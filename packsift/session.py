@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,8 +54,18 @@ def staged_path(spark: SparkSession) -> str:
     return f"{_staged_root(spark)}/{uuid.uuid4().hex}"
 
 
+_on_drop: list[Callable[[], None]] = []
+
+
+def on_drop(forget: Callable[[], None]) -> None:
+    """Call something when staged tables are deleted."""
+    _on_drop.append(forget)
+
+
 def drop_staged(spark: SparkSession) -> None:
     """Delete the staged tables of this application, at the end of a job."""
+    for forget in _on_drop:
+        forget()
     path = spark._jvm.org.apache.hadoop.fs.Path(_staged_root(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 

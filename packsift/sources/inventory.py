@@ -13,11 +13,10 @@ from ..functions.text import is_minified
 def inventory(files: DataFrame) -> DataFrame:
     """Type, size, line count and minified flag per file.
 
-    Expects ext_id, path, size_bytes and text (null for binary or oversized files).
+    Expects ext_id, path, size_bytes and text (null for binary files).
     """
     kind = resource_type(F.col("path"))
-    text = F.when(kind.isin("javascript", "html", "json", "css")
-                  & (F.col("size_bytes") <= S.LARGE_FILE_CHARS), F.col("text"))
+    text = F.when(kind.isin("javascript", "html", "json", "css"), F.col("text"))
     return (
         files.filter(~F.col("path").rlike(S.SKIPPED_DIRS))
         .select(

@@ -10,7 +10,7 @@ from ..functions.text import line_at
 
 # Fields whose shape differs between manifest versions stay text and are read on use.
 MANIFEST_SCHEMA = """
-manifest_version int, name string, version string, description string, author string,
+manifest_version string, name string, version string, description string, author string,
 default_locale string, permissions array<string>, optional_permissions array<string>,
 host_permissions array<string>,
 content_scripts array<struct<matches: array<string>, js: array<string>, css: array<string>, run_at: string>>,
@@ -46,7 +46,7 @@ def parse_manifests(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     gather = lambda part: F.flatten(F.transform(
         F.coalesce(scripts, F.from_json(F.lit("[]"), "array<struct<matches: array<string>, js: array<string>, css: array<string>, run_at: string>>")),
         lambda s: _array(s[part])))
-    version = F.when(F.col("m.manifest_version") == 3, 3).otherwise(2)
+    version = F.when(F.trim("m.manifest_version") == "3", 3).otherwise(2)
     manifests = m.select(
         "ext_id", version.alias("version"),
         F.coalesce("m.name", F.lit("")).alias("name"), F.coalesce("m.version", F.lit("")).alias("ext_version"),

@@ -50,7 +50,7 @@ SELECT DISTINCT page_id, target, {resolve("'docs/en'", 'target')} AS resolved, {
 _ALL = sorted(r[0] for r in D.DOMAIN_ROWS)
 SQL["domain_categories"] = f"""
 SELECT DISTINCT page_id, domain, category, platform, ({priority('category')})::BIGINT AS priority FROM ({classified(f'''(
-  SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'Example Site Helper' ELSE 'Thth Reader' END AS name, CASE WHEN page_id % 3 = 0 THEN 'Amazonia Team' END AS author,
+  SELECT page_id, CASE WHEN page_id % 5 = 4 THEN '广告助手' WHEN page_id % 2 = 0 THEN 'Example Site Helper' ELSE 'Thth Reader' END AS name, CASE WHEN page_id % 3 = 0 THEN 'Amazonia Team' END AS author,
     unnest([host, pick, 'www.' || pick, 'x.' || pick, 'data' || page_id || '.gov.co', 'cdn.oxylabs.io', 'amazon.co.uk', 'app.run.app']) AS domain
   FROM (SELECT page_id, {host('url')} AS host, {qlist(_ALL)}[page_id % {len(_ALL)} + 1] AS pick FROM pages))''', 's.page_id, s.domain')})"""
 SQL["store_category"] = f"""
@@ -68,7 +68,7 @@ SQL["manifest_facts"] = "SELECT ext_id, version::BIGINT AS version, name, ext_ve
 SQL["manifest_rejects"] = "SELECT ext_id || '-cut' AS ext_id, 'manifest is not a JSON object' AS reject FROM c_mtext WHERE NOT json_valid(left(text, 100))"
 SQL["locale_messages"] = "SELECT ext_id, locale, key, message FROM c_messages"
 SQL["file_roles"] = "SELECT ext_id, path, role, base_role FROM c_files"
-SQL["file_flags"] = "SELECT ext_id, path, skipped_syntax, is_obfuscated, is_minified, line_count::BIGINT AS line_count, uses_fetch, uses_xhr, uses_eval, uses_dom_write FROM c_files"
+SQL["file_flags"] = "SELECT ext_id, path, is_obfuscated, is_minified, line_count::BIGINT AS line_count, uses_fetch, uses_xhr, uses_eval, uses_dom_write FROM c_files"
 SQL["text_predicates"] = f"SELECT ext_id, path, {obfuscated('raw')} AS indicated, {minified('raw')} AS minified, round({entropy('raw')}, 6) AS entropy FROM c_scripts"
 SQL["character_entropy"] = """
 SELECT source, id, part, round(-sum(n / total * log2(n / total)), 6) AS entropy FROM (SELECT source, id, part, count(*)::DOUBLE AS n, any_value(total)::DOUBLE AS total FROM (
@@ -77,7 +77,7 @@ SELECT source, id, part, round(-sum(n / total * log2(n / total)), 6) AS entropy
   GROUP BY source, id, part, ch) GROUP BY source, id, part"""
 SQL["obfuscated_packages"] = "SELECT ext_id, count(*) FILTER (WHERE is_obfuscated) AS obfuscated_files, bool_or(is_obfuscated) AS has_obfuscation FROM c_files GROUP BY ext_id"
 SQL["cleaned_code"] = "SELECT ext_id, path, md5(code) AS code_md5, len(string_split(code, chr(10))) AS n_lines FROM c_files WHERE code IS NOT NULL"
-SQL["code_line_counts"] = "SELECT ext_id, path, count(*) AS n_lines, max(line) AS last_line, sum(len(text))::BIGINT AS n_chars FROM c_scan GROUP BY ext_id, path"
+SQL["code_line_counts"] = "SELECT ext_id, path, count(*) AS n_lines, max(line) AS last_line, sum(len(text))::BIGINT AS n_chars FROM c_lines GROUP BY ext_id, path"
 SQL["code_urls"] = "SELECT ext_id, path, line, url, context, url_class, host FROM c_urls"
 SQL["code_domains"] = "SELECT ext_id, path, line, domain FROM c_codedomains"
 SQL["api_references"] = "SELECT * FROM c_api"
@@ -231,7 +231,7 @@ _RELEVANCE = f"""
 SQL["source_budget"] = f"""
 SELECT *, least(size, {K.SOURCE_BUDGET} - before)::BIGINT AS taken FROM (
   SELECT *, (sum(size) OVER (PARTITION BY ext_id ORDER BY relevance DESC, path ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS before FROM (
-    SELECT ext_id, path, role, ({_RELEVANCE})::BIGINT AS relevance, len(array_to_string(string_split(regexp_replace(code, '^\\s+|\\s+$', '', 'g'), chr(10))[1:{K.LINES_PER_FILE}], chr(10))) AS size
+    SELECT ext_id, path, role, ({_RELEVANCE})::BIGINT AS relevance, len(regexp_replace(code, '^\\s+|\\s+$', '', 'g')) AS size
     FROM c_files f WHERE role <> 'library' AND code IS NOT NULL) WHERE size > 0) WHERE before < {K.SOURCE_BUDGET}"""
 SQL["evidence_lines"] = f"""
 SELECT ext_id, 'package' AS section, '0' AS seq, name AS fact FROM c_manifests UNION ALL SELECT ext_id, 'finding', rank::VARCHAR, detail FROM ({_REVIEW})
@@ -253,13 +253,14 @@ FROM (SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(regexp_
 SQL["json_recovery"] = "SELECT event_id, CASE WHEN event_id % 5 = 4 THEN NULL ELSE json_extract_string(props, '$.k')::BIGINT END AS k FROM events"
 
 _N = "regexp_extract(ext_id, '([0-9]+)$', 1)::BIGINT"
+_JOBS = "(SELECT user_id AS n, arg_max(event_type, (ts, event_id)) AS event, round(sum(value), 3) AS duration_s FROM events GROUP BY user_id)"
 _METRICS = f"""
 SELECT p.ext_id, coalesce(f.n_confirmed, 0) AS n_confirmed, coalesce(f.n_critical_findings, 0) AS n_critical_findings, coalesce(f.n_high_findings, 0) AS n_high_findings,
   coalesce(f.n_medium_findings, 0) AS n_medium_findings, coalesce(f.n_low_findings, 0) AS n_low_findings, c.* EXCLUDE (ext_id), v.verdict, v.level, a.* EXCLUDE (ext_id),
   coalesce(d.n_sensitive_domains, 0) AS n_sensitive_domains, coalesce(d.n_unknown_domains, 0) AS n_unknown_domains, coalesce(d.sensitive_list, '') AS sensitive_list,
   coalesce(u.n_unused, 0) AS n_unused, coalesce(u.n_unused_high, 0) AS n_unused_high, coalesce(u.unused_list, '') AS unused_list, s.report_score, s.report_level,
-  CASE WHEN p.ext_no % 7 = 6 THEN 'failed' ELSE 'completed' END AS status, (p.ext_no % 50) * 2.5::DOUBLE + 158.0 AS duration_s, p.ext_no // 10 + 1 AS batch
-FROM c_packages p LEFT JOIN (SELECT ext_id, count(*) AS n_confirmed, {', '.join(f"count(*) FILTER (WHERE severity = {q(s)}) AS n_{s}_findings" for s in ('critical', 'high', 'medium', 'low'))} FROM c_confirmed GROUP BY ext_id) f ON f.ext_id = p.ext_id
+  CASE WHEN j.event = 'error' THEN 'failed' ELSE 'completed' END AS status, coalesce(j.duration_s, 0) AS duration_s, p.ext_no // 10 + 1 AS batch
+FROM c_packages p LEFT JOIN {_JOBS} j ON j.n = p.ext_no LEFT JOIN (SELECT ext_id, count(*) AS n_confirmed, {', '.join(f"count(*) FILTER (WHERE severity = {q(s)}) AS n_{s}_findings" for s in ('critical', 'high', 'medium', 'low'))} FROM c_confirmed GROUP BY ext_id) f ON f.ext_id = p.ext_id
 LEFT JOIN (SELECT ext_id, {', '.join(f"max(state) FILTER (WHERE risk = {q(c[0])}) AS cat_{c[0]}" for c in C.CATEGORIES)} FROM c_states GROUP BY ext_id) c ON c.ext_id = p.ext_id
 LEFT JOIN c_verdict v ON v.ext_id = p.ext_id LEFT JOIN c_answers a ON a.ext_id = p.ext_id
 LEFT JOIN (SELECT ext_id, count(*) FILTER (WHERE category <> 'unknown') AS n_sensitive_domains, count(*) FILTER (WHERE category = 'unknown') AS n_unknown_domains,
@@ -268,9 +269,9 @@ LEFT JOIN (SELECT ext_id, count(*) AS n_unused, count(*) FILTER (WHERE category
   array_to_string(list_sort(list_distinct(list(permission)))[1:8], ', ') AS unused_list FROM ({_UNUSED}) GROUP BY ext_id) u ON u.ext_id = p.ext_id
 LEFT JOIN c_reportscore s ON s.ext_id = p.ext_id"""
 SQL["batch_metrics"] = _METRICS
-SQL["batch_summary"] = """
+SQL["batch_summary"] = f"""
 SELECT batch, count(*) AS total, count(*) FILTER (WHERE done) AS completed, count(*) FILTER (WHERE NOT done) AS failed, round(avg(d) FILTER (WHERE done), 1) AS mean_duration_s
-FROM (SELECT ext_no // 10 + 1 AS batch, ext_no % 7 <> 6 AS done, (ext_no % 50) * 2.5::DOUBLE + 158.0 AS d FROM c_packages) GROUP BY ROLLUP (batch)"""
+FROM (SELECT ext_no // 10 + 1 AS batch, coalesce(event, '') <> 'error' AS done, coalesce(duration_s, 0) AS d FROM c_packages LEFT JOIN {_JOBS} ON n = ext_no) GROUP BY ROLLUP (batch)"""
 SQL["verdict_distribution"] = f"SELECT batch, verdict, level, count(*) AS n FROM (SELECT *, {_N} // 10 + 1 AS batch FROM c_verdict) GROUP BY ROLLUP (batch, verdict, level)"
 SQL["category_cross_table"] = "SELECT risk, " + ", ".join(f"count(*) FILTER (WHERE state = {q(s)}) AS n_{s}" for s in ("critical", "suspicious", "capability", "none")) + ", count(*) AS n_total FROM c_states GROUP BY risk"
 SQL["answer_cross_table"] = "SELECT answer, " + ", ".join(f"count(*) FILTER (WHERE value = {q(s)}) AS n_{s}" for s in ("yes", "possible", "no")) + (

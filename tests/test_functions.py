@@ -42,6 +42,8 @@ def test_url_classes(spark):
 
 def test_minified_boundaries(spark):
     dense = "".join(chr(0x100 + i % 120) for i in range(501))  # 120 distinct characters: 6.9 bits
+    # entropy is that of the whole text
+    assert values(spark, [("a" * 5000 + "\n" + dense * 30,)], "c string", text.is_minified(F.col("c"))) == [(True,)]
     rows = [("word " * 20 + "x" * 4980,), ("word " * 20 + "x" * 4900,), (dense,), (dense[:500],), ("a=1;" * 9 + "long",), ("a = something longer here;",),
             ("\\x41" * 101,), ("\\x41" * 100,), ("",)]
     got = [r[0] for r in values(spark, rows, "c string", text.is_minified(F.col("c")))]
@@ -58,13 +60,6 @@ def test_obfuscation_boundary(spark):
     assert [r[0] for r in values(spark, rows, "c string", text.is_obfuscated(F.col("c")))] == [False, True]
 
 
-def test_size_routing(spark):
-    limit = 2 * 1024 * 1024
-    df = spark.createDataFrame([("at", "x" * limit), ("over", "x" * (limit + 1))], "path string, raw string")
-    small, large = signals.split_by_size(df)
-    assert [r.path for r in small.collect()] == ["at"] and [r.path for r in large.collect()] == ["over"]
-
-
 def test_word_edges_are_ascii(spark):
     rows = [("éfetch(",), ("xfetch(",), ("fetch (",)]
     assert [r[0] for r in values(spark, rows, "c string", text.test(F.col("c"), r"\bfetch\s*\("))] == [True, False, True]
