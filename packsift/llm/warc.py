@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, staged_path
+from .shared import small
 
 MIN_REVISIT = 100
 FILE_BYTES = 128 << 20  # a file is closed when it is as large as that
@@ -68,7 +69,7 @@ def write_warc(pages: DataFrame, folder: str | None = None, file_bytes: int = FI
     store, path = open_folder(folder)
     store.create_dir(path, recursive=True)
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    rows = pages.select("page_id", "url", "html").join(revisits(pages), "page_id", "left").select(
+    rows = pages.select("page_id", "url", "html").join(small(revisits(pages)), "page_id", "left").select(
         "page_id", "url", payload.alias("body"), F.sha2(payload, 256).alias("digest"), "refers_to")
 
     def run(batches: Iterator[pa.RecordBatch]):
