@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .shared import chunks
 
 KINDS = ["assign", "access", "hex"]
@@ -165,7 +166,7 @@ def infer(docs: DataFrame, sample: int = SAMPLE) -> Grammar:
             rows = list(dict.fromkeys(rows))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], ["kind", "value"])
 
-    found = docs.select("text").mapInArrow(label, "kind string, value string").distinct()
+    found = cut_lineage(docs.select("text").mapInArrow(label, "kind string, value string").distinct())
     order = F.xxhash64("value")
     parts = [found.filter(F.col("kind") == k).orderBy(order, "value").limit(sample) for k in KINDS]
     rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).collect()
