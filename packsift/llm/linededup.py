@@ -168,7 +168,7 @@ def deduplicated(docs: DataFrame, min_words: int = 50) -> DataFrame:
     found = repeated_lines(docs, min_words).groupBy(*_KEY).agg(F.sort_array(F.collect_list("s")).alias("_gone"))
     found = cut_lineage(found.select(F.col("doc").alias("_doc"), F.col("h").alias("_h"), "_gone"))
     own = [c for c in ("doc_id", "text") if c in docs.columns]
-    rows = packed(docs, *own).withColumns(_document("_")).join(found, ["_doc", "_h"], "left")
+    rows = packed(docs, *own).withColumns(_document("_")).join(found.hint("shuffle_hash"), ["_doc", "_h"], "left")
     spoken = F.expr(f"filter(sequence(0, size(_lines) - 1), k -> _lines[k] rlike '{HAS_WORD}')".replace("\\", "\\\\"))
     kept = F.array_except(F.expr("sequence(0, size(_lines) - 1)"), F.expr("transform(_gone, k -> _spoken[k])"))
     cut = F.array_join(F.transform(kept, lambda k: F.col("_lines")[k]), "\n")
