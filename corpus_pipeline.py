@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from packsift.llm import decontaminate, jaccard, linededup, pieces, toxicity
 from packsift.llm.queries import PIECES
-from packsift.llm.shared import packed, unpacked
+from packsift.llm.shared import packed, small, unpacked
 from packsift.session import cut_lineage
 
 
@@ -41,7 +41,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = cut_lineage(jaccard.similar_groups(docs, 5, 80))
-    gone = cut_lineage(groups.filter("component_id <> doc_id").select("doc_id").distinct())
+    gone = small(groups.filter("component_id <> doc_id").select("doc_id").distinct())
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     # rows that repeat an id are copies of one document, unless they have no words
     again = cut_lineage(groups.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
@@ -53,7 +53,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def leak_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), 10)
-    gone = cut_lineage(found.filter("contaminated").select("doc_id").distinct())
+    gone = small(found.filter("contaminated").select("doc_id").distinct())
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -10,9 +10,12 @@ most ``n - overlap`` of the tokens below any bound. So a candidate must pass
 3. the exact intersection of whole sets.
 
 No group is expanded into all its pairs. Equal sets become one representative. In each bucket of the index one pivot is
-compared with all members first; its links give components. Only members of different components of one bucket are
-compared after that, so a large group of near copies costs a few comparisons per member, and no link between different
-components is missed.
+compared with all members first; its links give components, and only members of different components of one bucket are
+compared after that: in buckets of up to ``LARGE`` members directly, in larger ones by their differences to the pivot. The
+tokens in which V and U differ are those in one only of their differences to the pivot. So if V links with U, then either
+both link with the pivot, or their differences share tokens, at least half of what their sizes exceed the limit by. A second
+prefix index, over the differences in order 1 with places, finds those pairs. So a large group of near copies costs a few
+comparisons per member, and no link between different components is missed.
 
 Order 1 counts the documents of every shingle of the corpus. Shingles in ``HOT`` or more documents come last; the most
 frequent ``HOT_ROWS`` at most are marked (a bound for the broadcast). Which shingles are marked changes the work, never the links.
@@ -34,6 +37,7 @@ from ..session import cut_lineage
 from .shared import buffer, chunks, components, mix, small, words
 
 HOT, HOT_ROWS = 64, 1 << 20
+LARGE = 256  # rows of a bucket, from which on its members are compared by their differences to the pivot
 FLUSH = 2_000_000  # tokens that a task gathers before it passes them on
 GROUP = 8_000_000  # tokens counted together
 
@@ -48,7 +52,7 @@ def shingles(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
     data, at = buffer(texts)
     _, _, h, bounds = words(data, at, _INSIDE, _FOLD)
     rolled = h.copy()
-    for j in range(1, k):
+    for j in range(1, k if len(h) >= k else 0):
         rolled[: len(h) - j] = mix(rolled[: len(h) - j] * np.uint64(2 * j + 1) + h[j:])
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
         if b - a >= k:
@@ -122,6 +126,15 @@ def frequent(docs: DataFrame, k: int, total: int) -> np.ndarray:
     return np.sort(top["token"].to_numpy(np.uint64))
 
 
+def _rare_first(tokens: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Sorted tokens in order 1: those that are not marked as frequent first."""
+    if not len(hot) or not len(tokens):
+        return tokens
+    top = tokens >> np.uint64(16)
+    marked = hot[np.minimum(np.searchsorted(hot, top), len(hot) - 1)] == top
+    return np.concatenate([tokens[~marked], tokens[marked]])
+
+
 def prefixes(docs: DataFrame, k: int, percent: int, hot: np.ndarray) -> DataFrame:
     """doc_id, n, prefix under order 1, and the ends of the prefixes under orders 2 and 3 (32 bits a token)."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
@@ -132,12 +145,7 @@ def prefixes(docs: DataFrame, k: int, percent: int, hot: np.ndarray) -> DataFram
             n, first, second, third = [], [], [], []
             for s in shingles(batch["text"], k):
                 p = prefix_length(len(s), percent) if len(s) else 0
-                if len(hot) and p:
-                    top = s >> np.uint64(16)
-                    marked = hot[np.minimum(np.searchsorted(hot, top), len(hot) - 1)] == top
-                    head = np.concatenate([s[~marked][:p], s[marked]])[:p]
-                else:
-                    head = s[:p]
+                head = _rare_first(s, hot)[:p]
                 n.append(len(s))
                 first.append(head.astype(np.int64))
                 second.append(np.sort(np.partition(mix(s + np.uint64(17)), p - 1)[:p]) if p else s)
@@ -179,9 +187,13 @@ def agreeing(pairs: DataFrame, table: DataFrame, percent: int) -> DataFrame:
     return cut_lineage(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long"))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs whose whole sets are similar."""
+def compared(pairs: DataFrame, docs: DataFrame, k: int, percent: int, hot: np.ndarray) -> DataFrame:
+    """Pairs (a, b) with their whole sets: n (size of b), linked, d (tokens in one of both only) and ``diff``.
+
+    ``diff`` holds those of the d tokens, in order 1, among which b and a set linked to it must share one.
+    """
     ids = small(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def sets(batches):
         for batch in chunks(batches, "text"):
@@ -189,16 +201,28 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
 
     def run(batches):
         for batch in batches:
-            keep = []
+            n, linked, d, diffs = [], [], [], []
             for x, y in zip(batch["ta"].to_pylist(), batch["tb"].to_pylist()):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                same = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * same >= percent * (len(x) + len(y) - same))
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                diff = np.setxor1d(x, y, assume_unique=True)
+                same = (len(x) + len(y) - len(diff)) // 2
+                n.append(len(y))
+                linked.append(100 * same >= percent * (len(x) + len(y) - same))
+                d.append(len(diff))
+                most = 100 * len(y) // percent
+                diffs.append(_rare_first(diff, shared.value)[:len(y) + most - 2 * overlap_needed(len(y), most, percent) + 2].astype(np.int64))
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(n, pa.int64()), pa.array(linked, pa.bool_()), pa.array(d, pa.int64()), pa.array(diffs, pa.list_(pa.int64()))],
+                                             ["a", "b", "n", "linked", "d", "diff"])
 
     whole = cut_lineage(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, tokens binary"))
     side = lambda x: whole.select(F.col("doc_id").alias(x), F.col("tokens").alias(f"t{x}"))
-    return cut_lineage(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long").distinct())
+    return cut_lineage(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long, n long, linked boolean, d long, diff array<long>"))
+
+
+def _apart(percent: int) -> tuple[str, str]:
+    """SQL: the tokens that only one of two linked sets of sizes m and n may have; the tokens two differences must share."""
+    most = f"(m + n - 2 * ceil({percent} * (m + n) / {100 + percent}))"
+    return most, f"(d + e - {most}) / 2"
 
 
 def similar_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -208,33 +232,44 @@ def similar_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     sets = cut_lineage(facts.filter("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep")))
     total = facts.agg(F.sum("n")).collect()[0][0] or 0
     hot = frequent(docs, k, total)
-    reps = sets.select(F.col("rep").alias("doc_id"))
-    table = cut_lineage(prefixes(docs, k, percent, hot).filter("n > 0").join(reps, "doc_id", "left_semi"))
+    copies = facts.join(sets, ["s1", "s2", "n"]).filter("doc_id <> rep").select("doc_id").distinct()
+    copies = copies.join(sets.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti")  # an id with several texts may be both
+    table = cut_lineage(prefixes(docs, k, percent, hot).filter("n > 0 AND doc_id IS NOT NULL").join(small(copies), "doc_id", "left_anti"))
     index = table.select("doc_id", "n", F.explode("prefix").alias("token"))
-    shared = cut_lineage(index.groupBy("token").agg(F.count("*").alias("docs")).filter("docs > 1").select("token"))
+    shared = cut_lineage(index.groupBy("token").agg(F.count("*").alias("docs")).filter("docs > 1").select("token", (F.col("docs") > LARGE).alias("large")))
     members = cut_lineage(index.join(shared, "token"))
+    pivots = members.groupBy("token").agg(F.min(F.struct(F.xxhash64("doc_id").alias("h"), F.col("doc_id").alias("pivot"), F.col("n").alias("m"))).alias("p"))
+    pivots = cut_lineage(pivots.select("token", "p.pivot", "p.m"))
     near_size = f"100 * least(m, n) >= {percent} * greatest(m, n)"
+    named = lambda rows, node, labels: rows.join(labels.withColumnRenamed("node", node), node, "left").withColumn("component", F.coalesce("component", node))
 
     def checked(pairs):
-        pairs = cut_lineage(pairs.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct())
-        return verified(agreeing(pairs, table, percent), docs, k, percent)
+        return compared(agreeing(cut_lineage(pairs.distinct()), table, percent), docs, k, percent, hot)
 
     # one pivot per bucket against all its members
-    pivots = members.groupBy("token").agg(F.min(F.struct(F.xxhash64("doc_id").alias("h"), F.col("doc_id").alias("other"), F.col("n").alias("m"))).alias("p"))
-    pivots = cut_lineage(pivots.select("token", "p.other", "p.m"))
-    links = checked(members.join(pivots, "token").filter(f"doc_id <> other AND {near_size}"))
-    labels = components(table.select("doc_id"), links)
-    # what different components of a bucket still have to be compared
-    labelled = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    labelled = cut_lineage(labelled)
+    stars = members.join(pivots, "token").filter("doc_id <> pivot")
+    pair = [F.col("pivot").alias("a"), F.col("doc_id").alias("b")]
+    near = compared(cut_lineage(stars.filter("large").select(*pair).distinct()), docs, k, percent, hot)
+    links = near.unionByName(checked(stars.filter(f"NOT large AND {near_size}").select(*pair))).filter("linked").select("a", "b").distinct()
+    links = cut_lineage(links)
+    labels = cut_lineage(components(links))
+    # large buckets: sets that link without a link to their pivot share tokens of their differences to it
+    open_pivots = cut_lineage(near.groupBy("a").agg(F.bool_and("linked").alias("all"), F.count("*").alias("c")).filter("c > 1 AND NOT all").select("a"))
+    spread = cut_lineage(named(near.join(open_pivots, "a"), "b", labels).select("a", "b", "n", "d", "linked", "component", F.posexplode("diff").alias("i", "x")))
+    other = spread.select("a", "x", F.col("b").alias("u"), F.col("n").alias("m"), F.col("d").alias("e"), F.col("i").alias("j"), F.col("component").alias("theirs"))
+    _, needed = _apart(percent)
+    around = spread.filter("NOT linked").join(other, ["a", "x"]).filter(f"component <> theirs AND {near_size} AND least(d - i, e - j) >= {needed}")
+    around = around.select(F.least("b", "u").alias("a"), F.greatest("b", "u").alias("b"))
+    # small buckets: what different components still have to be compared
+    labelled = cut_lineage(named(members.filter("NOT large").select("token", "doc_id", "n"), "doc_id", labels))
     sizes = labelled.groupBy("token", "component").agg(F.count("*").alias("size"))
     main = sizes.groupBy("token").agg(F.max(F.struct("size", "component")).alias("top"), F.count("*").alias("kinds")).filter("kinds > 1")
-    main = cut_lineage(main.select("token", F.col("top.component").alias("main")))
-    open_rows = cut_lineage(labelled.join(main, "token"))
-    rest = open_rows.filter("component <> main").select("token", F.col("doc_id").alias("other"), F.col("n").alias("m"), F.col("component").alias("theirs"))
-    more = open_rows.join(rest, "token").filter(f"component <> theirs AND (component = main OR doc_id < other) AND {near_size}")
-    links = cut_lineage(links.unionByName(checked(more)))
-    labels = components(table.select("doc_id"), links).withColumnRenamed("node", "rep")
+    open_rows = cut_lineage(labelled.join(main.select("token", F.col("top.component").alias("main")), "token"))
+    rest = open_rows.filter("component <> main").select("token", F.col("doc_id").alias("u"), F.col("n").alias("m"), F.col("component").alias("theirs"))
+    across = open_rows.join(rest, "token").filter(f"component <> theirs AND (component = main OR doc_id < u) AND {near_size}")
+    across = across.select(F.least("doc_id", "u").alias("a"), F.greatest("doc_id", "u").alias("b"))
+    links = cut_lineage(links.unionByName(checked(around.unionByName(across)).filter("linked").select("a", "b")))
+    labels = components(links).withColumnRenamed("node", "rep")
     named = cut_lineage(sets.join(labels, "rep", "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component")))
     out = facts.join(named, ["s1", "s2", "n"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

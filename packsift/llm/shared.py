@@ -23,8 +23,8 @@ def packed(docs: DataFrame, *own: str) -> DataFrame:
 
 def unpacked(rows: DataFrame, columns: list[str], *added: str, **changed: Column) -> DataFrame:
     """The columns as they were before ``packed`` (some changed), then the added ones, which replace columns of their name."""
-    own = set(rows.columns) - {"rest"}
-    keep = [changed.get(c, F.col(f"`{c}`") if c in own and c not in added else F.col(f"rest.`{c}`")).alias(c) for c in columns if c not in added]
+    rest = getattr(rows.schema["rest"].dataType, "names", [])
+    keep = [changed.get(c, F.col(f"rest.`{c}`") if c in rest else F.col(f"`{c}`")).alias(c) for c in columns if c not in added]
     return rows.select(*keep, *added)
 
 
@@ -58,7 +58,7 @@ def ranked(df: DataFrame, *order: str) -> DataFrame:
     return rows.join(offsets(rows, F.lit(1)), "_pid").withColumn("_rank", F.col("_idx") + F.col("_offset")).drop("_pid", "_idx", "_offset")
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable by links (a, b). Nodes without links are left out.
 
     Labels move along links and then jump to their label's label, so rounds grow with the logarithm of a chain.

@@ -92,6 +92,7 @@ def test_components_match_brute_force(spark, documents, k, percent):
 
 def test_components_with_frequent_shingles_marked(spark, documents, monkeypatch):
     monkeypatch.setattr(jaccard, "HOT", 4)
+    monkeypatch.setattr(jaccard, "LARGE", 8)  # so that differences to the pivot decide
     base = prose(70)
     rows = [(i, near(base, rng.choice([0, 1, 2, 3, 4]))) for i in range(50)]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_groups(documents(rows), 4, 85).collect()}
