@@ -14,8 +14,9 @@ compared with all members first; its links give components, and only members of
 compared after that: in buckets of up to ``LARGE`` members directly, in larger ones by their differences to the pivot. The
 tokens in which V and U differ are those in one only of their differences to the pivot. So if V links with U, then either
 both link with the pivot, or their differences share tokens, at least half of what their sizes exceed the limit by. A second
-prefix index, over the differences in order 1 with places, finds those pairs. So a large group of near copies costs a few
-comparisons per member, and no link between different components is missed.
+prefix index, over the differences in order 1 with places, finds those pairs. No link between different components is missed.
+What is odd about the pivot is in all differences to it, so near copies that the pivot does not link may still be compared
+with each other in number.
 
 Order 1 counts the documents of every shingle of the corpus. Shingles in ``HOT`` or more documents come last; the most
 frequent ``HOT_ROWS`` at most are marked (a bound for the broadcast). Which shingles are marked changes the work, never the links.
