@@ -15,8 +15,7 @@ compared after that: in buckets of up to ``LARGE`` members directly, in larger o
 tokens in which V and U differ are those in one only of their differences to the pivot. So if V links with U, then either
 both link with the pivot, or their differences share tokens, at least half of what their sizes exceed the limit by. A second
 prefix index, over the differences in order 1 with places, finds those pairs. No link between different components is missed.
-What is odd about the pivot is in all differences to it, so near copies that the pivot does not link may still be compared
-with each other in number.
+What is odd about the pivot is in all differences to it, so the pivot is the member that shares most of its prefix.
 
 Order 1 counts the documents of every shingle of the corpus. Shingles in ``HOT`` or more documents come last; the most
 frequent ``HOT_ROWS`` at most are marked (a bound for the broadcast). Which shingles are marked changes the work, never the links.
@@ -38,7 +37,7 @@ from ..session import cut_lineage
 from .shared import buffer, chunks, components, mix, small, words
 
 HOT, HOT_ROWS = 64, 1 << 20
-LARGE = 256  # rows of a bucket, from which on its members are compared by their differences to the pivot
+LARGE = 64  # rows of a bucket, from which on its members are compared by their differences to the pivot
 FLUSH = 2_000_000  # tokens that a task gathers before it passes them on
 GROUP = 8_000_000  # tokens counted together
 
@@ -239,7 +238,11 @@ def similar_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     index = table.select("doc_id", "n", F.explode("prefix").alias("token"))
     shared = cut_lineage(index.groupBy("token").agg(F.count("*").alias("docs")).filter("docs > 1").select("token", (F.col("docs") > LARGE).alias("large")))
     members = cut_lineage(index.join(shared, "token"))
-    pivots = members.groupBy("token").agg(F.min(F.struct(F.xxhash64("doc_id").alias("h"), F.col("doc_id").alias("pivot"), F.col("n").alias("m"))).alias("p"))
+    # the pivot shares most of its prefix with others: of near copies that is the text they were copied from, if it is there
+    odd = members.groupBy("doc_id").agg(F.count("*").alias("held")).join(table.select("doc_id", F.size("prefix").alias("p")), "doc_id")
+    odd = cut_lineage(odd.select("doc_id", (F.col("p") - F.col("held")).alias("odd")))
+    pivots = members.join(odd, "doc_id").groupBy("token").agg(
+        F.min(F.struct("odd", F.xxhash64("doc_id").alias("h"), F.col("doc_id").alias("pivot"), F.col("n").alias("m"))).alias("p"))
     pivots = cut_lineage(pivots.select("token", "p.pivot", "p.m"))
     near_size = f"100 * least(m, n) >= {percent} * greatest(m, n)"
     named = lambda rows, node, labels: rows.join(labels.withColumnRenamed("node", node), node, "left").withColumn("component", F.coalesce("component", node))
