@@ -13,7 +13,7 @@ from ..functions.urls import host_from_literal
 from ..session import cut_lineage
 
 FILE = ["ext_id", "path"]
-_PIECE = r"\"[^\"]*(?:\"|$)|'[^']*(?:'|$)|[A-Za-z_$][A-Za-z0-9_$.]*"
+_PIECE = r"\"(?:[^\"\\]++|\\[\s\S])*+(?:\"|$)|'(?:[^'\\]++|\\[\s\S])*+(?:'|$)|[A-Za-z_$][A-Za-z0-9_$.]*"
 _ATOB = r"^atob\(\s*[\"']([A-Za-z0-9+/]+={0,2})[\"']"
 
 

@@ -1,17 +1,18 @@
 """Lexical tables: lines, statements, call sites, members, assignments, literals.
 
 No parser: lines that plainly go on are joined, cut into statements at every ``;`` outside
-literals, and each table is a Spark expression over them. Only the brackets of calls are
-matched in Python, in one linear pass per statement.
+literals, and each table is a Spark expression over them. Lines, literals and brackets are
+read in Python, in one linear pass per file and one per statement.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, IntegerType, StringType, StructField, StructType
 
@@ -30,46 +31,170 @@ def code_lines(files: DataFrame, code: str = "code") -> DataFrame:
         *keep, (F.col("pos") + 1).alias("line"), "text")
 
 
+# Quoted literals; a backslash takes the next character with it. Possessive, so that they need no regex stack.
+QUOTED = r"\"(?:[^\"\\]++|\\[\s\S])*+\"|'(?:[^'\\]++|\\[\s\S])*+'"
+LITERAL = QUOTED + r"|`(?:[^`\\]++|\\[\s\S])*+`"
+_EXPRESSION = r"(?<=[=(,:\[!&|?{};+\n])[ \t]*+/(?![*/])(?:[^/\n\\]++|\\.)++/"
+_LEXEME = re.compile(r"(?:" + QUOTED.replace(r'[^\"\\]', r'[^\"\\\n]').replace(r"[^'\\]", r"[^'\\\n]") + r"|`(?:[^`\\]++|\\[\s\S])*+`|" + _EXPRESSION + r"|\\.)|[\n;()\[\]{}]")
 # A line goes on if it ends with one of these, or the next begins with one of those.
-GOES_ON, CONTINUES = r"[(\[,+=&|?][ \t\r]*", r"[ \t]*[.)]"
-_NUMBER, _JOIN = "\x02", "\x0B"  # behind a line's number; where lines were joined
+_GOES_ON, _CONTINUES = "([,+=&|?", re.compile(r"[ \t]*+[.)]")
+_CODELIKE = re.compile(r"[(=\"'`\[]|[A-Za-z0-9_$)]\.[A-Za-z_$]")
+_CLOSES = {")": "(", "]": "["}
+_BLANK = " \t\r\n\f\v"
 
 
-def logical_lines(files: DataFrame, code: str = "code") -> DataFrame:
-    """Lines as ``code_lines``, those that go on joined at the first; joints are kept as marks."""
-    keep = [c for c in files.columns if c != code]
-    clean = F.translate(code, _NUMBER + _JOIN, "  ")
-    numbered = F.array_join(F.transform(F.split(clean, "\n", -1), lambda x, i: F.concat((i + 1).cast("string"), F.lit(_NUMBER), x)), "\n")
-    joined = F.regexp_replace(numbered, rf"({GOES_ON})\n[0-9]+\x02", "$1" + _JOIN)
-    joined = F.regexp_replace(joined, rf"\n[0-9]+\x02({CONTINUES})", _JOIN + "$1")
-    rows = files.select(*keep, F.explode(F.split(joined, "\n", -1)).alias("piece"))
-    return rows.select(*keep, F.substring_index("piece", _NUMBER, 1).cast("int").alias("line"),
-                       F.substr("piece", F.instr("piece", _NUMBER) + 1).alias("text"))
-
-
-def statements(lines: DataFrame) -> DataFrame:
-    """Statements of the logical lines that can hold code at all. Prose, data and blank lines
-    stop here, before the wider extraction. ``line`` is the one where the statement begins."""
-    keep = [c for c in lines.columns if c not in ("line", "text")]
-    codelike = lines.filter(F.col("text").rlike(r"[(=\"'`\[]|[A-Za-z0-9_$)]\.[A-Za-z_$]"))
-    # possessive, so that a statement of any length needs no regex stack
-    part = F.regexp_extract_all("text", F.lit(r"((?:\"[^\"]*\"|'[^']*'|`[^`]*`|[^;])++)"), F.lit(0))
-    rows = codelike.select(*keep, "line", F.col("text").contains(_JOIN).alias("joined"), F.posexplode(part).alias("stmt_no", "part"))
-    marks = lambda text: F.length(text) - F.length(F.replace(text, F.lit(_JOIN), F.lit("")))
-    before = Window.partitionBy(*keep, "line").orderBy("stmt_no").rowsBetween(Window.unboundedPreceding, -1)
-    lead = marks(F.regexp_extract("part", r"^\s*", 0))
-    moved = rows.filter("joined").withColumn("line", F.col("line") + F.coalesce(F.sum(marks(F.col("part"))).over(before), F.lit(0)).cast("int") + lead)
-    return (
-        rows.filter("NOT joined").unionByName(moved)
-        .withColumn("stmt", trim_all(F.translate("part", _JOIN, " "))).filter(F.col("stmt") != "")
-        .select(*keep, "line", snippet(F.col("stmt")).alias("snippet"), "stmt_no", "stmt")
-    )
+def _goes_on(code: str, start: int, end: int) -> bool:
+    while end > start and code[end - 1] in " \t\r":
+        end -= 1
+    return end > start and code[end - 1] in _GOES_ON
+
+
+def _opens_object(code: str, at: int) -> bool:
+    """Whether the brace at a position begins an object and not a block."""
+    while at and code[at - 1] in _BLANK:
+        at -= 1
+    return at > 0 and (code[at - 1] in "(,[:=?&|+" or code[max(at - 6, 0):at] == "return")
+
 
+def _layout(code: str) -> tuple[list[int], set[int], list[tuple[int, int]], list[int]]:
+    """Positions of line ends, of those where lines are joined, bodies inside brackets, and positions of ``;`` that end statements.
 
-_TOKEN = re.compile(r"\"[^\"]*\"|'[^']*'|`[^`]*`|[()]")
+    Lines are joined inside literals and where a bracket ``(`` or ``[`` with a partner is open, also in the objects
+    inside it. The blocks inside it (function bodies) of several lines are bodies: lines and statements of their own.
+    """
+    ends, joined, bodies, stops = [], set(), [], []
+    open_: list[list] = []  # bracket, position, line ends and bodies that wait for the partner
+    braces = 0
+
+    def hand_on(entry: list) -> None:
+        if open_ and open_[-1][0] != "block":
+            for k in (2, 3):
+                a, b = open_[-1][k], entry[k]
+                if len(a) < len(b):
+                    a, b = b, a
+                a.extend(b)
+                open_[-1][k] = a
+
+    for token in _LEXEME.finditer(code):
+        at, c = token.start(), code[token.start()]
+        if token.end() - at > 1:
+            if "\n" in token[0]:
+                inside = [at + m.start() for m in re.finditer("\n", token[0])]
+                ends += inside
+                joined.update(inside)
+        elif c == "\n":
+            ends.append(at)
+            if open_ and open_[-1][0] != "block":
+                open_[-1][2].append(at)
+        elif c == ";":
+            stops.append(at)
+        elif c == "{":
+            open_.append(["object" if _opens_object(code, at) else "block", at, [], []])
+            braces += 1
+        elif c in "([":
+            open_.append([c, at, [], []])
+        elif c == "}":
+            if braces:
+                braces -= 1
+                while open_[-1][0] in "([":
+                    open_.pop()
+                entry = open_.pop()
+                if entry[0] == "object":
+                    hand_on(entry)
+                elif open_ and open_[-1][0] != "block" and bisect_left(ends, entry[1]) < len(ends):
+                    open_[-1][3].append((entry[1] + 1, at))
+        elif open_ and open_[-1][0] == _CLOSES[c]:
+            entry = open_.pop()
+            joined.update(entry[2])
+            bodies += entry[3]
+    return ends, joined, sorted(bodies), stops
+
+
+def statements_of(code: str) -> list[tuple[int, int, str]]:
+    """(line, number, statement) of the lines that can hold code at all, those that go on joined.
+
+    ``line`` is the one where the statement begins; the number counts the statements of its joined lines.
+    """
+    code = code.translate({2: " ", 11: " "})
+    ends, joined, bodies, stops = _layout(code)
+    start = 0
+    for i, end in enumerate(ends):
+        after = end + 1
+        if end not in joined and (_goes_on(code, start, end) or _CONTINUES.match(code, after)):
+            joined.add(end)
+        start = after
+    events = sorted([(e, 1, "") for e in ends] + [(a, 0, "{") for a, _ in bodies] + [(b, 2, "}") for _, b in bodies] + [(s, 1, ";") for s in stops])
+    out, taken, outer = [], set(), []
+    parts = [[]]
+
+    def flush() -> None:
+        """Write the statements of one joined line: parts are lists of (start, end) pieces."""
+        number = 0
+        if any(_CODELIKE.search(code, a, b) for part in parts for a, b in part):
+            for part in parts:
+                if not any(a < b for a, b in part):
+                    continue
+                text = " ".join(code[a:b].replace("\n", " ") for a, b in part)
+                bare = text.strip(_BLANK)
+                if bare:
+                    first = next(a + len(code[a:b]) - len(code[a:b].lstrip(_BLANK)) for a, b in part if code[a:b].strip(_BLANK))
+                    line, n = bisect_left(ends, first) + 1, number
+                    while (line, n) in taken:
+                        n += 1
+                    taken.add((line, n))
+                    out.append((line, n, bare))
+                number += 1
+
+    at = 0
+    for place, _, kind in events:
+        if kind == "{":
+            parts[-1].append((at, place))
+            outer.append(parts)
+            parts, at = [[]], place
+        elif kind == "}":
+            parts[-1].append((at, place))
+            flush()
+            parts, at = outer.pop(), place
+        elif kind == ";":
+            parts[-1].append((at, place))
+            parts.append([])
+            at = place + 1
+        elif place in joined:
+            continue
+        else:
+            parts[-1].append((at, place))
+            flush()
+            parts, at = [[]], place + 1
+    parts[-1].append((at, len(code)))
+    flush()
+    return sorted(out)
+
+
+def statements(files: DataFrame, code: str = "code") -> DataFrame:
+    """Statements of the files' lines that can hold code at all; those that go on are joined. Prose, data and blank
+    lines stop here, before the wider extraction. ``line`` is the one where the statement begins."""
+    keep = [c for c in files.columns if c != code]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for i, text in enumerate(batch[code]):
+                found += [(i, *s) for s in statements_of(text.as_py() or "")]
+                if len(found) > 20_000 or i + 1 == batch.num_rows:
+                    at = pa.array([f[0] for f in found], pa.int64())
+                    yield pa.RecordBatch.from_arrays(
+                        [*[batch[c].take(at) for c in keep], *[pa.array([f[k] for f in found], t) for k, t in ((1, pa.int32()), (2, pa.int32()), (3, pa.string()))]],
+                        [*keep, "line", "stmt_no", "stmt"])
+                    found = []
+
+    added = [StructField("line", IntegerType()), StructField("stmt_no", IntegerType()), StructField("stmt", StringType())]
+    rows = files.select(*keep, code).mapInArrow(scan, StructType([*[files.schema[c] for c in keep], *added]))
+    return rows.select(*keep, "line", snippet(F.col("stmt")).alias("snippet"), "stmt_no", "stmt")
+
+
+_TOKEN = re.compile(LITERAL + r"|" + _EXPRESSION + r"|\\.|[()]")
 _NAME_CHARS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_$.")
 _WORD_CHARS = _NAME_CHARS - {"$", "."}
-_BLANK = " \t\r\n\f\v"
 
 
 def calls_of(stmt: str) -> list[tuple[int, str, bool, str]]:
@@ -124,12 +249,12 @@ def call_sites(stmts: DataFrame) -> DataFrame:
 
 def first_literal(args: Column) -> Column:
     """First argument when it is a quoted literal, else null."""
-    quoted = F.regexp_extract(args, r"^\s*(\"[^\"]*\"|'[^']*')", 1)
+    quoted = F.regexp_extract(args, rf"^\s*({QUOTED})", 1)
     return F.when(quoted != "", F.substring(quoted, F.lit(2), F.length(quoted) - 2))
 
 
 def without_literals(stmt: Column) -> Column:
-    return F.regexp_replace(stmt, r"\"[^\"]*\"|'[^']*'", "\"\"")
+    return F.regexp_replace(stmt, QUOTED, "\"\"")
 
 
 def members(stmts: DataFrame) -> DataFrame:
@@ -175,7 +300,7 @@ def literals(lines: DataFrame) -> DataFrame:
     keep = [c for c in lines.columns if c != "text"]
     return (
         lines.filter(F.col("text").rlike("[\"'`]"))
-        .select(*keep, "text", F.explode(F.regexp_extract_all("text", F.lit(r"\"[^\"]*\"|'[^']*'|`[^`]*`"), F.lit(0))).alias("quoted"))
+        .select(*keep, "text", F.explode(F.regexp_extract_all("text", F.lit(LITERAL), F.lit(0))).alias("quoted"))
         .select(*keep, around(F.col("text"), F.col("quoted")).alias("snippet"), (F.substring("quoted", 1, 1) == "`").alias("is_template"),
                 F.substring(F.col("quoted"), F.lit(2), F.length("quoted") - 2).alias("value"))
     )

