@@ -5,7 +5,8 @@ nextword index). Only pairs of neighbours that some test item has are stored, so
 A phrase is found by intersecting offset-adjusted lists (position minus offset in the item): the rarest pair of each
 window, by its count over all documents, gives the diagonals (item, document, position of the item's first word);
 the other pairs of the window are then looked up at the positions that a diagonal expects. Unbroken runs of matched
-pairs give exact occurrences. Proximity matches compare the diagonals of an item's rarest pairs.
+pairs give exact occurrences. Proximity matches compare the diagonals of all pairs of an item: postings are first summed
+per document, item and diagonal, so a pair that a document or an item repeats stays linear.
 
 All steps are DataFrame operations. No list is gathered: a passage that a third of all documents holds is spread by
 document. The pairs of the test items are broadcast only up to a checked size.
@@ -85,21 +86,26 @@ def phrase_matches(index: DataFrame, items: DataFrame) -> DataFrame:
     return exact.unionByName(index.filter("single IS NOT NULL").join(small(single), "single").select("uid", "iid", F.col("pos").alias("first"), F.col("pos").alias("last")))
 
 
-def proximity_matches(index: DataFrame, items: DataFrame, slop: int = 5, rare: int = 4) -> DataFrame:
-    """(uid, iid): two of an item's ``rare`` rarest pairs occur in the document, at most ``slop`` words off their distance in the item."""
+def proximity_matches(index: DataFrame, items: DataFrame, slop: int = 5) -> DataFrame:
+    """(uid, iid): two of an item's pairs occur in the document, at most ``slop`` words off their distance in the item.
+
+    The two differ in their place in the item and in their place in the document. Postings of which no two differ in both
+    have one place in common, all in the item or all in the document, so the smallest and largest places tell.
+    """
     hits = index.filter("pair IS NOT NULL").select("uid", "pos", "pair")
-    counts = hits.groupBy("pair").agg(F.count("*").alias("n"))
-    order = Window.partitionBy("iid").orderBy("n", "j")
-    chosen = items.filter("len > 2").join(counts, "pair").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= rare).select("iid", "j", "k", "pair")
-    spots = cut_lineage(hits.join(small(chosen), "pair").select("uid", "iid", "k", (F.col("pos") - F.col("j")).alias("diagonal")).distinct())
-    cell = F.floor(F.col("diagonal") / (slop + 1))
-    one = spots.select("uid", "iid", F.col("k").alias("k1"), F.col("diagonal").alias("d"), cell.alias("cell"))
-    two = spots.select("uid", "iid", "k", "diagonal", F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
-    return one.join(two, ["uid", "iid", "cell"]).filter(f"k1 < k AND abs(d - diagonal) <= {slop}").select("uid", "iid").distinct()
+    spots = hits.join(small(items.filter("len > 2").select("iid", "j", "pair")), "pair")
+    spots = spots.groupBy("uid", "iid", (F.col("pos") - F.col("j")).alias("diagonal")).agg(F.min("j").alias("j0"), F.max("j").alias("j1"))
+    band = Window.partitionBy("uid", "iid").orderBy("diagonal").rangeBetween(-slop, 0)
+    wide = lambda low, high: F.min(low).over(band) < F.max(high).over(band)
+    near = spots.withColumn("near", wide(F.col("j0"), F.col("j1")) & wide(F.col("diagonal") + F.col("j0"), F.col("diagonal") + F.col("j1")))
+    return near.filter("near").select("uid", "iid").distinct()
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, slop: int = 5) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and n_near (items near by) of each document."""
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, slop: int | None = 5) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and n_near (items near by) of each document.
+
+    Without a ``slop`` there are no proximity matches and no n_near.
+    """
     items = test_items(benchmark, window)
     index = positional_index(docs, items)
     base = index.filter("pos = 0 OR pos IS NULL").select("uid", "doc_id", "n_words")
@@ -110,9 +116,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, slop:
     hit = matches.select("uid", "first", "last").distinct().withColumn("new", new).groupBy("uid").agg(F.sum("new").alias("n_hit"))
     names = small(items.select("iid", F.col("item_id").cast("string").alias("item")).distinct())
     listed = matches.select("uid", "iid").distinct().join(names, "iid").groupBy("uid").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    near = proximity_matches(index, items, slop).groupBy("uid").agg(F.count("*").alias("n_near"))
-    out = base.join(cut_lineage(hit.join(listed, "uid", "left").join(near, "uid", "full")), "uid", "left")
+    exact = hit.join(listed, "uid", "left")
+    if slop is not None:
+        near = proximity_matches(index, items, slop).join(names, "iid").groupBy("uid").agg(F.count_distinct(F.struct("item")).alias("n_near"))
+        exact = exact.join(near, "uid", "full")
+    out = base.join(cut_lineage(exact), "uid", "left")
     n_hit, found = F.coalesce("n_hit", F.lit(0)), F.coalesce("items", F.array().cast("array<string>"))
     return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(found).cast("long").alias("n_items"),
                       F.sha2(F.array_join(found, ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
-                      F.coalesce("n_near", F.lit(0)).alias("n_near"))
+                      *([] if slop is None else [F.coalesce("n_near", F.lit(0)).alias("n_near")]))

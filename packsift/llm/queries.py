@@ -41,7 +41,14 @@ def op6_ngram_jaccard(spark, folder):
 def op8_decontamination(spark, folder):
     """Words of each document inside ten-word windows of test items."""
     from .decontaminate import contamination
-    return contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"), 10).drop("n_near")
+    return contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"), 10, slop=None)
+
+
+@query
+def op8_proximity(spark, folder):
+    """The same with the number of test items that a document holds in pieces; the SQL has the exact part only."""
+    from .decontaminate import contamination
+    return contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"), 10)
 
 
 SQL["op8_decontamination"] = r"""

@@ -204,6 +204,33 @@ def test_proximity_finds_phrases_with_insertions(spark, documents):
     assert got[1] == (12, 1) and got[2][0] == 0 and got[2][1] == 1 and got[3][0] == 0
 
 
+def brute_near(docs, items, slop=5):
+    out = {}
+    for i, t in docs:
+        w = t.split()
+        out[i] = 0
+        for _, text in items:
+            x = text.split()
+            spots = [(p, j) for p in range(len(w) - 1) for j in range(len(x) - 1) if w[p:p + 2] == x[j:j + 2]]
+            out[i] += any(p != q and j != k and abs((p - j) - (q - k)) <= slop for p, j in spots for q, k in spots)
+    return out
+
+
+def test_proximity_looks_at_all_pairs_of_an_item(spark, documents):
+    long = [f"l{i}" for i in range(59)]
+    piece = " ".join([*long[30:38], "so", *long[38:45]])  # no unbroken ten words, and none of the item's rarest pairs
+    docs = [(1, piece), *[(10 + i, " ".join(long[28:47])) for i in range(5)], (2, "a a a b a"), (3, "x b y"), (4, "a a"), (5, "l3 l4")]
+    items = [(1, " ".join(long)), (2, "a a a a"), (3, "b y b y b")]
+    for i in range(60):
+        x = (rng.choice(items)[1]).split()
+        a = rng.randrange(len(x))
+        docs.append((100 + i, " ".join([*x[a:a + 2], *prose(rng.randrange(1, 12)).split(), *x[a + 1:a + 4], *x[:2]])))
+    bench = spark.createDataFrame([*items, items[0]], "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.contamination(documents(docs), bench, 10).collect()}
+    assert (got[1].n_hit, got[1].n_near) == (0, 1)
+    assert {i: r.n_near for i, r in got.items()} == brute_near(docs, items)
+
+
 def test_decontamination_of_odd_rows(spark, documents, odd):
     bench = spark.createDataFrame([(1, "same text of some words here"), (None, "without an id"), (1, "same text of some words here")], "item_id long, text string")
     got = decontaminate.contamination(documents(odd), bench).collect()
