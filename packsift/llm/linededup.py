@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .shared import offsets, ordered, packed, unpacked
+from .shared import offsets, ordered, packed, small, unpacked
 
 HAS_WORD = r"[^\x09-\x0D\x20]"
 _KEY = ["doc", "h"]
@@ -44,11 +44,17 @@ def _document(prefix: str = "") -> dict[str, Column]:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """doc, h, s (place among lines with words), id1, id2 and w (words) of every line that holds a word."""
+    """doc, h, s (place among lines with words), id1, id2, w (words) and uid (the row) of every line that holds a word."""
     kept = F.filter(F.split(F.col("text"), "\n", -1), lambda x: x.rlike(HAS_WORD))
-    rows = docs.filter("text IS NOT NULL").withColumns(_document()).select(*_KEY, F.posexplode(kept).alias("s", "line"))
+    rows = docs.filter("text IS NOT NULL").withColumns({**_document(), "uid": F.monotonically_increasing_id()}).select(*_KEY, "uid", F.posexplode(kept).alias("s", "line"))
     return rows.select(*_KEY, "s", F.xxhash64("line").alias("id1"), F.xxhash64(F.lit(1), "line").alias("id2"),
-                       F.size(F.regexp_extract_all("line", F.lit(f"({HAS_WORD}+)"), 0)).alias("w"))
+                       F.size(F.regexp_extract_all("line", F.lit(f"({HAS_WORD}+)"), 0)).alias("w"), "uid")
+
+
+def _once(lines: DataFrame) -> DataFrame:
+    """The lines of one row of each document, of those that agree in id and text."""
+    again = lines.filter("s = 0").groupBy(*_KEY).agg(F.min("uid").alias("kept"), F.count("*").alias("n")).filter("n > 1").select(*_KEY, "kept")
+    return lines.join(small(again), _KEY, "left").filter("kept IS NULL OR uid = kept").drop("uid", "kept")
 
 
 def _named(rows: DataFrame, *key: str) -> DataFrame:
@@ -142,7 +148,7 @@ def later_runs(classes: DataFrame, least: int) -> DataFrame:
 
 def repeated_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """doc, h and s of every line that belongs to a later copy of a run."""
-    lines = cut_lineage(lines_of(docs))
+    lines = _once(cut_lineage(lines_of(docs)))
     counts = lines.groupBy("id1", "id2").agg(F.count("*").alias("n")).filter("n > 1")
     ranks = _named(counts, "id1", "id2")
     active = lines.join(ranks, ["id1", "id2"]).select(*_KEY, "s", "w", "rank")

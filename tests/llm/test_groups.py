@@ -159,6 +159,17 @@ def test_line_dedup_of_odd_rows(spark, documents, odd):
     assert linededup.deduplicated(documents([])).count() == 0
 
 
+def test_line_dedup_of_repeated_rows(spark, documents):
+    text = "\n".join(prose(12) for _ in range(10))
+    own = "\n".join(prose(12) for _ in range(10))
+    rows = [(30, text), (31, text), (40, own), (41, "\n".join([own, own]))]
+    twice = [*rows, (31, text), (40, own), (40, own), (41, rows[3][1])]
+    got = linededup.repeated_lines(documents(twice), 50).join(documents(rows).select("doc_id", F.xxhash64("text").alias("h")), "h")
+    assert {(r.doc, r.s) for r in got.filter("doc = doc_id").collect()} == brute_lines(rows, 50)
+    out = [(r.doc_id, r.n_deleted) for r in linededup.deduplicated(documents(twice), 50).collect()]
+    assert sorted(out) == [(30, 0), (31, 10), (31, 10), (40, 0), (40, 0), (40, 0), (41, 20), (41, 20)]
+
+
 # --- decontamination ----------------------------------------------------------------------
 
 def brute_hits(docs, items, window):
