@@ -7,12 +7,13 @@ counts; states are merged, in the order of their strings, when their ends and th
 Hoeffding's bound allows, all along their subtrees, and what makes the automaton ambiguous is folded. Symbols are classes
 of characters, but the first ``PREFIX`` characters stand for themselves, so that fixed beginnings are learned.
 
-``scan`` adds spans: every candidate (a run of token characters with a digit and ``LEAST`` characters or more) is scored by
-all automata; its score is the likelihood per symbol against a background automaton learned from the ordinary words of the
-texts. Candidates with ``MARGIN`` bits per symbol or more become spans of kind ``format``, unless a base span covers them.
+``scan`` adds spans: every candidate (a run of ``LEAST`` token characters or more, the least that an assignment is learned
+from) is scored by all automata; its score is the likelihood per symbol, over all its symbols, against a background of
+ordinary words. Candidates with ``MARGIN`` bits per symbol or more become spans of kind ``format``, unless a base span covers them.
 
 The labelled credentials are the base spans of documents, a sample of at most ``SAMPLE`` strings a kind, those with the
-smallest hashes; the background is as many words of as many texts, chosen alike. All texts are scanned whole, each in one Arrow batch row.
+smallest hashes. The background are the symbols that follow each other in the runs of all documents outside base spans,
+counted in Spark. All texts are scanned whole, each in one Arrow batch row.
 
 Nulls are empty texts: no spans. Offsets are code points, ends exclusive. Equal rows give equal results.
 """
@@ -22,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,13 +37,14 @@ KINDS = ["assign", "access", "hex"]
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
-SAMPLE, PREFIX, LEAST, MARGIN, ALPHA, LONGEST = 400, 4, 12, 0.6, 0.05, 64
+SAMPLE, PREFIX, LEAST, MARGIN, ALPHA = 400, 4, 6, 0.6, 0.05
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
+HELD = 200_000  # scores of short values that are kept for the next time
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of the base spans, by start and kind."""
-    out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
+    out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= LEAST]
     out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     # a shorter run of these characters holds no match, so the length is part of the pattern
     out += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
@@ -51,10 +54,13 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def _symbols(value: str) -> list[str]:
     def kind(c: str) -> str:
         return "9" if c.isdigit() else "f" if c in "abcdef" else "F" if c in "ABCDEF" else "z" if c.islower() else "Z" if c.isupper() else c
-    value = value[:LONGEST]
     return ["^" + c for c in value[:PREFIX]] + [kind(c) for c in value[PREFIX:]]
 
 
+#: Number of symbols of candidates: 67 characters at the first places, ten classes, the end.
+SYMBOLS = 67 + 10 + 1
+
+
 class Automaton:
     """Counts of symbols and ends per state, and where the symbols lead."""
 
@@ -136,61 +142,114 @@ class Automaton:
             n = self.total(state) + 0.1 * self.alphabet
             bits += math.log2((self.counts[state].get(symbol, 0) + 0.1) / n)
             state = self.next[state].get(symbol, state)
-        return bits + math.log2((self.ends[state] + 0.1) / (self.total(state) + 0.1 * self.alphabet)) * (len(value) <= LONGEST)
+        return bits + math.log2((self.ends[state] + 0.1) / (self.total(state) + 0.1 * self.alphabet))
+
+
+class Background:
+    """Shares of the symbols (``$``: the end) that follow a symbol, at each of the first places or later."""
+
+    def __init__(self, counts: dict[tuple[str, str], int]):
+        self.counts, self.totals, self.symbols = counts, Counter(), Counter()
+        for (context, symbol), n in counts.items():
+            self.totals[context] += n
+            self.symbols[symbol] += n
+        self.total = self.symbols.total()
+
+    @staticmethod
+    def steps(value: str) -> Iterator[tuple[str, str]]:
+        before = ""
+        for i, symbol in enumerate([*_symbols(value), "$"]):
+            yield f"{min(i, PREFIX + 1)}{before}", symbol
+            before = symbol
+
+    @classmethod
+    def count(cls, words: Counter, into: Counter) -> Counter:
+        for value, n in words.items():
+            for step in cls.steps(value):
+                into[step] += n
+        return into
+
+    def bits(self, value: str) -> float:
+        """Log2 of the likelihood of a string. What is rare behind a symbol falls back on its share of all symbols, smoothed like an automaton's."""
+        bits = 0.0
+        for step in self.steps(value):
+            share = (self.symbols[step[1]] + 0.1) / (self.total + 0.1 * SYMBOLS)
+            bits += math.log2((self.counts.get(step, 0) + share) / (self.totals[step[0]] + 1))
+        return bits
 
 
 class Grammar:
-    """An automaton per format and one of ordinary words."""
+    """An automaton per format and the background of ordinary words."""
 
-    def __init__(self, formats: dict[str, list[str]], words: list[str], alpha: float = ALPHA):
+    def __init__(self, formats: dict[str, list[str]], words: Background | list[str], alpha: float = ALPHA):
         self.formats = {k: Automaton(v, alpha) for k, v in sorted(formats.items()) if v}
-        self.background = Automaton(words, alpha)
+        self.background = words if isinstance(words, Background) else Background(Background.count(Counter(words), Counter()))
+        self.held: dict[str, float] = {}
 
     def score(self, value: str) -> float:
         """Bits per symbol by which the likeliest format beats ordinary words."""
         if not self.formats:
             return -math.inf
-        return (max(a.bits(value) for a in self.formats.values()) - self.background.bits(value)) / min(len(value), LONGEST)
+        if value not in self.held:
+            score = (max(a.bits(value) for a in self.formats.values()) - self.background.bits(value)) / len(value)
+            if len(value) > 64:
+                return score
+            if len(self.held) >= HELD:
+                self.held.clear()
+            self.held[value] = score
+        return self.held[value]
+
+
+def _runs(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[re.Match, bool, bool]]:
+    """The candidates of a text, whether a base span covers each, and whether one overlaps it."""
+    covered = touched = -1
+    i = j = 0
+    for m in CANDIDATE.finditer(text):
+        first, last = m.span()
+        while i < len(base) and base[i][0] <= first:
+            covered = max(covered, base[i][2])
+            i += 1
+        while j < len(base) and base[j][0] < last:
+            touched = max(touched, base[j][2])
+            j += 1
+        yield m, covered >= last, touched > first
 
 
 def infer(docs: DataFrame, sample: int = SAMPLE) -> Grammar:
-    """The grammar of the credentials that the base patterns label in the documents."""
+    """The grammar of the credentials that the base patterns label in the documents, and of all their ordinary words."""
     def label(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            rows = []
+        counts = Counter()
+        for batch in chunks(batches, "text"):
+            rows, plain = {}, Counter()
             for text in batch["text"].to_pylist():
-                spans = base_spans(text or "")
+                text = text or ""
+                spans = base_spans(text)
                 for start, kind, end in spans:
                     value = ASSIGN.match(text, start)[2] if kind == 0 else text[start:end]
-                    rows.append((KINDS[kind], value[:LONGEST]))
-            rows = list(dict.fromkeys(rows))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], ["kind", "value"])
+                    rows[KINDS[kind], value] = 1
+                plain.update(m[0] for m, _, touched in _runs(text, spans) if not touched)
+            Background.count(plain, counts)
+            yield table([(*r, 1) for r in rows])
+        yield table([("word", f"{context} {symbol}", n) for (context, symbol), n in counts.items()])
+
+    def table(rows):
+        kinds = [pa.string(), pa.string(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["kind", "value", "n"])
 
-    found = cut_lineage(docs.select("text").mapInArrow(label, "kind string, value string").distinct())
+    found = cut_lineage(docs.select("text").mapInArrow(label, "kind string, value string, n long").groupBy("kind", "value").agg(F.sum("n").alias("n")))
     order = F.xxhash64("value")
     parts = [found.filter(F.col("kind") == k).orderBy(order, "value").limit(sample) for k in KINDS]
     rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).collect()
     values = {k: sorted(r["value"] for r in rows if r["kind"] == k) for k in KINDS}
-    plain = docs.filter("text IS NOT NULL").select("text").orderBy(F.xxhash64("text"), "text").limit(sample)
-    plain = plain.select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z0-9+/_=-]+)"), 1)).alias("value")).distinct()
-    labelled = {v for k in KINDS for v in values[k]}
-    words = [r["value"] for r in plain.orderBy(order, "value").limit(2 * sample).collect() if r["value"][:LONGEST] not in labelled]
-    return Grammar(values, words[:sample])
+    # pairs of symbols, so their number does not grow with the documents
+    words = {tuple(r["value"].split(" ")): r["n"] for r in found.filter("kind = 'word'").collect()}
+    return Grammar(values, Background(words))
 
 
 def spans_of(text: str, grammar: Grammar, margin: float = MARGIN) -> tuple[list, list]:
     """Base spans and added spans (start, kind number, end); the added kind is number 3."""
     base = base_spans(text)
-    added = []
-    for m in CANDIDATE.finditer(text):
-        value = m[0]
-        if len(value) < LEAST or not any(c.isdigit() for c in value) or not any(c.isalpha() for c in value):
-            continue
-        if any(a <= m.start() and m.end() <= b for a, _, b in base):
-            continue
-        if grammar.score(value) >= margin:
-            added.append((m.start(), 3, m.end()))
-    return base, added
+    return base, [(m.start(), 3, m.end()) for m, covered, _ in _runs(text, base) if not covered and grammar.score(m[0]) >= margin]
 
 
 def _listed(spans: list[tuple[int, int, int]]) -> str:

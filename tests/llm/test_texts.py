@@ -3,7 +3,9 @@
 import hashlib
 import os
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -215,6 +217,28 @@ def test_scan_of_odd_rows(spark, documents, odd):
     assert secret_scan.scan(none, secret_scan.infer(none)).count() == 0
 
 
+def test_all_symbols_of_all_candidates_are_scored():
+    make = lambda letters, n, head="": head + "".join(rng.choice(letters) for _ in range(n))
+    plain = ["".join(rng.choice(["the", "tion", "er", "ing", "an"]) for _ in range(rng.randrange(2, 5))) for _ in range(300)]
+    grammar = secret_scan.Grammar({"access": [make(KEY, 16, "AKIA") for _ in range(200)], "assign": [make("QXZJKVW", 8) for _ in range(200)],
+                                   "hex": [make("0123456789", 30) for _ in range(200)]}, plain)
+    long = "".join(rng.choice(["the", "tion", "er", "ing", "an"]) for _ in range(30))[:70]
+    assert grammar.score(long) < grammar.score(long + make(KEY, 200, "AKIA"))  # what follows counts
+    assert grammar.score(long + make(KEY, 400)) >= secret_scan.MARGIN > grammar.score("AKIA" + make(KEY, 60) + "thetion" * 80)
+    letters, digits = make("QXZJKVW", 8), make("0123456789", 20)
+    assert secret_scan.spans_of(f"the {letters} thetioner", grammar)[1] == [(4, 3, 12)]
+    assert secret_scan.spans_of(digits, grammar)[1] == [(0, 3, 20)]
+
+
+def test_background_is_counted_over_all_documents(spark, documents):
+    rows = [(i, f"token=\"{''.join(rng.choice(HEX) for _ in range(40))}\" thetioner ingthean {i % 9}{i % 7}-thean") for i in range(900)]
+    rows += [(5000 + i, f"v{i % 10}.{i % 8}.{i % 6}-release2024-{i % 10}{i % 4}") for i in range(20)]
+    grammar = secret_scan.infer(documents(rows))
+    words = Counter(m[0] for _, t in rows for m in re.finditer(r"[A-Za-z0-9+/_=-]{6,}", re.sub('token="[^"]*', "", t)))
+    assert grammar.background.counts == secret_scan.Background.count(words, Counter())
+    assert secret_scan.scan(documents(rows), grammar).filter("n_format > 0").count() == 0
+
+
 # --- URLs ---------------------------------------------------------------------------------
 
 def test_url_rules_and_vocabulary(spark):
