@@ -53,11 +53,11 @@ def record(page_id, url: str | None, body: bytes, digest: str, refers_to) -> byt
 
 
 def revisits(pages: DataFrame, least: int = MIN_REVISIT) -> DataFrame:
-    """page_id and refers_to of the pages whose payload is stored with a smaller id."""
+    """page_id, digest and refers_to of the pages whose payload is stored with a smaller id."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     facts = cut_lineage(pages.select("page_id", F.octet_length(payload).alias("n"), F.sha2(payload, 256).alias("digest")).filter(f"n >= {least}").select("page_id", "digest"))
     first = cut_lineage(facts.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1").drop("n"))
-    return cut_lineage(facts.join(first, "digest").filter("page_id <> refers_to").select("page_id", "refers_to").distinct())
+    return cut_lineage(facts.join(first, "digest").filter("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct())
 
 
 def write_warc(pages: DataFrame, folder: str | None = None, file_bytes: int = FILE_BYTES) -> DataFrame:
@@ -69,8 +69,8 @@ def write_warc(pages: DataFrame, folder: str | None = None, file_bytes: int = FI
     store, path = open_folder(folder)
     store.create_dir(path, recursive=True)
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    rows = pages.select("page_id", "url", "html").join(small(revisits(pages)), "page_id", "left").select(
-        "page_id", "url", payload.alias("body"), F.sha2(payload, 256).alias("digest"), "refers_to")
+    rows = pages.select("page_id", "url", payload.alias("body"), F.sha2(payload, 256).alias("digest"))
+    rows = rows.join(small(revisits(pages)), ["page_id", "digest"], "left").select("page_id", "url", "body", "digest", "refers_to")
 
     def run(batches: Iterator[pa.RecordBatch]):
         store, base = open_folder(folder)

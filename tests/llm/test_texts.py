@@ -174,6 +174,16 @@ def test_warc_of_odd_rows(spark):
     assert warc.page_records(warc.read_warc(warc.write_warc(pages(spark, [])))).count() == 0
 
 
+def test_warc_of_ids_with_several_payloads(spark):
+    a, b = "<a>" + "x" * 200, "<b>" + "y" * 200
+    got = warc.page_records(warc.read_warc(warc.write_warc(pages(spark, [(3, "u", a), (4, "u", b), (5, "u", a), (5, "u", b), (6, "u", b + "z")]))))
+    digest = {hashlib.sha256(x.encode()).hexdigest(): x for x in (a, b, b + "z")}
+    assert sorted((r.page_id, digest[r.payload_digest], r.record_type, r.refers_to or 0) for r in got.collect()) == [
+        (3, a, "response", 0), (4, b, "response", 0), (5, a, "revisit", 3), (5, b, "revisit", 4), (6, b + "z", "response", 0)]
+    one = warc.page_records(warc.read_warc(warc.write_warc(pages(spark, [(3, "u", a), (5, "u", a), (5, "u", b)]))))
+    assert sorted((r.page_id, r.record_type, digest[r.payload_digest]) for r in one.collect()) == [(3, "response", a), (5, "response", b), (5, "revisit", a)]
+
+
 # --- secrets ------------------------------------------------------------------------------
 
 HEX, KEY = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
