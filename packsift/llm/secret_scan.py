@@ -25,6 +25,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,7 +40,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 SAMPLE, PREFIX, LEAST, MARGIN, ALPHA = 400, 4, 6, 0.6, 0.05
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
-HELD = 200_000  # scores of short values that are kept for the next time
+HELD = 200_000  # answers for short values that are kept for the next time
+_PLACES = [str(i) for i in range(PREFIX + 2)]
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -51,10 +53,14 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+_FIRST = {chr(c): "^" + chr(c) for c in range(128)}
+_KIND = {chr(c): "9" if chr(c).isdigit() else "f" if chr(c) in "abcdef" else "F" if chr(c) in "ABCDEF" else "z" if chr(c).islower() else "Z" if chr(c).isupper() else chr(c)
+         for c in range(128)}
+
+
 def _symbols(value: str) -> list[str]:
-    def kind(c: str) -> str:
-        return "9" if c.isdigit() else "f" if c in "abcdef" else "F" if c in "ABCDEF" else "z" if c.islower() else "Z" if c.isupper() else c
-    return ["^" + c for c in value[:PREFIX]] + [kind(c) for c in value[PREFIX:]]
+    """Values are ASCII."""
+    return [_FIRST[c] for c in value[:PREFIX]] + [_KIND[c] for c in value[PREFIX:]]
 
 
 #: Number of symbols of candidates: 67 characters at the first places, ten classes, the end.
@@ -79,6 +85,7 @@ class Automaton:
             self.ends[state] += 1
         self.alphabet = len({x for c in self.counts for x in c}) + 1
         self._merge(alpha)
+        self._take_logs()
 
     def total(self, state: int) -> int:
         return self.ends[state] + sum(self.counts[state].values())
@@ -134,15 +141,21 @@ class Automaton:
         place = {r: i for i, r in enumerate(red)}
         self.ends, self.counts, self.next = [self.ends[r] for r in red], [self.counts[r] for r in red], [{x: place[s] for x, s in self.next[r].items()} for r in red]
 
-    def bits(self, value: str) -> float:
-        """Log2 of the likelihood of a string; unseen symbols have a small smoothed share."""
+    def _take_logs(self) -> None:
+        """Log2 of the share of each symbol, of an unseen one and of the end, by state; unseen symbols have a small smoothed share."""
+        whole = [math.log2(self.total(i) + 0.1 * self.alphabet) for i in range(len(self.ends))]
+        self.logs = [{x: math.log2(n + 0.1) - w for x, n in c.items()} for c, w in zip(self.counts, whole)]
+        self.unseen, self.stop = [math.log2(0.1) - w for w in whole], [math.log2(n + 0.1) - w for n, w in zip(self.ends, whole)]
+
+    def bits(self, symbols: list[str], least: float = -math.inf) -> float:
+        """Log2 of the likelihood of the symbols, or -inf as soon as it is under the least."""
         state, bits = 0, 0.0
-        symbols = _symbols(value)
         for symbol in symbols:
-            n = self.total(state) + 0.1 * self.alphabet
-            bits += math.log2((self.counts[state].get(symbol, 0) + 0.1) / n)
+            bits += self.logs[state].get(symbol, self.unseen[state])
+            if bits < least:
+                return -math.inf
             state = self.next[state].get(symbol, state)
-        return bits + math.log2((self.ends[state] + 0.1) / (self.total(state) + 0.1 * self.alphabet))
+        return bits + self.stop[state]
 
 
 class Background:
@@ -154,27 +167,27 @@ class Background:
             self.totals[context] += n
             self.symbols[symbol] += n
         self.total = self.symbols.total()
+        self.logs: dict[tuple[str, str], float] = {}
 
     @staticmethod
-    def steps(value: str) -> Iterator[tuple[str, str]]:
-        before = ""
-        for i, symbol in enumerate([*_symbols(value), "$"]):
-            yield f"{min(i, PREFIX + 1)}{before}", symbol
-            before = symbol
+    def steps(symbols: list[str]) -> Iterator[tuple[str, str]]:
+        return zip(map(str.__add__, chain(_PLACES, repeat(_PLACES[-1])), chain(("",), symbols)), chain(symbols, ("$",)))
 
     @classmethod
     def count(cls, words: Counter, into: Counter) -> Counter:
         for value, n in words.items():
-            for step in cls.steps(value):
+            for step in cls.steps(_symbols(value)):
                 into[step] += n
         return into
 
-    def bits(self, value: str) -> float:
-        """Log2 of the likelihood of a string. What is rare behind a symbol falls back on its share of all symbols, smoothed like an automaton's."""
+    def bits(self, symbols: list[str]) -> float:
+        """Log2 of the likelihood of symbols. What is rare behind a symbol falls back on its share of all symbols, smoothed like an automaton's."""
         bits = 0.0
-        for step in self.steps(value):
-            share = (self.symbols[step[1]] + 0.1) / (self.total + 0.1 * SYMBOLS)
-            bits += math.log2((self.counts.get(step, 0) + share) / (self.totals[step[0]] + 1))
+        for step in self.steps(symbols):
+            if step not in self.logs:
+                share = (self.symbols[step[1]] + 0.1) / (self.total + 0.1 * SYMBOLS)
+                self.logs[step] = math.log2((self.counts.get(step, 0) + share) / (self.totals[step[0]] + 1))
+            bits += self.logs[step]
         return bits
 
 
@@ -184,20 +197,28 @@ class Grammar:
     def __init__(self, formats: dict[str, list[str]], words: Background | list[str], alpha: float = ALPHA):
         self.formats = {k: Automaton(v, alpha) for k, v in sorted(formats.items()) if v}
         self.background = words if isinstance(words, Background) else Background(Background.count(Counter(words), Counter()))
-        self.held: dict[str, float] = {}
+        self.held: dict[tuple[str, float], bool] = {}
 
     def score(self, value: str) -> float:
         """Bits per symbol by which the likeliest format beats ordinary words."""
         if not self.formats:
             return -math.inf
-        if value not in self.held:
-            score = (max(a.bits(value) for a in self.formats.values()) - self.background.bits(value)) / len(value)
-            if len(value) > 64:
-                return score
+        symbols = _symbols(value)
+        return (max(a.bits(symbols) for a in self.formats.values()) - self.background.bits(symbols)) / len(value)
+
+    def fits(self, value: str, margin: float) -> bool:
+        """Whether the score reaches the margin; formats are left as soon as they cannot."""
+        key = (value, margin)
+        if key in self.held:
+            return self.held[key]
+        symbols = _symbols(value)
+        least = self.background.bits(symbols) + margin * len(value)
+        found = any(a.bits(symbols, least) >= least for a in self.formats.values())
+        if len(value) <= 64:
             if len(self.held) >= HELD:
                 self.held.clear()
-            self.held[value] = score
-        return self.held[value]
+            self.held[key] = found
+        return found
 
 
 def _runs(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[re.Match, bool, bool]]:
@@ -249,7 +270,7 @@ def infer(docs: DataFrame, sample: int = SAMPLE) -> Grammar:
 def spans_of(text: str, grammar: Grammar, margin: float = MARGIN) -> tuple[list, list]:
     """Base spans and added spans (start, kind number, end); the added kind is number 3."""
     base = base_spans(text)
-    return base, [(m.start(), 3, m.end()) for m, covered, _ in _runs(text, base) if not covered and grammar.score(m[0]) >= margin]
+    return base, [(m.start(), 3, m.end()) for m, covered, _ in _runs(text, base) if not covered and grammar.fits(m[0], margin)]
 
 
 def _listed(spans: list[tuple[int, int, int]]) -> str:
