@@ -179,3 +179,82 @@ def op7_secret_scan(spark, folder):
     from .secret_scan import infer, scan
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return scan(docs, infer(docs))
+
+
+@query
+def op11_near_vectors(spark, folder):
+    """Links and components of embeddings with a cosine of 0.95 or more."""
+    from .rangejoin import near_vectors
+    return near_vectors(table(spark, folder, "embeddings"), 0.95)
+
+
+SQL["op11_near_vectors"] = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+                     WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                       AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+     l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+           WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+     r AS (SELECT vec_id AS a, vec_id AS c FROM v UNION SELECT l.b, r.c FROM r JOIN l USING (a)),
+     n AS (SELECT a, count(*) AS n FROM l GROUP BY a),
+     c AS (SELECT a, min(c) AS c FROM r GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, coalesce(c, vec_id) AS component_id, coalesce(c, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id
+"""
+
+
+@query
+def op12_ranked_search(spark, folder):
+    """The 50 best documents for each test item."""
+    from .sketchsearch import ranked_search
+    return ranked_search(table(spark, folder, "documents"), table(spark, folder, "benchmark"), 50)
+
+
+SQL["op12_ranked_search"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents WHERE text IS NOT NULL),
+     s AS (SELECT doc_id, CAST(len(t) AS BIGINT) AS n, t FROM d WHERE len(t) > 0),
+     c AS (SELECT count(*) AS nn, CAST(sum(n) AS BIGINT) AS ll FROM s),
+     p AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(t) AS term FROM s) GROUP BY ALL),
+     i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                              '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+     w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * nn + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w
+           FROM (SELECT term, count(*) AS df FROM p GROUP BY term), c),
+     x AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nn) // ll)))) AS BIGINT) AS score
+           FROM p JOIN i USING (term) JOIN w USING (term), c GROUP BY item_id, doc_id)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM x WHERE score > 0) WHERE rank <= 50
+"""
+
+
+@query
+def op13_centroid_clusters(spark, folder):
+    """Sixteen clusters of the embeddings after three rounds."""
+    from .vafile import clustered
+    return clustered(table(spark, folder, "embeddings"), k=16, rounds=3, dims=64, scale=64)
+
+
+def _cluster_sql(rounds: int = 3) -> str:
+    steps = """
+     v AS (SELECT vec_id, d, CAST(floor(64 * CAST(embedding[d + 1] AS DOUBLE)) AS BIGINT) AS x FROM
+             (SELECT vec_id, embedding, unnest(range(64)) AS d FROM embeddings
+              WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)),
+     f AS (SELECT vec_id, row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS c FROM (SELECT DISTINCT vec_id FROM v)),
+     c0 AS (SELECT c, d, x AS m FROM f JOIN v USING (vec_id) WHERE c < 16)"""
+    for r in range(rounds + 1):
+        steps += f""",
+     a{r} AS (SELECT vec_id, arg_min(c, s * 100 + c) AS c, CAST(min(s) AS BIGINT) AS distance FROM
+              (SELECT vec_id, c, sum((x - m) * (x - m)) AS s FROM v JOIN c{r} USING (d) GROUP BY vec_id, c) GROUP BY vec_id)"""
+        if r < rounds:
+            steps += f""",
+     c{r + 1} AS (SELECT c, d, coalesce(k, m) AS m FROM c{r} LEFT JOIN
+                  (SELECT c, d, CAST(floor(CAST(sum(x) AS DOUBLE) / count(*)) AS BIGINT) AS k FROM a{r} JOIN v USING (vec_id) GROUP BY c, d) USING (c, d))"""
+    return f"""
+WITH {steps.strip()},
+     h AS (SELECT c, sha256(string_agg(CAST(m AS VARCHAR), ',' ORDER BY d)) AS centroid_sha256 FROM c{rounds} GROUP BY c)
+SELECT vec_id, CAST(c AS INT) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(distance) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM a{rounds} JOIN h USING (c)
+"""
+
+
+SQL["op13_centroid_clusters"] = _cluster_sql()
