@@ -11,6 +11,7 @@ from ..catalog import signals as S
 from ..functions.text import decode_base64, first_of, test, trim_all
 from ..functions.urls import host_from_literal
 from ..session import cut_lineage
+from .bindings import bindings, declarations, named_values
 
 FILE = ["ext_id", "path"]
 _PIECE = r"\"(?:[^\"\\]++|\\[\s\S])*+(?:\"|$)|'(?:[^'\\]++|\\[\s\S])*+(?:'|$)|[A-Za-z_$][A-Za-z0-9_$.]*"
@@ -41,39 +42,20 @@ def expression_pieces(exprs: DataFrame, key: list[str]) -> DataFrame:
         F.when(~quoted, F.col("piece")).alias("name"))
 
 
-def constant_declarations(stmts: DataFrame) -> DataFrame:
-    """(file, name, ord, expr) of string-like declarations and object properties."""
-    simple = r"(?:^|[\s{}(,])(?:const|let|var)\s+([A-Za-z_$][A-Za-z0-9_$]*)\s*=\s*([^=>\s{].*)$"
-    object_ = r"(?:const|let|var)\s+([A-Za-z_$][A-Za-z0-9_$]*)\s*=\s*\{([^{}]*)\}"
-    declared = stmts.filter(F.col("stmt").rlike(r"(const|let|var)\s"))
-    plain = (
-        declared.withColumn("name", F.regexp_extract("stmt", simple, 1)).filter(F.col("name") != "")
-        .select(*FILE, "line", "stmt_no", "name", trim_all(F.regexp_extract("stmt", simple, 2)).alias("expr"))
-    )
-    entry = r"([A-Za-z_$][A-Za-z0-9_$]*)[\"']?\s*:\s*([^,]+)"
-    objects = (
-        declared.withColumn("owner", F.regexp_extract("stmt", object_, 1)).filter(F.col("owner") != "")
-        .select(*FILE, "line", "stmt_no", "owner",
-                F.explode(F.split(F.regexp_extract("stmt", object_, 2), ",")).alias("entry"))
-        .withColumn("field", F.regexp_extract("entry", r"^\s*[\"']?" + entry, 1)).filter(F.col("field") != "")
-        .select(*FILE, "line", "stmt_no", F.concat("owner", F.lit("."), "field").alias("name"),
-                trim_all(F.regexp_extract("entry", r"^\s*[\"']?" + entry, 2)).alias("expr"))
-    )
-    return (
-        plain.unionByName(objects).groupBy(*FILE, "name")
-        .agg(F.min(F.struct("line", "stmt_no", "expr")).alias("first"))
-        .select(*FILE, "name", F.col("first.expr").alias("expr"))
-    )
+def constant_declarations(bound: DataFrame) -> DataFrame:
+    """(file, name, expr) of declared names and object properties; the first declaration of a name counts."""
+    rows = declarations(bound).groupBy(*FILE, "name").agg(F.min(F.struct("line", "stmt_no", "bind_no", "expr")).alias("first"))
+    return rows.select(*FILE, "name", F.col("first.expr").alias("expr"))
 
 
-def string_constants(stmts: DataFrame) -> DataFrame:
+def string_constants(bound: DataFrame) -> DataFrame:
     """(file, name, value) by a fixed point of joins on (file, name).
 
     A declaration resolves once every name in it that is itself declared has a value;
     other names count as empty text. Each round works on what is still open, and the loop
     ends when a round resolves nothing, so cycles stay open and chains of any length close.
     """
-    declared = constant_declarations(stmts)
+    declared = constant_declarations(bound)
     pieces = expression_pieces(declared.withColumnRenamed("name", "const"), ["const"])
     names = pieces.select(*FILE, F.col("const").alias("name")).distinct().withColumn("is_const", F.lit(True))
     pieces = cut_lineage(pieces.join(names, [*FILE, "name"], "left"))
@@ -127,9 +109,9 @@ def is_sink(callee: Column, sinks: list[str]) -> Column:
     return match
 
 
-def argument_at(args: Column, index: Column) -> Column:
-    """One argument: text up to a nested call, or the whole of an encoded literal."""
-    part = F.trim(F.get(F.split(args, ","), index))
+def argument(part: Column) -> Column:
+    """What an argument (text between commas) says: text up to a nested call, or the whole of an encoded literal."""
+    part = F.trim(part)
     return F.when(part.rlike(_ATOB), F.regexp_extract(part, r"^atob\([^)]*", 0)).otherwise(
         trim_all(F.regexp_extract(part, r"^[^()]*", 0)))
 
@@ -159,14 +141,14 @@ def element_sources(assigned: DataFrame) -> DataFrame:
         assigned.filter(F.col("target").rlike(r"^[^.]+\.src$"))
         .withColumn("holder", F.substring_index("target", ".", 1))
         .join(holders, [*FILE, "holder"])
-        .select(*FILE, "line", "stmt_no", "snippet", "tag", F.col("value").alias("expr"))
+        .select(*FILE, "line", "stmt_no", "bind_no", "snippet", "tag", F.col("value").alias("expr"))
     )
 
 
 def remote_resources(assigned: DataFrame, constants: DataFrame) -> DataFrame:
     """(file, line, tag, domain) of remote script and iframe sources."""
     sources = element_sources(assigned)
-    key = ["line", "stmt_no", "tag"]
+    key = ["line", "stmt_no", "bind_no", "tag"]
     return (
         resolve_expressions(sources, key, constants)
         .withColumn("domain", host_from_literal(F.col("resolved")))
@@ -181,19 +163,13 @@ def contacted_domains(calls: DataFrame, assigned: DataFrame, constants: DataFram
     channels = calls.filter(
         is_sink(F.col("callee"), P.NETWORK_SINKS)
         | (F.col("is_new") & F.col("callee").isin(P.CHANNEL_CONSTRUCTORS)))
-    n_args = F.size(F.split("args", ","))
-    by_arg = channels.select(
-        *FILE, "line", "stmt_no", "call_no", "args",
-        F.explode(F.sequence(F.lit(0), n_args - 1)).alias("arg_no")
-    ).withColumn("expr", argument_at(F.col("args"), F.col("arg_no")))
-    opens = xhr_opens(calls, assigned)
-    by_open = opens.select(
-        *FILE, "line", "stmt_no", "call_no", "args",
-        F.when(F.size(F.split("args", ",")) > 1, 1).otherwise(0).alias("arg_no")
-    ).withColumn("expr", argument_at(F.col("args"), F.col("arg_no")))
+    parts = lambda rows: rows.select(*FILE, "line", "stmt_no", "call_no", F.posexplode(F.split("args", ",")).alias("arg_no", "part"))
+    by_open = xhr_opens(calls, assigned).select(*FILE, "line", "stmt_no", "call_no", F.lit(0).alias("arg_no"),
+                                                F.coalesce(F.get(F.split("args", ",", 3), F.lit(1)), "args").alias("part"))
+    by_arg = parts(channels).unionByName(by_open).withColumn("expr", argument(F.col("part"))).drop("part")
     key = ["line", "stmt_no", "call_no", "arg_no"]
     in_calls = (
-        resolve_expressions(by_arg.unionByName(by_open).drop("args"), key, constants)
+        resolve_expressions(by_arg, key, constants)
         .select(*FILE, "line", host_from_literal(F.col("resolved")).alias("domain"))
         .filter(F.col("domain").isNotNull())
     )
@@ -213,12 +189,12 @@ def fallback_domains(files: DataFrame, domains: DataFrame, contacts: DataFrame)
 def navigations(calls: DataFrame, assigned: DataFrame, constants: DataFrame) -> DataFrame:
     """Outbound navigations that carry page, product or affiliate context."""
     opened = calls.filter(F.col("callee").rlike(r"^(window\.)?open$")).select(
-        *FILE, "line", "stmt_no", "snippet", argument_at(F.col("args"), F.lit(0)).alias("expr"))
+        *FILE, "line", "stmt_no", "snippet", argument(F.substring_index("args", ",", 1)).alias("expr"))
     created = calls.filter(F.col("callee").rlike(r"^chrome\.(tabs|windows)\.create$")).select(
         *FILE, "line", "stmt_no", "snippet",
         F.when(F.trim("args").startswith("{"),
                trim_all(F.regexp_extract("args", r"\burl[\"']?\s*:\s*([^,{}()]*)", 1)))
-        .otherwise(argument_at(F.col("args"), F.lit(0))).alias("expr"))
+        .otherwise(argument(F.substring_index("args", ",", 1))).alias("expr"))
     moved = assigned.filter(
         F.col("target").contains(".") & F.col("target").rlike(r"\.(href|location)$")
     ).select(*FILE, "line", "stmt_no", "snippet", F.col("value").alias("expr"))
@@ -265,22 +241,11 @@ def _roots(expr: Column) -> Column:
     return F.array_distinct(F.transform(_tokens(expr), lambda t: F.substring_index(t, ".", 1)))
 
 
-def bindings(stmts: DataFrame) -> DataFrame:
-    """(file, var, expr): every way a statement gives a name the value of an expression."""
-    destructure = r"(?:const|let|var)\s*[{\[]([^{}\[\]]*)[}\]]\s*=\s*(.+)$"
-    promise = r"^(.*)\.then\(\s*(?:async\s*)?(?:function\s*[A-Za-z0-9_$]*\s*)?\(?\s*([A-Za-z_$][A-Za-z0-9_$]*)"
-    assign = r"(?:^|[\s{}(,])([A-Za-z_$][A-Za-z0-9_$.]*)\s*=\s*([^=>\s].*)$"
-    plain = stmts.filter(F.col("stmt").contains("=")).select(
-        *FILE, F.substring_index(F.regexp_extract("stmt", assign, 1), ".", 1).alias("var"),
-        F.regexp_extract("stmt", assign, 2).alias("expr"))
-    unpacked = stmts.filter(F.col("stmt").rlike(destructure)).select(
-        *FILE, F.explode(F.split(F.regexp_extract("stmt", destructure, 1), ",")).alias("item"),
-        F.regexp_extract("stmt", destructure, 2).alias("expr")
-    ).select(*FILE, F.regexp_extract("item", r"([A-Za-z_$][A-Za-z0-9_$]*)\s*$", 1).alias("var"), "expr")
-    promised = stmts.filter(F.col("stmt").contains(".then(")).select(
-        *FILE, F.regexp_extract("stmt", promise, 2).alias("var"), F.regexp_extract("stmt", promise, 1).alias("expr")
-    ).filter(F.col("expr").rlike(P.PROMISE_SOURCE))
-    return plain.unionByName(unpacked).unionByName(promised).filter(F.col("var") != "")
+def value_bindings(bound: DataFrame) -> DataFrame:
+    """(file, var, expr): every way a statement gives a name the value of an expression. A promise gives only what its
+    source is known for; a dotted name stands for the variable it begins with."""
+    rows = named_values(bound).filter((F.col("kind") != "promise") | F.col("value").rlike(P.PROMISE_SOURCE))
+    return rows.select(*FILE, F.substring_index("name", ".", 1).alias("var"), F.col("value").alias("expr"))
 
 
 def smallest_labels(seeds: list[tuple[str, str]], links: list[tuple[str, str]]) -> dict[str, str]:
@@ -300,6 +265,11 @@ def smallest_labels(seeds: list[tuple[str, str]], links: list[tuple[str, str]])
 
 
 def tainted_variables(stmts: DataFrame) -> DataFrame:
+    """(file, var, source) of statements: see ``tainted``."""
+    return tainted(bindings(stmts))
+
+
+def tainted(bound: DataFrame) -> DataFrame:
     """(file, var, source): variables that carry sensitive data, by label propagation.
 
     Seeds are bindings that name a source; labels move along (variable -> variable) bindings
@@ -307,11 +277,11 @@ def tainted_variables(stmts: DataFrame) -> DataFrame:
     file, so the bindings of each file that has a seed are followed together, to the end of
     chains of any length; they are fewer than the characters of the file.
     """
-    bound = bindings(stmts).withColumn("source", direct_source(F.col("expr")))
+    valued = value_bindings(bound).withColumn("source", direct_source(F.col("expr")))
     seeds = cut_lineage(
-        bound.filter(F.col("source").isNotNull()).groupBy(*FILE, "var").agg(F.min("source").alias("source")))
+        valued.filter(F.col("source").isNotNull()).groupBy(*FILE, "var").agg(F.min("source").alias("source")))
     links = (
-        bound.filter(F.col("source").isNull())
+        valued.filter(F.col("source").isNull())
         .select(*FILE, F.explode(_roots(F.col("expr"))).alias("var"), F.col("var").alias("to"))
         .filter(F.col("var") != F.col("to")).distinct().join(seeds.select(*FILE).distinct(), FILE, "left_semi")
     )

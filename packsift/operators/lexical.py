@@ -257,6 +257,10 @@ def without_literals(stmt: Column) -> Column:
     return F.regexp_replace(stmt, QUOTED, "\"\"")
 
 
+# Names that a statement without its literals assigns.
+TARGETS = r"(?:^|[\s{}(,])([A-Za-z_$][A-Za-z0-9_$.]*)\s*=(?=[^=>])"
+
+
 def members(stmts: DataFrame) -> DataFrame:
     """One row per member access: object (``?`` when not a plain name), property and
     whether the access is the target of an assignment."""
@@ -265,34 +269,27 @@ def members(stmts: DataFrame) -> DataFrame:
     tokens = (
         stmts.filter(F.col("stmt").contains("."))
         .withColumn("bare", bare)
-        .withColumn("target", F.regexp_extract("bare", ASSIGNMENT, 1))
-        .select(*keep, "target", F.explode(F.regexp_extract_all("bare", F.lit(r"[A-Za-z0-9_$.]+"), F.lit(0))).alias("token"))
+        .withColumn("targets", F.regexp_extract_all("bare", F.lit(TARGETS), F.lit(1)))
+        .select(*keep, "targets", F.explode(F.regexp_extract_all("bare", F.lit(r"[A-Za-z0-9_$.]+"), F.lit(0))).alias("token"))
         .filter(F.col("token").contains("."))
         .withColumn("seg", F.split("token", r"\.", -1))
     )
-    pairs = tokens.select(*keep, "token", "target", "seg", F.explode(F.sequence(F.lit(1), F.size("seg") - 1)).alias("k"))
+    pairs = tokens.select(*keep, "token", "targets", "seg", F.explode(F.sequence(F.lit(1), F.size("seg") - 1)).alias("k"))
     first = F.element_at("seg", 1)
     return pairs.select(
         *keep,
         F.when(first == "", "?").otherwise(
             F.call_function("substring_index", F.col("token"), F.lit("."), F.col("k"))).alias("object"),
         F.element_at("seg", F.col("k") + 1).alias("property"),
-        ((F.col("target") == F.col("token")) & (F.col("k") == F.size("seg") - 1)).alias("is_write"),
+        (F.array_contains("targets", F.col("token")) & (F.col("k") == F.size("seg") - 1)).alias("is_write"),
     ).filter(F.col("property").rlike(r"^[A-Za-z_$]"))
 
 
-# First assignment of a statement: target name and the expression after "=".
-ASSIGNMENT = r"(?:^|[\s{}(,])([A-Za-z_$][A-Za-z0-9_$.]*)\s*=\s*([^=>\s].*)$"
-
-
 def assignments(stmts: DataFrame) -> DataFrame:
-    """One row per statement that assigns a plain or dotted name."""
-    return (
-        stmts.filter(F.col("stmt").contains("="))
-        .withColumn("target", F.regexp_extract("stmt", ASSIGNMENT, 1))
-        .filter(F.col("target") != "")
-        .withColumn("value", F.regexp_extract("stmt", ASSIGNMENT, 2))
-    )
+    """One row per assignment of a plain or dotted name."""
+    from . import bindings
+
+    return bindings.assignments(bindings.bindings(stmts))
 
 
 def literals(lines: DataFrame) -> DataFrame:

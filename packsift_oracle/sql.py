@@ -87,6 +87,7 @@ SQL["decoded_literals"] = "SELECT * FROM c_decoded"
 SQL["call_sites"] = "SELECT ext_id, path, line, stmt_no, call_no, callee, is_new, args FROM c_calls"
 SQL["member_sites"] = "SELECT ext_id, path, line, object, property, is_write, count(*) AS n FROM c_members GROUP BY ALL"
 SQL["assignments"] = "SELECT ext_id, path, line, stmt_no, target, value FROM c_assigned"
+SQL["bound_names"] = "SELECT ext_id, path, line, kind, name, value, count(*) AS n FROM c_names GROUP BY ALL"
 SQL["code_literals"] = "SELECT ext_id, path, line, is_template, value, count(*) AS n FROM c_literals GROUP BY ALL"
 SQL["dom_selectors"] = r"""
 SELECT ext_id, path, line, 'document.' || string_split(callee, '.')[-1] AS method, l[2:-2] AS selector FROM (SELECT *, regexp_extract(args, '^\s*("[^"]*"|''[^'']*'')', 1) AS l FROM c_calls)

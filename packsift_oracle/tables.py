@@ -257,7 +257,6 @@ def argument(args: str, i: str) -> str:
 TRIM = r"^\s+|\s+$"
 ATOB = r"^atob\(\s*[\"']([A-Za-z0-9+/]+={0,2})[\"']"
 PIECE = r"\"[^\"]*(?:\"|$)|'[^']*(?:'|$)|[A-Za-z_$][A-Za-z0-9_$.]*"
-ASSIGN = r"(?:^|[\s{}(,])([A-Za-z_$][A-Za-z0-9_$.]*)\s*=\s*([^=>\s].*)$"
 COMMENT_TOKENS = (
     r"""(?s)"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`"""
     r"""|/(?:[^*/\n\\]|\\.)(?:[^/\n\\]|\\.)*/[gimyus]*|/\*.*?\*/|//[^\n]*|[^"'`/]+|.""")
@@ -495,17 +494,71 @@ FROM (SELECT *, {x('head', r'([A-Za-z_$][A-Za-z0-9_$.]*)\s*$')} AS callee FROM (
     ON c.ext_id = o.ext_id AND c.path = o.path AND c.line = o.line AND c.stmt_no = o.stmt_no AND c.i = o.i))
 WHERE callee <> '' AND callee NOT IN {inlist(P.KEYWORDS)}"""
 _BARE = sub("stmt", "\"[^\"]*\"|'[^']*'", '""')
+_TARGETS = xall(sub("bare", "[-=!<>+*/%&|^?]*=[=>]+|[-!<>+*/%&|^?]+=", " # "), r"(?:^|[\s{}(,])([A-Za-z_$][A-Za-z0-9_$.]*)\s*=", 1)
 CTES["c_members"] = f"""
 SELECT ext_id, path, role, line, snippet, object, property, is_write FROM (
   SELECT ext_id, path, role, line, snippet, CASE WHEN seg[1] = '' THEN '?' ELSE array_to_string(seg[1:k], '.') END AS object, seg[k + 1] AS property,
-    target = token AND k = len(seg) - 1 AS is_write
+    list_contains(targets, token) AND k = len(seg) - 1 AS is_write
   FROM (SELECT *, string_split(token, '.') AS seg, unnest(range(1, len(string_split(token, '.')))) AS k FROM (
-    SELECT *, {x('bare', ASSIGN)} AS target, unnest({xall('bare', '[A-Za-z0-9_$.]+')}) AS token FROM (SELECT *, {_BARE} AS bare FROM c_stmts WHERE contains(stmt, '.')))
+    SELECT *, {_TARGETS} AS targets, unnest({xall('bare', '[A-Za-z0-9_$.]+')}) AS token FROM (SELECT *, {_BARE} AS bare FROM c_stmts WHERE contains(stmt, '.')))
     WHERE contains(token, '.')))
 WHERE {m('property', '^[A-Za-z_$]')}"""
-CTES["c_assigned"] = f"""
-SELECT ext_id, path, role, line, snippet, stmt_no, {x('stmt', ASSIGN)} AS target, {x('stmt', ASSIGN, 2)} AS value
-FROM c_stmts WHERE {x('stmt', ASSIGN)} <> ''"""
+_DTOK = "\"[^\"]*\"|'[^']*'|`[^`]*`|[()\\[\\]{}]|[-=!<>+*/%&|^?]*=[=>]*|,|[^()\\[\\]{}\"'`,=!<>+*/%&|^?-]+|."
+_NAME = "[A-Za-z_$][A-Za-z0-9_$.]*"
+_KEYWORD = r"(?:^|[\s{}(])(?:const|let|var)"
+_CALLBACK = r"^\s*(?:async\s*)?(?:function\s*[A-Za-z0-9_$]*\s*)?\(?\s*"
+
+
+def nested(opening: str, closing: str, inside: str, depth: int) -> str:
+    """Pattern of a bracket with brackets inside it, down to a depth."""
+    return f"{opening}(?:{inside}{'|' + nested(opening, closing, inside, depth - 1) if depth else ''})*{closing}"
+
+
+_PATTERN = nested(r"[{\[]", r"[}\]]", r"[^{}\[\]]", 4)
+_QUOTED = "\"[^\"]*\"|'[^']*'|`[^`]*`"
+_BRACKET = nested(r"[({\[]", r"[)}\]]", _QUOTED + "|[^(){}\\[\\]\"'`]", 3)
+_STMT = "ext_id, path, line, stmt_no"
+_SAME = "{0}.ext_id = {1}.ext_id AND {0}.path = {1}.path AND {0}.line = {1}.line AND {0}.stmt_no = {1}.stmt_no".format
+CTES["c_dtok"] = f"""
+SELECT *, sum(len(tok)) OVER w AS upto, sum(CASE WHEN tok IN ('(', '[', '{{') THEN 1 WHEN tok IN (')', ']', '}}') THEN -1 ELSE 0 END) OVER w AS depth
+FROM (SELECT *, unnest({xall('stmt', _DTOK)}) AS tok, generate_subscripts({xall('stmt', _DTOK)}, 1) AS i FROM c_stmts WHERE contains(stmt, '=') OR contains(stmt, '.then('))
+WINDOW w AS (PARTITION BY {_STMT} ORDER BY i)"""
+# where a part of a statement begins: after a comma, an opening bracket, or a closing one without a partner
+CTES["c_dedge"] = f"""
+SELECT {_STMT}, i, upto, depth, tok <> ',' AS opens FROM (
+  SELECT *, min(depth) OVER (PARTITION BY {_STMT} ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS low FROM c_dtok)
+WHERE tok IN (',', '(', '[', '{{') OR (tok IN (')', ']', '}}') AND depth < least(coalesce(low, 0), 0))"""
+CTES["c_dhead"] = f"""
+SELECT e.*, substring(e.stmt, coalesce(b.since, 0)::INT + 1, (e.upto - len(e.tok) - coalesce(b.since, 0))::INT) AS head, coalesce(b.since, 0) AS since, coalesce(b.grp, 0) AS grp, b.last
+FROM (SELECT * FROM c_dtok WHERE tok IN ('=', ',') OR (tok = '(' AND substring(stmt, upto::INT - 5, 5) = '.then')) e
+LEFT JOIN (SELECT e.ext_id, e.path, e.line, e.stmt_no, e.i, max(b.upto) AS since, max(b.upto) FILTER (WHERE b.opens) AS grp, max(b.i) AS last FROM c_dtok e
+    JOIN c_dedge b ON {_SAME('e', 'b')} AND b.i < e.i AND b.depth = e.depth - (e.tok = '(')::INT WHERE e.tok IN ('=', ',', '(') GROUP BY ALL) b
+  ON {_SAME('e', 'b')} AND b.i = e.i"""
+_TARGET_NAME = x("head", r"(?:^|[\s{}(,])(" + _NAME + r")\s*$")
+_TARGET_PATTERN = x("head", rf"(?:^|{_KEYWORD})\s*({_PATTERN})\s*$")
+CTES["c_deq"] = f"""
+SELECT *, CASE WHEN {_TARGET_NAME} <> '' THEN {_TARGET_NAME} ELSE {_TARGET_PATTERN} END AS target,
+  {m('head', _KEYWORD + r'\s+' + _NAME + r'\s*$')} OR {m('head', _KEYWORD + r'\s*' + _PATTERN + r'\s*$')} AS kw, {m('head', r'^\s*(?:' + _NAME + '|' + _PATTERN + r')\s*$')} AS alone
+FROM c_dhead WHERE tok = '='"""
+CTES["c_dfirst"] = f"SELECT *, row_number() OVER (PARTITION BY {_STMT}, grp, since ORDER BY i) = 1 AS first FROM c_deq WHERE target <> ''"
+CTES["c_dlists"] = f"""
+SELECT {_STMT}, grp, min(i) AS i FROM (SELECT {_STMT}, grp, i FROM c_dfirst WHERE first AND kw
+  UNION ALL SELECT {_STMT}, grp, i FROM c_dhead WHERE tok = ',' AND {m('head', _KEYWORD + r'\s+' + _NAME + r'\s*$')}) GROUP BY ALL"""
+CTES["c_binds"] = f"""
+SELECT ext_id, path, role, line, snippet, stmt_no, i, CASE WHEN first AND (kw OR (alone AND listed)) THEN 'declared' ELSE 'assigned' END AS kind, target, value FROM (
+  SELECT f.*, l.i IS NOT NULL AS listed, {sub("substring(f.stmt, f.upto::INT + 1, (coalesce(s.stop, len(f.stmt)) - f.upto)::INT)", TRIM)} AS value
+  FROM c_dfirst f LEFT JOIN c_dlists l ON {_SAME('f', 'l')} AND l.grp = f.grp AND l.i < f.i
+  LEFT JOIN (SELECT e.ext_id, e.path, e.line, e.stmt_no, e.i, min(c.upto - len(c.tok)) AS stop FROM c_dfirst e JOIN c_dtok c ON {_SAME('e', 'c')} AND c.i > e.i
+      AND ((c.tok = ',' AND c.depth = e.depth) OR (c.tok IN (')', ']', '}}') AND c.depth = e.depth - 1)) GROUP BY ALL) s
+    ON {_SAME('f', 's')} AND s.i = f.i)
+WHERE value <> ''
+UNION ALL
+SELECT ext_id, path, role, line, snippet, stmt_no, i, 'promise', {x('after', _CALLBACK + '(' + _NAME + '|' + _PATTERN + ')')} AS target, {sub("substring(head, 1, len(head) - 5)", TRIM)}
+FROM (SELECT *, substring(stmt, upto::INT + 1) AS after FROM c_dhead WHERE tok = '(') WHERE target <> ''"""
+_NO_DEFAULTS = sub("target", rf"=\s*(?:{_PATTERN}|[^,{{}}\[\]])*")
+_NO_KEYS = sub(_NO_DEFAULTS, r"[A-Za-z_$][A-Za-z0-9_$]*\s*:")
+CTES["c_names"] = f"SELECT *, unnest({xall(_NO_KEYS, _NAME)}) AS name FROM c_binds"
+CTES["c_assigned"] = f"SELECT ext_id, path, role, line, snippet, stmt_no, i, kind, target, value FROM c_binds WHERE kind <> 'promise' AND NOT {m('target', '^[{[]')}"
 CTES["c_literals"] = f"""
 SELECT ext_id, path, role, line, substring(text, greatest(instr(text, quoted) - 80, 1), 240) AS snippet, starts_with(quoted, '`') AS is_template, substring(quoted, 2, len(quoted) - 2) AS value
 FROM (SELECT ext_id, path, role, line, text, unnest({xall('text', '"[^"]*"|' + "'[^']*'|`[^`]*`")}) AS quoted FROM c_lines)"""
@@ -552,16 +605,14 @@ def pieces(source: str, key: str) -> str:
       FROM (SELECT *, {plain} AS plain FROM {source}) WHERE {sub('plain', PIECE + '|[' + chr(92) + 's+]')} = '')"""
 
 
-_SIMPLE = r"(?:^|[\s{}(,])(?:const|let|var)\s+([A-Za-z_$][A-Za-z0-9_$]*)\s*=\s*([^=>\s{].*)$"
-_OBJECT = r"(?:const|let|var)\s+([A-Za-z_$][A-Za-z0-9_$]*)\s*=\s*\{([^{}]*)\}"
-_ENTRY = r"^\s*[\"']?([A-Za-z_$][A-Za-z0-9_$]*)[\"']?\s*:\s*([^,]+)"
+_ENTRY = rf"^\s*(?:({_NAME})|[\"']([^\"']*)[\"'])\s*:\s*(.*?)\s*$"
 CTES["c_decl"] = f"""
-SELECT ext_id, path, name, arg_min(expr, (line, stmt_no, expr)) AS expr FROM (
-  SELECT ext_id, path, line, stmt_no, {x('stmt', _SIMPLE)} AS name, {sub(x('stmt', _SIMPLE, 2), TRIM)} AS expr FROM c_stmts
-  UNION ALL SELECT ext_id, path, line, stmt_no, CASE WHEN {x('entry', _ENTRY)} <> '' THEN owner || '.' || {x('entry', _ENTRY)} ELSE '' END,
-    {sub(x('entry', _ENTRY, 2), TRIM)}
-  FROM (SELECT *, {x('stmt', _OBJECT)} AS owner, unnest(string_split({x('stmt', _OBJECT, 2)}, ',')) AS entry FROM c_stmts) WHERE owner <> '')
-WHERE name <> '' GROUP BY ext_id, path, name"""
+SELECT ext_id, path, name, arg_min(expr, (line, stmt_no, i, expr)) AS expr FROM (
+  SELECT ext_id, path, line, stmt_no, i, target AS name, value AS expr FROM c_assigned WHERE kind = 'declared' AND NOT contains(target, '.') AND NOT starts_with(value, '{{')
+  UNION ALL SELECT ext_id, path, line, stmt_no, i, target || '.' || {x('entry', _ENTRY)} || {x('entry', _ENTRY, 2)}, {x('entry', _ENTRY, 3)}
+  FROM (SELECT *, unnest({xall(x('value', rf'^[{{]((?:{_QUOTED}|{_BRACKET}|[^(){{}}])*)[}}]'), rf'(?:{_QUOTED}|{_BRACKET}|[^,(){{}}])+')}) AS entry
+    FROM c_assigned WHERE kind = 'declared' AND starts_with(value, '{{')) WHERE {x('entry', _ENTRY, 3)} <> '')
+GROUP BY ext_id, path, name"""
 CTES["c_pieces0"] = pieces("c_decl", "ext_id, path, name")
 CTES["c_pieces"] = """
 SELECT p.*, EXISTS (SELECT 1 FROM c_pieces0 n WHERE n.ext_id = p.ext_id AND n.path = p.path AND n.name = p.ref) AS is_const FROM c_pieces0 p"""
@@ -594,11 +645,11 @@ SELECT c.* FROM c_calls c WHERE regexp_matches(callee, '^[^.]+\.open$') AND EXIS
 _CHANNEL = f"(is_new AND callee IN {inlist(P.CHANNEL_CONSTRUCTORS)})"
 CTES["c_remote"] = rf"""
 SELECT DISTINCT ext_id, path, line, tag, {from_literal('resolved')} AS domain FROM ({resolved(r'''(
-  SELECT a.ext_id, a.path, a.line, a.stmt_no, h.tag, a.value AS expr FROM c_assigned a JOIN (
+  SELECT a.ext_id, a.path, a.line, a.stmt_no, a.i, h.tag, a.value AS expr FROM c_assigned a JOIN (
     SELECT ext_id, path, target AS holder, max(lower(regexp_extract(value, '^document\.createElement\(\s*["'']([a-zA-Z0-9_]+)["'']', 1))) AS tag
     FROM c_assigned WHERE lower(regexp_extract(value, '^document\.createElement\(\s*["'']([a-zA-Z0-9_]+)["'']', 1)) IN ('script', 'iframe') GROUP BY ALL) h
   ON h.ext_id = a.ext_id AND h.path = a.path AND regexp_matches(a.target, '^[^.]+\.src$') AND string_split(a.target, '.')[1] = h.holder)''',
-  'ext_id, path, line, stmt_no, tag')}) WHERE {from_literal('resolved')} IS NOT NULL"""
+  'ext_id, path, line, stmt_no, i, tag')}) WHERE {from_literal('resolved')} IS NOT NULL"""
 CTES["c_contactargs"] = f"""
 SELECT ext_id, path, line, stmt_no, call_no, arg_no, {argument('args', 'arg_no')} AS expr FROM (
   SELECT *, unnest(range(0, len(string_split(args, ',')))) AS arg_no FROM c_calls WHERE {sink('callee', P.NETWORK_SINKS)} OR {_CHANNEL}
@@ -621,14 +672,8 @@ CTES["c_navs"] = f"""
 SELECT ext_id, path, role, line, domain, reason, min(snippet) AS snippet, CASE WHEN {m('reason', 'affiliate|domain|product|page')} THEN 'high' ELSE 'medium' END AS severity
 FROM (SELECT *, {_REASON} AS reason FROM (SELECT *, {from_literal('resolved')} AS domain FROM ({resolved(f"(SELECT *, expr AS n FROM {_NAVSRC} WHERE expr <> '')", 'ext_id, path, role, line, stmt_no, snippet, n')}))
   WHERE domain IS NOT NULL) WHERE reason <> '' GROUP BY ext_id, path, role, line, domain, reason"""
-_DESTR = r"(?:const|let|var)\s*[{\[]([^{}\[\]]*)[}\]]\s*=\s*(.+)$"
-_THEN = r"^(.*)\.then\(\s*(?:async\s*)?(?:function\s*[A-Za-z0-9_$]*\s*)?\(?\s*([A-Za-z_$][A-Za-z0-9_$]*)"
 CTES["c_bound"] = f"""
-SELECT *, {direct('expr')} AS source FROM (
-  SELECT ext_id, path, string_split({x('stmt', ASSIGN)}, '.')[1] AS var, {x('stmt', ASSIGN, 2)} AS expr FROM c_stmts
-  UNION ALL SELECT ext_id, path, regexp_extract(unnest(string_split({x('stmt', _DESTR)}, ',')), '([A-Za-z_$][A-Za-z0-9_$]*)\\s*$', 1), {x('stmt', _DESTR, 2)} FROM c_stmts WHERE {m('stmt', _DESTR)}
-  UNION ALL SELECT ext_id, path, {x('stmt', _THEN, 2)}, {x('stmt', _THEN, 1)} FROM c_stmts WHERE {m(x('stmt', _THEN, 1), P.PROMISE_SOURCE)})
-WHERE coalesce(var, '') <> ''"""
+SELECT ext_id, path, string_split(name, '.')[1] AS var, value AS expr, {direct('value')} AS source FROM c_names WHERE kind <> 'promise' OR {m('value', P.PROMISE_SOURCE)}"""
 CTES["r_taint"] = f"""
 SELECT ext_id, path, var, source FROM c_bound WHERE source IS NOT NULL
 UNION SELECT l.ext_id, l.path, l.var, t.source FROM r_taint t JOIN c_links l ON l.ext_id = t.ext_id AND l.path = t.path AND l.ref = t.var"""
