@@ -1,15 +1,15 @@
 """Ranked lexical search by hashed max-sketches.
 
-The impact of a term on a document is what it adds to the score of a query that holds it. A document's sketch is an array of
-bytes: every term falls into one coordinate by its hash, and a coordinate keeps the greatest impact that falls into it, rounded
-up. Sketches have eight coordinates or more a distinct term, so texts of every length are as full. A query looks its
-terms up; the sum is never below the score, whatever else fell into these coordinates.
+The impact of a term on a document is what it adds to the score of a query that holds it. In a document's sketch every term falls
+into one coordinate by its hash, and a coordinate keeps the greatest impact that falls into it, rounded up to 16 bits. Sketches
+have ``SPARE`` coordinates or more a distinct term, so texts of every length are as empty, and only coordinates that hold something
+are stored. A query looks its terms up; the sum is never below the score, whatever else fell into these coordinates.
 
 1. One pass counts terms, documents and, by term, the documents that hold it. The most frequent terms, ``WEIGHTS`` at most, go
    to all tasks with their weights; other terms take the greatest weight there is, which only loosens bounds.
 2. A second pass folds every document into its sketch. The sketches are staged, and queries read them instead of the texts.
 3. Queries come in batches (``BATCH`` items). All terms of a batch are looked up in all sketches at once, as a product of
-   gathered bytes and the matrix of terms and items. The bounds are first counted by size, so that one knows the bound above
+   the looked-up impacts and the matrix of terms and items. The bounds are first counted by size, so that one knows the bound above
    which a number of documents lies.
 4. Documents are scored exactly in the order of their bounds: for each item some hundred first, then eight times as many each
    round. The k-th best score so far is the threshold. An item is done when no document with a bound at or above its threshold
@@ -38,7 +38,9 @@ from .shared import BROADCAST_ROWS, buffer, chunks, words
 
 WEIGHTS = 1 << 20
 BATCH = 512  # items
-LEAST_WIDTH = 64
+SPARE, LEAST_WIDTH = 32, 1024
+TOP = (1 << 16) - 1  # the greatest impact of a sketch
+ROOM = 1 << 22  # coordinates laid out at a time
 FLUSH = 2_000_000  # words that a task gathers before it passes counts on
 BINS = 1024
 STEP = 2048  # terms looked up at a time
@@ -81,7 +83,7 @@ class Statistics:
         self.terms = terms[order]
         self.weights = np.array([known[int(n)] for n in holding[order]], np.int64)
         self.most = max(weight(documents, 1), 1) if documents else 1  # of any term that a document holds
-        self.unit = -(-self.most * (SCALE // 1000) // 255)  # impacts stay below weight * 10 ** 6
+        self.unit = -(-self.most * (SCALE // 1000) // TOP)  # impacts stay below weight * 10 ** 6
 
     def lengths(self, size: np.ndarray) -> np.ndarray:
         return np.array([50 + 50 * n * self.documents // max(self.total, 1) for n in size.tolist()], np.int64)
@@ -124,7 +126,7 @@ def statistics(counts: DataFrame) -> Statistics:
 
 
 def sketches(docs: DataFrame, stats: Statistics) -> DataFrame:
-    """doc_id, h (hash of the text) and sketch of each document with terms; staged."""
+    """doc_id, h (hash of the text), width, places and impacts of each document with terms; staged."""
     shared = docs.sparkSession.sparkContext.broadcast(stats)
 
     def run(batches):
@@ -132,19 +134,22 @@ def sketches(docs: DataFrame, stats: Statistics) -> DataFrame:
         for batch in chunks(batches, "text"):
             row, h, tf, size = terms_of(batch["text"])
             distinct = np.bincount(row, minlength=batch.num_rows)
-            width = np.maximum(LEAST_WIDTH, 1 << np.ceil(np.log2(np.maximum(8 * distinct, 1))).astype(np.int64))
-            width[distinct == 0] = 0
-            start = np.concatenate([[0], np.cumsum(width)])
-            impact = stats.bounded(h) * part(tf, stats.lengths(size)[row])
-            flat = np.zeros(start[-1], np.uint8)
-            np.maximum.at(flat, start[row] + (h & (width[row] - 1).astype(np.uint64)).astype(np.int64), (-(-impact // stats.unit)).astype(np.uint8))
-            data = flat.tobytes()
+            width = np.maximum(LEAST_WIDTH, 1 << np.ceil(np.log2(np.maximum(SPARE * distinct, 1))).astype(np.int64))
+            place = (h & (width[row] - 1).astype(np.uint64)).astype(np.int64)
+            impact = -(-(stats.bounded(h) * part(tf, stats.lengths(size)[row])) // stats.unit)
+            order = np.lexsort((-impact, place, row))
+            row, place, impact = row[order], place[order], impact[order]
+            first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (place[1:] != place[:-1])])) if len(row) else row
+            row, place, impact = row[first], place[first], impact[first].astype(np.uint16)
             some = np.flatnonzero(distinct)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(some)), batch["h"].take(pa.array(some)), pa.array([data[start[i]:start[i + 1]] for i in some], pa.binary())],
-                                             ["doc_id", "h", "sketch"])
+            low, high = np.searchsorted(row, some), np.searchsorted(row, some, "right")
+            yield pa.RecordBatch.from_arrays([
+                batch["doc_id"].take(pa.array(some)), batch["h"].take(pa.array(some)), pa.array(width[some]),
+                pa.array([place[a:b].astype(np.uint16 if w <= 1 << 16 else np.uint32).tobytes() for a, b, w in zip(low, high, width[some])], pa.binary()),
+                pa.array([impact[a:b].tobytes() for a, b in zip(low, high)], pa.binary())], ["doc_id", "h", "width", "places", "impacts"])
 
     rows = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("h"), "text")
-    return cut_lineage(rows.mapInArrow(run, "doc_id long, h long, sketch binary"))
+    return cut_lineage(rows.mapInArrow(run, "doc_id long, h long, width long, places binary, impacts binary"))
 
 
 class Batch:
@@ -163,30 +168,34 @@ class Batch:
             self.weights[np.searchsorted(self.terms, np.uint64(r.term % 2**64))] = weight(documents, r.n)
 
     def bounds(self, table: pa.RecordBatch, unit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(rows, bounds): sums of looked-up bytes, row x item. Whole numbers below 2 ** 24, so single precision is exact.
-
-        A byte is taken for what the term itself can reach at most, if something else has made it greater.
-        """
+        """(rows, bounds): sums of looked-up impacts, row x item. An impact counts for what the term itself can reach at most,
+        if something else has made it greater."""
         item = np.repeat(np.arange(self.items), np.diff(self.start))
-        most = (-(-self.weights * (SCALE // 1000) // unit)).astype(np.uint8)
-        column = table["sketch"]
-        at = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4).astype(np.int64)
-        data = np.frombuffer(column.buffers()[2], np.uint8) if at[-1] else np.zeros(0, np.uint8)
-        start, width = at[:-1], np.diff(at)
+        most = (-(-self.weights * (SCALE // 1000) // unit)).astype(np.uint16)
+        # sums are whole numbers; single precision holds them up to 2 ** 24
+        kind = np.float32 if self.items and int(np.diff(self.start).max()) * TOP < 1 << 24 else np.float64
         order = np.argsort(self.place, kind="stable")
         cuts = np.searchsorted(self.place[order], np.arange(0, len(self.terms) + STEP, STEP))
+        matrices = []
+        for i in range(len(cuts) - 1):
+            mine = order[cuts[i]:cuts[i + 1]]
+            matrices.append(np.zeros((len(self.terms[i * STEP:(i + 1) * STEP]), self.items), kind))
+            matrices[i][self.place[mine] - i * STEP, item[mine]] = 1
+        width, places, impacts = table["width"].to_numpy(), table["places"], table["impacts"]
         for w in np.unique(width).tolist():
             column = (self.terms & np.uint64(w - 1)).astype(np.int64)
             rows = np.flatnonzero(width == w)
-            for a in range(0, len(rows), 1024):
-                some = rows[a:a + 1024]
-                total = np.zeros((len(some), self.items), np.float32)
-                for i in range(len(cuts) - 1):
-                    mine = order[cuts[i]:cuts[i + 1]]
-                    at = column[i * STEP:(i + 1) * STEP]
-                    matrix = np.zeros((len(at), self.items), np.float32)
-                    matrix[self.place[mine] - i * STEP, item[mine]] = 1
-                    total += np.minimum(data[start[some][:, None] + at[None]], most[None, i * STEP:(i + 1) * STEP]).astype(np.float32) @ matrix
+            step = max(1, min(1024, ROOM // w))
+            for a in range(0, len(rows), step):
+                some = rows[a:a + step]
+                held = [impacts[int(r)].as_py() for r in some]
+                place = np.frombuffer(b"".join(places[int(r)].as_py() for r in some), np.uint16 if w <= 1 << 16 else np.uint32)
+                sketch = np.zeros((len(some), w), np.uint16)
+                sketch[np.repeat(np.arange(len(some)), [len(x) // 2 for x in held]), place] = np.frombuffer(b"".join(held), np.uint16)
+                total = np.zeros((len(some), self.items), kind)
+                for i, matrix in enumerate(matrices):
+                    part_ = slice(i * STEP, (i + 1) * STEP)
+                    total += np.minimum(sketch[:, column[part_]], most[None, part_]).astype(kind) @ matrix
                 yield some, total.astype(np.int64)
 
     def scores(self, h: np.ndarray, tf: np.ndarray, m: int) -> np.ndarray:
@@ -216,13 +225,13 @@ def bound_counts(table: DataFrame, batch: Batch, unit: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["cell", "n"])
 
     out = np.zeros(batch.items * BINS, np.int64)
-    for r in table.select("sketch").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+    for r in table.select("width", "places", "impacts").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
         out[r.cell] = r.n
     return out.reshape(batch.items, BINS)
 
 
 def bin_width(batch: Batch) -> np.ndarray:
-    return 255 * np.diff(batch.start) // BINS + 1
+    return TOP * np.diff(batch.start) // BINS + 1
 
 
 def within(table: DataFrame, batch: Batch, unit: int, low: np.ndarray, high: np.ndarray) -> DataFrame:
