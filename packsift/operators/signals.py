@@ -109,7 +109,7 @@ _ENCODED: list[tuple[str, str, int, Callable[[Column], Column]]] = [
     ("char_codes", S.CHAR_CODES, 1, _from_char_codes),
     ("eval_body", r"eval\s*\(\s*(\"[^\"\n]*\"|'[^'\n]*')\s*\)", 1, _from_eval),
 ]
-_CAN_DECODE = r"atob|\\x|\\u|fromCharCode|eval"
+CAN_DECODE = r"atob|\\x|\\u|fromCharCode|eval"
 
 
 def decoded_literals(files: DataFrame) -> DataFrame:
@@ -121,7 +121,7 @@ def decoded_literals(files: DataFrame) -> DataFrame:
 
     found = F.concat(*[tagged(*row) for row in _ENCODED])
     return (
-        files.filter(raw.rlike(_CAN_DECODE))
+        files.filter(raw.rlike(CAN_DECODE))
         .select("ext_id", "path", F.explode(F.filter(found, lambda e: e["decoded"].isNotNull())).alias("e"))
         .select("ext_id", "path", "e.*")
     )
@@ -132,7 +132,7 @@ def has_decodable(raw: Column) -> Column:
     def decodes(_: str, pattern: str, group: int, decoder: Callable[[Column], Column]) -> Column:
         return F.exists(F.regexp_extract_all(raw, F.lit(pattern), F.lit(group)), lambda body: decoder(body).isNotNull())
 
-    return raw.rlike(_CAN_DECODE) & F.coalesce(any_of(decodes(*row) for row in _ENCODED), F.lit(False))
+    return raw.rlike(CAN_DECODE) & F.coalesce(any_of(decodes(*row) for row in _ENCODED), F.lit(False))
 
 
 def obfuscation_counts(files: DataFrame) -> DataFrame:

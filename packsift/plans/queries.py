@@ -291,6 +291,12 @@ def decoded_literals(c: Corpus):
     return signals.decoded_literals(c.scripts)
 
 
+@audit_query("decoded_layers")
+def decoded_layers(c: Corpus):
+    """What encoded literals hide, at every depth."""
+    return c.layers.drop("text")
+
+
 @audit_query("call_sites")
 def call_sites(c: Corpus):
     return c.calls.drop("snippet")

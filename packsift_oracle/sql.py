@@ -84,6 +84,7 @@ SQL["api_references"] = "SELECT * FROM c_api"
 SQL["text_signals"] = grep("c_scripts")
 SQL["large_file_signals"] = "SELECT ext_id, path, role, label, signal, severity, root, hits, line, snippet FROM c_bigsignals"
 SQL["decoded_literals"] = "SELECT * FROM c_decoded"
+SQL["decoded_layers"] = "SELECT ext_id, path, layer, parent, depth, method, spot AS \"offset\", line, decoded FROM c_layers"
 SQL["call_sites"] = "SELECT ext_id, path, line, stmt_no, call_no, callee, is_new, args FROM c_calls"
 SQL["member_sites"] = "SELECT ext_id, path, line, object, property, is_write, count(*) AS n FROM c_members GROUP BY ALL"
 SQL["assignments"] = "SELECT ext_id, path, line, stmt_no, target, value FROM c_assigned"

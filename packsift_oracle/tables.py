@@ -411,18 +411,53 @@ SELECT ext_id, path, method, body, decoded FROM (
       THEN substring(body, 2, len(body) - 2) END
     FROM (SELECT ext_id, path, unnest({xall('raw', _EVAL, 1)}) AS body FROM c_scripts))
 WHERE decoded IS NOT NULL"""
+# layers: every literal of a text that decodes is a text below it; depth 0 are the scripts themselves
+_ESCAPED_EVAL = r"eval\s*\(\s*(\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*')\s*\)"
+_LAYERS = [("base64", S.BASE64_CALL, 1), ("hex", _HEX, 0), ("unicode", _UNI, 0), ("char_codes", S.CHAR_CODES, 1), ("eval_body", _ESCAPED_EVAL, 1)]
+_CODES = """array_to_string(list_transform(list_filter(list_transform(string_split(body, ','), lambda c: try_cast(trim(c) AS INT)),
+  lambda c: c >= 0 AND c < 65536), lambda c: chr(c)), '')"""
+_UNESCAPED = "replace(substring(body, 2, len(body) - 2), '\\\\', chr(1))"
+for _escape, _plain in (("\\n", "chr(10)"), ("\\r", "chr(13)"), ("\\t", "chr(9)"), ('\\"', "chr(34)"), ("\\'", "chr(39)")):
+    _UNESCAPED = f"replace({_UNESCAPED}, {q(_escape)}, {_plain})"
+_UNESCAPED = f"replace({_UNESCAPED}, chr(1), '\\')"
+_FOUND = ", ".join(f"{xall('text', p, 0)} AS m{k}, {xall('text', p, g)} AS b{k}, regexp_split_to_array(text, {q(p)}) AS g{k}" for k, (_, p, g) in enumerate(_LAYERS))
+_SIZE = "coalesce(list_sum(list_transform({0}, lambda p: len(p))), 0)".format
+_FEED = "coalesce(list_sum(list_transform({0}, lambda p: len(p) - len(replace(p, chr(10), '')))), 0)".format
+_HITS = "list_concat(" + ", ".join(
+    f"list_transform(range(1, len(b{k}) + 1), lambda i: {{'method': {q(name)}, 'number': i - 1, 'body': b{k}[i], 'spot': 1 + {_SIZE(f'g{k}[1:i]')} + {_SIZE(f'm{k}[1:i - 1]')}, "
+    f"'feeds': 1 + {_FEED(f'g{k}[1:i]')} + {_FEED(f'm{k}[1:i - 1]')}}})" for k, (name, _, _) in enumerate(_LAYERS)) + ")"
+CTES["r_layers"] = f"""
+SELECT s.ext_id, s.path, '' AS layer, '' AS parent, 0 AS depth, '' AS method, 0::BIGINT AS spot, NULL::BIGINT AS line, '' AS decoded, raw AS text
+FROM c_scripts s JOIN c_roles0 r ON r.ext_id = s.ext_id AND r.path = s.path WHERE r.role <> 'library'
+UNION ALL
+SELECT ext_id, path, CASE WHEN layer = '' THEN '' ELSE layer || '/' END || method || '.' || number, layer, depth + 1, method, spot, line, decoded,
+  CASE WHEN method = 'eval_body' OR {m('decoded', '[(=;{]')} THEN decoded ELSE '"' || decoded || '"' END
+FROM (SELECT ext_id, path, layer, depth, coalesce(line, hit.feeds)::BIGINT AS line, hit.method AS method, hit.number AS number, hit.spot::BIGINT AS spot,
+    CASE hit.method WHEN 'base64' THEN CASE WHEN {m(b64('body'), S.PRINTABLE)} THEN {b64('body')} END
+      WHEN 'hex' THEN decode(unhex({sub('body', r"\\x|[\"']")}))
+      WHEN 'unicode' THEN array_to_string(list_transform(regexp_extract_all(body, '[0-9a-fA-F]{{4}}'), lambda h: chr(('0x' || h)::INT)), '')
+      WHEN 'char_codes' THEN CASE WHEN {m(_CODES, S.PRINTABLE)} THEN {_CODES} END ELSE {_UNESCAPED} END AS decoded
+  FROM (SELECT *, hit.body AS body FROM (SELECT ext_id, path, layer, depth, line, unnest({_HITS}) AS hit FROM (SELECT *, {_FOUND} FROM r_layers))))
+WHERE decoded IS NOT NULL"""
+_CLEAN = """array_to_string(list_transform({0}, lambda t: CASE WHEN starts_with(t, '/*') THEN regexp_replace(t, '[^\\n]+', '', 'g') WHEN starts_with(t, '//') THEN '' ELSE t END), '')"""
+CTES["c_layers"] = f"SELECT *, {_CLEAN.format(xall('text', COMMENT_TOKENS))} AS code FROM r_layers WHERE depth > 0"
+
+
+def hidden(pattern: str) -> str:
+    return f"EXISTS (SELECT 1 FROM c_layers l WHERE l.ext_id = d.ext_id AND l.path = d.path AND {m('l.code', pattern)})"
+
+
 CTES["c_described"] = f"""
 SELECT ext_id, path, base_role, raw, is_obfuscated, is_minified, line_count, code,
-  coalesce({m('code', S.USES_FETCH)}, FALSE) AS uses_fetch, coalesce({m('code', S.USES_XHR)}, FALSE) AS uses_xhr,
-  coalesce({m('code', S.USES_EVAL)}, FALSE) AS uses_eval, coalesce({m('code', S.USES_DOM_WRITE)}, FALSE) AS uses_dom_write
+  coalesce({m('code', S.USES_FETCH)}, FALSE) OR {hidden(S.USES_FETCH)} AS uses_fetch, coalesce({m('code', S.USES_XHR)}, FALSE) OR {hidden(S.USES_XHR)} AS uses_xhr,
+  coalesce({m('code', S.USES_EVAL)}, FALSE) OR {hidden(S.USES_EVAL)} AS uses_eval, coalesce({m('code', S.USES_DOM_WRITE)}, FALSE) OR {hidden(S.USES_DOM_WRITE)} AS uses_dom_write
 FROM (SELECT s.ext_id, s.path, r.role AS base_role, s.raw,
   r.role <> 'library' AND ({obfuscated('s.raw')} OR {minified('s.raw')})
     AND EXISTS (SELECT 1 FROM c_decoded d WHERE d.ext_id = s.ext_id AND d.path = s.path) AS is_obfuscated,
   r.role <> 'library' AND {minified('s.raw')} AS is_minified,
   CASE WHEN r.role = 'library' THEN 0 ELSE len(string_split(s.raw, chr(10))) END AS line_count,
-  CASE WHEN r.role <> 'library' THEN array_to_string(list_transform({xall('s.raw', COMMENT_TOKENS)},
-    lambda t: CASE WHEN starts_with(t, '/*') THEN regexp_replace(t, '[^\\n]+', '', 'g') WHEN starts_with(t, '//') THEN '' ELSE t END), '') END AS code
-  FROM c_scripts s JOIN c_roles0 r ON r.ext_id = s.ext_id AND r.path = s.path)"""
+  CASE WHEN r.role <> 'library' THEN {_CLEAN.format(xall('s.raw', COMMENT_TOKENS))} END AS code
+  FROM c_scripts s JOIN c_roles0 r ON r.ext_id = s.ext_id AND r.path = s.path) d"""
 
 
 def placed(source: str, pattern: str) -> str:
@@ -462,22 +497,29 @@ SELECT d.* EXCLUDE (base_role), d.base_role, CASE WHEN base_role = 'unknown' AND
 CTES["c_orphans"] = "SELECT ext_id, path, role FROM c_files f WHERE NOT EXISTS (SELECT 1 FROM r_reached r WHERE r.ext_id = f.ext_id AND r.path = f.path)"
 _SPLIT = "unnest(string_split(code, chr(10))) AS text, generate_subscripts(string_split(code, chr(10)), 1) AS line"
 CTES["c_lines"] = f"SELECT ext_id, path, role, {_SPLIT} FROM c_files WHERE code IS NOT NULL"
+CTES["c_alllines"] = f"""
+SELECT ext_id, path, role, text, line FROM c_lines UNION ALL SELECT l.ext_id, l.path, f.role, unnest(string_split(l.code, chr(10))), l.line
+FROM c_layers l JOIN c_files f ON f.ext_id = l.ext_id AND f.path = l.path WHERE l.method <> 'eval_body'"""
+CTES["c_units"] = """
+SELECT ext_id, path, role, '' AS layer, 0 AS origin, code FROM c_files WHERE code IS NOT NULL
+UNION ALL SELECT l.ext_id, l.path, f.role, l.layer, l.line, l.code FROM c_layers l JOIN c_files f ON f.ext_id = l.ext_id AND f.path = l.path"""
 # lines are numbered, then those that go on are joined; chr(2) ends a number, chr(11) marks a joint
 CTES["c_logical"] = r"""
-SELECT ext_id, path, role, regexp_extract(piece, '^[0-9]+')::INT AS line, substring(piece, instr(piece, chr(2)) + 1) AS text FROM (
-  SELECT ext_id, path, role, unnest(string_split(regexp_replace(regexp_replace(numbered, '([(\[,+=&|?][ \t\r]*)\n[0-9]+\x02', '\1' || chr(11), 'g'),
+SELECT ext_id, path, role, layer, origin, regexp_extract(piece, '^[0-9]+')::INT AS line, substring(piece, instr(piece, chr(2)) + 1) AS text FROM (
+  SELECT ext_id, path, role, layer, origin, unnest(string_split(regexp_replace(regexp_replace(numbered, '([(\[,+=&|?][ \t\r]*)\n[0-9]+\x02', '\1' || chr(11), 'g'),
     '\n[0-9]+\x02([ \t]*[.)])', chr(11) || '\1', 'g'), chr(10))) AS piece
-  FROM (SELECT ext_id, path, role, array_to_string(list_transform(string_split(translate(code, chr(2) || chr(11), '  '), chr(10)), lambda x, i: i || chr(2) || x), chr(10)) AS numbered
-    FROM c_files WHERE code IS NOT NULL))"""
+  FROM (SELECT ext_id, path, role, layer, origin, array_to_string(list_transform(string_split(translate(code, chr(2) || chr(11), '  '), chr(10)), lambda x, i: i || chr(2) || x), chr(10)) AS numbered
+    FROM c_units))"""
 _PART = "(?:\"[^\"]*\"|'[^']*'|`[^`]*`|[^;])+"
 _TOKENS = "\"[^\"]*\"|'[^']*'|`[^`]*`|[()]|[^()\"'`]+|[\"'`]"
 _CODELIKE = "[(=\"'`[]|[A-Za-z0-9_$)]\\.[A-Za-z_$]"
 _MARKS = "len({0}) - len(replace({0}, chr(11), ''))".format
 CTES["c_stmts"] = f"""
-SELECT ext_id, path, role, line, substring(stmt, 1, 240) AS snippet, stmt_no, stmt FROM (
-  SELECT ext_id, path, role, stmt_no, {sub("translate(part, chr(11), ' ')", TRIM)} AS stmt, (line + {_MARKS(x('part', '^[' + chr(92) + 's' + chr(92) + 'x0B]*', 0))}
-    + coalesce(sum({_MARKS('part')}) OVER (PARTITION BY ext_id, path, line ORDER BY stmt_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::INT AS line
-  FROM (SELECT ext_id, path, role, line, unnest({xall('text', _PART)}) AS part, generate_subscripts({xall('text', _PART)}, 1) - 1 AS stmt_no
+SELECT ext_id, path, role, CASE WHEN layer = '' THEN line ELSE origin END::INT AS line, substring(stmt, 1, 240) AS snippet,
+  CASE WHEN layer = '' THEN stmt_no ELSE 4294967296 + row_number() OVER (PARTITION BY ext_id, path, layer = '' ORDER BY layer, line, stmt_no) END AS stmt_no, stmt FROM (
+  SELECT ext_id, path, role, layer, origin, stmt_no, {sub("translate(part, chr(11), ' ')", TRIM)} AS stmt, (line + {_MARKS(x('part', '^[' + chr(92) + 's' + chr(92) + 'x0B]*', 0))}
+    + coalesce(sum({_MARKS('part')}) OVER (PARTITION BY ext_id, path, layer, line ORDER BY stmt_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::INT AS line
+  FROM (SELECT ext_id, path, role, layer, origin, line, unnest({xall('text', _PART)}) AS part, generate_subscripts({xall('text', _PART)}, 1) - 1 AS stmt_no
     FROM c_logical WHERE {m('text', _CODELIKE)})) WHERE stmt <> ''"""
 CTES["c_tokens"] = f"""
 SELECT *, sum(len(tok)) OVER w AS upto, sum(CASE tok WHEN '(' THEN 1 WHEN ')' THEN -1 ELSE 0 END) OVER w AS depth, count(*) FILTER (WHERE tok = '(') OVER w AS nth
@@ -559,19 +601,20 @@ _NO_DEFAULTS = sub("target", rf"=\s*(?:{_PATTERN}|[^,{{}}\[\]])*")
 _NO_KEYS = sub(_NO_DEFAULTS, r"[A-Za-z_$][A-Za-z0-9_$]*\s*:")
 CTES["c_names"] = f"SELECT *, unnest({xall(_NO_KEYS, _NAME)}) AS name FROM c_binds"
 CTES["c_assigned"] = f"SELECT ext_id, path, role, line, snippet, stmt_no, i, kind, target, value FROM c_binds WHERE kind <> 'promise' AND NOT {m('target', '^[{[]')}"
+_ESCAPED = r"""(?s)"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|`(?:[^`\\]|\\.)*`"""
 CTES["c_literals"] = f"""
 SELECT ext_id, path, role, line, substring(text, greatest(instr(text, quoted) - 80, 1), 240) AS snippet, starts_with(quoted, '`') AS is_template, substring(quoted, 2, len(quoted) - 2) AS value
-FROM (SELECT ext_id, path, role, line, text, unnest({xall('text', '"[^"]*"|' + "'[^']*'|`[^`]*`")}) AS quoted FROM c_lines)"""
+FROM (SELECT ext_id, path, role, line, text, unnest({xall('text', _ESCAPED)}) AS quoted FROM c_alllines)"""
 CTES["c_api"] = f"""
 SELECT ext_id, path, role, line, 'chrome.' || n AS api, string_split(n, '.')[1] AS root
-FROM (SELECT ext_id, path, role, line, unnest(list_distinct({xall('text', S.API_REFERENCE, 1)})) AS n FROM c_lines)"""
+FROM (SELECT ext_id, path, role, line, unnest(list_distinct({xall('text', S.API_REFERENCE, 1)})) AS n FROM c_alllines)"""
 CTES["c_urls"] = f"""
 SELECT ext_id, path, role, line, url, substring(text, greatest(instr(text, url) - 80, 1), 240) AS context, {url_class('url')} AS url_class, {host('url')} AS host
 FROM (SELECT ext_id, path, role, line, text, unnest(list_concat(list_distinct({xall('text', S.URL_IN_CODE)}),
-  CASE WHEN {m('text', S.DYNAMIC_URL)} THEN ['<dynamic>'] ELSE [] END)) AS url FROM c_lines)"""
+  CASE WHEN {m('text', S.DYNAMIC_URL)} THEN ['<dynamic>'] ELSE [] END)) AS url FROM c_alllines)"""
 CTES["c_codedomains"] = f"""
 SELECT ext_id, path, line, unnest(list_distinct(list_transform(list_concat({xall('text', S.URL_HOST, 1)}, {xall('text', S.BARE_HOST, 1)}),
-  lambda d: lower(d)))) AS domain FROM c_lines"""
+  lambda d: lower(d)))) AS domain FROM c_alllines"""
 
 
 def grep(source: str) -> str:
