@@ -5,14 +5,16 @@ nextword index). Only pairs of neighbours that some test item has are stored, so
 A phrase is found by intersecting offset-adjusted lists (position minus offset in the item): the rarest pair of each
 window, by its count over all documents, gives the diagonals (item, document, position of the item's first word);
 the other pairs of the window are then looked up at the positions that a diagonal expects. Unbroken runs of matched
-pairs give exact occurrences. Proximity matches compare the diagonals of all pairs of an item: postings are first summed
-per document, item and diagonal, so a pair that a document or an item repeats stays linear.
+pairs give exact occurrences. Proximity matches need half as many pairs as a window has around one place, a few words off their
+distances in the item; documents without the rarer pairs of any such place are left out before lists are joined.
 
 All steps are DataFrame operations. No list is gathered: a passage that a third of all documents holds is spread by
 document. The pairs of the test items are broadcast only up to a checked size.
 
 Nulls: a null text has no words and a null item no windows; rows with a null id are documents like others. Items of one
-word match that word. Equal ids in the benchmark count as one item. Further columns are not read.
+word match that word. Equal ids in the benchmark count as one item; items with a null id are matched, and so hit, but not
+counted or listed. Texts of any length are rows of words. Empty tables: no documents give no rows, no items no hits.
+Further columns are not read.
 """
 
 from __future__ import annotations
@@ -87,18 +89,31 @@ def phrase_matches(index: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def proximity_matches(index: DataFrame, items: DataFrame, slop: int = 5) -> DataFrame:
-    """(uid, iid): two of an item's pairs occur in the document, at most ``slop`` words off their distance in the item.
+    """(uid, iid): around one of the document's postings of the item lie at least half as many of its pairs as a window has.
 
-    The two differ in their place in the item and in their place in the document. Postings of which no two differ in both
-    have one place in common, all in the item or all in the document, so the smallest and largest places tell.
+    A pair lies around another if it is less than a window away in the item, and in the document at most ``slop`` words off
+    that distance. Of the pairs around any place some must be among the rarest ones there, as there are fewer others than
+    a match needs; only documents with such a pair of an item are looked at for it.
     """
     hits = index.filter("pair IS NOT NULL").select("uid", "pos", "pair")
-    spots = hits.join(small(items.filter("len > 2").select("iid", "j", "pair")), "pair")
-    spots = spots.groupBy("uid", "iid", (F.col("pos") - F.col("j")).alias("diagonal")).agg(F.min("j").alias("j0"), F.max("j").alias("j1"))
-    band = Window.partitionBy("uid", "iid").orderBy("diagonal").rangeBetween(-slop, 0)
-    wide = lambda low, high: F.min(low).over(band) < F.max(high).over(band)
-    near = spots.withColumn("near", wide(F.col("j0"), F.col("j1")) & wide(F.col("diagonal") + F.col("j0"), F.col("diagonal") + F.col("j1")))
-    return near.filter("near").select("uid", "iid").distinct()
+    counts = hits.groupBy("pair").agg(F.count("*").alias("n"))
+    need = F.ceil((F.col("win") - 1) / 2).cast("int")
+    places = cut_lineage(items.filter("len > 1").select("iid", "len", "win", "j", "pair", need.alias("need")).join(counts, "pair", "left").withColumn("n", F.coalesce("n", F.lit(0))))
+    # what lies around a pair are at most 2 * win - 1 pairs; stretches of as many begin at each pair that has them, or at the first
+    last = F.least(F.col("j"), F.greatest(F.lit(0), F.col("len") - 2 * F.col("win")))
+    starts = F.sequence(F.least(last, F.greatest(F.lit(0), F.col("j") - 2 * F.col("win") + 2)), last)
+    order = Window.partitionBy("iid", "o").orderBy("n", "j")
+    ranked = places.withColumn("o", F.explode(starts)).withColumns({"rank": F.row_number().over(order), "size": F.count("*").over(Window.partitionBy("iid", "o"))})
+    seeds = ranked.filter("rank <= size - need + 1 AND n > 0").select("iid", "pair").distinct()
+    found = cut_lineage(hits.join(small(seeds), "pair").select("uid", "iid").distinct())
+    known = small(places.select("iid", "pair", "j", "win", "need"))
+    wanted = hits.join(found.select("uid").distinct(), "uid", "left_semi").join(known, "pair").join(found, ["uid", "iid"], "left_semi")
+    spots = cut_lineage(wanted.select("uid", "iid", "j", "win", "need", (F.col("pos") - F.col("j")).alias("diagonal")))
+    cell = F.floor(F.col("diagonal") / (slop + 1))
+    around = spots.select("uid", "iid", F.col("j").alias("k"), F.col("diagonal").alias("e"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
+    pairs = spots.withColumn("cell", cell).join(around, ["uid", "iid", "cell"]).filter(f"abs(diagonal - e) <= {slop} AND abs(j - k) < win")
+    held = pairs.groupBy("uid", "iid", "j", "diagonal").agg(F.count_distinct("k").alias("held"), F.max("need").alias("need"))
+    return held.filter("held >= need").select("uid", "iid").distinct()
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, slop: int | None = 5) -> DataFrame:

@@ -39,16 +39,9 @@ def op6_ngram_jaccard(spark, folder):
 
 @query
 def op8_decontamination(spark, folder):
-    """Words of each document inside ten-word windows of test items."""
+    """Words of each document inside ten-word windows of test items, and the items that it holds in pieces."""
     from .decontaminate import contamination
-    return contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"), 10, slop=None)
-
-
-@query
-def op8_proximity(spark, folder):
-    """The same with the number of test items that a document holds in pieces; the SQL has the exact part only."""
-    from .decontaminate import contamination
-    return contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"), 10)
+    return contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"), 10, slop=5)
 
 
 SQL["op8_decontamination"] = r"""
@@ -64,10 +57,17 @@ WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCD
      m AS (SELECT doc_id, item_id, p, k FROM g JOIN iw USING (k, phrase)),
      h AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + k)) AS pos FROM m) GROUP BY doc_id),
      l AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
-           FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM m) GROUP BY doc_id)
+           FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM m) GROUP BY doc_id),
+     ip AS (SELECT item_id, least(10, len(w)) AS win, unnest(range(1, len(w))) AS j, w FROM i),
+     ij AS (SELECT item_id, win, j, w[j] || ' ' || w[j + 1] AS pair FROM ip),
+     dp AS (SELECT doc_id, p, w[p] || ' ' || w[p + 1] AS pair FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS p FROM d)),
+     sp AS (SELECT doc_id, item_id, win, j, p - j AS g FROM dp JOIN ij USING (pair)),
+     nh AS (SELECT a.doc_id, a.item_id FROM sp a JOIN sp b ON a.doc_id = b.doc_id AND a.item_id = b.item_id AND abs(a.g - b.g) <= 5 AND abs(a.j - b.j) < a.win
+            GROUP BY a.doc_id, a.item_id, a.j, a.g, a.win HAVING count(DISTINCT b.j) >= ceil((a.win - 1) / 2)),
+     nn AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM nh GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN h USING (doc_id) LEFT JOIN l USING (doc_id)
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN nn USING (doc_id)
 """
 
 

@@ -99,6 +99,25 @@ def test_components_with_frequent_shingles_marked(spark, documents, monkeypatch)
     assert got == brute_components(rows, 4, 85)
 
 
+@pytest.mark.parametrize("large", [2, 5])
+def test_components_by_several_rounds_of_pivots(spark, documents, monkeypatch, large):
+    """Families of near copies that differ from the common text, and from each other, in the same places."""
+    monkeypatch.setattr(jaccard, "LARGE", large)
+    base = prose(60).split()
+    rows = []
+    for family in range(4):
+        root = list(base)
+        for place in range(6 + 9 * family, 12 + 9 * family):
+            root[place] = f"family{family}"
+        for member in range(12):
+            text = list(root)
+            for place in (3 * (member % 4), 45 + member % 5):
+                text[place] = f"own{member % 6}"
+            rows.append((100 * family + member, " ".join(text)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_groups(documents(rows), 4, 85).collect()}
+    assert got == brute_components(rows, 4, 85)
+
+
 def test_components_of_odd_rows(spark, documents, odd):
     got = [(r.doc_id, r.component_id) for r in jaccard.similar_groups(documents(odd), 4, 85).collect()]
     assert len(got) == len(odd) and (None, None) in got and (1, 1) in got and (2, 2) in got and got.count((6, 5)) == 2
@@ -210,32 +229,35 @@ def test_hits_match_brute_force(spark, documents):
 def test_proximity_finds_phrases_with_insertions(spark, documents):
     phrase = "alpha beta gamma delta epsilon zeta eta theta iota kappa lamda my"
     bench = spark.createDataFrame([(1, phrase)], "item_id long, text string")
-    docs = documents([(1, phrase), (2, phrase.replace("delta", "delta so")), (3, "alpha beta then lamda my")])
+    docs = documents([(1, phrase), (2, phrase.replace("delta", "delta so")), (3, "alpha beta then lamda my"), (4, phrase.replace("epsilon", "x").replace("theta", "y"))])
     got = {r.doc_id: (r.n_hit, r.n_near) for r in decontaminate.contamination(docs, bench, 10).collect()}
-    assert got[1] == (12, 1) and got[2][0] == 0 and got[2][1] == 1 and got[3][0] == 0
+    assert got == {1: (12, 1), 2: (0, 1), 3: (0, 0), 4: (0, 1)}
 
 
-def brute_near(docs, items, slop=5):
+def brute_near(docs, items, slop=5, window=10):
     out = {}
     for i, t in docs:
-        w = t.split()
-        out[i] = 0
-        for _, text in items:
+        w, out[i] = t.split(), 0
+        for text in {x for _, x in items}:
             x = text.split()
+            win = min(window, len(x))
             spots = [(p, j) for p in range(len(w) - 1) for j in range(len(x) - 1) if w[p:p + 2] == x[j:j + 2]]
-            out[i] += any(p != q and j != k and abs((p - j) - (q - k)) <= slop for p, j in spots for q, k in spots)
+            out[i] += any(len({k for q, k in spots if abs((p - j) - (q - k)) <= slop and abs(j - k) < win}) >= -(-(win - 1) // 2) for p, j in spots)
     return out
 
 
-def test_proximity_looks_at_all_pairs_of_an_item(spark, documents):
+def test_proximity_matches_brute_force(spark, documents):
     long = [f"l{i}" for i in range(59)]
-    piece = " ".join([*long[30:38], "so", *long[38:45]])  # no unbroken ten words, and none of the item's rarest pairs
-    docs = [(1, piece), *[(10 + i, " ".join(long[28:47])) for i in range(5)], (2, "a a a b a"), (3, "x b y"), (4, "a a"), (5, "l3 l4")]
-    items = [(1, " ".join(long)), (2, "a a a a"), (3, "b y b y b")]
-    for i in range(60):
+    piece = " ".join([*long[30:38], "so", *long[38:45]])  # no unbroken ten words
+    docs = [(1, piece), *[(10 + i, " ".join(long[28:47])) for i in range(5)], (2, "a a a b a"), (3, "x b y"), (4, "a a"), (5, "l3 l4"), (6, "b y b y")]
+    items = [(1, " ".join(long)), (2, "a a a a"), (3, "b y b y b"), *[(10 + i, prose(rng.randrange(2, 40))) for i in range(8)]]
+    for i in range(80):
         x = (rng.choice(items)[1]).split()
         a = rng.randrange(len(x))
-        docs.append((100 + i, " ".join([*x[a:a + 2], *prose(rng.randrange(1, 12)).split(), *x[a + 1:a + 4], *x[:2]])))
+        words = x[a:a + rng.randrange(2, 14)]
+        for _ in range(rng.randrange(4)):
+            words.insert(rng.randrange(len(words) + 1), rng.choice(VOCABULARY))
+        docs.append((100 + i, " ".join([*words, *prose(rng.randrange(1, 6)).split(), *x[:4]])))
     bench = spark.createDataFrame([*items, items[0]], "item_id long, text string")
     got = {r.doc_id: r for r in decontaminate.contamination(documents(docs), bench, 10).collect()}
     assert (got[1].n_hit, got[1].n_near) == (0, 1)
