@@ -33,7 +33,8 @@ def toxic_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = linededup.deduplicated(packed(docs, "doc_id", "text"), 50)
+    # staged before the filter, which the optimizer would else put below the cutting, once for each line
+    cut = cut_lineage(linededup.deduplicated(packed(docs, "doc_id", "text"), 50))
     cut = cut.filter((F.col("n_deleted") == 0) | F.col("text").rlike(linededup.HAS_WORD))
     size = F.when(F.col("n_deleted") == 0, F.col("rest.n_chars")).otherwise(F.char_length("text")) if "n_chars" in docs.columns else None
     return unpacked(cut, docs.columns, **({} if size is None else {"n_chars": size}))
