@@ -23,6 +23,56 @@ def js(pattern: str) -> str:
     return _BEFORE_WORD.sub(lambda _: r"(?<!\w)", pattern).replace(r"\b", r"(?!\w)")
 
 
+def needles(pattern: str) -> list[str] | None:
+    """Texts of which every match of a catalogue pattern holds one, in lower case if case does not matter; None if unknown.
+
+    Of each alternative the longest run of plain characters counts; what stands in groups and classes, or may be missing, does
+    not. Alternatives inside one group that is the whole pattern count as well.
+    """
+    folded = pattern.startswith("(?i)")
+    body = re.sub(r"^(?:\\b)+|(?:\\b)+$", "", pattern.removeprefix("(?i)"))
+    parts, depth, start, at, in_class = [], 0, 0, 0, False
+    while at < len(body):
+        c = body[at]
+        if c == "\\":
+            at += 1
+        elif in_class:
+            in_class = c != "]"
+        elif c == "[":
+            in_class = True
+        elif c == "(":
+            depth += 1
+        elif c == ")":
+            depth -= 1
+        elif c == "|" and depth == 0:
+            parts.append(body[start:at])
+            start = at + 1
+        at += 1
+    parts.append(body[start:])
+    if len(parts) == 1 and re.fullmatch(r"\((?:\?:)?[^()]*\)", body):
+        return needles(("(?i)" if folded else "") + re.sub(r"^\((?:\?:)?|\)$", "", body))
+    found = []
+    for part in parts:
+        bare = re.sub(r"\[(?:\\.|[^\]\\])*\](?:[?*+]|\{[^}]*\})?", "\n", part)  # classes
+        while re.search(r"\([^()]*\)", bare):
+            bare = re.sub(r"(?<!\\)\([^()]*(?<!\\)\)(?:[?*+]|\{[^}]*\})?|\\[()]", "\n", bare)
+        bare = re.sub(r"\\[a-zA-Z](?:[?*+]|\{[^}]*\})?", "\n", bare)  # kinds of characters and edges
+        bare = re.sub(r"(?:\\.|[^\n\\])(?:[?*]|\{[^}]*\})", "\n", bare)  # what may be missing
+        runs = re.sub(r"\\(.)", r"\1", re.sub(r"(?<!\\)[.^$+]", "\n", bare)).split("\n")
+        found.append(max(runs, key=len))
+    if any(len(f) < 2 for f in found):
+        return None
+    return [f.lower() for f in found] if folded else found
+
+
+def may_hold(text: Column, lowered: Column, pattern: str) -> Column:
+    """Whether a text can hold a match at all, by plain search."""
+    wanted = needles(pattern)
+    if wanted is None:
+        return F.lit(True)
+    return any_of((lowered if pattern.startswith("(?i)") else text).contains(w) for w in wanted)
+
+
 def test(text: Column, pattern: str) -> Column:
     return text.rlike(js(pattern))
 

@@ -19,13 +19,13 @@ def catalogue(spark) -> DataFrame:
 
 
 def declared(manifests: DataFrame) -> DataFrame:
-    """One row per declared permission with its manifest key."""
+    """One row per declared permission with its manifest key and line. Lines are found where the text is, so no row carries it."""
     def tagged(column: str, source: str) -> Column:
-        return F.transform(column, lambda p: F.struct(p.alias("permission"), F.lit(source).alias("source")))
+        return F.transform(column, lambda p: F.struct(p.alias("permission"), F.lit(source).alias("source"), line_of(F.col("raw"), p).alias("line")))
 
     every = F.concat(tagged("api_perms", "permissions"), tagged("optional_perms", "optional_permissions"),
                      tagged("host_perms", "host_permissions"))
-    return manifests.select("ext_id", "raw", F.explode(every).alias("p")).select("ext_id", "p.*", "raw")
+    return manifests.select("ext_id", F.explode(every).alias("p")).select("ext_id", "p.*")
 
 
 def permission_risk(permissions: DataFrame) -> DataFrame:
@@ -50,7 +50,8 @@ def used_permissions(api_refs: DataFrame) -> DataFrame:
 
 def permission_use(manifests: DataFrame, used: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(declared and used, declared and unused) API permissions."""
-    wanted = manifests.select("ext_id", F.explode("api_perms").alias("permission")).distinct()
+    placed = F.transform("api_perms", lambda p: F.struct(p.alias("permission"), line_of(F.col("raw"), p).alias("line")))
+    wanted = manifests.select("ext_id", F.explode(F.array_distinct(placed)).alias("p")).select("ext_id", "p.permission", "p.line")
     return (wanted.join(used, ["ext_id", "permission"], "left_semi"),
             wanted.join(used, ["ext_id", "permission"], "left_anti"))
 

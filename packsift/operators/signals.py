@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..catalog import domains as D
 from ..catalog import signals as S
 from ..functions.text import (
-    any_of, count_hits, decode_base64, entropy, is_minified, is_obfuscated, js, line_at, strip_comments, test, trim_all,
+    any_of, count_hits, decode_base64, entropy, is_minified, is_obfuscated, js, line_at, may_hold, strip_comments, test, trim_all,
 )
 
 
@@ -48,10 +48,10 @@ def platform_bits(code: Column) -> Column:
 def grep_signals(files: DataFrame) -> DataFrame:
     """Raw-text signals per file: label with count, line of the first hit and a snippet.
 
-    All patterns are literals inside one array, so the file text is read once and no
-    regex is recompiled per row.
+    All patterns are literals inside one array, so the file text is read once and no regex is recompiled per row. A pattern
+    is matched only in texts that hold the characters which every match needs; most texts hold few of them.
     """
-    raw = F.col("raw")
+    raw, lowered = F.col("raw"), F.col("lowered")
 
     def one(label: str, severity: str, pattern: str, root: str | None) -> Column:
         hits = count_hits(raw, pattern)
@@ -61,7 +61,8 @@ def grep_signals(files: DataFrame) -> DataFrame:
         at = F.regexp_instr(raw, F.lit(js(pattern)))
         start = F.greatest(at - 20, F.lit(1))
         around = F.substring(raw, start, at + F.length(first) + 60 - start)
-        return F.when(
+        # nested, so that nothing of it is computed before the first test
+        return F.when(may_hold(raw, lowered, pattern), F.when(
             hits > 0,
             F.struct(
                 title.alias("label"), F.lit(label).alias("signal"), F.lit(severity).alias("severity"),
@@ -69,10 +70,10 @@ def grep_signals(files: DataFrame) -> DataFrame:
                 line_at(raw, at).alias("line"),
                 F.substring(F.trim(F.regexp_replace(around, "\n", " ")), 1, 120).alias("snippet"),
             ),
-        )
+        ))
 
     found = F.array(*[one(*row) for row in S.GREP_SIGNALS])
-    return files.select(
+    return files.withColumn("lowered", F.lower("raw")).select(
         "ext_id", "path",
         F.explode(F.filter(found, lambda s: s.isNotNull())).alias("s"),
     ).select("ext_id", "path", "s.*")

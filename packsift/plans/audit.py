@@ -216,10 +216,10 @@ class Audit:
             .unionByName(self.fallback.select("ext_id", "path", "line", "domain", F.lit(2).alias("stage")))
             .join(roles, ["ext_id", "path"]).withColumn("kind", F.lit("code_contact"))
         )
-        declared = self.manifests.select("ext_id", "raw", F.explode("host_perms").alias("pattern")).select(
-            "ext_id", F.lit("manifest.json").alias("path"),
-            manifests.line_of(F.col("raw"), F.col("pattern")).alias("line"),
-            host_from_pattern(F.col("pattern")).alias("domain"), F.lit(3).alias("stage"),
+        placed = F.transform("host_perms", lambda p: F.struct(p.alias("pattern"), manifests.line_of(F.col("raw"), p).alias("line")))
+        declared = self.manifests.select("ext_id", F.explode(placed).alias("p")).select(
+            "ext_id", F.lit("manifest.json").alias("path"), F.col("p.line").alias("line"),
+            host_from_pattern(F.col("p.pattern")).alias("domain"), F.lit(3).alias("stage"),
             F.lit("manifest").alias("role"), F.lit("host_permission").alias("kind")).filter(F.col("domain").isNotNull())
         named = in_code.unionByName(declared).join(self.manifests.select("ext_id", "name", "author"), "ext_id")
         classified = domains.classify_distinct(named).filter(F.col("category").isin("unknown", *D.SENSITIVE))
@@ -245,8 +245,8 @@ class Audit:
         return [
             s(archives, 1, "nested_archive", F.concat(F.lit("nested archive ("), col("size_bytes").cast("string"), F.lit(" bytes)")),
               role="unknown", line=1),
-            s(risky.select("ext_id", "permission", "weight", "host_sensitive", "source", "raw", col("category")), 2,
-              "permission_risky", risky_detail, line=manifests.line_of(col("raw"), col("permission")),
+            s(risky.select("ext_id", "permission", "weight", "host_sensitive", "source", "line", col("category")), 2,
+              "permission_risky", risky_detail, line=col("line"),
               category=F.lit(None), **at_manifest),
             s(self.orphans, 3, "orphan_file", F.lit("script is not reachable from the dependency graph"), line=1),
             s(missing.withColumn("role", F.coalesce("role", F.lit("unknown"))), 4, "unresolved_dependency",
@@ -262,8 +262,7 @@ class Audit:
             s(self.rule_findings, 11, col("kind"), col("detail"), role="manifest"),
             s(permissions.external_connections(self.manifests, self.lines), 12, "correlation", col("detail"), role="manifest"),
             s(permissions.exposed_executables(self.manifests), 13, "correlation", col("detail"), role="manifest"),
-            s(self.unused_permissions.join(self.manifests.select("ext_id", "raw"), "ext_id"), 14, "permission_unused",
-              col("permission"), line=manifests.line_of(col("raw"), col("permission")), **at_manifest),
+            s(self.unused_permissions, 14, "permission_unused", col("permission"), line=col("line"), **at_manifest),
         ]
 
     @cached_property

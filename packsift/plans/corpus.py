@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import json
+import struct
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import string_array
 from ..functions.urls import host_of
+from ..session import staged_path
+from ..sources.archives import write_archives
 from .audit import Audit
 
 FILES_PER_PACKAGE = 20
@@ -187,6 +190,25 @@ EXTRA_FILES = [
 ]
 
 
+#: Stored uncompressed, so that a flipped byte is found by the checksum and not by the decompressor.
+STORED = frozenset(["manifest.json"])
+
+
+def finished(ext_id: str, data: bytes) -> bytes:
+    """What becomes of the archive of a package: CRX headers of both versions, and some that are damaged."""
+    number = int(ext_id.removeprefix("ext-"))
+    if number % 11 == 5:
+        return b"not an archive" + data[:20]
+    if number % 17 == 7:
+        at = data.index(b"manifest.json") + len("manifest.json") + 5
+        data = data[:at] + bytes([data[at] ^ 1]) + data[at + 1:]
+    if number % 7 == 3:
+        return b"Cr24" + struct.pack("<II", 3, 7) + b"h" * 7 + data
+    if number % 7 == 4:
+        return b"Cr24" + struct.pack("<III", 2, 3, 4) + b"k" * 7 + data
+    return data
+
+
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
@@ -246,3 +268,16 @@ class Corpus(Audit):
         template = F.col("ext_no") % len(MANIFEST_TEXTS)
         return self.packages.select("ext_id", "host", "name", template.alias("template"), F.explode(extras).alias("e")).filter(
             (F.col("e.t") == -1) | (F.col("e.t") == F.col("template"))).select("ext_id", "e.path", self._filled(F.col("e.text")).alias("text"))
+
+    @cached_property
+    def packed_files(self) -> DataFrame:
+        """(ext_id, path, text) as they go into archives; every thirteenth package has a path outside its root."""
+        outside = self.packages.filter(F.col("ext_no") % 13 == 6).select("ext_id", F.lit("../evil.js").alias("path"), F.lit("x").alias("text"))
+        return self.all_files.select("ext_id", "path", "text").unionByName(outside)
+
+    @cached_property
+    def archives(self) -> str:
+        """Folder with an archive of every package, written once."""
+        folder = staged_path(self.spark)
+        write_archives(self.packed_files, folder, finished, STORED).write.format("noop").mode("overwrite").save()
+        return folder

@@ -14,8 +14,8 @@ from ..functions import paths, sqlfuncs, urls
 from ..functions.text import entropy, is_minified, is_obfuscated, string_array
 from ..operators import bindings, categories, correlate, dataflow, domains, evaluate, findings, graph, lexical, narrate, patterns
 from ..operators import permissions, reputation, review, scoring, signals
-from ..session import on_drop
-from ..sources import manifests, stored
+from ..session import on_drop, staged_path
+from ..sources import archives, jobstore, manifests, stored
 from ..streaming import jobs
 from .corpus import Corpus, read, spread
 
@@ -183,6 +183,31 @@ def content_hashes(c: Corpus):
                               paths.safe_name(F.concat("path", F.lit(" (1).zip"))).alias("safe_name"))
 
 
+@audit_query("unpacked_entries")
+def unpacked_entries(c: Corpus):
+    """Size and digest of every entry that the package source reads from the archives."""
+    rows = archives.read_archives(c.spark, c.archives).filter("reject IS NULL")
+    return rows.select("name", "path", F.octet_length("content").cast("long").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+@audit_query("package_rejects")
+def package_rejects(c: Corpus):
+    """Packages and entries that the package source refuses, with the reason."""
+    return archives.read_archives(c.spark, c.archives).filter("reject IS NOT NULL").select("name", "path", "reject")
+
+
+@audit_query("arrived_packages")
+def arrived_packages(c: Corpus):
+    """Packages that arrive in two waves, read by a stream and committed batch by batch."""
+    from .corpus import STORED, finished
+    from .streams import run_arrivals
+
+    late = F.pmod(F.crc32(F.col("ext_id").cast("binary")), F.lit(2)) == 1
+    rows = run_arrivals(c.spark, [c.packed_files.filter(~late), c.packed_files.filter(late)], finished, STORED)
+    return rows.groupBy("name").agg(F.count_if(F.col("reject").isNull()).alias("n_entries"), F.count("reject").alias("n_rejects"),
+                                    F.sum("n_bytes").alias("n_bytes"), F.max("reject").alias("reject"))
+
+
 @audit_query("nested_archives")
 def nested_archives(c: Corpus):
     """Archives inside packages."""
@@ -362,8 +387,7 @@ def remote_scripts(c: Corpus):
 @audit_query("permission_risk")
 def permission_risk(c: Corpus):
     """Risk of every declared permission, with its manifest line."""
-    return c.permission_risk.select("ext_id", "permission", "source", "category", "weight", "host_sensitive",
-                                    manifests.line_of(F.col("raw"), F.col("permission")).alias("line"))
+    return c.permission_risk.select("ext_id", "permission", "source", "category", "weight", "host_sensitive", "line")
 
 
 @audit_query("permission_sets")
@@ -865,6 +889,27 @@ def latest_job_status(spark, folder):
         "updated_at", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss"))
 
 
+@query("stored_job_status")
+def stored_job_status(spark, folder):
+    """The same after two upserts into a bucketed store: the earlier half of the events, then the later one."""
+    states = [s for s, _ in K.PROGRESS_ROWS]
+    rows = read(spark, folder, "events").select(
+        F.col("user_id").alias("job_id"), "event_id", F.col("ts").cast("timestamp").alias("updated_at"),
+        F.get(F.array(*[F.lit(s) for s in states]), (F.col("event_id") % len(states)).cast("int")).alias("status"))
+    store = jobstore.JobStore(spark, staged_path(spark))
+    for half in (0, 1):
+        store.upsert(rows.filter(F.col("event_id") % 2 == half))
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return store.jobs().select("job_id", "status", stamp("created_at"), stamp("updated_at"), "n_events", stored.progress(F.col("status")).alias("progress"))
+
+
+@query("reputation_timeline")
+def reputation_timeline(spark, folder):
+    """Answers stored, renewed and expired, as a stream with keyed state and timers says it."""
+    from .streams import run_reputation_timeline
+    return run_reputation_timeline(spark, _reputation(spark, folder), 86400, "1 hour")
+
+
 @query("id_checks")
 def id_checks(spark, folder):
     """Accepted and rejected identifiers built from customers and orders."""

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import resource_type
 
-__all__ = ["ENTRY_SCHEMA", "PACKAGE_GLOB", "distinct_packages", "entries", "read_packages", "resource_type", "unpack", "with_package_key", "zip_offset"]
+__all__ = ["ENTRY_SCHEMA", "PACKAGE_GLOB", "distinct_packages", "entries", "escapes", "read_packages", "resource_type", "unpack", "with_package_key", "zip_offset"]
 
 ENTRY_SCHEMA = (
     "ext_id string, package_sha256 string, path string, content binary, reject string"
@@ -81,7 +81,7 @@ def _members(blob: bytes) -> Iterator[tuple[str | None, bytes | None, str | None
     except Exception:  # damaged directories raise errors of many kinds
         yield None, None, "not a zip archive"
         return
-    unsafe = [n for n in names if _escapes(n)]
+    unsafe = [n for n in names if escapes(n)]
     if unsafe:
         yield unsafe[0], None, "unsafe path"
         return
@@ -94,7 +94,7 @@ def _members(blob: bytes) -> Iterator[tuple[str | None, bytes | None, str | None
             yield name, content, None
 
 
-def _escapes(name: str) -> bool:
+def escapes(name: str) -> bool:
     clean = posixpath.normpath(name.replace("\\", "/"))
     return clean.startswith(("/", "../")) or clean == ".."
 

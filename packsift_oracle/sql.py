@@ -61,6 +61,17 @@ FROM (SELECT page_id, html, CASE WHEN page_id % 5 = 3 THEN ' Privacy & Security
 SQL["resource_inventory"] = "SELECT * FROM c_inventory"
 SQL["content_hashes"] = """
 SELECT ext_id, path, sha256(text) AS sha256, regexp_replace(string_split(path || ' (1).zip', '/')[-1], '[^a-zA-Z0-9._-]', '_', 'g') AS safe_name FROM c_all"""
+_NO = "replace(ext_id, 'ext-', '')::BIGINT"
+_ENTRIES = f"""SELECT ext_id AS name, path, strlen(text) AS n_bytes, sha256(text) AS sha256 FROM c_all
+  WHERE {_NO} % 11 <> 5 AND {_NO} % 13 <> 6 AND NOT ({_NO} % 17 = 7 AND path = 'manifest.json')"""
+_REJECTS = f"""SELECT ext_id AS name, CASE WHEN {_NO} % 11 = 5 THEN NULL WHEN {_NO} % 13 = 6 THEN '../evil.js' ELSE 'manifest.json' END AS path,
+  CASE WHEN {_NO} % 11 = 5 THEN 'not a zip archive' WHEN {_NO} % 13 = 6 THEN 'unsafe path' ELSE 'unreadable entry (BadZipFile)' END AS reject
+  FROM c_packages WHERE {_NO} % 11 = 5 OR {_NO} % 13 = 6 OR {_NO} % 17 = 7"""
+SQL["unpacked_entries"] = _ENTRIES
+SQL["package_rejects"] = _REJECTS
+SQL["arrived_packages"] = f"""
+SELECT name, count(sha256) AS n_entries, count(reject) AS n_rejects, sum(n_bytes)::BIGINT AS n_bytes, max(reject) AS reject
+FROM (SELECT name, n_bytes, sha256, NULL AS reject FROM ({_ENTRIES}) UNION ALL SELECT name, NULL, NULL, reject FROM ({_REJECTS})) GROUP BY name"""
 SQL["nested_archives"] = "SELECT ext_id, path, size_bytes FROM c_inventory WHERE type = 'archive'"
 SQL["manifest_facts"] = "SELECT ext_id, version::BIGINT AS version, name, ext_version, author, " + ", ".join(
     f"array_to_string({c}, ', ') AS {c}" for c in ("api_perms", "host_perms", "optional_perms", "matches", "content_js", "content_css", "background", "sandbox", "overrides", "rule_files")
@@ -322,6 +333,12 @@ SELECT job_id, status, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at,
   {case([(f"status = {q(s)}", str(p)) for s, p in K.PROGRESS_ROWS], '0')}::BIGINT AS progress FROM (
   SELECT user_id AS job_id, arg_max({_STATES}[event_id % {len(K.PROGRESS_ROWS)} + 1], (ts, event_id)) AS status, min(ts) AS created_at, max(ts) AS updated_at, count(*) AS n_events
   FROM events GROUP BY user_id)"""
+SQL["stored_job_status"] = SQL["latest_job_status"]
+SQL["reputation_timeline"] = f"""
+WITH e AS (SELECT domain, provider, t, lag(t) OVER w AS p, lead(t) OVER w AS n
+  FROM (SELECT *, epoch_us(queried_at) // 1000 AS t FROM {_REP}) WINDOW w AS (PARTITION BY domain, provider ORDER BY queried_at))
+SELECT domain, provider, CASE WHEN p IS NULL OR t >= p + 86400000 THEN 'stored' ELSE 'renewed' END AS kind, t AS at FROM e
+UNION ALL SELECT domain, provider, 'expired', t + 86400000 FROM e WHERE coalesce(n >= t + 86400000, t + 86400000 < (SELECT max(t) - 3600000 FROM e))"""
 SQL["id_checks"] = r"""
 SELECT regexp_matches(e, '^[a-z]{32}$') AS valid_ext, regexp_matches(j, '(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$') AS valid_job,
   regexp_matches(f, '(?i)\.(crx|zip)$') AS valid_file, count(*) AS n FROM (
