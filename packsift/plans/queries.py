@@ -13,9 +13,9 @@ from ..catalog import findings as K
 from ..functions import paths, sqlfuncs, urls
 from ..functions.text import entropy, is_minified, is_obfuscated, string_array
 from ..operators import bindings, categories, correlate, dataflow, domains, evaluate, findings, graph, lexical, narrate, patterns
-from ..operators import permissions, reputation, review, scoring, signals
+from ..operators import permissions, reports, reputation, review, scoring, signals
 from ..session import on_drop, staged_path
-from ..sources import archives, jobstore, manifests, stored
+from ..sources import archives, jobstore, manifests, reportstore, stored
 from ..streaming import jobs
 from .corpus import Corpus, read, spread
 
@@ -673,6 +673,16 @@ def report_documents(c: Corpus):
                        stored.without_nul(F.concat(F.col("summary"), F.lit("\\u0000"))).alias("summary"))
 
 
+@audit_query("report_sections")
+def report_sections(c: Corpus):
+    """All sections of all reports, written to a report store and read back from its commit."""
+    idle = permissions.describe_unused(c.unused_permissions, c.permission_risk)
+    rows = reports.sections(c.verdict, scoring.report_score(c.ext_ids, c.verdicted), c.states, c.verdicted, c.domain_findings, idle, c.manifests)
+    store = reportstore.ReportStore(c.spark, staged_path(c.spark))
+    store.write(rows)
+    return store.read()
+
+
 @audit_query("reason_translation")
 def reason_translation(c: Corpus):
     """Reader wording and normalised detail of every finding text."""

@@ -230,7 +230,7 @@ SQL["narratives_omitted"] = f"SELECT ext_id, coalesce(sum(occurrences) FILTER (W
 SQL["domain_narratives"] = f"""
 SELECT ext_id, rank, domain, 'In the ' || {_LABEL} || ' (' || path || ', line ' || line || ') we found the domain ' || domain || ', ' ||
   CASE WHEN kind = 'host_permission' THEN 'declared as host permission' ELSE 'contacted by code' END || ', classed as ' || category || '.' AS narrative
-FROM (SELECT *, row_number() OVER (PARTITION BY ext_id ORDER BY priority, ord) AS rank FROM c_domainfindings) WHERE rank <= {K.DOMAIN_LIMIT}"""
+FROM (SELECT *, row_number() OVER (PARTITION BY ext_id ORDER BY priority, ord, domain, kind) AS rank FROM c_domainfindings) WHERE rank <= {K.DOMAIN_LIMIT}"""
 _REVIEW = f"""
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ext_id ORDER BY confidence DESC, ord) AS rank FROM (SELECT * FROM (
   SELECT *, count(*) OVER (PARTITION BY ext_id, kind, role, g) AS occurrences, row_number() OVER (PARTITION BY ext_id, kind, role, g ORDER BY confidence DESC, ord) AS rn
@@ -252,6 +252,18 @@ UNION ALL SELECT ext_id, 'entity', entity, category FROM ({SQL['entity_summary']
 UNION ALL SELECT DISTINCT ext_id, CASE WHEN category IN ('own', 'infrastructure') THEN 'own_domain' ELSE 'other_domain' END, domain, category FROM c_domainfindings"""
 SQL["report_documents"] = """
 SELECT v.ext_id, v.verdict, v.level, s.report_score, s.report_level, t.summary FROM c_verdict v JOIN c_reportscore s ON s.ext_id = v.ext_id JOIN c_sentence t ON t.ext_id = v.ext_id"""
+_QUESTIONS = [n for n, _ in C.ANSWERS] + ["can_spy_unnoticed"]
+SQL["report_sections"] = f"""
+SELECT ext_id, 'package' AS section, 1::BIGINT AS seq, name, ext_version AS text FROM c_manifests
+UNION ALL SELECT ext_id, 'verdict', 1, verdict, level FROM c_verdict
+UNION ALL SELECT ext_id, 'summary', 1, 'summary', summary FROM c_sentence
+UNION ALL SELECT ext_id, 'score', 1, report_level, report_score::DECIMAL(20, 1)::VARCHAR FROM c_reportscore
+UNION ALL SELECT ext_id, 'answer', list_position({qlist(_QUESTIONS)}, question), question, answer FROM (UNPIVOT c_answers ON {", ".join(_QUESTIONS)} INTO NAME question VALUE answer)
+UNION ALL SELECT ext_id, 'category', row_number() OVER (PARTITION BY ext_id ORDER BY weight DESC, priority DESC), risk, state FROM c_states
+UNION ALL SELECT ext_id, 'narrative', rank, group_key, narrative FROM ({SQL['narratives']})
+UNION ALL SELECT ext_id, 'domain', rank, domain, narrative FROM ({SQL['domain_narratives']})
+UNION ALL SELECT ext_id, 'finding', row_number() OVER (PARTITION BY ext_id ORDER BY path, line, kind, detail, ord), kind, path || ':' || line || ' ' || detail FROM c_confirmed
+UNION ALL SELECT ext_id, 'permission', row_number() OVER (PARTITION BY ext_id ORDER BY permission), permission, description FROM ({_UNUSED})"""
 SQL["reason_translation"] = f"""
 SELECT DISTINCT kind, detail, {case([(f"kind = {q(k)}", q(t)) for k, _, t in K.KIND_REASONS])} AS reader_reason, {_norm_detail('detail')} AS plain_detail FROM c_verdicted"""
 SQL["review_parsing"] = r"""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from packsift.catalog import signals as S
 from packsift.functions.text import needles
 from packsift.plans.streams import run_reputation_timeline
-from packsift.sources import archives, commits, jobstore, stored
+from packsift.sources import archives, commits, jobstore, reportstore, stored
 
 FILES = [("a.js", b"x" * 5000), ("img/b.bin", bytes(range(256)) * 40), ("manifest.json", b"{}"), ("empty.txt", b"")]
 
@@ -105,6 +105,24 @@ def test_job_store_rewrites_touched_buckets_only(spark, tmp_path):
     assert {(r.job_id, r.status, r.n_events) for r in whole.collect()} == {(r.job_id, r.status, r.n_events) for r in store.jobs().collect()}
 
 
+def test_reports_are_read_from_their_commit(spark, tmp_path):
+    store = reportstore.ReportStore(spark, str(tmp_path / "reports"))
+    assert store.read().count() == 0
+    rows = [("e1", "verdict", 1, "safe", "low"), ("e1", "finding", 1, "k", "bad\x00text"), ("e1", "finding", 2, "k", None), ("e2", "verdict", 1, "malicious", "high")]
+    make = lambda r: spark.createDataFrame(r, reportstore.SCHEMA)
+    first = store.write(make(rows))
+    assert sorted((r.ext_id, r.section, r.seq, r.text) for r in store.read().collect()) == [
+        ("e1", "finding", 1, "badtext"), ("e1", "finding", 2, None), ("e1", "verdict", 1, "low"), ("e2", "verdict", 1, "high")]
+    assert all("section=verdict" in f for f in store.read("verdict").inputFiles()) and store.read("verdict").count() == 2
+    second = store.write(make(rows[:1]))
+    assert store.read().count() == 1 and store.read(number=first).count() == 4 and second == first + 1
+    folder = tmp_path / "reports" / store.log.read(second)["path"] / "section=verdict"
+    for file in folder.glob("part-*"):
+        file.rename(tmp_path / file.name)  # a part that is lost
+    with pytest.raises(ValueError, match="its commit says"):
+        store.read("verdict")
+
+
 def test_answers_are_renewed_and_expire(spark):
     at = lambda minute: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=minute)
     rows = [("d", "p", 0), ("d", "p", 5), ("d", "p", 15), ("d", "q", 3), ("e", "p", 40), ("d", "p", 100)]
