@@ -5,12 +5,15 @@ packet (PES) per access unit of ``UNIT`` bytes, each with a presentation timesta
 carries a clock reference, and every ``KEY_EVERY`` th unit is marked as a random-access point.
 
 ``demux`` reads any stream of 188-byte packets: it parses the program tables, checks continuity counters per PID,
-reassembles the elementary packets, and gives the bytes with timestamps and random-access points. Lost, repeated or
-damaged packets are counted, never fatal; bytes before the first sync pattern are skipped.
+reassembles the elementary packets, and gives the bytes with timestamps and random-access points. Damage is counted, never
+fatal: breaks of the counters, packets that repeat one byte for byte, packets marked as damaged, units of another size than they
+say, and bytes in no packet. A stray byte costs the packet it is in; reading goes on at the next two sync bytes a packet apart. Tables
+may take several packets.
 
 ``stored`` writes a media column: the streams go to a table in the shared folder and are read back from there.
 
-Nulls and empty texts are stored as one block of spaces. Very long texts are one stream each; all work is by row.
+Nulls and empty texts are stored as one block of spaces. Very long texts are one stream each; all work is by row. A null id stays,
+repeated rows are rows, further columns are not read, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -117,27 +120,81 @@ def _payload_starts(packets: np.ndarray) -> np.ndarray:
 
 
 def _sections(packets: np.ndarray, starts: np.ndarray, table: int) -> list[bytes]:
-    """Intact sections of a table id from the packets of one PID."""
-    out = []
+    """Intact sections of a table id from the packets of one PID. A section may take several packets, a packet hold several."""
+    out, held = [], b""
+
+    def take(data: bytes) -> bytes:
+        """Sections at the front of the bytes; what is left of them."""
+        while len(data) >= 3 and data[0] != 0xFF:
+            size = ((data[1] << 8 | data[2]) & 0xFFF) + 3
+            if len(data) < size:
+                return data
+            if size >= 12 and data[0] == table and crc_mpeg(data[:size]) == 0:
+                out.append(data[:size])
+            data = data[size:]
+        return data if len(data) < 3 and data[:1] != b"\xff" else b""
+
+    last = None
     for packet, start in zip(packets, starts):
-        if packet[1] & 0x40 and start < PACKET:
-            begin = start + 1 + packet[start]
-            size = ((int(packet[begin + 1]) << 8 | int(packet[begin + 2])) & 0xFFF) + 3 if begin + 3 <= PACKET else PACKET
-            section = packet[begin:begin + size].tobytes()
-            if len(section) == size and size >= 12 and section[0] == table and crc_mpeg(section) == 0:
-                out.append(section)
+        if start >= PACKET:
+            continue
+        counter = int(packet[3]) & 15
+        if last is not None and counter == last:  # sent twice
+            continue
+        if last is not None and counter != last + 1 & 15:
+            held = b""  # the rest of a section is lost
+        last, data = counter, packet[start:].tobytes()
+        if packet[1] & 0x40:
+            pointer = 1 + data[0]
+            if held:
+                take(held + data[1:pointer])
+            held = take(data[pointer:])
+        elif held:
+            held = take(held + data)
     return out
 
 
+def packets_of(raw: np.ndarray) -> tuple[np.ndarray, int]:
+    """The packets of a stream, and how many bytes are in none. Where the pattern of sync bytes breaks, the next place with two of them begins anew."""
+    parts, at, skipped = [], 0, 0
+    synced = lambda p: raw[p] == SYNC and (p + PACKET >= len(raw) or raw[p + PACKET] == SYNC)
+    while at + PACKET <= len(raw):
+        if not synced(at):
+            window = np.flatnonzero(raw[at + 1:at + 1 + 64 * PACKET] == SYNC) + at + 1
+            found = next((int(p) for p in window if p + PACKET <= len(raw) and synced(p)), min(at + 1 + 64 * PACKET, len(raw)))
+            skipped += found - at
+            at = found
+            continue
+        grid = raw[at:at + (len(raw) - at) // PACKET * PACKET].reshape(-1, PACKET)
+        lost = np.flatnonzero(grid[:, 0] != SYNC)
+        count = int(lost[0]) if len(lost) else len(grid)
+        parts.append(grid[:count])
+        at += count * PACKET
+    packets = np.concatenate(parts) if parts else np.zeros((0, PACKET), np.uint8)
+    return packets, skipped + len(raw) - at
+
+
+def _repeats(own: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """Which packets repeat the one before: the same counter and, but for the clock reference, the same bytes."""
+    same = np.concatenate([[False], step == 0])
+    for i in np.flatnonzero(same):
+        a, b = own[i - 1].copy(), own[i].copy()
+        for x in (a, b):
+            if x[3] & 0x20 and x[4] >= 7 and x[5] & 0x10:
+                x[6:12] = 0
+        same[i] = (a == b).all()
+    return same
+
+
 def demux(stream: bytes) -> dict:
-    """data, pids, units, pts, keys (random-access units), lost (continuity errors), repeated and skipped (bytes)."""
-    raw = np.frombuffer(stream, np.uint8)
-    begin = next((i for i in range(min(PACKET, len(raw))) if raw[i] == SYNC and (i + PACKET >= len(raw) or raw[i + PACKET] == SYNC)), 0)
-    packets = raw[begin:begin + (len(raw) - begin) // PACKET * PACKET].reshape(-1, PACKET)
-    packets = packets[(packets[:, 0] == SYNC) & (packets[:, 1] & 0x80 == 0)]
+    """data, pids, units, pts, keys (random-access units), lost (continuity errors), repeated, damaged (packets that say so),
+    short (units with more or fewer bytes than they say) and skipped (bytes in no packet)."""
+    packets, skipped = packets_of(np.frombuffer(stream, np.uint8))
+    broken = packets[:, 1] & 0x80 > 0
+    packets = packets[~broken]
     pid = (packets[:, 1].astype(int) & 31) << 8 | packets[:, 2]
     starts = _payload_starts(packets)
-    out = {"data": b"", "pids": [], "units": 0, "pts": [], "keys": [], "lost": 0, "repeated": 0, "skipped": begin}
+    out = {"data": b"", "pids": [], "units": 0, "pts": [], "keys": [], "lost": 0, "repeated": 0, "short": 0, "damaged": int(broken.sum()), "skipped": skipped}
     maps = {int.from_bytes(s[i + 2:i + 4], "big") & 0x1FFF for s in _sections(packets[pid == 0], starts[pid == 0], 0) for i in range(8, len(s) - 4, 4) if s[i:i + 2] != b"\0\0"}
     streams = []
     for m in sorted(maps):
@@ -155,10 +212,10 @@ def demux(stream: bytes) -> dict:
             continue
         counter = own[:, 3].astype(int) & 15
         step = np.diff(counter) & 15
-        same = np.concatenate([[False], step == 0])  # a packet may be sent twice
+        same = _repeats(own, step)  # a packet may be sent twice
         flagged = (own[:, 3] & 0x20 > 0) & (own[:, 4] > 0) & (own[:, 5] & 0x80 > 0)  # a discontinuity that is announced
         out["repeated"] += int(same.sum())
-        out["lost"] += int(((step != 1) & (step != 0) & ~flagged[1:]).sum())
+        out["lost"] += int(((step != 1) & ~same[1:] & ~flagged[1:]).sum())
         own, start = own[~same], start[~same]
         opens = own[:, 1] & 0x40 > 0
         key = (own[:, 3] & 0x20 > 0) & (own[:, 4] > 0) & (own[:, 5] & 0x40 > 0)
@@ -177,6 +234,7 @@ def demux(stream: bytes) -> dict:
             if key[a]:
                 out["keys"].append(out["units"])
             out["units"] += 1
+            out["short"] += bool(size) and len(pes) != size + 6
             parts.append(pes[9 + pes[8]:size + 6 if size else None].tobytes())
     return out | {"data": b"".join(parts)}
 
@@ -200,22 +258,26 @@ def stored(docs: DataFrame) -> DataFrame:
 
 
 def features(media: DataFrame) -> DataFrame:
-    """Checks and features of stored streams: what a reader gets from the bytes alone."""
+    """Checks and features of stored streams: what a reader gets from the bytes alone. ``timestamps`` has the presentation time of
+    each unit that tells it (90 kHz), ``key_units`` the numbers of the random-access units."""
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             rows = []
-            for stream in batch["media"].to_pylist():
+            for value in batch["media"]:
+                stream = value.as_py()
                 x = demux(stream)
                 data = x["data"]
                 feature = (f"streams={','.join(f'{p:x}:{k:x}' for p, k in x['pids'])};units={x['units']};pts={x['pts'][0]}-{x['pts'][-1]};"
                            f"keys={len(x['keys'])};lost={x['lost']};repeated={x['repeated']}" if x["pts"] else "streams=;units=0")
-                rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]), len(stream), hashlib.sha256(stream).hexdigest(), feature))
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+                rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]), len(stream), hashlib.sha256(stream).hexdigest(), feature,
+                             x["pts"], x["keys"], x["short"] + x["damaged"], x["skipped"]))
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["n_bytes"], *[pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]], names)
 
     kind = media.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    return media.mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "timestamps", "key_units", "damaged", "skipped"]
+    return media.mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, "
+                                 "timestamps array<long>, key_units array<long>, damaged long, skipped long")
 
 
 def points(media: DataFrame) -> DataFrame:

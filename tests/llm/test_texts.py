@@ -119,6 +119,43 @@ def test_damage_is_counted():
     assert transport.crc_mpeg(b"123456789") == 0x0376E6E7
 
 
+def test_no_damage_goes_uncounted():
+    data = os.urandom(192 * 400)
+    stream = transport.mux(data)
+    gone = transport.demux(stream[:188 * 20] + stream[188 * 36:])  # sixteen packets: the counter goes on as if nothing had happened
+    assert gone["short"] >= 1 and gone["data"] != data
+    fifteen = transport.demux(stream[:188 * 20] + stream[188 * 35:])  # equal counters, other bytes
+    assert fifteen["lost"] == 1 and fifteen["repeated"] == 0
+    stray = transport.demux(stream[:188 * 50 + 90] + b"!" + stream[188 * 50 + 90:])
+    assert stray["skipped"] == 1 and len(stray["data"]) == len(data) and stray["data"][-60_000:] == data[-60_000:]
+    hole = transport.demux(stream[:188 * 50 + 90] + stream[188 * 52 + 17:])
+    assert hole["skipped"] > 0 and hole["lost"] >= 1 and hole["data"][-50_000:] == data[-50_000:]
+    marked = bytearray(stream)
+    marked[188 * 60 + 1] |= 0x80
+    assert transport.demux(bytes(marked))["damaged"] == 1
+    wrong = bytearray(stream)
+    wrong[188 * 30] = 0
+    assert transport.demux(bytes(wrong))["skipped"] == 188 and transport.demux(stream + b"tail")["skipped"] == 4
+
+
+def test_tables_may_take_several_packets():
+    data = os.urandom(192 * 40)
+    stream = transport.mux(data)
+    entries = b"".join(bytes([0x80]) + (0xE000 | 0x300 + i).to_bytes(2, "big") + b"\xf0\x04" + b"\x05\x02xy" for i in range(60))
+    own = bytes([transport.STREAM_TYPE]) + (0xE000 | transport.MEDIA_PID).to_bytes(2, "big") + b"\xf0\x00"
+    section = transport._section(2, 1, (0xE000 | transport.MEDIA_PID).to_bytes(2, "big") + b"\xf0\x00" + entries + own)
+    pieces_, packets, body = [], b"", b"\x00" + section
+    while body:
+        pieces_.append(body[:184])
+        body = body[184:]
+    for i, piece in enumerate(pieces_):
+        packets += bytes([0x47, (0x40 if i == 0 else 0) | 1, 0, 0x10 | i]) + piece.ljust(184, b"\xff")
+    got = transport.demux(stream[:188] + packets + stream[376:])
+    assert len(pieces_) > 2 and len(got["pids"]) == 61 and got["pids"][-1] == (0x101, 6) and got["data"] == data
+    cut = transport.demux(stream[:188] + packets[:188] + packets[376:] + stream[376:])  # a part of the map is lost
+    assert cut["pids"] == []
+
+
 def test_media_of_odd_rows(spark, documents, odd):
     got = transport.roundtrip(documents(odd)).collect()
     texts = [(i, (t or "").encode()) for i, t in odd]
@@ -130,6 +167,9 @@ def test_media_of_odd_rows(spark, documents, odd):
     assert sorted(((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in got), key=key) == sorted(want, key=key)
     same = [(r.media_sha256, r.feature) for r in got if r.doc_id in (5, 6)]
     assert len(same) == 3 and len(set(same)) == 1
+    long = next(r for r in got if r.doc_id == 7)
+    assert long.timestamps == [i * transport.TICKS for i in range(len(long.timestamps))] and long.key_units == list(range(0, len(long.timestamps), transport.KEY_EVERY))
+    assert all(r.damaged == r.skipped == 0 for r in got)
     assert transport.points(transport.stored(documents([(7, odd[7][1])]))).filter("pts >= 0").count() > 1
     assert transport.roundtrip(documents([])).count() == 0
 
