@@ -8,14 +8,19 @@ Hoeffding's bound allows, all along their subtrees, and what makes the automaton
 of characters, but the first ``PREFIX`` characters stand for themselves, so that fixed beginnings are learned.
 
 ``scan`` adds spans: every candidate (a run of ``LEAST`` token characters or more, the least that an assignment is learned
-from) is scored by all automata; its score is the likelihood per symbol, over all its symbols, against a background of
-ordinary words. Candidates with ``MARGIN`` bits per symbol or more become spans of kind ``format``, unless a base span covers them.
+from, with dots inside) is scored by all automata; its score is the likelihood per character, over all its characters, against
+the likelier of two other explanations: the ordinary words of all documents, and ``identifier``, a model of names, numbers, dates and
+paths that knows runs of letters and digits but no format. Characters of a class share its likelihood, so that classes of any
+size compare. Candidates that reach the grammar's margin become spans of kind ``format``, unless a base span covers them. A
+quarter of the labelled strings is held back from the automata; the margin is half of what all but a twentieth of
+them reach, and ``FLOOR`` at least. Of equal scores none is preferred, as one format is enough.
 
 The labelled credentials are the base spans of documents, a sample of at most ``SAMPLE`` strings a kind, those with the
 smallest hashes. The background are the symbols that follow each other in the runs of all documents outside base spans,
 counted in Spark. All texts are scanned whole, each in one Arrow batch row.
 
-Nulls are empty texts: no spans. Offsets are code points, ends exclusive. Equal rows give equal results.
+Nulls are empty texts: no spans. Offsets are code points, ends exclusive. Equal rows give equal results. An empty table gives an
+empty result, a table without credentials base spans alone. Further columns are not read.
 """
 
 from __future__ import annotations
@@ -23,6 +28,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain, repeat
@@ -38,8 +44,9 @@ KINDS = ["assign", "access", "hex"]
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-SAMPLE, PREFIX, LEAST, MARGIN, ALPHA = 400, 4, 6, 0.6, 0.05
-CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
+SAMPLE, PREFIX, LEAST, ALPHA = 400, 4, 6, 0.05
+MARGIN, FLOOR, ENOUGH = 0.6, 0.3, 20  # of scores: without held-back strings, at least, and how many of them are enough
+CANDIDATE = re.compile(rf"(?=[A-Za-z0-9+/_=.-]{{{LEAST}}})[A-Za-z0-9+/_=-]+(?:\.[A-Za-z0-9+/_=-]+)*")
 HELD = 200_000  # answers for short values that are kept for the next time
 _PLACES = [str(i) for i in range(PREFIX + 2)]
 
@@ -67,6 +74,34 @@ def _symbols(value: str) -> list[str]:
 SYMBOLS = 67 + 10 + 1
 
 
+#: Bits that tell the characters of a class apart.
+_WITHIN = {"9": math.log2(10), "f": math.log2(6), "F": math.log2(6), "z": math.log2(20), "Z": math.log2(20)}
+_TOKEN_CHARACTERS = math.log2(68)
+
+
+def _model_of_names() -> tuple[list[float], list[list[float]]]:
+    """Bits of each class of characters at the start, and behind each class (rows); a character's own bits included.
+
+    Classes: lower case, upper case, digits, others. A run goes on with four fifths; the end, a tenth, is not part of the table.
+    """
+    own = [math.log2(26), math.log2(26), math.log2(10), math.log2(6)]
+    follow = [[0.8, 0.2 / 3, 0.2 / 3, 0.2 / 3], [0.2 / 3, 0.8, 0.2 / 3, 0.2 / 3], [0.2 / 3, 0.2 / 3, 0.8, 0.2 / 3], [0.3, 0.3, 0.3, 0.1]]
+    return [math.log2(0.25) - x for x in own], [[math.log2(0.9 * p) - x for p, x in zip(row, own)] for row in follow]
+
+
+_FIRST_BITS, _NEXT_BITS = _model_of_names()
+_CLASS = {chr(c): 0 if chr(c).islower() else 1 if chr(c).isupper() else 2 if chr(c).isdigit() else 3 for c in range(128)}
+
+
+def identifier(value: str) -> float:
+    """Log2 of the likelihood of a value as a name, number, date or path."""
+    classes = [_CLASS[c] for c in value]
+    bits = _FIRST_BITS[classes[0]] + math.log2(0.1)
+    for a, b in zip(classes, classes[1:]):
+        bits += _NEXT_BITS[a][b]
+    return bits
+
+
 class Automaton:
     """Counts of symbols and ends per state, and where the symbols lead."""
 
@@ -142,10 +177,13 @@ class Automaton:
         self.ends, self.counts, self.next = [self.ends[r] for r in red], [self.counts[r] for r in red], [{x: place[s] for x, s in self.next[r].items()} for r in red]
 
     def _take_logs(self) -> None:
-        """Log2 of the share of each symbol, of an unseen one and of the end, by state; unseen symbols have a small smoothed share."""
-        whole = [math.log2(self.total(i) + 0.1 * self.alphabet) for i in range(len(self.ends))]
-        self.logs = [{x: math.log2(n + 0.1) - w for x, n in c.items()} for c, w in zip(self.counts, whole)]
-        self.unseen, self.stop = [math.log2(0.1) - w for w in whole], [math.log2(n + 0.1) - w for n, w in zip(self.ends, whole)]
+        """Log2 of the share of a character of each symbol, of one that was never seen and of the end, by state.
+
+        All unseen characters of a state share what one string in ten would have had.
+        """
+        whole = [math.log2(self.total(i) + 0.2) for i in range(len(self.ends))]
+        self.logs = [{x: math.log2(n) - w - _WITHIN.get(x, 0.0) for x, n in c.items() if n} for c, w in zip(self.counts, whole)]
+        self.unseen, self.stop = [math.log2(0.1) - w - _TOKEN_CHARACTERS for w in whole], [math.log2(n + 0.1) - w for n, w in zip(self.ends, whole)]
 
     def bits(self, symbols: list[str], least: float = -math.inf) -> float:
         """Log2 of the likelihood of the symbols, or -inf as soon as it is under the least."""
@@ -186,7 +224,7 @@ class Background:
         for step in self.steps(symbols):
             if step not in self.logs:
                 share = (self.symbols[step[1]] + 0.1) / (self.total + 0.1 * SYMBOLS)
-                self.logs[step] = math.log2((self.counts.get(step, 0) + share) / (self.totals[step[0]] + 1))
+                self.logs[step] = math.log2((self.counts.get(step, 0) + share) / (self.totals[step[0]] + 1)) - _WITHIN.get(step[1], 0.0)
             bits += self.logs[step]
         return bits
 
@@ -194,30 +232,40 @@ class Background:
 class Grammar:
     """An automaton per format and the background of ordinary words."""
 
-    def __init__(self, formats: dict[str, list[str]], words: Background | list[str], alpha: float = ALPHA):
+    def __init__(self, formats: dict[str, list[str]], words: Background | list[str], alpha: float = ALPHA, margin: float = MARGIN):
         self.formats = {k: Automaton(v, alpha) for k, v in sorted(formats.items()) if v}
         self.background = words if isinstance(words, Background) else Background(Background.count(Counter(words), Counter()))
-        self.held: dict[tuple[str, float], bool] = {}
+        self.margin, self.held = margin, {}
+
+    @classmethod
+    def learned(cls, formats: dict[str, list[str]], words: Background | list[str], alpha: float = ALPHA) -> Grammar:
+        """A grammar of three quarters of the strings, with the margin that the others set."""
+        back = {k: [v for v in values if zlib.crc32(v.encode()) % 4 == 0] for k, values in formats.items()}
+        grammar = cls({k: [v for v in values if zlib.crc32(v.encode()) % 4] for k, values in formats.items()}, words, alpha)
+        scores = sorted(grammar.score(v) for values in back.values() for v in values)
+        if len(scores) >= ENOUGH:
+            grammar.margin = max(FLOOR, scores[len(scores) // 20] / 2)
+        return grammar
 
     def score(self, value: str) -> float:
-        """Bits per symbol by which the likeliest format beats ordinary words."""
+        """Bits per character by which the likeliest format beats ordinary words and names."""
         if not self.formats:
             return -math.inf
         symbols = _symbols(value)
-        return (max(a.bits(symbols) for a in self.formats.values()) - self.background.bits(symbols)) / len(value)
+        return (max(a.bits(symbols) for a in self.formats.values()) - max(self.background.bits(symbols), identifier(value))) / len(value)
 
-    def fits(self, value: str, margin: float) -> bool:
+    def fits(self, value: str) -> bool:
         """Whether the score reaches the margin; formats are left as soon as they cannot."""
-        key = (value, margin)
-        if key in self.held:
-            return self.held[key]
+        if value in self.held:
+            return self.held[value]
         symbols = _symbols(value)
-        least = self.background.bits(symbols) + margin * len(value)
-        found = any(a.bits(symbols, least) >= least for a in self.formats.values())
+        least = identifier(value) + self.margin * len(value)
+        best = max((a.bits(symbols, least) for a in self.formats.values()), default=-math.inf)
+        found = best >= least and best >= self.background.bits(symbols) + self.margin * len(value)
         if len(value) <= 64:
             if len(self.held) >= HELD:
                 self.held.clear()
-            self.held[key] = found
+            self.held[value] = found
         return found
 
 
@@ -264,13 +312,13 @@ def infer(docs: DataFrame, sample: int = SAMPLE) -> Grammar:
     values = {k: sorted(r["value"] for r in rows if r["kind"] == k) for k in KINDS}
     # pairs of symbols, so their number does not grow with the documents
     words = {tuple(r["value"].split(" ")): r["n"] for r in found.filter("kind = 'word'").collect()}
-    return Grammar(values, Background(words))
+    return Grammar.learned(values, Background(words))
 
 
-def spans_of(text: str, grammar: Grammar, margin: float = MARGIN) -> tuple[list, list]:
+def spans_of(text: str, grammar: Grammar) -> tuple[list, list]:
     """Base spans and added spans (start, kind number, end); the added kind is number 3."""
     base = base_spans(text)
-    return base, [(m.start(), 3, m.end()) for m, covered, _ in _runs(text, base) if not covered and grammar.fits(m[0], margin)]
+    return base, [(m.start(), 3, m.end()) for m, covered, _ in _runs(text, base) if not covered and grammar.fits(m[0])]
 
 
 def _listed(spans: list[tuple[int, int, int]]) -> str:
