@@ -167,7 +167,7 @@ class Home:
         if own is None:
             self.found[low:high] += copies @ linked
         some = linked.any(1)
-        first = linked.argmax(1) + low
+        first = (linked.argmax(1) if high > low else np.zeros(len(rows), np.int64)) + low
         y, x = np.nonzero(linked)
         x = x + low
         pairs = np.unique(x * len(self.uid) + np.where(partner[y] >= 0, 0, first[y]))

@@ -106,7 +106,7 @@ def test_matches_duckdb(spark, name):
 
 def test_queries_are_registered():
     names = queries()
-    assert "pipeline" in names and [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10
+    assert "pipeline" in names and [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)] == [1] * 13
 
 
 def test_jaccard_query_matches_brute_force(spark):
