@@ -14,7 +14,8 @@ compared with all members first; its links give components, and only members of
 compared after that: in buckets of up to ``LARGE`` members directly, in larger ones by their differences to the pivot. The
 tokens in which V and U differ are those in one only of their differences to the pivot. So if V links with U, then either
 both link with the pivot, or their differences share tokens, at least half of what their sizes exceed the limit by. A second
-prefix index, over the differences in order 1 with places, finds those pairs. Its buckets are treated like the first: a large one
+prefix index, over the differences with places, finds those pairs. Its order has the tokens that the pivot lacks first, else
+what only the pivot has would be at the front of all differences to it. Its buckets are treated like the first: a large one
 with several components gets a pivot of its own, and so on until none is left. All members of such a bucket agree on its token, so
 it is in no difference to the next pivot and the rounds end. Work stays in proportion to the rows of the buckets, and no
 link between different components is missed. What is odd about the pivot is in all differences to it, so the pivot is the
@@ -193,7 +194,7 @@ def agreeing(pairs: DataFrame, table: DataFrame, percent: int) -> DataFrame:
 def compared(pairs: DataFrame, docs: DataFrame, k: int, percent: int, hot: np.ndarray) -> DataFrame:
     """Pairs (a, b) with their whole sets: n (size of b), linked, d (tokens in one of both only) and ``diff``.
 
-    ``diff`` holds those of the d tokens, in order 1, among which b and a set linked to it must share one.
+    ``diff`` holds those of the d tokens, a's own last and else in order 1, among which b and a set linked to it must share one.
     """
     ids = small(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     shared = docs.sparkSession.sparkContext.broadcast(hot)
@@ -207,13 +208,17 @@ def compared(pairs: DataFrame, docs: DataFrame, k: int, percent: int, hot: np.nd
             n, linked, d, diffs = [], [], [], []
             for x, y in zip(batch["ta"].to_pylist(), batch["tb"].to_pylist()):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                diff = np.setxor1d(x, y, assume_unique=True)
-                same = (len(x) + len(y) - len(diff)) // 2
+                place = np.minimum(np.searchsorted(x, y), len(x) - 1)
+                both = x[place] == y
+                missing = np.ones(len(x), bool)
+                missing[place[both]] = False
+                own, missing, same = y[~both], x[missing], int(both.sum())
                 n.append(len(y))
                 linked.append(100 * same >= percent * (len(x) + len(y) - same))
-                d.append(len(diff))
+                d.append(len(own) + len(missing))
                 most = 100 * len(y) // percent
-                diffs.append(_rare_first(diff, shared.value)[:len(y) + most - 2 * overlap_needed(len(y), most, percent) + 2].astype(np.int64))
+                diff = np.concatenate([_rare_first(own, shared.value), _rare_first(missing, shared.value)])
+                diffs.append(diff[:len(y) + most - 2 * overlap_needed(len(y), most, percent) + 2].astype(np.int64))
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(n, pa.int64()), pa.array(linked, pa.bool_()), pa.array(d, pa.int64()), pa.array(diffs, pa.list_(pa.int64()))],
                                              ["a", "b", "n", "linked", "d", "diff"])
 
