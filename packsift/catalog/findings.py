@@ -161,3 +161,22 @@ ROLE_LABELS = [
     ("override_page", "override page"), ("side_panel", "side panel"),
     ("library", "library"), ("unknown", "file"), ("manifest", "manifest"),
 ]
+
+# --- fixed values: flow source and sink tests ---------------------------------------------
+SESSION_SOURCE = r"(?i)password|credential|token|bearer|cookie|sessionStorage|localStorage|chrome\.storage"
+PAGE_SOURCE = r"(?i)document\.querySelector|DOM selection|innerText|textContent|document\.body|document\.forms"
+NETWORK_SINK = r"(?i)fetch|XMLHttpRequest|sendBeacon|WebSocket|axios|network sink"
+MESSAGE_SINK = r"(?i)chrome\.runtime\.sendMessage|window\.postMessage|extension message"
+
+# --- fixed values: what each kind is called in a narrative.
+KIND_NOUNS = [
+    ("data_flow", "data leaving for an exit"), ("sensitive_navigation", "an outbound link with context"),
+    ("cookie_read", "cookie access"), ("storage_read", "browser storage access"),
+    ("input_listener", "an input listener"), ("dom_injection", "page or script injection"),
+    ("risky_call", "a sensitive call"), ("permission_risky", "a sensitive permission"),
+    ("permission_unused", "an unused permission"), ("obfuscated", "obfuscated code"), ("minified", "minified code"),
+    ("correlation", "a combination of signals"), ("api_hook", "a replaced native API"),
+    ("api_spoof", "a faked native API"), ("remote_script", "a remote script"), ("orphan_file", "an unreferenced script"),
+    ("unresolved_dependency", "a missing dependency"), ("nested_archive", "a nested archive"),
+    ("large_file_signal", "a signal in a large file"),
+]

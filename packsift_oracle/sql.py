@@ -7,8 +7,6 @@ from packsift.catalog import domains as D
 from packsift.catalog import findings as K
 from packsift.catalog import permissions as M
 from packsift.catalog import signals as S
-from packsift.operators import narrate as N
-from packsift.operators.narrate import _NOUNS
 
 from .tables import (
     band, build, case, classified, entity, entity_category, entropy, from_filter, from_literal, from_pattern, grep, host, inlist, level, local,
@@ -208,16 +206,16 @@ def _norm_detail(d: str) -> str:
             f"'DOM selection via document.querySelector', 'page data read by selector')")
 
 
-_SRC = f"""CASE WHEN {m('detail', N._SESSION_SOURCE)} THEN 'session-or-credential-data' WHEN {m('detail', N._PAGE_SOURCE)} THEN 'page-data'
+_SRC = f"""CASE WHEN {m('detail', K.SESSION_SOURCE)} THEN 'session-or-credential-data' WHEN {m('detail', K.PAGE_SOURCE)} THEN 'page-data'
   ELSE {_norm_detail("string_split(detail, ' -> ')[1]")} END"""
-_SNK = f"""CASE WHEN {m('detail', N._NETWORK_SINK)} THEN 'network' WHEN {m('detail', N._MESSAGE_SINK)} THEN 'extension-message'
+_SNK = f"""CASE WHEN {m('detail', K.NETWORK_SINK)} THEN 'network' WHEN {m('detail', K.MESSAGE_SINK)} THEN 'extension-message'
   ELSE {_norm_detail("string_split(detail, ' -> ')[-1]")} END"""
 _KEY = f"""CASE WHEN kind = 'data_flow' THEN 'flow:' || role || ':' || {_SRC} || ':' || {_SNK} WHEN kind = 'cookie_read' THEN kind || ':' || role || ':document.cookie'
   WHEN kind = 'storage_read' THEN kind || ':' || role WHEN kind IN ('unresolved_dependency', 'orphan_file', 'minified') THEN kind || ':' || detail
   WHEN kind = 'risky_call' THEN kind || ':' || string_split(detail, ':')[1] ELSE kind || ':' || path || ':' || detail END"""
 _PRIO = f"""(SELECT priority FROM c_kind k WHERE k.kind = f.kind) + CASE severity WHEN 'critical' THEN 8 WHEN 'high' THEN 5 WHEN 'medium' THEN 2 ELSE 0 END + round(confidence * 10)::INT"""
 _LABEL = case([(f"role = {q(r)}", q(t)) for r, t in K.ROLE_LABELS], "role")
-_SENTENCE = f"""'In the ' || {_LABEL} || ' (' || path || ', line ' || line || ') we found ' || {case([(f"kind = {q(k)}", q(n)) for k, n in _NOUNS], 'kind')} || ': ' ||
+_SENTENCE = f"""'In the ' || {_LABEL} || ' (' || path || ', line ' || line || ') we found ' || {case([(f"kind = {q(k)}", q(n)) for k, n in K.KIND_NOUNS], 'kind')} || ': ' ||
   {_norm_detail('detail')} || '. ' || {case([(f"kind = {q(k)}", q(t)) for k, _, t in K.KIND_REASONS])} || ' Confidence: ' || round(confidence * 100)::INT || '%.'"""
 _GROUPED = f"""
 SELECT *, row_number() OVER (PARTITION BY ext_id ORDER BY priority DESC, ord) AS rank FROM (SELECT * EXCLUDE (rn) FROM (
