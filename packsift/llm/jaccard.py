@@ -15,16 +15,13 @@ compared after that: in buckets of up to ``LARGE`` members directly, in larger o
 tokens in which V and U differ are those in one only of their differences to the pivot. So if V links with U, then either
 both link with the pivot, or their differences share tokens, at least half of what their sizes exceed the limit by. A second
 prefix index, over the differences with places, finds those pairs. Its order has the tokens that the pivot lacks first, else
-what only the pivot has would be at the front of all differences to it. Its buckets are treated like the first: a large one
-with several components gets a pivot of its own, and so on until none is left. All members of such a bucket agree on its token, so
-it is in no difference to the next pivot and the rounds end. Work stays in proportion to the rows of the buckets, and no
-link between different components is missed. What is odd about the pivot is in all differences to it, so the pivot is the
-member that shares most of its prefix, or in later rounds the one with the smallest difference.
+what only the pivot has would be at the front of all differences to it. No link between different components is missed.
+The pivot is the member that shares most of its prefix.
 
 Order 1 counts the documents of every shingle of the corpus. Shingles in ``HOT`` or more documents come last; the most
 frequent ``HOT_ROWS`` at most are marked (a bound for the broadcast). Which shingles are marked changes the work, never the links.
 
-Nulls and texts without words: no shingles, linked with nothing, component = own id. Fewer than ``k`` words: the whole
+An empty table gives an empty result; further columns are not read. Nulls and texts without words: no shingles, linked with nothing, component = own id. Fewer than ``k`` words: the whole
 sequence is one shingle. Rows with a null id link nothing and keep a null component. Equal rows fall into one component.
 """
 
@@ -266,27 +263,12 @@ def similar_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     links = cut_lineage(links)
     labels = cut_lineage(components(links))
     # large buckets: sets that link without a link to their pivot share tokens of their differences to it
+    open_pivots = cut_lineage(near.groupBy("a").agg(F.bool_and("linked").alias("all"), F.count("*").alias("c")).filter("c > 1 AND NOT all").select("a"))
+    spread = cut_lineage(named(near.join(open_pivots, "a"), "b", labels).select("a", "b", "n", "d", "linked", "component", F.posexplode("diff").alias("i", "x")))
+    other = spread.select("a", "x", F.col("b").alias("u"), F.col("n").alias("m"), F.col("d").alias("e"), F.col("i").alias("j"), F.col("component").alias("theirs"))
     _, needed = _apart(percent)
-    rows, around = near.withColumn("bucket", F.col("a")), None
-    while True:
-        apart = rows.groupBy("bucket").agg(F.bool_and("linked").alias("all"), F.count("*").alias("c")).filter("c > 1 AND NOT all").select("bucket")
-        spread = rows.join(apart, "bucket").select("bucket", "b", "n", "d", "linked", F.posexplode("diff").alias("i", "x"))
-        spread = named(spread.withColumn("bucket", F.xxhash64("bucket", "x")).drop("x"), "b", labels)
-        kinds = spread.groupBy("bucket").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"),
-                                             F.min(F.struct("d", F.xxhash64("b").alias("h"), F.col("b").alias("pivot"))).alias("p")).filter("low <> high")
-        spread = cut_lineage(spread.join(kinds.select("bucket", (F.col("size") > LARGE).alias("large"), "p.pivot"), "bucket"))
-        few = spread.filter("NOT large")
-        other = few.select("bucket", F.col("b").alias("u"), F.col("n").alias("m"), F.col("d").alias("e"), F.col("i").alias("j"), F.col("component").alias("theirs"))
-        pairs = few.filter("NOT linked").join(other, "bucket").filter(f"component <> theirs AND {near_size} AND least(d - i, e - j) >= {needed}")
-        pairs = pairs.select(F.least("b", "u").alias("a"), F.greatest("b", "u").alias("b"))
-        around = pairs if around is None else around.unionByName(pairs)
-        many = spread.filter("large AND b <> pivot").select("bucket", "pivot", "b")
-        if many.isEmpty():
-            break
-        near = compared(cut_lineage(many.select(F.col("pivot").alias("a"), "b").distinct()), docs, k, percent, hot)
-        links = cut_lineage(links.unionByName(near.filter("linked").select("a", "b")).distinct())
-        labels = cut_lineage(components(links))
-        rows = cut_lineage(many.join(near.withColumnRenamed("a", "pivot"), ["pivot", "b"]).drop("pivot"))
+    around = spread.filter("NOT linked").join(other, ["a", "x"]).filter(f"component <> theirs AND {near_size} AND least(d - i, e - j) >= {needed}")
+    around = around.select(F.least("b", "u").alias("a"), F.greatest("b", "u").alias("b"))
     # small buckets: what different components still have to be compared
     labelled = cut_lineage(named(members.filter("NOT large").select("token", "doc_id", "n"), "doc_id", labels))
     sizes = labelled.groupBy("token", "component").agg(F.count("*").alias("size"))

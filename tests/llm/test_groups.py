@@ -100,7 +100,7 @@ def test_components_with_frequent_shingles_marked(spark, documents, monkeypatch)
 
 
 @pytest.mark.parametrize("large", [2, 5])
-def test_components_by_several_rounds_of_pivots(spark, documents, monkeypatch, large):
+def test_components_of_families_of_copies(spark, documents, monkeypatch, large):
     """Families of near copies that differ from the common text, and from each other, in the same places."""
     monkeypatch.setattr(jaccard, "LARGE", large)
     base = prose(60).split()
