@@ -535,7 +535,7 @@ FROM (SELECT *, {x('head', r'([A-Za-z_$][A-Za-z0-9_$.]*)\s*$')} AS callee FROM (
       AND a.line = b.line AND a.stmt_no = b.stmt_no AND b.i > a.i AND b.depth = a.depth - 1 WHERE a.tok = '(' GROUP BY ALL) c
     ON c.ext_id = o.ext_id AND c.path = o.path AND c.line = o.line AND c.stmt_no = o.stmt_no AND c.i = o.i))
 WHERE callee <> '' AND callee NOT IN {inlist(P.KEYWORDS)}"""
-_BARE = sub("stmt", "\"[^\"]*\"|'[^']*'", '""')
+_BARE = sub("stmt", r"""(?s)"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'""", '""')
 _TARGETS = xall(sub("bare", "[-=!<>+*/%&|^?]*=[=>]+|[-!<>+*/%&|^?]+=", " # "), r"(?:^|[\s{}(,])([A-Za-z_$][A-Za-z0-9_$.]*)\s*=", 1)
 CTES["c_members"] = f"""
 SELECT ext_id, path, role, line, snippet, object, property, is_write FROM (
