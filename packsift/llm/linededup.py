@@ -19,7 +19,8 @@ shortest prefix that starts at it or, near the end of the run, in one of the oth
 Frequent lines and passages are rows in hash groups that are summed before they move; classes keep one row each.
 
 Nulls: a null text stays null (0 lines). Blank lines stay and count for nothing. Rows that agree in id and text count as
-one document and get the same result; equal ids with different texts are told apart by the text's hash; null ids come first.
+one document and get the same result; equal ids with different texts are told apart by the text's hash; null ids come first. An empty table gives
+an empty result.
 Columns ``n_lines`` and ``n_deleted`` of the input are replaced; other names cannot clash.
 """
 

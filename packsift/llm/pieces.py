@@ -11,7 +11,8 @@ Positions that no piece can cross cut a text without changing its best path: bef
 characters that are in no longer piece. Which these are is read off the vocabulary. Each task keeps the encodings of the
 ``CACHE`` chunks that it met last, so that repeated words are encoded once; the cache is emptied when it is full.
 
-Ties: the earliest start (longest last piece) wins. Nulls: null ids and no tokens. An empty text has no tokens.
+Ties: the earliest start (longest last piece) wins. Nulls: null ids and no tokens. An empty text has no tokens. Repeated rows
+are encoded each, an empty table gives an empty result.
 Columns named like an added one are replaced. The vocabulary file is a parameter; its bytes are broadcast, so that executors need not have it.
 """
 

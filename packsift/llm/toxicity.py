@@ -15,7 +15,8 @@ Scoring is one pass over the text in Arrow batches, without Python strings; the
 
 Nulls and empty texts are scored as one window without words. Without labels of both classes every score is the share
 of toxic labels (0 without labels). Equal texts get equal scores; rows with a null id are scored but never learned from. A column
-``score`` of the input is replaced; other names cannot clash.
+``score`` of the input is replaced; other names cannot clash. An empty table gives an empty result. Of an id with several texts one
+text, whichever, is learned from.
 """
 
 from __future__ import annotations

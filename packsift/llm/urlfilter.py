@@ -6,6 +6,7 @@ or digit stands before or after. One strict term, or distinct soft terms with a
 
 Nulls and URLs without ``://`` have an empty host and path; a null URL holds no terms and is allowed. Rows keep all
 columns (those named like an added one are replaced), so repeated rows and extra columns pass through. An empty table gives an empty result.
+URLs of any length are read whole. Two rules that fit one URL with equal length would be the same rule, so there are no ties.
 """
 
 from __future__ import annotations

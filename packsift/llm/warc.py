@@ -10,7 +10,9 @@ its range; the last of them may end behind it. After a record the next one start
 member, or ends early, is passed over.
 
 Files are opened by their URI (local, S3, GCS or HDFS). Nulls: a null html is an empty payload, a null URL has no target.
-Rows with a null id are responses without an id. Equal rows (same id, same payload) are records of their own.
+Rows with a null id are responses without an id. Equal rows (same id, same payload) are records of their own. A payload of any length
+is one member, held whole by one task. An empty table gives no archives and no records; further columns are not read. A range that
+begins inside a member whose stored content is itself a WARC member takes that for a record; members of text do not hold any.
 """
 
 from __future__ import annotations
