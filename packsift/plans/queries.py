@@ -14,7 +14,7 @@ from ..functions import paths, sqlfuncs, urls
 from ..functions.text import entropy, is_minified, is_obfuscated, string_array
 from ..operators import bindings, categories, correlate, dataflow, domains, evaluate, findings, graph, lexical, narrate, patterns
 from ..operators import permissions, reports, reputation, review, scoring, signals
-from ..session import on_drop, staged_path
+from ..session import growing, on_drop, staged_path
 from ..sources import archives, jobstore, manifests, reportstore, stored
 from ..streaming import jobs
 from .corpus import Corpus, read, spread
@@ -734,7 +734,7 @@ def _metrics(c: Corpus) -> DataFrame:
     jobs_ = c.table("events").groupBy(F.col("user_id").alias("n")).agg(
         F.max(F.struct("ts", "event_id", "event_type")).alias("last"),
         F.round(F.sum("value"), 3).alias("duration_s")).select("n", F.col("last.event_type").alias("event"), "duration_s")
-    named = rows.withColumn("n", n).join(jobs_, "n", "left")
+    named = rows.withColumn("n", n).join(growing(jobs_), "n", "left")
     return named.withColumns({
         "status": F.when(F.col("event") == "error", "failed").otherwise("completed"), "duration_s": F.coalesce("duration_s", F.lit(0.0)),
         "batch": F.floor(F.col("n") / 10) + 1}).drop("n", "event")
