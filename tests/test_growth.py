@@ -6,6 +6,7 @@ from types import SimpleNamespace
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from packsift.functions import text
 from packsift.operators import categories, correlate, dataflow, domains, graph, scoring
 from packsift.plans.audit import Audit
 from packsift.plans.corpus import Corpus
@@ -68,6 +69,24 @@ def test_names_of_packages_stay_off_the_driver(spark, tmp_path):
         (0, "a.example.org", "Nobody"), (1, "a.example.org", "Ann"), (2, "none.example.com", "Ann")}
 
 
+def test_patterns_are_matched_only_where_they_can_hit(spark):
+    long_words, short_names = "several words that are long enough " * 60, "a=1;" * 400
+    rows = [(long_words,), (short_names,), (long_words + short_names,), (short_names + long_words,), ("\\x41" * 101,), ("\\u0041" * 6 + "atob(eval(",), ("",), (None,)]
+    df = spark.createDataFrame(rows, "c string").select(text.is_minified(F.col("c")).alias("m"), text.is_obfuscated(F.col("c")).alias("o"))
+    assert [(r.m, r.o) for r in df.collect()] == [(False, False), (False, False), (True, False), (True, False), (True, True), (False, True), (False, False), (None, None)]
+    assert "substring(" in plan(df) and "Contains(" in plan(df)
+    found = spark.createDataFrame([("p", "risky_call", "CHROME.History.search in code"), ("p", "risky_call", None)], "ext_id string, kind string, detail string")
+    flags = categories.finding_flags(found)
+    assert "Contains(lowered" in plan(flags)
+    assert flags.first().s_history_api is True
+
+
+def test_comments_are_found_by_their_first_character():
+    assert text._COMMENTS.groups == 0
+    code = 'a = "// no"; // yes\nb = \'it\\\'s /* no */\'; /* yes\n */ c = /[/]\\/\\/x/g; don\'t // gone\n`// ${k} no` /* open'
+    assert text._COMMENTS.sub(text._without_comment, code) == 'a = "// no"; \nb = \'it\\\'s /* no */\'; \n c = /[/]\\/\\/x/g; don\'t \n`// ${k} no` /* open'
+
+
 def test_expiring_state_is_read_once_per_key():
     calls = []
     state = SimpleNamespace(get=lambda: calls.append("get"), update=lambda row: calls.append(("update", row)), clear=lambda: calls.append("clear"))
