@@ -59,7 +59,7 @@ def leak_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def piece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pieces.encoded(docs.select("doc_id", "text"), PIECES).select("doc_id", "n_tokens", "ids", "exact")
+    return pieces.encoded(docs.select("doc_id", "text"), PIECES, keep_text=False).select("doc_id", "n_tokens", "ids", "exact")
 
 
 STAGES = [("toxicity", toxic_stage), ("line_dedup", line_stage), ("ngram_jaccard", near_stage), ("decontamination", leak_stage), ("sentencepiece", piece_stage)]

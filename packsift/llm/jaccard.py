@@ -35,12 +35,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .shared import buffer, chunks, components, mix, small, words
+from .shared import buffer, chunks, components, mix, slices, small, words
 
 HOT, HOT_ROWS = 64, 1 << 20
 LARGE = 64  # rows of a bucket, from which on its members are compared by their differences to the pivot
 FLUSH = 2_000_000  # tokens that a task gathers before it passes them on
-GROUP = 8_000_000  # tokens counted together
+GROUP = 4_000_000  # tokens counted together
 
 _INSIDE = np.ones(256, bool)
 _INSIDE[[0x20, *range(0x09, 0x0E)]] = False
@@ -115,9 +115,10 @@ def frequent(docs: DataFrame, k: int, total: int) -> np.ndarray:
             yield send(held)
 
     def count(part: pa.Table) -> pa.Table:
-        tokens = np.sort(np.concatenate([
-            np.cumsum(np.frombuffer(a, np.uint32) + (np.frombuffer(b, np.uint16).astype(np.uint64) << np.uint64(32)), dtype=np.uint64)
-            for a, b in zip(part["low"].to_pylist(), part["high"].to_pylist())]))
+        tokens = np.concatenate([
+            np.cumsum(np.frombuffer(a.as_buffer(), np.uint32) + (np.frombuffer(b.as_buffer(), np.uint16).astype(np.uint64) << np.uint64(32)), dtype=np.uint64)
+            for a, b in zip(part["low"], part["high"])])
+        tokens.sort()
         first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
         n = np.diff(np.append(first, len(tokens)))
         return pa.table({"token": tokens[first][n >= HOT].astype(np.int64), "n": n[n >= HOT].astype(np.int64)})
@@ -177,7 +178,7 @@ def _agree(x: bytes, y: bytes, a: int, b: int, need: int) -> bool:
 def agreeing(pairs: DataFrame, table: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose prefixes under orders 2 and 3 agree."""
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             c = {x: batch[x].to_pylist() for x in batch.schema.names}
             keep = []
             for m, n, x2, y2, x3, y3 in zip(c["na"], c["nb"], c["a2"], c["b2"], c["a3"], c["b3"]):
@@ -201,7 +202,7 @@ def compared(pairs: DataFrame, docs: DataFrame, k: int, percent: int, hot: np.nd
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([s.tobytes() for s in shingles(batch["text"], k)], pa.binary())], ["doc_id", "tokens"])
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             n, linked, d, diffs = [], [], [], []
             for x, y in zip(batch["ta"].to_pylist(), batch["tb"].to_pylist()):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)

@@ -9,7 +9,8 @@ pieces, so decoding gives every text back exactly.
 
 Positions that no piece can cross cut a text without changing its best path: before a run of spaces, and around
 characters that are in no longer piece. Which these are is read off the vocabulary. Each task keeps the encodings of the
-``CACHE`` chunks that it met last, so that repeated words are encoded once; the cache is emptied when it is full.
+chunks that it met last, ``CACHE`` at most, so that repeated words are encoded once. They are kept in two halves: when the
+newer one is full, the older one goes, so that words that come again and again stay.
 
 Ties: the earliest start (longest last piece) wins. Nulls: null ids and no tokens. An empty text has no tokens. Repeated rows
 are encoded each, an empty table gives an empty result.
@@ -30,7 +31,7 @@ from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, Str
 
 from .shared import chunks, packed, unpacked
 
-SPACE, UNKNOWN, CACHE = "▁", 10.0, 300_000
+SPACE, UNKNOWN, CACHE = "▁", 10.0, 150_000
 
 
 class Pieces:
@@ -57,41 +58,50 @@ class Pieces:
         space = "" if crossing else SPACE
         self.cut = re.compile(f"[{alone}]|{SPACE if not crossing else '(?!)'}+[^{space}{alone}]*|[^{space}{alone}]+")
         self.cache: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.back: dict[int, bytes] = {i: t.replace(SPACE, " ").encode() for i, t in self.text.items()} | self.value
 
     def viterbi(self, chunk: str) -> list[int]:
         """Ids of the best path over one chunk."""
-        n, lowest = len(chunk), self.lowest
-        best, piece, start = [0.0] + [None] * n, [-1] * (n + 1), [0] * (n + 1)
-        ends: list[list] = [[] for _ in range(n)]
+        lowest, best, last = self.lowest, [0.0], [None]  # by position: the best score, and the last piece of its path
+        n = 0
         for end, found in self.automaton.iter(chunk):
-            ends[end].append(found)
-        for end in range(1, n + 1):
-            top, which, since = best[end - 1] + lowest, -1, end - 1
-            single = False
-            for size, score, i in ends[end - 1]:
-                single |= size == 1
-                value = best[end - size] + score
-                # an unknown character is only a way out where no piece is that character
-                if which < 0 and (value > top or size == 1) or value > top:
-                    top, which, since = value, i, end - size
-            best[end], piece[end], start[end] = top, which, since
-        out, end = [], n
+            while n < end:  # no piece ends here
+                best.append(best[n] + lowest)
+                last.append(None)
+                n += 1
+            size, score, _ = found
+            value = best[end + 1 - size] + score
+            # an unknown character is only a way out where no piece is that character
+            if n == end:
+                top = best[end] + lowest
+                n += 1
+                if value > top or size == 1:
+                    best.append(value)
+                    last.append(found)
+                else:
+                    best.append(top)
+                    last.append(None)
+            elif value > best[n] or size == 1 and last[n] is None:
+                best[n], last[n] = value, found
+        out, end = [], len(chunk)
         while end:
-            i = piece[end]
-            if i < 0:
-                out.extend(self.byte[b] for b in reversed(chunk[start[end]:end].encode()))
+            if end > n or last[end] is None:
+                out.extend(self.byte[b] for b in reversed(chunk[end - 1].encode()))
+                end -= 1
             else:
+                size, _, i = last[end]
                 out.append(i)
-            end = start[end]
+                end -= size
         return out[::-1]
 
     def part(self, chunk: str) -> tuple[int, ...]:
         found = self.cache.get(chunk)
         if found is None:
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            found = self.cache[chunk] = tuple(self.viterbi(chunk))
+            found = self.older.get(chunk)
+            if len(self.cache) >= CACHE // 2:
+                self.cache, self.older = {}, self.cache
+            found = self.cache[chunk] = tuple(self.viterbi(chunk)) if found is None else found
         return found
 
     def encode(self, text: str) -> list[int]:
@@ -112,11 +122,15 @@ class Pieces:
         return b"".join([back.get(i, b"") for i in ids]).decode("utf-8", "replace")[1:]
 
 
-def encoded(docs: DataFrame, path: str) -> DataFrame:
-    """All columns of the documents, ``ids``, ``n_tokens`` and ``exact`` (the ids decode to the text)."""
+def encoded(docs: DataFrame, path: str, keep_text: bool = True) -> DataFrame:
+    """All columns of the documents, ``ids``, ``n_tokens`` and ``exact`` (the ids decode to the text).
+
+    Without ``keep_text`` the texts, which callers that need only the encodings would carry back from Python, are left out.
+    """
     with open(path, "rb") as file:
         model = docs.sparkSession.sparkContext.broadcast(file.read())
     rows = packed(docs, "text")
+    kept = [c for c in rows.columns if c != "text" or keep_text]
 
     def run(batches: Iterator[pa.RecordBatch]):
         pieces = Pieces(model.value)
@@ -128,10 +142,11 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
                 exact.append(text is None or pieces.decode(got) == text)
             sizes = [0 if x is None else len(x) for x in ids]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(sizes, pa.int64()), pa.array(exact, pa.bool_())], ["text", "rest", "ids", "n_tokens", "exact"])
+                [*(batch[c] for c in kept), pa.array(ids, pa.list_(pa.int32())), pa.array(sizes, pa.int64()), pa.array(exact, pa.bool_())], [*kept, "ids", "n_tokens", "exact"])
 
     added = [StructField("ids", ArrayType(IntegerType())), StructField("n_tokens", LongType()), StructField("exact", BooleanType())]
-    return unpacked(rows.mapInArrow(run, StructType([*rows.schema, *added])), docs.columns, "ids", "n_tokens", "exact")
+    found = rows.mapInArrow(run, StructType([*(rows.schema[c] for c in kept), *added]))
+    return unpacked(found, [c for c in docs.columns if c != "text" or keep_text], "ids", "n_tokens", "exact")
 
 
 def decoded(encodings: DataFrame, path: str) -> DataFrame:

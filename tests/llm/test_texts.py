@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from packsift.llm import pieces, secret_scan, toxicity, transport, urlfilter, warc
 from packsift.llm.queries import PIECES
+from packsift.llm.shared import buffer, chunks, slices, words
 
 rng = random.Random(11)
 NAMES = {"doc_id", "text", "score", "n_lines", "rest", "n_chars", "ids", "key"}
@@ -386,3 +388,43 @@ def test_encoding_of_odd_rows(spark, documents, odd):
     table = pieces.encoded(documents(rows).drop("ids"), PIECES)
     assert all(r.decoded == r.text for r in pieces.decoded(table, PIECES).collect())
     assert pieces.encoded(documents([]), PIECES).count() == 0
+
+
+def test_cache_stays_small_and_keeps_frequent_chunks(model, monkeypatch):
+    monkeypatch.setattr(pieces, "CACHE", 40)
+    few, calls = pieces.Pieces.__new__(pieces.Pieces), []
+    few.__dict__ |= model.__dict__ | {"cache": {}, "older": {}}
+    few.viterbi = lambda chunk: calls.append(chunk) or model.viterbi(chunk)
+    for i in range(500):
+        assert few.encode(f"often word{i}") == [*model.viterbi("▁often"), *model.viterbi(f"▁word{i}")]
+        assert len(few.cache) + len(few.older) <= 40
+    assert calls.count("▁often") == 1
+
+
+def test_texts_are_not_carried_back_where_only_encodings_are_wanted(spark, documents, odd):
+    docs = documents(odd).select("doc_id", "text")
+    lean = pieces.encoded(docs, PIECES, keep_text=False)
+    assert lean.columns == ["doc_id", "ids", "n_tokens", "exact"]
+    rows = lambda df: sorted(df.select("doc_id", "ids", "n_tokens", "exact").collect(), key=str)
+    assert rows(lean) == rows(pieces.encoded(docs, PIECES))
+
+
+def test_batches_are_cut_to_a_few_rows():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1201))], ["x"])
+    parts = list(slices(iter([batch, batch.slice(0, 0)])))
+    assert [p.num_rows for p in parts] == [500, 500, 201] and pa.Table.from_batches(parts)["x"].to_pylist() == list(range(1201))
+
+
+def test_words_of_a_long_buffer_take_few_bytes_and_are_the_same():
+    text = " ".join(f"w{i % 5000}ord" for i in range(200_000))
+    inside, fold = toxicity._INSIDE, toxicity._FOLD
+    tracemalloc.start()
+    start, end, h, bounds = words(*buffer(pa.array([text, "w7ord"])), inside, fold)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 * len(text)
+    alone = [words(*buffer(pa.array([f"w{i}ord"])), inside, fold)[2][0] for i in range(0, 5000, 500)]
+    assert len(h) == 200_001 and bounds.tolist() == [0, 200_000, 200_001] and end[0] - start[0] == 5 and h[-1] == h[7]
+    assert all((h[i * 500:200_000:5000] == x).all() for i, x in enumerate(alone))
+    batch = pa.RecordBatch.from_arrays([pa.array(["x" * 1000] * 5000)], ["text"])
+    assert max(b["text"].nbytes for b in chunks(iter([batch]), "text")) < 1_200_000
