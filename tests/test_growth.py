@@ -59,6 +59,15 @@ def test_audit_joins_send_no_corpus_table_to_the_driver(spark):
     assert {(r.ext_id, r.domain) for r in audit.contacts.collect()} == {("one", "one.example.org")}
 
 
+def test_files_with_a_sink_stay_off_the_driver(spark):
+    audit = Scripts(spark)
+    marked = audit.all_findings.join(audit.sink_files.withColumn("has_sink", F.lit(True)), ["ext_id", "path"], "left")
+    assert "Broadcast" not in plan(marked)
+    rows = marked.collect()
+    assert "Broadcast" not in plan(marked)
+    assert {(r.ext_id, r.path) for r in rows if r.has_sink} == {("one", "a.js")}
+
+
 def test_names_of_packages_stay_off_the_driver(spark, tmp_path):
     spark.range(60).select(F.col("id").alias("doc_id"), F.lit("t").alias("text")).write.parquet(f"{tmp_path}/documents.parquet")
     spark.range(2).select(F.col("id").alias("page_id"), F.lit("https://a.example.org/x").alias("url")).write.parquet(f"{tmp_path}/pages.parquet")
